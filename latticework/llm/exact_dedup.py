@@ -19,6 +19,8 @@ from .common import materialize, text_or_empty
 BITS_PER_DIGEST = 16
 #: Rows of one group that share one copy of the surviving text in verification.
 ROWS_PER_SALT = 4096
+#: Pages (32,768 bits each) of the filter that keeps unique texts from moving.
+MEMBER_FILTER_PAGES = 512
 
 
 def _bit_is_set(bitmap: Column, position: Column) -> Column:
@@ -65,6 +67,27 @@ def hits_of(runs: DataFrame, bits: int) -> DataFrame:
     )
 
 
+def _maybe_duplicated(members: DataFrame, entries: DataFrame) -> DataFrame:
+    """Members whose digest may be among the entries, before any text is moved.
+
+    The filter has MEMBER_FILTER_PAGES pages of 4 KiB at most and is broadcast;
+    where it fills up it lets more rows through, never fewer.
+    """
+    slot = F.pmod(F.xxhash64("digest"), F.lit(MEMBER_FILTER_PAGES << 15))
+    pages = (
+        entries.select(slot.alias("slot"))
+        .groupBy(F.expr("bitmap_bucket_number(slot)").alias("page"))
+        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bitmap"))
+    )
+    return (
+        members.withColumn("slot", slot)
+        .withColumn("page", F.expr("bitmap_bucket_number(slot)"))
+        .join(F.broadcast(pages), "page")
+        .where(_bit_is_set(F.col("bitmap"), F.expr("bitmap_bit_position(slot)")))
+        .select(*members.columns)
+    )
+
+
 def _verified(members: DataFrame, entries: DataFrame) -> DataFrame:
     """Compare each member's bytes with those of its group's surviving row.
 
@@ -118,7 +141,7 @@ def exact_dedup(
     )
     entries = compacted.where("group_size > 1")
     members = base.select("id", "body", F.unhex(F.sha2("body", 256)).alias("digest"))
-    checked = materialize(_verified(members, entries), "digest-verified")
+    checked = materialize(_verified(_maybe_duplicated(members, entries), entries), "digest-verified")
     if not checked.where("other_body is not null").isEmpty():
         # Two texts share a digest: regroup their rows by the text itself.
         pick = F.max("id") if largest else F.min("id")
