@@ -21,6 +21,33 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import bpe_digests
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe_digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op8_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lang_id import identify_documents
+
+    return identify_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
