@@ -3,3 +3,10 @@
 Every public operator is a plain ``DataFrame -> DataFrame`` function; small
 chemistry and spline tables travel as broadcast dimensions.
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel by value, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
