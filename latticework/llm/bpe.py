@@ -40,10 +40,20 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(t): int(r) for t, r in map(bytes.split, f)}
 
 
-def _pack_words(words: list[str]) -> bytes:
-    data = [w.encode() for w in words]
-    sizes = np.fromiter(map(len, data), "<u4", len(data)).tobytes()
-    return zstandard.compress(len(data).to_bytes(4, "little") + sizes + b"".join(data), 1)
+def _pack_ints(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit integers, byte plane by byte plane: small ones compress well."""
+    planes = values.astype("<u4").view("u1").reshape(-1, 4).T
+    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 3)
+
+
+def _unpack_ints(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(blob), "u1").reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
+def _pack_words(words: list[bytes]) -> bytes:
+    sizes = np.fromiter(map(len, words), "<u4", len(words)).tobytes()
+    return zstandard.compress(len(words).to_bytes(4, "little") + sizes + b"".join(words), 3)
 
 
 def _unpack_words(blob: bytes) -> list[bytes]:
@@ -74,10 +84,9 @@ def pack_capsules(docs: DataFrame, pattern: str) -> DataFrame:
         chars = 0
 
         def close() -> pd.DataFrame:
-            flat = np.concatenate(seqs) if seqs else np.zeros(0, "<u4")
             row = {
-                "capsule": f"{part}-{made}", "words": _pack_words(list(vocab)), "ids": ids, "sizes": sizes,
-                "positions": zstandard.compress(flat.astype("<u4").tobytes(), 1),
+                "capsule": f"{part}-{made}", "words": _pack_words([w.encode() for w in vocab]), "ids": ids,
+                "sizes": sizes, "positions": _pack_ints(np.concatenate(seqs)),
             }
             return pd.DataFrame({k: [v] for k, v in row.items()})
 
@@ -109,15 +118,12 @@ def words_by_bucket(capsules: DataFrame, buckets: int) -> DataFrame:
                 words = _unpack_words(blob)
                 bucket, order = _bucket_order(words, buckets)
                 cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-                rows = [(capsule, int(bucket[g[0]]), _pack_raw([words[i] for i in g])) for g in np.split(order, cuts) if len(g)]
+                groups = [g for g in np.split(order, cuts) if len(g)]
+                rows = [(capsule, int(bucket[g[0]]), _pack_words([words[i] for i in g])) for g in groups]
                 yield pd.DataFrame(rows, columns=["capsule", "bucket", "words"])
 
-    return capsules.select("capsule", "words").mapInPandas(deal, "capsule string, bucket int, words binary")
-
-
-def _pack_raw(words: list[bytes]) -> bytes:
-    sizes = np.fromiter(map(len, words), "<u4", len(words)).tobytes()
-    return zstandard.compress(len(words).to_bytes(4, "little") + sizes + b"".join(words), 1)
+    # All columns, though two are used: so Spark sees one shuffle here and in the join, and runs it once.
+    return capsules.mapInPandas(deal, "capsule string, bucket int, words binary")
 
 
 def encode_words(dealt: DataFrame, ranks, pattern: str) -> DataFrame:
@@ -143,7 +149,7 @@ def encode_words(dealt: DataFrame, ranks, pattern: str) -> DataFrame:
                 ids = [known[w] for w in words]
                 counts = np.fromiter(map(len, ids), "<u4", len(ids))
                 flat = np.fromiter((i for x in ids for i in x), "<u4", int(counts.sum()))
-                out.append((capsule, bucket, zstandard.compress(counts.tobytes() + flat.tobytes(), 1)))
+                out.append((capsule, bucket, _pack_ints(np.concatenate([counts, flat]))))
             yield pd.DataFrame(out, columns=["capsule", "bucket", "codes"])
 
     spread = dealt.repartition("bucket").sortWithinPartitions("bucket")
@@ -162,7 +168,7 @@ def assemble(joined: DataFrame, buckets: int, id_type: str) -> DataFrame:
                 size_of = dict(zip(here[0].tolist(), here[1].tolist(), strict=True))
                 counts, flats = [], []
                 for x in sorted(row["codes"], key=lambda c: c["bucket"]):
-                    raw = np.frombuffer(zstandard.decompress(x["codes"]), "<u4")
+                    raw = _unpack_ints(x["codes"])
                     n = size_of[x["bucket"]]
                     counts.append(raw[:n])
                     flats.append(raw[n:])
@@ -173,7 +179,7 @@ def assemble(joined: DataFrame, buckets: int, id_type: str) -> DataFrame:
                     count[order] = dealt
                     start[order] = np.cumsum(dealt) - dealt
                 flat = np.concatenate(flats) if flats else np.zeros(0, "<u4")
-                where = np.frombuffer(zstandard.decompress(row["positions"]), "<u4")
+                where = _unpack_ints(row["positions"])
                 at, ids, tokens, held = 0, [], [], 0
                 for doc, size in zip(row["ids"], row["sizes"], strict=True):
                     seq = where[at : at + size]
