@@ -45,3 +45,53 @@ def text_or_empty(col: str = "text"):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Pages (32,768 bits each) of the filter in ``apply_verdicts``.
+VERDICT_FILTER_PAGES = 512
+
+
+def text_key(text_col: str = "text"):
+    """A hash of the text that, with the identifier, names a row."""
+    return F.xxhash64(text_or_empty(text_col))
+
+
+def apply_verdicts(docs: DataFrame, verdicts: DataFrame, *, once: bool = False) -> DataFrame:
+    """Rows of ``docs`` that no verdict (doc_id, text_key, keep) drops, columns unchanged.
+
+    Rows outside a broadcast filter of the verdicts stay where they are; only
+    rows inside it are shuffled and joined.  The filter's size is bounded, and
+    where it fills up more rows are joined, never fewer.  A row with a verdict
+    stays if any verdict on it says so; with ``once`` identical such rows stay
+    once.
+    """
+    cols = docs.columns
+    slot = F.pmod(F.xxhash64("doc_id", "_lw_text"), F.lit(VERDICT_FILTER_PAGES << 15))
+    named = verdicts.select("doc_id", F.col("text_key").alias("_lw_text"), "keep")
+    page, bit = F.expr("bitmap_bucket_number(_lw_slot)").alias("_lw_page"), F.expr("bitmap_bit_position(_lw_slot)")
+    pages = (
+        named.select(slot.alias("_lw_slot"))
+        .select(page, bit.alias("_lw_bit"))
+        .groupBy("_lw_page")
+        .agg(F.expr("bitmap_construct_agg(_lw_bit)").alias("_lw_bits"))
+    )
+    byte = F.conv(F.hex(F.substring("_lw_bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    inside = F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))
+    marked = (
+        docs.withColumn("_lw_text", text_key())
+        .withColumn("_lw_slot", slot)
+        .withColumn("_lw_page", page)
+        .join(F.broadcast(pages), "_lw_page", "left")
+        .withColumn("_lw_in", inside)
+    )
+    verdict = (
+        named.groupBy("doc_id", "_lw_text").agg(F.max("keep").alias("_lw_keep"))
+        .select(F.col("doc_id").alias("_lw_id"), F.col("_lw_text").alias("_lw_text2"), "_lw_keep")
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("_lw_id")) & (F.col("_lw_text") == F.col("_lw_text2"))
+    judged = marked.where("_lw_in").join(verdict, same, "left").where(F.coalesce("_lw_keep", F.lit(True)))
+    if once:
+        judged = judged.where("_lw_keep is null").unionByName(
+            judged.where("_lw_keep is not null").dropDuplicates(["doc_id", "_lw_text"])
+        )
+    return marked.where(~F.col("_lw_in")).select(*cols).unionByName(judged.select(*cols))

@@ -105,8 +105,9 @@ def _verified(members: DataFrame, entries: DataFrame) -> DataFrame:
     )
     same = F.col("body") == F.col("kept_body")
     return left.join(right, ["digest", "salt"]).select(
-        "id", "digest", "keep_id", "group_size", F.when(~same, F.col("body")).alias("other_body")
-    )
+        "id", "digest", "keep_id", "group_size", F.when(~same, F.col("body")).alias("other_body"),
+        F.xxhash64("body").alias("text_key"),
+    )
 
 
 def exact_dedup(
@@ -116,6 +117,7 @@ def exact_dedup(
     *,
     largest: bool = True,
     memtables: int = 8,
+    keep_text_key: bool = False,
 ) -> DataFrame:
     """Groups of byte-equal texts: (id, keep_id, group_size, kept, text_sha256).
 
@@ -123,6 +125,7 @@ def exact_dedup(
     largest identifier (smallest with ``largest=False``) stays; identical rows
     with that identifier are one survivor, so exactly one row per group has
     ``kept``.  A null identifier loses to any other.  Other columns are ignored.
+    ``keep_text_key`` adds text_key for rows in groups of two or more (else null).
     """
     base = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("body"))
     digests = base.select("id", F.unhex(F.sha2("body", 256)).alias("digest"))
@@ -137,8 +140,9 @@ def exact_dedup(
     )
     single = probed.where(~F.col("hit")).select("digest", F.lit(1).cast("long").alias("group_size"), "keep_id")
     unique = single.unionByName(compacted.where("group_size = 1")).select(
-        F.col("keep_id").alias("id"), "digest", "keep_id", "group_size", F.lit(True).alias("kept")
-    )
+        F.col("keep_id").alias("id"), "digest", "keep_id", "group_size", F.lit(True).alias("kept"),
+        F.lit(None).cast("long").alias("text_key"),
+    )
     entries = compacted.where("group_size > 1")
     members = base.select("id", "body", F.unhex(F.sha2("body", 256)).alias("digest"))
     checked = materialize(_verified(_maybe_duplicated(members, entries), entries), "digest-verified")
@@ -154,12 +158,12 @@ def exact_dedup(
                 regrouped.alias("r"),
                 (F.col("c.digest") == F.col("r.digest")) & F.col("c.other_body").eqNullSafe(F.col("r.other_body")),
             )
-            .select("c.id", "c.digest", F.col("k2").alias("keep_id"), F.col("g2").alias("group_size"), "c.other_body")
+            .select("c.id", "c.digest", F.col("k2").alias("keep_id"), F.col("g2").alias("group_size"), "c.other_body", "c.text_key")
         )
     survivor = F.col("id").eqNullSafe(F.col("keep_id"))
     order = Window.partitionBy("digest", "other_body", "id").orderBy("keep_id")
     grouped = checked.withColumn("nth", F.when(survivor, F.row_number().over(order))).select(
-        "id", "digest", "keep_id", "group_size", (survivor & (F.col("nth") == 1)).alias("kept")
+        "id", "digest", "keep_id", "group_size", (survivor & (F.col("nth") == 1)).alias("kept"), "text_key"
     )
     return unique.unionByName(grouped).select(
         F.col("id").alias(id_col),
@@ -167,4 +171,5 @@ def exact_dedup(
         "group_size",
         "kept",
         F.lower(F.hex("digest")).alias("text_sha256"),
+        *(["text_key"] if keep_text_key else []),
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -21,12 +22,31 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .passages import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_exact import dedup_digests
+
+    return dedup_digests(table(spark, sf_dir, "documents"))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import leaks
+
+    found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.groupBy("doc_id", "item_id").agg(F.max("equal_words").alias("equal_words"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -42,6 +62,15 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_files import token_counts
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return token_counts(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, 50256)
+
+
 def op8_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lang_id import identify_documents
 
@@ -53,6 +82,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 _SQL = {
+    "op4_decontaminate": r"""
+        WITH d AS (
+            SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w
+            FROM documents
+        ), b AS (
+            SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w
+            FROM benchmark
+        ), dw AS (
+            SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d
+        ), bw AS (
+            SELECT item_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS q FROM b WHERE len(w) >= 8
+        ), m AS (
+            SELECT doc_id, item_id, n, q, p - q AS diagonal FROM dw JOIN bw USING (word)
+        ), c AS (
+            SELECT doc_id, item_id, n,
+                   count(*) OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY q
+                                  RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS equal
+            FROM m
+        )
+        SELECT doc_id, item_id, CAST(max(equal) AS INTEGER) AS equal_words
+        FROM c WHERE equal >= CASE WHEN n >= 13 THEN 11 ELSE n END
+        GROUP BY doc_id, item_id
+    """,
     "op9_warc": """
         WITH p AS (
             SELECT page_id, encode(coalesce(html, '')) AS body FROM pages

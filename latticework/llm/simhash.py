@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, text_key
 from .components import connected_components, contract, spanning_edges
 
 WORDS = 4
@@ -63,14 +63,16 @@ def fingerprint(body: bytes, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp long) of every row; the 64 bits as a signed long."""
+    """(id, text_key, fp long) of every row; the 64 bits as a signed long."""
 
     def made(col: pd.Series) -> pd.Series:
         values = np.fromiter((fingerprint(t.encode()) for t in col), "u8", len(col))
         return pd.Series(values.view("i8"))
 
     body = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), F.pandas_udf(made, "long")(body).alias("fp"))
+    return docs.select(
+        F.col(id_col).alias("id"), text_key(text_col).alias("text_key"), F.pandas_udf(made, "long")(body).alias("fp")
+    )
 
 
 def _cells(keyed: DataFrame, block: int) -> DataFrame:
@@ -165,7 +167,7 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) ->
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, radius: int = RADIUS
 ) -> DataFrame:
-    """Per row: id, fingerprint (16 hex digits), component_id (smallest linked id).
+    """Per row: id, fingerprint (16 hex digits), component_id (smallest linked id), text_key.
 
     Rows of equal fingerprint are one node, named by its smallest identifier, so
     a large group of copies costs one row in every table.  A null text counts
@@ -181,5 +183,5 @@ def near_duplicates(
         "fp", F.coalesce("component", "rep").alias("component_id")
     )
     return prints.join(named, "fp").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_key"
     )
