@@ -88,13 +88,55 @@ def energy_features_3b(trios: DataFrame, basis: Basis) -> DataFrame:
     return _energy(folded.groupBy("config_id", "feature_idx").agg(F.sum(F.col("v") * F.col("weight")).alias("value")))
 
 
+def force_features_3b(trios: DataFrame, basis: Basis) -> DataFrame:
+    """Minus the derivative of each triplet's product by the places of its three atoms.
+
+    An image moves with the atom it copies, so its share goes to that atom.
+    """
+    spark = trios.sparkSession
+    pieces = basis.pieces_table(spark, 3)
+    out = trios
+    for leg, (r, cell) in enumerate((("r_l", "l"), ("r_m", "m"), ("r_n", "n"))):
+        met = segment_join(out, pieces, r, leg)
+        out = met.withColumn(f"v{leg}", horner(r)).withColumn(f"s{leg}", slope(r)).withColumnRenamed("basis_idx", cell)
+        out = out.drop("t_lo", "t_hi", "c0", "c1", "c2", "c3")
+    folded = out.join(F.broadcast(basis.grid_table(spark)), ["interaction_id", "l", "m", "n"])
+    d = {
+        "l": F.col("s0") * F.col("v1") * F.col("v2") * F.col("weight"),
+        "m": F.col("v0") * F.col("s1") * F.col("v2") * F.col("weight"),
+        "n": F.col("v0") * F.col("v1") * F.col("s2") * F.col("weight"),
+    }
+    folded = folded.select(
+        "config_id", "i", "j_atom", "k_atom", "feature_idx", *[d[x].alias("d_" + x) for x in d], "u_l", "u_m", "u_n"
+    )
+    shares = (("i", {"l": 1, "m": 1}), ("j_atom", {"l": -1, "n": 1}), ("k_atom", {"m": -1, "n": -1}))
+
+    def end(atom: str, signs: dict[str, int]) -> Column:
+        axes = [
+            sum((F.lit(float(g)) * F.col("d_" + x) * F.get("u_" + x, F.lit(k)) for x, g in signs.items()), F.lit(0.0)).alias(c)
+            for k, c in enumerate(("fx", "fy", "fz"))
+        ]
+        return F.struct(F.col(atom).cast("int").alias("atom_idx"), *axes)
+
+    ends = folded.select("config_id", "feature_idx", F.explode(F.array(*[end(a, s) for a, s in shares])).alias("e"))
+    summed = ends.groupBy("config_id", F.col("e.atom_idx").alias("atom_idx"), "feature_idx").agg(
+        *[F.sum(f"e.{c}").alias(c) for c in ("fx", "fy", "fz")]
+    )
+    return summed.unpivot(["config_id", "atom_idx", "feature_idx"], ["fx", "fy", "fz"], "component", "value").select(
+        "config_id", "component", "atom_idx", "feature_idx", "value"
+    )
+
+
 def feature_table(configs: DataFrame, atoms: DataFrame, basis: Basis, *, forces: bool = True, cells: bool = False) -> DataFrame:
     """All features in long form.  Configurations with an unknown species are left out whole."""
     known = known_species(atoms, basis)
     pairs = pair_distances(configs, known, basis, cells=cells)
     out = energy_features_1b(known, basis).unionByName(energy_features_2b(pairs, basis))
     if basis.degree > 2:
-        out = out.unionByName(energy_features_3b(triplets(configs, known, basis, cells=cells), basis))
+        trios = triplets(configs, known, basis, cells=cells)
+        out = out.unionByName(energy_features_3b(trios, basis))
+        if forces:
+            out = out.unionByName(force_features_3b(trios, basis))
     if forces:
         out = out.unionByName(force_features_2b(pair_derivatives(configs, known, basis, cells=cells), basis))
     return out

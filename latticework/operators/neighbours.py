@@ -57,8 +57,14 @@ def image_offsets(configs: DataFrame, r_cut: float, nearest_first: bool = False)
     return out
 
 
-def periodic_images(configs: DataFrame, atoms: DataFrame, r_cut: float) -> DataFrame:
-    """atoms x images: (config_id, atom_idx, ia, ib, ic, is_real, z, px, py, pz)."""
+def periodic_images(configs: DataFrame | None, atoms: DataFrame, r_cut: float) -> DataFrame:
+    """atoms x images: (config_id, atom_idx, ia, ib, ic, is_real, z, px, py, pz).
+
+    ``configs`` None says that no configuration is periodic: no join, no images.
+    """
+    if configs is None:
+        here = [F.lit(0).alias(i) for i in ("ia", "ib", "ic")]
+        return atoms.select("config_id", "atom_idx", *here, F.lit(True).alias("is_real"), "z", *POSITION)
     offsets = image_offsets(configs, r_cut)
     moved = [(F.col(p) + F.col(d)).alias(p) for p, d in zip(POSITION, ("dx", "dy", "dz"), strict=True)]
     real = (F.col("ia") == 0) & (F.col("ib") == 0) & (F.col("ic") == 0)
@@ -106,7 +112,7 @@ def _pair_bounds(basis: Basis) -> Column:
     return F.create_map(*entries)
 
 
-def pair_distances(configs: DataFrame, atoms: DataFrame, basis: Basis, *, r_cut: float | None = None, cells: bool = False) -> DataFrame:
+def pair_distances(configs: DataFrame | None, atoms: DataFrame, basis: Basis, *, r_cut: float | None = None, cells: bool = False) -> DataFrame:
     """(config_id, i, j, interaction_id, r): real atom i and any image j, r_min < r < r_max of the pair.
 
     Both directions appear.  Atoms at one place are no neighbours; an atom sees
@@ -125,7 +131,7 @@ def pair_distances(configs: DataFrame, atoms: DataFrame, basis: Basis, *, r_cut:
 
 
 def pair_derivatives(
-    configs: DataFrame, atoms: DataFrame, basis: Basis, *, r_cut: float | None = None, prune: float | None = None, cells: bool = False
+    configs: DataFrame | None, atoms: DataFrame, basis: Basis, *, r_cut: float | None = None, prune: float | None = None, cells: bool = False
 ) -> DataFrame:
     """(config_id, pair, end, interaction_id, r, ux, uy, uz): signed unit vectors on real ends.
 
@@ -138,22 +144,20 @@ def pair_derivatives(
     images = periodic_images(configs, atoms, reach)
     limit = prune or reach
     real = images.where("is_real").select("config_id", *POSITION)
-    ghosts = images.where(~F.col("is_real"))
-    place = ["config_id", "atom_idx", "ia", "ib", "ic"]
-    key = [F.col(c) for c in place]
-    near = near_pairs(ghosts, real, limit, cells=cells).select(
-        "config_id", *[F.col("l_" + c).alias(c) for c in ("atom_idx", "ia", "ib", "ic")]
+    if configs is None:
+        kept = images
+    else:
+        kept = _near_images(images, real, limit, cells)
+    side = kept.withColumn("name", F.concat_ws(":", "atom_idx", "ia", "ib", "ic")).select(
+        "config_id", "atom_idx", "name", "is_real", "z", *POSITION
     )
-    kept = images.where("is_real").unionByName(ghosts.join(near.distinct(), place, "left_semi").select(*images.columns))
-    side = kept.withColumn("name", F.concat_ws(":", *key[1:])).select("config_id", "atom_idx", "name", "is_real", "z", *POSITION)
     far = max(float(x.knots[0][-1]) for x in basis.of_degree(2))
     # One end real: real with all, and ghosts with real ones (the other direction).
     real_side = side.where("is_real")
     pairs = near_pairs(real_side, side, far, cells=cells)
-    back = near_pairs(side.where(~F.col("is_real")), real_side, far, cells=cells)
-    pairs = pairs.unionByName(back).withColumn(
-        "b", F.try_element_at(_pair_bounds(basis), pair_hash(F.col("l_z"), F.col("r_z")))
-    )
+    if configs is not None:
+        pairs = pairs.unionByName(near_pairs(side.where(~F.col("is_real")), real_side, far, cells=cells))
+    pairs = pairs.withColumn("b", F.try_element_at(_pair_bounds(basis), pair_hash(F.col("l_z"), F.col("r_z"))))
     pairs = pairs.where((F.col("r") > F.col("b.lo")) & (F.col("r") < F.col("b.hi")))
     unit = [(F.col("r_" + p) - F.col("l_" + p)) / F.col("r") for p in POSITION]
     ends = F.array(
@@ -167,6 +171,17 @@ def pair_derivatives(
     )
 
 
+def _near_images(images: DataFrame, real: DataFrame, limit: float, cells: bool) -> DataFrame:
+    """Real atoms, and the images within ``limit`` of one."""
+    place = ["config_id", "atom_idx", "ia", "ib", "ic"]
+    ghosts = images.where(~F.col("is_real"))
+    near = near_pairs(ghosts, real, limit, cells=cells).select(
+        "config_id", *[F.col("l_" + c).alias(c) for c in place[1:]]
+    )
+    kept = ghosts.join(near.distinct(), place, "left_semi").select(*images.columns)
+    return images.where("is_real").unionByName(kept)
+
+
 def _trio_legs(basis: Basis) -> Column:
     entries = []
     for x in basis.of_degree(3):
@@ -180,8 +195,11 @@ def _trio_legs(basis: Basis) -> Column:
     return F.create_map(*entries)
 
 
-def triplets(configs: DataFrame, atoms: DataFrame, basis: Basis, *, r_cut: float | None = None, cells: bool = False) -> DataFrame:
-    """(config_id, i, j, k, interaction_id, r_l, r_m, r_n and the unit vectors of the legs' ends).
+def triplets(configs: DataFrame | None, atoms: DataFrame, basis: Basis, *, r_cut: float | None = None, cells: bool = False) -> DataFrame:
+    """(config_id, i, j, k, interaction_id, r_l, r_m, r_n, and per leg its unit vector u_l, u_m, u_n).
+
+    j and k name images; j_atom and k_atom are the atoms they copy.  Unit
+    vectors point from centre to j, centre to k, and j to k.
 
     Neighbours j, k of a real centre, each pair of them once, ordered by
     species; each leg within its knots, bounds included.  A neighbour shell is
@@ -207,7 +225,12 @@ def triplets(configs: DataFrame, atoms: DataFrame, basis: Basis, *, r_cut: float
     inside = F.lit(True)
     for k, r in enumerate(("r_j", "r_k", "r_n")):
         inside = inside & (F.col(r) >= F.get("t.lo", F.lit(k))) & (F.col(r) <= F.get("t.hi", F.lit(k)))
+    def unit(to: str, start: str, r: str) -> Column:
+        return F.array(*[(F.col(to + p) - F.col(start + p)) / F.col(r) for p in POSITION])
+
     return both.where(inside).select(
         "config_id", F.col("l_atom_idx").alias("i"), F.col("j_name").alias("j"), F.col("k_name").alias("k"),
+        F.col("j_atom_idx").alias("j_atom"), F.col("k_atom_idx").alias("k_atom"),
         F.col("t.id").alias("interaction_id"), F.col("r_j").alias("r_l"), F.col("r_k").alias("r_m"), "r_n",
+        unit("j_", "l_", "r_j").alias("u_l"), unit("k_", "l_", "r_k").alias("u_m"), unit("k_", "j_", "r_n").alias("u_n"),
     )
