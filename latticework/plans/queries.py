@@ -35,7 +35,12 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _r6(c, name: str):
-    return F.round(c, 6).alias(name)
+    """Six digits, and no negative zero."""
+    return (F.round(c, 6) + F.lit(0.0)).alias(name)
+
+
+#: Energies of the stand-ins per price; so many digits that rounding meets no ties.
+SCALE = 1.0123456789e-4
 
 
 BASIS = standin.pair_basis()
@@ -90,7 +95,7 @@ def consolidate_unique(spark, sf):
 
 @query("""
     SELECT o_orderkey AS config_id, concat(o_orderstatus, '_', o_orderkey) AS row_key FROM orders
-    WHERE o_orderstatus <> 'P'
+    WHERE o_orderstatus <> 'P' AND o_orderkey IN (SELECT l_orderkey FROM lineitem)
 """)
 def dataset_registration(spark, sf):
     c = tables.with_size(standin.configs(spark, sf), standin.atoms(spark, sf)).drop("prefix")
@@ -545,6 +550,7 @@ def image_expansion(spark, sf):
     i AS (
         SELECT a.config_id, a.z, a.px + ia * e + ib AS px, a.py + ib * 6.0 AS py, a.pz
         FROM atoms a JOIN c USING (config_id), range(-2, 3) s(ia), range(-1, 2) t(ib)
+        WHERE abs(ia) <= ceil(4.0 / (e * 120 / sqrt(14800.0)))
     ), d AS (
         SELECT a.config_id, least(a.z, i.z) AS zi, greatest(a.z, i.z) AS zj,
                sqrt((a.px - i.px) * (a.px - i.px) + (a.py - i.py) * (a.py - i.py) + (a.pz - i.pz) * (a.pz - i.pz)) AS r
@@ -610,15 +616,15 @@ def _force_features(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""
     WITH {_FORCES_2B_SQL}
-    SELECT config_id, feature_idx, count(*) AS n, round(sum(a), 4) AS total FROM (
-        SELECT config_id, atom_idx, feature_idx, abs(round(sum(fx), 6)) + abs(round(sum(fy), 6)) + abs(round(sum(fz), 6)) AS a
+    SELECT config_id, feature_idx, count(*) AS n, round(sum(a), 5) AS total FROM (
+        SELECT config_id, atom_idx, feature_idx, abs(sum(fx)) + abs(sum(fy)) + abs(sum(fz)) AS a
         FROM ends GROUP BY 1, 2, 3
     ) GROUP BY 1, 2
 """)
 def force_features_2b(spark, sf):
-    rows = _force_features(spark, sf).groupBy("config_id", "atom_idx", "feature_idx").agg(F.sum(F.abs(F.round("value", 6))).alias("a"))
+    rows = _force_features(spark, sf).groupBy("config_id", "atom_idx", "feature_idx").agg(F.sum(F.abs("value")).alias("a"))
     return rows.groupBy("config_id", F.col("feature_idx").cast("int").alias("feature_idx")).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("a"), 4).alias("total")
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("a"), 5).alias("total")
     )
 
 
@@ -664,7 +670,7 @@ def _three_legs_sql() -> str:
     )
     product = " * ".join(leg(k, r) for k, r in enumerate(("r_l", "r_m", "r_n")))
     return f"""
-        SELECT near.config_id, g.feature_idx, round(sum({product} * g.weight), 6) AS value
+        SELECT near.config_id, g.feature_idx, round(sum({product} * g.weight), 6) + 0.0 AS value
         FROM near {joins}
         JOIN grid g ON g.interaction_id = near.interaction_id AND g.l = a.basis_idx AND g.m = b.basis_idx AND g.n = c.basis_idx
         GROUP BY 1, 2"""
@@ -695,7 +701,7 @@ def feature_rows_wide(spark, sf):
 
 def _targets(spark: SparkSession, sf: str) -> DataFrame:
     c = standin.configs(spark, sf)
-    return c.select("config_id", F.lit("energy").alias("component"), F.lit(None).cast("int").alias("atom_idx"), (F.col("energy") / 1e4).alias("y"))
+    return c.select("config_id", F.lit("energy").alias("component"), F.lit(None).cast("int").alias("atom_idx"), (F.col("energy") * SCALE).alias("y"))
 
 
 def _training(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -705,7 +711,7 @@ def _training(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 _TRAINING_SQL = f"""
     {_FEATURES_2B_SQL}, sizes AS (SELECT config_id, count(*) AS size FROM atoms GROUP BY 1),
     x AS (SELECT config_id, feature_idx, value / size AS value FROM features JOIN sizes USING (config_id)),
-    y AS (SELECT config_id, o_totalprice / 10000 / size AS y FROM orders JOIN sizes ON config_id = o_orderkey)"""
+    y AS (SELECT config_id, o_totalprice * {SCALE!r} / size AS y FROM orders JOIN sizes ON config_id = o_orderkey)"""
 
 
 @query(f"WITH {_TRAINING_SQL} SELECT config_id, feature_idx, round(value, 6) AS value FROM x")
@@ -736,7 +742,7 @@ def online_moments(spark, sf):
 
 _ALL_TARGETS_SQL = f"""
     WITH {ATOMS_SQL}, t AS (
-        SELECT 'energy' AS kind, o_totalprice / 10000 AS y FROM orders
+        SELECT 'energy' AS kind, o_totalprice * {SCALE!r} AS y FROM orders
         UNION ALL SELECT 'force', unnest([fx, fy, fz]) FROM atoms
     ), m AS (
         SELECT count(CASE WHEN kind = 'energy' THEN y END) AS n_e, count(CASE WHEN kind = 'force' THEN y END) AS n_f,
@@ -746,7 +752,7 @@ _ALL_TARGETS_SQL = f"""
 
 
 def _all_targets(spark: SparkSession, sf: str) -> DataFrame:
-    c = standin.configs(spark, sf).withColumn("energy", F.col("energy") / 1e4)
+    c = standin.configs(spark, sf).withColumn("energy", F.col("energy") * SCALE)
     return features.targets(c, standin.atoms(spark, sf, index=True, forces=True))
 
 
@@ -989,15 +995,15 @@ def equation_of_state(spark, sf):
 
 @query("""
     WITH b AS (SELECT o_custkey AS cust, sum(o_totalprice) / sum(o_orderkey % 7 + 1) AS e FROM orders GROUP BY 1)
-    SELECT o_orderkey AS config_id, round((o_totalprice - (o_orderkey % 7 + 1) * e) / 12.5 / 2, 6) AS surface_energy,
-           round(o_totalprice - e * (o_orderkey % 7 + 1), 6) AS vacancy_energy
+    SELECT o_orderkey AS config_id, round((o_totalprice - (o_orderkey % 7 + 1) * e) / 12.5 / 2, 4) AS surface_energy,
+           round(o_totalprice - e * (o_orderkey % 7 + 1), 4) AS vacancy_energy
     FROM orders JOIN b ON cust = o_custkey
 """)
 def structure_energies(spark, sf):
     c = standin.configs(spark, sf).select("config_id", "cust", "energy", (F.col("config_id") % 7 + 1).alias("size"), F.lit(12.5).alias("area"))
     bulk = c.groupBy("cust").agg(F.sum("energy").alias("energy"), F.sum("size").alias("size"))
     both = score.vacancy_energy(score.surface_energy(c, bulk, "cust"), bulk, "cust")
-    return both.select("config_id", _r6(F.col("surface_energy"), "surface_energy"), _r6(F.col("vacancy_energy"), "vacancy_energy"))
+    return both.select("config_id", *[F.round(c, 4).alias(c) for c in ("surface_energy", "vacancy_energy")])
 
 
 @query(f"""
@@ -1008,7 +1014,8 @@ def structure_energies(spark, sf):
         FROM pieces p JOIN ids ON ids.interaction_id = p.interaction_id JOIN c ON feature_idx = feat_offset + basis_idx GROUP BY 1, 2, 3
     ), b AS (SELECT interaction_id, min(r) AS lo, max(r) AS hi FROM near GROUP BY 1),
     q AS (SELECT interaction_id, lo + k * ((hi - lo) / 99) AS r FROM b, range(100) t(k))
-    SELECT q.interaction_id, round(r, 6) AS r, round(coalesce(2 * {HORNER_SQL}, 0.0), 6) AS e, round(coalesce(-2 * {SLOPE_SQL}, 0.0), 6) AS f
+    SELECT q.interaction_id, round(r, 6) AS r, round(coalesce(2 * {HORNER_SQL}, 0.0), 6) + 0.0 AS e,
+           round(coalesce(-2 * {SLOPE_SQL}, 0.0), 6) + 0.0 AS f
     FROM q LEFT JOIN s ON s.interaction_id = q.interaction_id AND r > t_lo AND r <= t_hi
 """)
 def tabulated_pair(spark, sf):
@@ -1035,12 +1042,12 @@ def fps_vectors(spark, sf):
     WITH {ATOMS_SQL}, f AS (
         SELECT config_id, CAST(atom_idx AS INTEGER) AS atom_idx, unnest([0, 1, 2]) AS axis, unnest([fx, fy, fz]) AS f FROM atoms
     )
-    SELECT config_id, atom_idx, axis, -sign(f) * 0.01 AS shift, round(o_totalprice - f * (-sign(f) * 0.01), 6) AS energy
+    SELECT config_id, atom_idx, axis, -sign(f) * 0.01 + 0.0 AS shift, round(o_totalprice - f * (-sign(f) * 0.01), 4) AS energy
     FROM f JOIN orders ON config_id = o_orderkey
 """)
 def force_displacements(spark, sf):
     moved = sampling.axis_displacements(standin.configs(spark, sf), standin.atoms(spark, sf, index=True, forces=True), 0.01)
-    return moved.select("config_id", F.col("atom_idx").cast("int").alias("atom_idx"), "axis", "shift", _r6(F.col("energy"), "energy"))
+    return moved.select("config_id", F.col("atom_idx").cast("int").alias("atom_idx"), "axis", (F.col("shift") + F.lit(0.0)).alias("shift"), F.round("energy", 4).alias("energy"))
 
 
 @query()
@@ -1069,7 +1076,7 @@ def xyz_round_trip(spark, sf):
     from latticework.sources.text import read_xyz
 
     symbol = F.element_at(F.array(F.lit("H"), F.lit("He"), F.lit("Li")), F.col("z"))
-    line = F.format_string("%s %.6f %.6f %.6f %.8f %.8f %.8f", symbol, "px", "py", "pz", "fx", "fy", "fz")
+    line = F.concat_ws(" ", symbol, "px", "py", "pz", "fx", "fy", "fz")  # doubles in their shortest exact form
     atoms = standin.atoms(spark, sf, index=True, forces=True).groupBy("config_id").agg(
         F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("atom_idx", line.alias("line")))).alias("lines")
     )
@@ -1111,7 +1118,7 @@ def dump_round_trip(spark, sf):
     """Orders written as dump snapshots and scanned again, split at every snapshot."""
     from latticework.sources.text import dump_atoms, read_dump
 
-    line = F.format_string("%d %d %.6f %.6f %.6f %.8f %.8f %.8f", (F.col("atom_idx") + 1).cast("long"), "z", "px", "py", "pz", "fx", "fy", "fz")
+    line = F.concat_ws(" ", F.col("atom_idx") + 1, "z", "px", "py", "pz", "fx", "fy", "fz")
     atoms = standin.atoms(spark, sf, index=True, forces=True).groupBy("config_id").agg(
         F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("atom_idx", line.alias("line")))).alias("lines")
     )

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from latticework.operators.basis import Basis
 
 SPECIES = (1, 2, 3)
+#: Force per price; so many digits that rounding meets no ties.
+FORCE_SCALE = 1.0123456789e-4
 LINE_ORDER = (
     "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
     "l_linestatus", "l_shipdate",
@@ -34,7 +36,7 @@ def atoms(spark: SparkSession, sf_dir: str, *, index: bool = False, forces: bool
     number = F.lit(0)
     if index:
         number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)) - 1
-    force = [(F.col("l_extendedprice") / 10000).alias("fx"), F.col("l_discount").alias("fy"), F.col("l_tax").alias("fz")]
+    force = [(F.col("l_extendedprice") * FORCE_SCALE).alias("fx"), F.col("l_discount").alias("fy"), F.col("l_tax").alias("fz")]
     return lines.select(
         F.col("l_orderkey").alias("config_id"), number.alias("atom_idx"),
         F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 2).otherwise(3).alias("z"),
@@ -59,7 +61,7 @@ ATOMS_SQL = f"""
                row_number() OVER (PARTITION BY l_orderkey ORDER BY {", ".join(LINE_ORDER)}) - 1 AS atom_idx,
                CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS z,
                l_quantity AS px, round(l_discount * 100) AS py, round(l_tax * 100) AS pz,
-               l_extendedprice / 10000 AS fx, l_discount AS fy, l_tax AS fz
+               l_extendedprice * {FORCE_SCALE!r} AS fx, l_discount AS fy, l_tax AS fz
         FROM lineitem
     )"""
 PAIRS_SQL = (
