@@ -38,6 +38,8 @@ SEED = 24
 SPREAD = LENGTH - SEED + 1
 #: A capsule closes at this many bytes of text.
 CAPSULE_BYTES = 4_000_000
+#: Documents are hashed together in blocks of about this many bytes.
+BLOCK_BYTES = 1 << 15
 #: A minimizer in more capsules than this is dealt window by window.
 HOT_CAPSULES = 2_000
 #: Stands for a null identifier: after all others.
@@ -69,21 +71,39 @@ def _seed_hashes(body: bytes) -> np.ndarray:
     return h
 
 
-def window_runs(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(minimizer, first window, past the last) of each run, SPREAD windows at most."""
-    if len(body) < LENGTH:
+def window_runs(text: bytes, ends: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(minimizer, first window, past the last) of each run, SPREAD windows at most.
+
+    ``text`` holds documents end to end, ``ends`` their ends; windows that
+    would cross an end are left out, and no run does.
+    """
+    if len(text) < LENGTH:
         none = np.zeros(0, "i8")
         return none.view("u8"), none, none
-    low = _seed_hashes(body)
+    low = _seed_hashes(text)
     width = 1
     while width * 2 <= SPREAD:
         low = np.minimum(low[:-width], low[width:])
         width *= 2
     rest = SPREAD - width
     low = np.minimum(low[: len(low) - rest], low[rest:])
-    start = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
-    end = np.r_[start[1:], len(low)]
-    if (end - start).max() > SPREAD:  # one minimizer again and again, as in a row of blanks
+    n = len(low)
+    whole = np.ones(n + 1, bool)
+    whole[n] = False
+    fresh = np.ones(n + 1, bool)
+    np.not_equal(low[1:], low[:-1], out=fresh[1:n])
+    before = 0
+    for end in ends:
+        whole[max(before, end - LENGTH + 1) : end] = False
+        if end < n:
+            fresh[end] = True
+        before = end
+    fresh[1:] |= ~whole[:-1]
+    # A run starts at a fresh whole window and ends before the next fresh or broken one.
+    start = np.flatnonzero(fresh[:n] & whole[:n])
+    edge = np.flatnonzero(fresh | ~whole)
+    end = edge[np.searchsorted(edge, start, side="right")]
+    if len(start) and (end - start).max() > SPREAD:  # one minimizer again and again, as in a row of blanks
         pieces = -(-(end - start) // SPREAD)
         nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         last = np.repeat(end, pieces)
@@ -124,6 +144,15 @@ def pack_capsules(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(pack, "capsule string, ids binary, sizes binary, bodies binary")
 
 
+def _blocks(ends: list[int]) -> Iterator[tuple[int, int]]:
+    """Runs of documents of about BLOCK_BYTES, so that arrays stay in the processor's cache."""
+    first, base = 0, 0
+    for i, end in enumerate(ends):
+        if end - base >= BLOCK_BYTES or i == len(ends) - 1:
+            yield first, i + 1
+            first, base = i + 1, end
+
+
 class Capsule:
     """A capsule's documents, the runs of their windows and the distinct minimizers."""
 
@@ -132,16 +161,23 @@ class Capsule:
         ends = np.cumsum(np.frombuffer(zstandard.decompress(row["sizes"]), "<i8")).tolist()
         whole = zstandard.decompress(row["bodies"])
         self.bodies = [whole[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-        runs = [window_runs(b) for b in self.bodies]
-        self.low = np.concatenate([r[0] for r in runs])
-        self.start = np.concatenate([r[1] for r in runs])
-        self.end = np.concatenate([r[2] for r in runs])
-        self.doc = np.repeat(np.arange(len(runs)), [len(r[0]) for r in runs])
+        runs = [self._runs(whole, ends, a, b) for a, b in _blocks(ends)]
+        self.low, self.start, self.end, self.doc = (np.concatenate(x) for x in zip(*runs, strict=True))
         self.seeds, self.which = np.unique(self.low, return_inverse=True)
         self.bucket = (self.seeds % np.uint64(buckets)).astype("i8")
         self.order = np.argsort(self.bucket, kind="stable")
         self.buckets = buckets
 
+    @staticmethod
+    def _runs(whole: bytes, ends: list[int], a: int, b: int) -> tuple[np.ndarray, ...]:
+        """Runs of documents a to b (past the last), with starts and ends inside each document."""
+        base = ends[a - 1] if a else 0
+        local = [e - base for e in ends[a:b]]
+        low, start, end = window_runs(whole[base : ends[b - 1]], local)
+        doc = np.searchsorted(local, start, side="right")
+        shift = np.array([0, *local[:-1]])[doc] if len(doc) else doc
+        return low, start - shift, end - shift, doc + a
+
     def parts(self) -> Iterator[tuple[int, np.ndarray]]:
         """Each bucket with the numbers of the capsule's minimizers that are in it."""
         cuts = np.flatnonzero(np.diff(self.bucket[self.order])) + 1
@@ -259,35 +295,34 @@ def send_strings(asked: DataFrame, buckets: int) -> DataFrame:
     return asked.mapInPandas(send, "bucket int, capsule string, n int, strings binary")
 
 
-def smallest_owners(strings: list[bytes], owners: list[int]) -> list[np.ndarray]:
+def smallest_owners(strings: list[bytes], owners: list[int]) -> list[list[int]]:
     """For each string, per window, the smallest owner among the windows equal to it.
 
     One suffix array over all the strings brings equal windows side by side.
     """
     text = _PART.join(strings)
-    first = np.cumsum([0, *[len(s) + 1 for s in strings[:-1]]]).tolist()
-    place = [-1] * len(text)
-    for k, (s, at) in enumerate(zip(strings, first, strict=True)):
-        place[at : at + len(s) - LENGTH + 1] = [k] * (len(s) - LENGTH + 1)
-    best = [np.full(len(s) - LENGTH + 1, o, "i8") for s, o in zip(strings, owners, strict=True)]
+    place: list[int] = []
+    first, best = [], []
+    for k, s in enumerate(strings):
+        n = len(s) - LENGTH + 1
+        first.append(len(place))
+        place += [k] * n + [-1] * LENGTH
+        best.append([owners[k]] * n)
     run: list[int] = []
     before = None
-
-    def settle() -> None:
-        if len(run) > 1:
-            low = min(owners[place[i]] for i in run)
-            for i in run:
-                best[place[i]][i - first[place[i]]] = low
-
-    for i in suffix_array(text):
-        if place[i] < 0:
+    for i in [*suffix_array(text), -1]:
+        k = place[i] if i >= 0 else -1
+        if k < 0 and i >= 0:
             continue
-        window = text[i : i + LENGTH]
-        if window != before:
-            settle()
-            run, before = [], window
-        run.append(i)
-    settle()
+        window = text[i : i + LENGTH] if i >= 0 else None
+        if window == before:
+            run.append(i)
+            continue
+        if len(run) > 1:
+            low = min(owners[place[r]] for r in run)
+            for r in run:
+                best[place[r]][r - first[place[r]]] = low
+        run, before = [i], window
     return best
 
 

@@ -39,9 +39,35 @@ def suffix_array(text: bytes) -> list[int]:
 
     now = len(members) - 1
     while now >= 0:
-        held = [i for i in members[now] if group[i] == now]
+        if size[now] == 1:  # most groups: one member, which may lengthen one other start
+            held = members[now]
+            if len(held) > 1:
+                members[now] = held = [i for i in held if group[i] == now]
+            finished.append(now)
+            i = held[0]
+            left[i] = j = i - 1
+            while left[j] != j:
+                left[j] = j = left[left[j]]
+            smaller[i] = j
+            if j:
+                old = group[j]
+                if size[old] > 1:
+                    size[old] -= 1
+                    made = len(members)
+                    group[j] = made
+                    members.append([j])
+                    size.append(1)
+                    above = upper[old]
+                    upper.append(above)
+                    lower.append(old)
+                    lower[above] = made
+                    upper[old] = made
+            now = lower[now]
+            continue
+        held = members[now]
+        if len(held) > size[now]:
+            members[now] = held = [i for i in held if group[i] == now]
         finished.append(now)
-        members[now] = held
         for i in held:
             left[i] = i - 1
         reached: dict[int, int] = {}
@@ -52,39 +78,29 @@ def suffix_array(text: bytes) -> list[int]:
             smaller[i] = j
             if j:
                 reached[j] = reached.get(j, 0) + 1
-        if len(reached) == 1:
-            (j,) = reached
-            old = group[j]
-            if size[old] > 1:
-                size[old] -= 1
-                made = len(members)
+        moves: dict[tuple[int, int], list[int]] = {}
+        for j, k in reached.items():
+            if size[group[j]] > 1:
+                at = -k, group[j]
+                if at in moves:
+                    moves[at].append(j)
+                else:
+                    moves[at] = [j]
+        for at in sorted(moves) if len(moves) > 1 else moves:
+            moved, old = moves[at], at[1]
+            if len(moved) == size[old]:
+                continue
+            size[old] -= len(moved)
+            made = len(members)
+            for j in moved:
                 group[j] = made
-                members.append([j])
-                size.append(1)
-                above = upper[old]
-                upper.append(above)
-                lower.append(old)
-                lower[above] = made
-                upper[old] = made
-        elif reached:
-            moves: dict[tuple[int, int], list[int]] = {}
-            for j, k in reached.items():
-                moves.setdefault((-k, group[j]), []).append(j)
-            for _, old in sorted(moves):
-                moved = moves[_, old]
-                if len(moved) == size[old]:
-                    continue
-                size[old] -= len(moved)
-                made = len(members)
-                for j in moved:
-                    group[j] = made
-                members.append(moved)
-                size.append(len(moved))
-                above = upper[old]
-                upper.append(above)
-                lower.append(old)
-                lower[above] = made
-                upper[old] = made
+            members.append(moved)
+            size.append(len(moved))
+            above = upper[old]
+            upper.append(above)
+            lower.append(old)
+            lower[above] = made
+            upper[old] = made
         now = lower[now]
 
     place = [0] * len(members)

@@ -71,12 +71,23 @@ def test_suffix_array_against_sorting():
 
 def test_equal_windows_have_equal_minimizers():
     body = prose(3, 400).encode()
-    low, start, end = op.window_runs(body)
-    of = {}
-    for v, a, b in zip(low.tolist(), start.tolist(), end.tolist(), strict=True):
-        assert 0 < b - a <= op.SPREAD
-        of.update({w: v for w in range(a, b)})
-    assert sorted(of) == list(range(len(body) - 49))
-    other, s2, e2 = op.window_runs(b"zz" + body[100:300])
-    again = {w: v for v, a, b in zip(other.tolist(), s2.tolist(), e2.tolist(), strict=True) for w in range(a, b)}
-    assert all(again[w + 2] == of[100 + w] for w in range(151))
+
+    def by_window(*docs):
+        ends = [sum(map(len, docs[: k + 1])) for k in range(len(docs))]
+        out = {}
+        for v, a, b in zip(*(x.tolist() for x in op.window_runs(b"".join(docs), ends)), strict=True):
+            assert 0 < b - a <= op.SPREAD
+            out.update({w: v for w in range(a, b)})
+        return out
+
+    alone = by_window(body)
+    assert sorted(alone) == list(range(len(body) - 49))
+    cut = by_window(b"zz" + body[100:300])
+    assert all(cut[w + 2] == alone[100 + w] for w in range(151))
+    # Documents end to end: the windows of each, none across an end.
+    parts = [b"short", body[:90], b"", body[:90], b"y" * 49, body[200:260], b"x" * 120]
+    joined, at, want = by_window(*parts), 0, {}
+    for p in parts:
+        want.update({at + w: v for w, v in by_window(p).items()})
+        at += len(p)
+    assert joined == want
