@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from latticework.llm.bpe import bpe_decode, bpe_encode
-from latticework.llm.common import apply_verdicts, materialize, table
+from latticework.llm.common import apply_verdicts, materialize, small_batches, table
 from latticework.llm.decontaminate import leaks
 from latticework.llm.exact_dedup import exact_dedup
 from latticework.llm.lang_id import UNDETERMINED, fit_documents, identify
@@ -25,6 +25,7 @@ MIN_SCORE = 0.1
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; text without letters or language goes."""
+    small_batches(spark)
     told = identify(docs, fit_documents(docs))
     return told.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
 
@@ -37,6 +38,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: that with the smallest doc_id."""
+    small_batches(spark)
     linked = near_duplicates(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
     return apply_verdicts(docs, linked.select("doc_id", "text_key", F.lit(False).alias("keep")))
 
@@ -49,6 +51,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, token ids, their number, and the digest of the text decoded from them."""
+    small_batches(spark)
     path = public_tokenizers.path(RANKS)
     tokens = bpe_decode(bpe_encode(docs, path, public_tokenizers.PATTERN), path)
     return tokens.select(

@@ -43,7 +43,20 @@ def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
 
 
+#: Rows and bytes of one Arrow batch for whole texts, where the session has Spark's defaults.
+BATCH_ROWS, BATCH_BYTES = 1000, "16m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds: Spark's default of 10,000 rows a batch is for short rows."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

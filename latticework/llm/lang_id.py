@@ -31,7 +31,7 @@ MIN_PART = 0.2
 #: Languages fit the bits of a slot.
 MAX_LANGUAGES = 63
 #: Characters worked on at once.
-BLOCK_CHARS = 1_000_000
+BLOCK_CHARS = 250_000
 UNDETERMINED = "und"
 
 _SPACE = 32
