@@ -994,16 +994,19 @@ def equation_of_state(spark, sf):
 
 
 @query("""
-    WITH b AS (SELECT o_custkey AS cust, sum(o_totalprice) / sum(o_orderkey % 7 + 1) AS e FROM orders GROUP BY 1)
-    SELECT o_orderkey AS config_id, round((o_totalprice - (o_orderkey % 7 + 1) * e) / 12.5 / 2, 4) AS surface_energy,
-           round(o_totalprice - e * (o_orderkey % 7 + 1), 4) AS vacancy_energy
-    FROM orders JOIN b ON cust = o_custkey
+    WITH o AS (SELECT o_orderkey, o_custkey, o_totalprice * 1.0123456789 AS energy, o_orderkey % 7 + 1 AS size FROM orders),
+    b AS (SELECT o_custkey AS cust, sum(energy) / sum(size) AS e FROM o GROUP BY 1)
+    SELECT o_orderkey AS config_id, round((energy - size * e) / 12.5 / 2, 4) AS surface_energy,
+           round(energy - e * size, 4) AS vacancy_energy
+    FROM o JOIN b ON cust = o_custkey
 """)
 def structure_energies(spark, sf):
-    c = standin.configs(spark, sf).select("config_id", "cust", "energy", (F.col("config_id") % 7 + 1).alias("size"), F.lit(12.5).alias("area"))
+    c = standin.configs(spark, sf).select(
+        "config_id", "cust", (F.col("energy") * 1.0123456789).alias("energy"), (F.col("config_id") % 7 + 1).alias("size"), F.lit(12.5).alias("area")
+    )
     bulk = c.groupBy("cust").agg(F.sum("energy").alias("energy"), F.sum("size").alias("size"))
     both = score.vacancy_energy(score.surface_energy(c, bulk, "cust"), bulk, "cust")
-    return both.select("config_id", *[F.round(c, 4).alias(c) for c in ("surface_energy", "vacancy_energy")])
+    return both.select("config_id", *[F.round(x, 4).alias(x) for x in ("surface_energy", "vacancy_energy")])
 
 
 @query(f"""
