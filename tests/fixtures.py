@@ -7,6 +7,7 @@ CUBE = [[30.0, 0.0, 0.0], [0.0, 30.0, 0.0], [0.0, 0.0, 30.0]]
 
 
 def make(spark, name, species, positions, cell=None, periodic=False, energy=0.0):
+    cell = cell and [[float(x) for x in row] for row in cell]
     configs = spark.createDataFrame([(name, cell, [periodic] * 3, energy)], CONFIG)
     rows = [(name, i, z, *map(float, p)) for i, (z, p) in enumerate(zip(species, positions, strict=True))]
     return configs, spark.createDataFrame(rows, ATOM)
