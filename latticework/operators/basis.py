@@ -187,6 +187,25 @@ class Basis:
             out += [x.offset + k for k in range(x.size) if k < self.lead[2] or k >= x.size - self.trail[2]]
         return out
 
+    def beyond(self, pairs: dict[tuple[int, int], int], trios: dict[tuple[int, int, int], tuple[int, int, int]] | None = None) -> list[int]:
+        """Features that a smaller cut-off leaves out, for so many knot intervals per pair or trio leg.
+
+        With trailing trims of three, the features kept are those that the
+        smaller basis would give, so nothing is computed anew.
+        """
+        out = []
+        for x in self.of_degree(2):
+            kept = pairs.get(x.species, x.size - DEGREE) + DEGREE - self.trail[2]
+            out += [x.offset + k for k in range(min(kept, x.size), x.size)]
+        for x in self.of_degree(3):
+            if not trios or x.species not in trios:
+                continue
+            kept = [n + DEGREE - self.trail[3] for n in trios[x.species]]
+            for k, cell in enumerate(np.argwhere(x.weights > 0).tolist()):
+                if any(c >= m for c, m in zip(cell, kept, strict=True)):
+                    out.append(x.offset + k)
+        return out
+
     # --- dimension tables ---------------------------------------------------
 
     def interactions_table(self, spark: SparkSession) -> DataFrame:

@@ -213,3 +213,34 @@ def cross_validate(fold_gram: DataFrame, fold_ordinate: DataFrame, grid: DataFra
     g = g.join(small.withColumnRenamed("feature_idx", "j"), ["model", "j"])
     o = training(fold_ordinate, ["i"]).join(small.withColumnRenamed("feature_idx", "i"), "i")
     return solve(g, o, by=("model", "fold"))
+
+
+def by_interaction(models: DataFrame, interactions: DataFrame) -> DataFrame:
+    """Flat coefficients (..., feature_idx, coefficient) with their interaction and place in it."""
+    small = F.broadcast(interactions.select("interaction_id", "feat_offset", "feat_size"))
+    inside = (F.col("feature_idx") >= F.col("feat_offset")) & (F.col("feature_idx") < F.col("feat_offset") + F.col("feat_size"))
+    return models.join(small, inside).withColumn("basis_idx", F.col("feature_idx") - F.col("feat_offset")).drop("feat_offset", "feat_size")
+
+
+def fit_curves(samples: DataFrame, knots: np.ndarray, ridge: float = 1e-12) -> DataFrame:
+    """Least-squares cubic splines of sampled curves (curve, x, y) -> (curve, basis_idx, coefficient).
+
+    Samples outside the knots are left out; basis functions without a sample
+    get zero by the ridge.
+    """
+    from .basis import spline_pieces
+
+    spark = samples.sparkSession
+    pieces = [(i, lo, hi, *c) for i, _, lo, hi, *c in spline_pieces(knots)]
+    table = F.broadcast(spark.createDataFrame(pieces, "basis_idx int, t_lo double, t_hi double, c0 double, c1 double, c2 double, c3 double"))
+    d = F.col("x") - F.col("t_lo")
+    value = F.col("c0") + d * (F.col("c1") + d * (F.col("c2") + d * F.col("c3")))
+    keyed = samples.withColumn("row", F.xxhash64("curve", "x", "y"))
+    met = keyed.join(table, (F.col("x") > F.col("t_lo")) & (F.col("x") <= F.col("t_hi"))).select("curve", "row", "y", "basis_idx", value.alias("v"))
+    other = met.select("curve", "row", F.col("basis_idx").alias("j"), F.col("v").alias("w"))
+    g = met.withColumnRenamed("basis_idx", "i").join(other, ["curve", "row"]).where("i <= j").groupBy("curve", "i", "j").agg(F.sum(F.col("v") * F.col("w")).alias("value"))
+    n = len(knots) - 4
+    diagonal = samples.select("curve").distinct().crossJoin(F.broadcast(spark.createDataFrame([(k, k, ridge) for k in range(n)], "i int, j int, value double")))
+    o = met.groupBy("curve", F.col("basis_idx").alias("i")).agg(F.sum(F.col("v") * F.col("y")).alias("value"))
+    solved = solve(g.unionByName(diagonal), o, by=("curve",))
+    return solved.select("curve", F.col("feature_idx").alias("basis_idx"), "coefficient")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -52,6 +54,8 @@ def farthest_points(
 
 def _by_rounds(rows: DataFrame, group: str, key: str, values: list[str], max_samples: int, min_diff: float) -> DataFrame:
     spark = rows.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="latticework-"))
     first = rows.orderBy(values[0], key).first()
     chosen = [first]
     near = rows.withColumn("_gap", F.lit(float("inf")))

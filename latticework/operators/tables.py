@@ -156,3 +156,74 @@ def alias_species(rows: DataFrame, aliases: dict[str, str], column: str = "type"
 def cutoff_grid(values: DataFrame, trios: DataFrame) -> DataFrame:
     """Pair and trio cut-offs (rmax_2b, rmax_3b) that fit: the pair's reaches twice the trio's."""
     return values.crossJoin(F.broadcast(trios)).where(F.col("rmax_2b") >= 2 * F.col("rmax_3b"))
+
+
+def from_lists(spark, frames: Sequence[dict], prefix: str, energies: Sequence[float] | None = None, forces: Sequence | None = None) -> tuple[DataFrame, DataFrame]:
+    """In-memory configurations -> (configs, atoms); explicit energies and forces win over attached ones.
+
+    A frame has symbols, positions and, if known, cell, pbc, energy, forces.
+    """
+    from latticework.functions.chem import atomic_number
+
+    def number(x) -> float | None:
+        return None if x is None else float(x)
+
+    configs, atoms = [], []
+    for i, f in enumerate(frames):
+        energy = energies[i] if energies is not None and energies[i] is not None else f.get("energy")
+        pulls = forces[i] if forces is not None and forces[i] is not None else f.get("forces")
+        cell = f.get("cell")
+        cell = cell and [[float(x) for x in row] for row in cell]
+        configs.append((f"{prefix}_{i}", prefix, i, number(energy), len(f["symbols"]), cell, list(f.get("pbc") or [bool(cell)] * 3)))
+        for k, (s, p) in enumerate(zip(f["symbols"], f["positions"], strict=True)):
+            pull = pulls[k] if pulls is not None else (None, None, None)
+            atoms.append((f"{prefix}_{i}", k, s, *map(float, p), *map(number, pull)))
+    c = spark.createDataFrame(configs, "config_id string, prefix string, seq long, energy double, size int, cell array<array<double>>, pbc array<boolean>")
+    a = spark.createDataFrame(atoms, "config_id string, atom_idx int, symbol string, px double, py double, pz double, fx double, fy double, fz double")
+    return c, a.withColumn("z", atomic_number(F.col("symbol")))
+
+
+def harvest(configs: DataFrame, attached: DataFrame) -> DataFrame:
+    """Energies of an attached calculation (config_id, energy), else those the table holds; sizes stay."""
+    found = attached.select("config_id", F.col("energy").alias("_energy"))
+    return configs.join(found, "config_id", "left").withColumn("energy", F.coalesce("_energy", "energy")).drop("_energy")
+
+
+def holdout_fraction(rows: DataFrame, fraction: float, key: str = "config_id", seed: int = 0) -> DataFrame:
+    """Adds ``held``: true for about this share of the rows, chosen by a hash of the key."""
+    place = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) / 1_000_000
+    return rows.withColumn("held", place < fraction)
+
+
+def in_order(features: DataFrame, configs: DataFrame) -> DataFrame:
+    """Feature rows in the order of their configurations, energy before forces, atoms in order."""
+    rank = F.element_at(F.create_map(*[F.lit(x) for i, c in enumerate(("energy", "fx", "fy", "fz")) for x in (c, i)]), F.col("component"))
+    return features.join(configs.select("config_id", "seq"), "config_id").orderBy("seq", rank, "atom_idx").drop("seq")
+
+
+def ingest(configs: DataFrame, pressures: DataFrame | None = None, max_samples: int | float = 0, min_diff: float = 0.0) -> DataFrame:
+    """Many files' configurations: empty ones out, each file sub-sampled by energy per atom, pressure corrected.
+
+    Sub-sampling takes both limits; a fraction below one counts the rows of its
+    own file.  ``configs`` needs prefix, config_id, energy, size (and directory,
+    volume for pressures).
+    """
+    from .sampling import farthest_points
+
+    rows = configs.where(F.col("size") > 0)
+    if max_samples > 0 and min_diff > 0:
+        told = energy_per_atom(rows).where("energy_per_atom is not null").select("prefix", "config_id", "energy_per_atom")
+        limit = int(max_samples) if max_samples >= 1 else 0
+        picked = farthest_points(told, "prefix", "config_id", ["energy_per_atom"], limit, min_diff)
+        if max_samples < 1:
+            sizes = told.groupBy("prefix").agg(F.ceil(F.count(F.lit(1)) * max_samples).alias("_limit"))
+            picked = picked.join(sizes, "prefix").where(F.col("picked") < F.col("_limit"))
+        rows = rows.join(picked.select("prefix", "config_id"), ["prefix", "config_id"], "left_semi")
+    return rows if pressures is None else pressure_corrected(rows, pressures, "directory")
+
+
+def best_rows(scores: DataFrame, group: Sequence[str], score: str) -> DataFrame:
+    """The row of least score in each group, all groups in order of their score."""
+    others = [c for c in scores.columns if c not in group]
+    best = scores.groupBy(*group).agg(F.min_by(F.struct(*others), F.struct(score, *[c for c in others if c != score])).alias("_r"))
+    return best.select(*group, "_r.*").orderBy(score, *group)
