@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from latticework.llm.bpe import bpe_decode, bpe_encode
+from latticework.llm.bpe import bpe_round_trip
 from latticework.llm.common import apply_verdicts, materialize, small_batches, table
 from latticework.llm.decontaminate import leaks
 from latticework.llm.exact_dedup import exact_dedup
@@ -50,13 +50,9 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, token ids, their number, and the digest of the text decoded from them."""
+    """doc_id, token ids, their number, and digests of the ids and of the text decoded from them."""
     small_batches(spark)
-    path = public_tokenizers.path(RANKS)
-    tokens = bpe_decode(bpe_encode(docs, path, public_tokenizers.PATTERN), path)
-    return tokens.select(
-        "doc_id", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+    return bpe_round_trip(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, keep_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -14,7 +14,7 @@ import base64
 import hashlib
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,7 +31,7 @@ from .common import shuffle_width
 CAPSULE_CHARS = 6_000_000
 CAPSULE_WORDS = 400_000
 #: Documents assembled into one pandas batch.
-OUT_TOKENS = 1_000_000
+OUT_TOKENS = 500_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -156,12 +156,27 @@ def encode_words(dealt: DataFrame, ranks, pattern: str) -> DataFrame:
     return spread.mapInPandas(encode, "capsule string, bucket int, codes binary")
 
 
-def assemble(joined: DataFrame, buckets: int, id_type: str) -> DataFrame:
-    """Capsules with their words' codes -> (id, token_ids) per document."""
+def assemble(
+    joined: DataFrame,
+    buckets: int,
+    id_type: str,
+    finish: Callable[[list[np.ndarray]], pd.DataFrame],
+    schema: str,
+) -> DataFrame:
+    """Capsules with their words' codes -> (id, finished columns) per document.
+
+    ``finish`` turns the token ids of some documents into result columns in the
+    worker that put them together, so ids need not travel to a second one.
+    """
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def close(ids: list, tokens: list[np.ndarray]) -> pd.DataFrame:
+            out = finish(tokens)
+            out.insert(0, "id", ids)
+            return out
+
         for batch in batches:
-            for _, row in batch.iterrows():
+            for row in batch.to_dict("records"):
                 words = _unpack_words(row["words"])
                 bucket, order = _bucket_order(words, buckets)
                 here = np.unique(bucket[order], return_counts=True)
@@ -191,15 +206,19 @@ def assemble(joined: DataFrame, buckets: int, id_type: str) -> DataFrame:
                     ids.append(doc)
                     held += total
                     if held >= OUT_TOKENS:
-                        yield pd.DataFrame({"id": ids, "token_ids": tokens})
+                        yield close(ids, tokens)
                         ids, tokens, held = [], [], 0
                 if ids:
-                    yield pd.DataFrame({"id": ids, "token_ids": tokens})
+                    yield close(ids, tokens)
 
-    out = joined.mapInPandas(build, "id string, token_ids array<int>")
+    out = joined.mapInPandas(build, "id string, " + schema)
     return out.withColumn("id", F.col("id").cast(id_type))
 
 
+def _finish_ids(tokens: list[np.ndarray]) -> pd.DataFrame:
+    return pd.DataFrame({"token_ids": tokens})
+
+
 def bpe_encode(
     docs: DataFrame,
     ranks_path: str,
@@ -208,9 +227,13 @@ def bpe_encode(
     text_col: str = "text",
     *,
     buckets: int | None = None,
+    finish: Callable[[list[np.ndarray]], pd.DataFrame] = _finish_ids,
+    schema: str = "token_ids array<int>",
 ) -> DataFrame:
     """Token ids of every whole text: (id_col, token_ids array<int>), a row per row.
 
+    ``finish`` and ``schema`` may replace token_ids by columns made from them.
+
     A null text counts as empty and gives no ids; null and repeated identifiers
     pass through, a row each.  Special tokens are never made.  Other columns
     are ignored.
@@ -229,7 +252,7 @@ def bpe_encode(
         .agg(F.collect_list(F.struct("bucket", "codes")).alias("codes"))
     )
     joined = capsules.join(codes, "capsule", "left").withColumn("codes", F.coalesce("codes", F.array()))
-    return assemble(joined, buckets, id_type).withColumnRenamed("id", id_col)
+    return assemble(joined, buckets, id_type, finish, schema).withColumnRenamed("id", id_col)
 
 
 def bpe_decode(tokens: DataFrame, ranks_path: str, token_col: str = "token_ids") -> DataFrame:
@@ -246,19 +269,25 @@ def bpe_decode(tokens: DataFrame, ranks_path: str, token_col: str = "token_ids")
     return tokens.withColumn("decoded", F.pandas_udf(decode, "binary")(token_col))
 
 
-def bpe_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, and SHA-256 of the decimal ids and of the decoded bytes."""
-    tokens = bpe_encode(docs, ranks_path, pattern)
+def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, *, keep_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, and SHA-256 of the decimal ids and of the bytes decoded from them.
+
+    Encodes, then decodes by the broadcast token-byte table in the same worker;
+    ``keep_ids`` adds token_ids.
+    """
     table = docs.sparkSession.sparkContext.broadcast({r: t for t, r in load_ranks(ranks_path).items()})
 
-    def digest(col: pd.Series) -> pd.DataFrame:
+    def digest(tokens: list[np.ndarray]) -> pd.DataFrame:
         get, name = table.value.__getitem__, {i: str(i) for i in table.value}.__getitem__
         rows = []
-        for ids in col:
-            ids = ids.tolist()
+        for found in tokens:
+            ids = found.tolist()
             joined, body = ",".join(map(name, ids)).encode(), b"".join(map(get, ids))
             rows.append((len(ids), hashlib.sha256(joined).hexdigest(), hashlib.sha256(body).hexdigest()))
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        if keep_ids:
+            out["token_ids"] = tokens
+        return out
 
-    told = F.pandas_udf(digest, "n_tokens long, ids_sha256 string, decoded_sha256 string")
-    return tokens.select("doc_id", told("token_ids").alias("d")).select("doc_id", "d.*")
+    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * keep_ids
+    return bpe_encode(docs, ranks_path, pattern, finish=digest, schema=schema)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,17 +28,6 @@ def spanning_edges(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
     return nodes, [find(x) for x in nodes]
 
 
-def contract(edges: DataFrame) -> DataFrame:
-    """Replaces each partition's edges by a spanning forest; drops no link."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            a, b = spanning_edges(batch["a"].tolist(), batch["b"].tolist())
-            yield pd.DataFrame({"a": a, "b": b}, dtype="i8")
-
-    return edges.mapInPandas(run, "a long, b long")
-
-
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     return tuple(row)

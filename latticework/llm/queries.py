@@ -50,10 +50,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .bpe import bpe_digests
+    from .bpe import bpe_round_trip
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe_digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return bpe_round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, text_key
-from .components import connected_components, contract, spanning_edges
+from .components import connected_components, spanning_edges
 
 WORDS = 4
 RADIUS = 4
@@ -161,7 +161,7 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) ->
 
     order = ["mask_no", "key", "cell"]
     grouped = _cells(keyed, block).repartition(*order).sortWithinPartitions(*order)
-    return contract(grouped.mapInPandas(links, "a long, b long"))
+    return grouped.mapInPandas(links, "a long, b long")
 
 
 def near_duplicates(

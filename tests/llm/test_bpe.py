@@ -35,7 +35,7 @@ def test_decoding_gives_the_bytes_back(spark):
 
 
 def test_digests(spark):
-    got = bpe.bpe_digests(docs(spark, [(1, "the thing"), (2, None)]), PATH, public_tokenizers.PATTERN).collect()
+    got = bpe.bpe_round_trip(docs(spark, [(1, "the thing"), (2, None)]), PATH, public_tokenizers.PATTERN).collect()
     for r in got:
         text = "the thing" if r.doc_id == 1 else ""
         ids = whole(text)
@@ -45,4 +45,4 @@ def test_digests(spark):
 
 
 def test_empty_table(spark):
-    assert bpe.bpe_digests(docs(spark, []), PATH, public_tokenizers.PATTERN).count() == 0
+    assert bpe.bpe_round_trip(docs(spark, []), PATH, public_tokenizers.PATTERN).count() == 0
