@@ -295,6 +295,49 @@ def send_strings(asked: DataFrame, buckets: int) -> DataFrame:
     return asked.mapInPandas(send, "bucket int, capsule string, n int, strings binary")
 
 
+def may_share(strings: list[bytes], groups: list[list[int]]) -> list[list[int]]:
+    """Of each group the strings that can share a window with another of it.
+
+    A window holds LENGTH - SEED bytes besides its minimizer, so at least half
+    of them on one side.  Strings with equal windows therefore agree on the
+    minimizer with that half to its left, or with that half to its right; a
+    string alone with both shares nothing.  Where the minimizer occurs twice in
+    a string its place is not certain, and the whole group stays.
+    """
+    half = (LENGTH - SEED) // 2
+    members = [i for g in groups for i in g]
+    sizes = np.fromiter((len(strings[i]) for i in members), "i8", len(members))
+    starts = np.cumsum(sizes) - sizes
+    hashes = _seed_hashes(b"".join([strings[i] for i in members]))
+    count = sizes - SEED + 1
+    first = np.cumsum(count) - count
+    flat = np.arange(count.sum()) - np.repeat(first, count)
+    values = hashes[np.repeat(starts, count) + flat]
+    least = values == np.repeat(np.minimum.reduceat(values, first), count)
+    certain = (np.add.reduceat(least.astype("i8"), first) == 1).tolist()
+    place = np.minimum.reduceat(np.where(least, flat, LENGTH * 4), first).tolist()
+    out, at = [], 0
+    for g in groups:
+        seen: dict[tuple[int, bytes], int] = {}
+        keys: list[tuple | None] = []
+        for i in g:
+            s, p = strings[i], place[at]
+            mine = None
+            if certain[at]:
+                mine = tuple(
+                    k
+                    for k in ((0, s[p - half : p + SEED]) if p >= half else None, (1, s[p : p + SEED + half]) if p + SEED + half <= len(s) else None)
+                    if k
+                )
+                for k in mine:
+                    seen[k] = seen.get(k, 0) + 1
+            keys.append(mine)
+            at += 1
+        unsure = None in keys
+        out.append([i for i, mine in zip(g, keys, strict=True) if unsure or any(seen[k] > 1 for k in mine)])
+    return out
+
+
 def smallest_owners(strings: list[bytes], owners: list[int]) -> list[list[int]]:
     """For each string, per window, the smallest owner among the windows equal to it.
 
@@ -356,7 +399,8 @@ def answer_windows(sent: DataFrame) -> DataFrame:
         windows = np.fromiter((len(s) - LENGTH + 1 for s in strings), "i8", len(strings))
         first = np.cumsum(windows) - windows
         low = np.repeat(np.array(owner, "i8"), windows)
-        for members in by_key.values():
+        shared = [g for g in by_key.values() if len(g) > 1]
+        for members in may_share(strings, shared) if shared else ():
             if len(members) > 1:
                 found = smallest_owners([strings[i] for i in members], [owner[i] for i in members])
                 for i, best in zip(members, found, strict=True):

@@ -48,6 +48,25 @@ def test_matches_brute_force(spark, monkeypatch, hot):
     assert sorted(got, key=str) == brute(rows)
 
 
+def test_pruning_keeps_every_string_that_shares_a_window():
+    r = random.Random(8)
+    for _ in range(60):
+        base = "".join(r.choice("abcd ") for _ in range(r.choice([60, 90]))).encode()
+        if r.random() < 0.3:
+            base = (base[: r.choice([3, 7, 26])] * 40)[:90]
+        texts = [base, base[5:80] + b"zzzz" * 10, b"yyyy" * 12 + base[20:], bytes(reversed(base)), base[:40] + b"w" * 50]
+        groups = {}
+        for t in texts:
+            for v, a, b in zip(*(x.tolist() for x in op.window_runs(t, [len(t)])), strict=True):
+                groups.setdefault(v, set()).add(t[a : b + 49])
+        for g in map(sorted, groups.values()):
+            (kept,) = op.may_share(g, [list(range(len(g)))])
+            windows = [{s[w : w + 50] for w in range(len(s) - 49)} for s in g]
+            for i, mine in enumerate(windows):
+                if any(mine & other for j, other in enumerate(windows) if j != i):
+                    assert i in kept
+
+
 def test_spans_are_byte_offsets(spark):
     a = prose(1, 30)
     got = {r.doc_id: r for r in op.repeated_spans(docs(spark, [(1, a), (2, "é" + a)])).collect()}
