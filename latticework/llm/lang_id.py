@@ -205,10 +205,14 @@ def predict(texts: list[str | None], model: BitSlicedFilter | None) -> tuple[lis
 
 def identify(docs: DataFrame, model: BitSlicedFilter | None, text_col: str = "text") -> DataFrame:
     """Adds lang_pred and score, made from the whole text alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** SLOTS_LOG2 words
+    parts = model and (model.slots, model.languages)
+    shared = docs.sparkSession.sparkContext.broadcast(parts)  # 2 ** SLOTS_LOG2 words
+    made: list[BitSlicedFilter] = []
 
     def told(col: pd.Series) -> pd.DataFrame:
-        labels, scores = predict([None if t is None else t for t in col], shared.value)
+        if shared.value and not made:
+            made.append(BitSlicedFilter(*shared.value))
+        labels, scores = predict(col.tolist(), made[0] if made else None)
         return pd.DataFrame({"lang_pred": labels, "score": scores})
 
     struct = F.pandas_udf(told, "lang_pred string, score double")(text_col)
