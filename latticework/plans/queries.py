@@ -1045,7 +1045,7 @@ def fps_vectors(spark, sf):
     WITH {ATOMS_SQL}, f AS (
         SELECT config_id, CAST(atom_idx AS INTEGER) AS atom_idx, unnest([0, 1, 2]) AS axis, unnest([fx, fy, fz]) AS f FROM atoms
     )
-    SELECT config_id, atom_idx, axis, -sign(f) * 0.01 + 0.0 AS shift, round(o_totalprice - f * (-sign(f) * 0.01), 4) AS energy
+    SELECT config_id, atom_idx, axis, -sign(f) * 0.01e0 + 0.0e0 AS shift, round(o_totalprice - f * (-sign(f) * 0.01e0), 4) AS energy
     FROM f JOIN orders ON config_id = o_orderkey
 """)
 def force_displacements(spark, sf):

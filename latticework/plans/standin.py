@@ -78,8 +78,13 @@ PAIRS_SQL = (
 
 
 def values_sql(name: str, columns: str, rows: list[tuple]) -> str:
-    """A common table of literal rows."""
-    body = ", ".join("(" + ", ".join(repr(x) for x in r) + ")" for r in rows)
+    """A common table of literal rows; floats with an exponent, so that they are doubles, not decimals."""
+
+    def literal(x) -> str:
+        text = repr(x)
+        return text + "e0" if isinstance(x, float) and "e" not in text else text
+
+    body = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows)
     return f"{name}({columns}) AS (SELECT * FROM (VALUES {body}))"
 
 
