@@ -46,11 +46,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before = _state(now)
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # Written out, so that the join shuffles by itself and Spark can split a star's centre.
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = materialize(low, "low")
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        large = large.distinct()
+        large = materialize(large.distinct(), "large")
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
+        least = materialize(down.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         small = small.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         now = materialize(small, "edges")
