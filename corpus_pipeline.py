@@ -16,7 +16,7 @@ from latticework.llm.common import apply_verdicts, materialize, small_batches, t
 from latticework.llm.decontaminate import leaks
 from latticework.llm.exact_dedup import exact_dedup
 from latticework.llm.lang_id import UNDETERMINED, fit_documents, identify
-from latticework.llm.simhash import near_duplicates
+from latticework.llm.shingle_sets import near_duplicates
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Documents of which a smaller share of trigrams speaks for any language are no prose.
@@ -37,7 +37,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that with the smallest doc_id."""
+    """One document of each group linked by 5-word shingle similarity of 0.8 or more: that with the smallest doc_id."""
     small_batches(spark)
     linked = near_duplicates(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
     return apply_verdicts(docs, linked.select("doc_id", "text_key", F.lit(False).alias("keep")))

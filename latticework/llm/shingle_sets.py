@@ -1,0 +1,205 @@
+"""Near-duplicates by the exact Jaccard similarity of word-shingle sets.
+
+Candidates meet in MinHash bands: at similarity s two sets share none of BANDS
+bands of ROWS minima with probability (1 - s^ROWS)^BANDS, 7 in 100,000 at 0.8.
+No link rests on a band: each is verified on the sets.  First every set is held
+against the smallest of its bucket; what that connects is one part.  Buckets
+with several parts are then compared in full between parts, large ones in
+cells of block pairs, so a dense group costs a row per member and no pair of a
+bucket is left out.
+"""
+
+from __future__ import annotations
+
+import random
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialize, text_key
+from .components import connected_components
+from .simhash import shingles
+
+WORDS = 5
+SIMILARITY = 0.8
+BANDS = 24
+ROWS = 5
+#: Sets of a bucket in one block; parts of more sets have blocks of their own.
+BLOCK = 256
+#: A hot set is copied to so many join keys.
+SALTS = 64
+
+_draw = random.Random(42)
+_XOR = np.array([_draw.getrandbits(64) for _ in range(BANDS * ROWS)], "u8")
+_ODD = np.array([_draw.getrandbits(64) | 1 for _ in range(BANDS * ROWS)], "u8")
+_MIX = np.array([_draw.getrandbits(64) | 1 for _ in range(ROWS)], "u8")
+
+
+def shingle_set(body: bytes) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    return np.unique(shingles(body, WORDS))
+
+
+def bands(found: np.ndarray) -> np.ndarray:
+    """A key per band; none for an empty set."""
+    if not len(found):
+        return np.zeros(0, "i8")
+    low = np.full(len(_XOR), np.iinfo("u8").max, "u8")
+    for at in range(0, len(found), 4096):
+        part = found[at : at + 4096]
+        mixed = (part[None, :] ^ _XOR[:, None]) * _ODD[:, None]
+        low = np.minimum(low, (mixed ^ (mixed >> np.uint64(32))).min(axis=1))
+    key = ((low.reshape(BANDS, ROWS) ^ (low.reshape(BANDS, ROWS) >> np.uint64(29))) * _MIX).sum(axis=1, dtype="u8")
+    return ((key ^ (key >> np.uint64(31))) * _ODD[:BANDS]).view("i8")
+
+
+def similar(one: np.ndarray, sets: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
+    """Which of ``sets`` have this Jaccard similarity to ``one``."""
+    size = np.fromiter(map(len, sets), "i8", len(sets))
+    may = np.flatnonzero(np.minimum(size, len(one)) >= similarity * np.maximum(size, len(one)))
+    out = np.zeros(len(sets), bool)
+    if len(may):
+        if not len(one):
+            out[may] = True
+            return out
+        values = np.concatenate([sets[k] for k in may])
+        place = np.minimum(np.searchsorted(one, values), len(one) - 1)
+        both = np.bincount(np.repeat(np.arange(len(may)), size[may])[one[place] == values], minlength=len(may))
+        out[may] = both >= similarity * (size[may] + len(one) - both)
+    return out
+
+
+def part_links(parts: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs of places that connect all parts between which any two sets are similar."""
+    label = np.unique(np.array(parts), return_inverse=True)[1]
+    count = np.bincount(label)
+    links = []
+    largest = count.argmax()
+    for at in np.argsort(count[label], kind="stable").tolist():
+        if label[at] == largest:  # all others were held against it
+            continue
+        rest = np.flatnonzero(label != label[at])
+        near = rest[similar(sets[at], [sets[k] for k in rest])]
+        for other in np.unique(label[near]).tolist():
+            links.append((at, int(near[label[near] == other][0])))
+            mine = label[at]
+            if other == largest:
+                label[label == mine] = largest
+            else:
+                label[label == other] = mine
+    return links
+
+
+def _read(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, "<u8")
+
+
+def _star_edges(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Verified edges (a, b) between each set and the smallest of its buckets."""
+    heads = materialize(members.groupBy("bucket").agg(F.min("node").alias("head")), "heads")
+    pairs = members.join(heads, "bucket").where("node <> head").select("node", "head").distinct()
+    pairs = materialize(pairs.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS))), "stars")
+    head = pairs.select("head", "salt").distinct().join(sets.select(F.col("node").alias("head"), F.col("blob").alias("other")), "head")
+    both = pairs.join(head, ["head", "salt"]).join(sets, "node").select("node", "head", "blob", "other")
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            good = [bool(similar(_read(x), [_read(y)])[0]) for x, y in zip(batch["blob"], batch["other"], strict=True)]
+            yield batch.loc[good, ["node", "head"]].rename(columns={"node": "a", "head": "b"})
+
+    return both.mapInPandas(verify, "a long, b long")
+
+
+def _cells(members: DataFrame) -> DataFrame:
+    """(cell, node, part): block pairs in which sets of different parts of a bucket meet."""
+    parts = members.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
+    own = F.col("n") > BLOCK
+    mixed = parts.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("parts"), F.coalesce(F.sum(F.when(~own, F.col("n"))), F.lit(0)).alias("small")
+    ).where("parts > 1")
+    shape = materialize(parts.join(mixed, "bucket").select("bucket", "part", "n", "small"), "mixed")
+    placed = members.join(shape, ["bucket", "part"]).select(
+        "bucket", "node", "part", F.when(own, F.col("part")).alias("own"),
+        F.when(own, F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)))
+        .otherwise(F.pmod(F.xxhash64("part"), F.ceil(F.col("small") / BLOCK))).alias("block"),
+    )
+    placed = materialize(placed.withColumn("block", F.xxhash64(F.coalesce(F.col("own").cast("string"), F.lit("")), "block")), "placed")
+    a = placed.select("bucket", "own", "block").distinct()
+    b = a.select("bucket", F.col("own").alias("own2"), F.col("block").alias("block2"))
+    met = a.join(b, "bucket").where("block <= block2 and (own is null or own2 is null or own <> own2)")
+    cell = F.xxhash64("bucket", "block", "block2").alias("cell")
+    sides = met.select("bucket", "block", cell).unionByName(met.select("bucket", F.col("block2").alias("block"), cell)).distinct()
+    found = placed.join(sides, ["bucket", "block"]).select("cell", "node", "part")
+    # Buckets of the same sets are compared once.
+    same = found.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"))
+    once = same.groupBy("n", "s").agg(F.min("cell").alias("cell")).select("cell")
+    return materialize(found.join(once, "cell"), "cells")
+
+
+def _part_edges(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Verified edges (a, b) that connect the parts of a bucket."""
+
+    def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+
+        def within(rows: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            for _, cell in rows.groupby("cell", sort=False):
+                nodes = cell["node"].tolist()
+                out += [(nodes[i], nodes[j]) for i, j in part_links(cell["part"].tolist(), [_read(z) for z in cell["blob"]])]
+            return pd.DataFrame(out, columns=["a", "b"], dtype="i8")
+
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            last = (rows["cell"] == rows["cell"].iloc[-1]).to_numpy() if len(rows) else np.zeros(0, bool)
+            yield within(rows[~last])
+            held = rows[last]
+        if held is not None and len(held):
+            yield within(held)
+
+    cells = _cells(members).join(sets, "node").select("cell", "node", "part", "blob")
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInPandas(links, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, component_id (smallest identifier among linked rows), text_key.
+
+    Rows are linked where their sets of lower-cased WORDS-word shingles have a
+    Jaccard similarity of SIMILARITY or more; a shorter text is one shingle.
+    Texts without words have equal, empty sets.  Null identifiers link others
+    but never name a component.
+    """
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingle_set(t.encode()) for t in batch["body"]]
+            blobs = [s.tobytes() for s in sets]
+            node = np.fromiter(map(xxhash.xxh64_intdigest, blobs), "u8", len(blobs)).view("i8")
+            yield pd.DataFrame(
+                {"id": batch["id"], "text_key": batch["text_key"], "node": node, "bands": [bands(s) for s in sets], "blob": blobs}
+            )
+
+    body = F.coalesce(F.col(text_col), F.lit("")).alias("body")
+    source = docs.select(F.col(id_col).cast("string").alias("id"), text_key(text_col).alias("text_key"), body)
+    prints = materialize(
+        source.mapInPandas(made, "id string, text_key long, node long, bands array<long>, blob binary"), "shingles"
+    )
+    met = prints.select("node", F.posexplode("bands").alias("band", "value"))
+    met = met.select("node", F.xxhash64("band", "value").alias("bucket")).distinct()
+    shared = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    members = materialize(met.join(shared, "bucket"), "members")
+    needed = members.select("node").distinct()
+    sets = prints.select("node", "blob").join(needed, "node", "left_semi").groupBy("node").agg(F.first("blob").alias("blob"))
+    sets = materialize(sets, "sets")
+    stars = materialize(_star_edges(members, sets), "star-edges")
+    parts = connected_components(stars).select("node", F.col("component").alias("part"))
+    labelled = materialize(members.join(parts, "node", "left").select("bucket", "node", F.coalesce("part", "node").alias("part")), "labelled")
+    whole = connected_components(stars.unionByName(_part_edges(labelled, sets)))
+    ids = prints.select(F.col("id").cast("long").alias("id"), "text_key", "node").join(whole, "node", "left")
+    ids = materialize(ids.select("id", "text_key", F.coalesce("component", "node").alias("component")), "linked")
+    named = ids.groupBy("component").agg(F.min("id").alias("component_id"))
+    return ids.join(named, "component").select(F.col("id").alias(id_col), "component_id", "text_key")

@@ -39,11 +39,11 @@ def covering_masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
     ]
 
 
-def fingerprint(body: bytes, words: int = WORDS) -> int:
-    """SimHash of a text's word shingles, repeats included; 0 without words."""
+def shingles(body: bytes, words: int = WORDS) -> np.ndarray:
+    """A hash per word shingle, repeats included; a shorter text is one shingle."""
     found = body.lower().split()  # bytes: A-Z only, and the six ASCII white-space bytes
     if not found:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(found)
     sizes = np.fromiter(map(len, found), "i8", len(found))
     ends = np.cumsum(sizes + 1) - 1
@@ -51,9 +51,17 @@ def fingerprint(body: bytes, words: int = WORDS) -> int:
     n = max(1, len(found) - words + 1)
     stops = ends[min(words, len(found)) - 1 :]
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter(
+    return np.fromiter(
         (digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), stops.tolist(), strict=True)), "<u8", n
     )
+
+
+def fingerprint(body: bytes, words: int = WORDS) -> int:
+    """SimHash of a text's word shingles, repeats included; 0 without words."""
+    h = shingles(body, words)
+    n = len(h)
+    if not n:
+        return 0
     ones = np.zeros(BITS, "i8")
     for at in range(0, n, 1 << 14):
         ones += np.unpackbits(h[at : at + (1 << 14)].view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(
