@@ -193,15 +193,17 @@ def error_metrics(told: DataFrame, by: tuple[str, ...] = ("kind",)) -> DataFrame
     )
 
 
-def cross_validate(fold_gram: DataFrame, fold_ordinate: DataFrame, grid: DataFrame) -> DataFrame:
+def cross_validate(fold_gram: DataFrame, fold_ordinate: DataFrame, grid: DataFrame, penalty: DataFrame | None = None) -> DataFrame:
     """(model, fold, feature_idx, coefficient): a fit per grid point with each fold held out.
 
     Grams (fold, i, j, value) are made once; the training Gram of a fold is the
     total less its own.  ``grid`` is (model, feature_idx): the features a grid
-    point keeps, so a smaller cut-off costs no new features.
+    point keeps, so a smaller cut-off costs no new features.  ``penalty``
+    (i, j, value) is added once to the training Gram of every fold.
     """
 
     def training(sums: DataFrame, keys: list[str]) -> DataFrame:
+        sums = sums.groupBy("fold", *keys).agg(F.sum("value").alias("value"))
         total = sums.groupBy(*keys).agg(F.sum("value").alias("all"))
         every = sums.select("fold").distinct()
         own = sums.select("fold", *keys, F.col("value").alias("own"))
@@ -209,7 +211,11 @@ def cross_validate(fold_gram: DataFrame, fold_ordinate: DataFrame, grid: DataFra
         return held.select("fold", *keys, (F.col("all") - F.coalesce("own", F.lit(0.0))).alias("value"))
 
     small = F.broadcast(grid)
-    g = training(fold_gram, ["i", "j"]).join(small.withColumnRenamed("feature_idx", "i"), "i")
+    g = training(fold_gram, ["i", "j"])
+    if penalty is not None:
+        every = F.broadcast(fold_gram.select("fold").distinct())
+        g = g.unionByName(penalty.select("i", "j", "value").crossJoin(every))
+    g = g.join(small.withColumnRenamed("feature_idx", "i"), "i")
     g = g.join(small.withColumnRenamed("feature_idx", "j"), ["model", "j"])
     o = training(fold_ordinate, ["i"]).join(small.withColumnRenamed("feature_idx", "i"), "i")
     return solve(g, o, by=("model", "fold"))

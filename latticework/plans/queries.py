@@ -899,10 +899,9 @@ def cv_search(spark, sf):
     xf, yf = x.join(folds, "config_id"), y.join(folds, "config_id")
     penalty = fit.penalty_gram(BASIS.penalties_table(spark, {"ridge_1b": 1e-6, "ridge_2b": 1e-6}))
     g = fit.gram(xf, by=("fold",)).select("fold", "i", "j", "value")
-    g = g.unionByName(penalty.crossJoin(F.broadcast(g.select("fold").distinct())).select("fold", "i", "j", "value"))
     o = fit.ordinate(xf, yf, by=("fold",)).select("fold", "i", "value")
     rows = [(m, f) for m, kept in enumerate((6, 9, 12)) for i in BASIS.interactions for f in range(i.offset, i.offset + min(i.size, kept))]
-    models = fit.cross_validate(g, o, spark.createDataFrame(rows, "model int, feature_idx int"))
+    models = fit.cross_validate(g, o, spark.createDataFrame(rows, "model int, feature_idx int"), penalty)
     small = F.broadcast(models.select("model", F.col("fold").alias("held"), "feature_idx", "coefficient"))
     told = xf.join(small, "feature_idx").where("fold = held").groupBy("model", "held", "config_id").agg(
         F.sum(F.col("value") * F.col("coefficient")).alias("predicted")

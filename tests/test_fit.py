@@ -140,3 +140,23 @@ def test_repulsion_follows_the_parabola(spark):
     got = [r.coefficient for r in repair.repulsion(models, centres, segments).orderBy("basis_idx").collect()]
     # At 3: value 0.5, slope -1, curvature -1 raised to 2.
     assert got == [0.5 + 2 + 4, 0.5 + 1 + 1, 2.0, 3.0, 4.0]
+
+
+def test_cross_validation_with_a_penalty_equals_dense_ridge(spark):
+    from pyspark.sql import functions as F
+
+    feats, y, x, _ = problem(spark, n=30)
+    e = F.col("component") == "energy"
+    feats, y = feats.where(e).withColumn("fold", F.col("config_id") % 3), y.where(e)
+    g = fit.gram(feats, by=("fold",)).select("fold", "i", "j", "value")
+    o = fit.ordinate(feats, y, by=("fold",)).select("fold", "i", "value")
+    grid = spark.createDataFrame([(0, k) for k in range(5)], "model int, feature_idx int")
+    penalty = spark.createDataFrame([(k, k, 2.0 + k) for k in range(5)], "i int, j int, value double")
+    ys = np.array([a.y for a in y.orderBy("config_id").collect()])
+    twice = g.unionByName(g.withColumn("value", F.lit(0.0)))
+    for sums in (g, twice):
+        got = {(a.fold, a.feature_idx): a.coefficient for a in fit.cross_validate(sums, o, grid, penalty).collect()}
+        for fold in range(3):
+            rest = np.arange(30) % 3 != fold
+            want = np.linalg.solve(x[rest].T @ x[rest] + np.diag(2.0 + np.arange(5)), x[rest].T @ ys[rest])
+            assert np.allclose([got[fold, k] for k in range(5)], want)
