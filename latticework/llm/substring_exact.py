@@ -8,13 +8,19 @@ Consecutive windows with one minimizer travel as one string.  Three passes:
    capsules of a few megabytes, and each capsule sends its distinct minimizers
    once, five bytes each, to buckets that answer with a bit for each.
 2. The strings of repeated minimizers go to buckets, once per capsule with the
-   smallest identifier.  Strings with one minimizer form a text whose suffix
-   array (Lyndon-prefix groups) brings equal windows together; each window gets
-   the smallest identifier that holds it, and the capsule a bit per window.
-3. Each capsule covers and removes the bytes of its marked windows.
-
-A minimizer in very many capsules is hot: its windows are dealt one by one by
-their own content, where equality alone decides, so no bucket fills with it.
+   smallest identifier and all their places.  Equal strings are one.  Different
+   strings with one minimizer, cut to what another of them can share, form a
+   text whose suffix array (Lyndon-prefix groups) brings equal windows together;
+   each window gets the smallest identifier that holds it, and the capsule a
+   bit per window.
+3. The places come back with the bits; each capsule covers and removes the bytes
+   of its marked windows.
+
+Where whole strings are equal no suffix array is needed; of the synthetic
+tables' removed bytes the arrays decide about an eighth.  A minimizer in very
+many capsules, or with very many different strings, is hot: its windows are
+dealt one by one by their own content, where equality alone decides, so no
+bucket and no suffix array fills with it.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shuffle_width
-from .suffix_groups import suffix_array
+from .suffix_groups import _spread, suffix_array, suffix_arrays
 
 #: Bytes of a repeated string, and of the strings that choose its bucket.
 LENGTH = 50
@@ -40,8 +46,16 @@ SPREAD = LENGTH - SEED + 1
 CAPSULE_BYTES = 4_000_000
 #: Documents are hashed together in blocks of about this many bytes.
 BLOCK_BYTES = 1 << 15
-#: A minimizer in more capsules than this is dealt window by window.
-HOT_CAPSULES = 2_000
+#: A minimizer in more capsules, or with more different strings, is dealt window by window.
+HOT_CAPSULES, HOT_RUNS = 2_000, 20_000
+#: Up to so many runs of a minimizer in a capsule count as so many different strings.
+FREQUENT = 8
+#: Bytes of input for each bucket.
+BUCKET_BYTES = 16_000_000
+#: Bytes beside a minimizer at which strings are compared before they are sorted.
+STEPS = (3, 6, 9, 13, 17, 21, 26)
+#: Texts of a group up to ALONE_BYTES are sorted TOGETHER_BYTES at a time.
+ALONE_BYTES, TOGETHER_BYTES = 3_000, 1_000_000
 #: Stands for a null identifier: after all others.
 LAST = np.iinfo("i8").max
 
@@ -71,16 +85,18 @@ def _seed_hashes(body: bytes) -> np.ndarray:
     return h
 
 
-def window_runs(text: bytes, ends: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(minimizer, first window, past the last) of each run, SPREAD windows at most.
+def window_runs(text: bytes, ends: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(minimizer, first window, past the last, sign) of each run, SPREAD windows at most.
+
+    The sign hashes the first and the last SEED bytes of the run's string.
 
     ``text`` holds documents end to end, ``ends`` their ends; windows that
     would cross an end are left out, and no run does.
     """
     if len(text) < LENGTH:
         none = np.zeros(0, "i8")
-        return none.view("u8"), none, none
-    low = _seed_hashes(text)
+        return none.view("u8"), none, none, none.view("u8")
+    hashes = low = _seed_hashes(text)
     width = 1
     while width * 2 <= SPREAD:
         low = np.minimum(low[:-width], low[width:])
@@ -109,7 +125,7 @@ def window_runs(text: bytes, ends: list[int]) -> tuple[np.ndarray, np.ndarray, n
         last = np.repeat(end, pieces)
         start = np.repeat(start, pieces) + nth * SPREAD
         end = np.minimum(start + SPREAD, last)
-    return low[start], start, end
+    return low[start], start, end, hashes[start] * _A + hashes[end + (LENGTH - 1 - SEED)] * _B
 
 
 def pack_capsules(docs: DataFrame) -> DataFrame:
@@ -154,83 +170,87 @@ def _blocks(ends: list[int]) -> Iterator[tuple[int, int]]:
 
 
 class Capsule:
-    """A capsule's documents, the runs of their windows and the distinct minimizers."""
+    """A capsule's documents, end to end; identifiers and ends by document."""
 
-    def __init__(self, row: dict, buckets: int) -> None:
+    def __init__(self, row: dict) -> None:
         self.ids = np.frombuffer(zstandard.decompress(row["ids"]), "<i8")
-        ends = np.cumsum(np.frombuffer(zstandard.decompress(row["sizes"]), "<i8")).tolist()
-        whole = zstandard.decompress(row["bodies"])
-        self.bodies = [whole[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-        runs = [self._runs(whole, ends, a, b) for a, b in _blocks(ends)]
-        self.low, self.start, self.end, self.doc = (np.concatenate(x) for x in zip(*runs, strict=True))
+        self.ends = np.cumsum(np.frombuffer(zstandard.decompress(row["sizes"]), "<i8"))
+        self.text = zstandard.decompress(row["bodies"])
+
+
+class Runs:
+    """The runs of a capsule's windows and their distinct minimizers."""
+
+    def __init__(self, capsule: Capsule, buckets: int) -> None:
+        self.capsule, self.buckets = capsule, buckets
+        ends = capsule.ends.tolist()
+        runs = [self._block(capsule.text, ends, a, b) for a, b in _blocks(ends)]
+        self.low, self.start, self.end, self.sign = (np.concatenate(x) for x in zip(*runs, strict=True))
         self.seeds, self.which = np.unique(self.low, return_inverse=True)
-        self.bucket = (self.seeds % np.uint64(buckets)).astype("i8")
-        self.order = np.argsort(self.bucket, kind="stable")
-        self.buckets = buckets
+        bucket = (self.seeds % np.uint64(buckets)).astype("i8")
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+        #: Each bucket with the numbers of the capsule's minimizers that are in it.
+        self.parts = [(int(bucket[at[0]]), at) for at in np.split(order, cuts) if len(at)]
 
     @staticmethod
-    def _runs(whole: bytes, ends: list[int], a: int, b: int) -> tuple[np.ndarray, ...]:
-        """Runs of documents a to b (past the last), with starts and ends inside each document."""
+    def _block(text: bytes, ends: list[int], a: int, b: int) -> tuple[np.ndarray, ...]:
+        """Runs of documents a to b (past the last), with starts and ends inside the capsule."""
         base = ends[a - 1] if a else 0
-        local = [e - base for e in ends[a:b]]
-        low, start, end = window_runs(whole[base : ends[b - 1]], local)
-        doc = np.searchsorted(local, start, side="right")
-        shift = np.array([0, *local[:-1]])[doc] if len(doc) else doc
-        return low, start - shift, end - shift, doc + a
-
-    def parts(self) -> Iterator[tuple[int, np.ndarray]]:
-        """Each bucket with the numbers of the capsule's minimizers that are in it."""
-        cuts = np.flatnonzero(np.diff(self.bucket[self.order])) + 1
-        for at in np.split(self.order, cuts):
-            if len(at):
-                yield int(self.bucket[at[0]]), at
+        low, start, end, sign = window_runs(text[base : ends[b - 1]], [e - base for e in ends[a:b]])
+        return low, start + base, end + base, sign
+
+    def owner(self, places: np.ndarray) -> np.ndarray:
+        """The document that holds each place of the capsule."""
+        return np.searchsorted(self.capsule.ends, places, side="right")
 
     def in_several(self) -> np.ndarray:
         """Whether two documents of this capsule share each minimizer."""
+        doc = self.owner(self.start)
         first, last = np.full(len(self.seeds), LAST), np.full(len(self.seeds), -1)
-        np.minimum.at(first, self.which, self.doc)
-        np.maximum.at(last, self.which, self.doc)
+        np.minimum.at(first, self.which, doc)
+        np.maximum.at(last, self.which, doc)
         return first != last
 
+    def frequent(self) -> tuple[np.ndarray, np.ndarray]:
+        """Minimizers of over FREQUENT runs, with how many different runs each has."""
+        many = np.bincount(self.which, minlength=len(self.seeds)) > FREQUENT
+        at = np.flatnonzero(many[self.which])
+        number = np.cumsum(many) - 1
+        pairs = np.unique(np.stack([number[self.which[at]].astype("u8"), self.sign[at]], axis=1), axis=0)
+        return np.flatnonzero(many), np.bincount(pairs[:, 0].astype("i8"), minlength=int(many.sum()))
+
     def marks(self, answers: list) -> tuple[np.ndarray, np.ndarray]:
         """The buckets' answers of pass 1, by minimizer: repeated, hot."""
         given = {x["bucket"]: x["bits"] for x in answers}
         repeated, hot = np.zeros(len(self.seeds), bool), np.zeros(len(self.seeds), bool)
-        for bucket, at in self.parts():
+        for bucket, at in self.parts:
             bits = np.unpackbits(np.frombuffer(given[bucket], "u1"), count=2 * len(at)).astype(bool)
             repeated[at], hot[at] = bits[: len(at)], bits[len(at) :]
         return repeated, hot
 
-    def strings(self, answers: list) -> tuple[dict[bytes, int], list, list, list, list]:
-        """Distinct strings of repeated minimizers, with what places them.
-
-        Returns their numbers, key and smallest identifier by number, and the
-        occurrences as (document, first window, number) columns.
-        """
+    def strings(self, answers: list) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct strings of repeated minimizers, a key of each, and the occurrences (place, string number)."""
         repeated, hot = self.marks(answers)
         at = np.flatnonzero(repeated[self.which])
-        number: dict[bytes, int] = {}
-        key: list[int] = []
-        owner: list[int] = []
-        found: list[tuple[int, int, int]] = []
-        ids = self.ids.tolist()
-        rows = zip(
-            self.doc[at].tolist(), self.start[at].tolist(), self.end[at].tolist(), self.low[at].tolist(),
-            hot[self.which[at]].tolist(), strict=True,
-        )
-        for doc, a, b, low, is_hot in rows:
-            body = self.bodies[doc]
-            pieces = [(a, body[a : b + LENGTH - 1])] if not is_hot else [(w, body[w : w + LENGTH]) for w in range(a, b)]
-            for w, s in pieces:
-                i = number.get(s)
-                if i is None:
-                    i = number[s] = len(key)
-                    key.append(zlib.crc32(s) if is_hot else low)
-                    owner.append(ids[doc])
-                elif ids[doc] < owner[i]:
-                    owner[i] = ids[doc]
-                found.append((doc, w, i))
-        return number, key, owner, found, [k % self.buckets for k in key]
+        start, size, low, single = self.start[at], (self.end - self.start)[at], self.low[at], hot[self.which[at]]
+        if single.any():  # window by window
+            n = np.where(single, size, 1)
+            nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            start, low, single = np.repeat(start, n) + nth, np.repeat(low, n), np.repeat(single, n)
+            size = np.where(single, 1, np.repeat(size, n))
+        text, number = self.capsule.text, {}
+        ask = number.setdefault
+        which = np.array(
+            [ask(text[a:b], len(number)) for a, b in zip(start.tolist(), (start + size + LENGTH - 1).tolist(), strict=True)], "i8"
+        )
+        strings = list(number)
+        first = np.empty(len(strings), "i8")
+        first[which[::-1]] = np.arange(len(which))[::-1]
+        key = low[first] if len(first) else np.zeros(0, "u8")
+        for i in np.flatnonzero(single[first]).tolist() if len(first) else ():
+            key[i] = zlib.crc32(strings[i])
+        return strings, key, start, which
 
 
 def _rows(batch: pd.DataFrame) -> Iterator[dict]:
@@ -241,12 +261,17 @@ def send_minimizers(capsules: DataFrame, buckets: int) -> DataFrame:
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in _rows(batch):
-                c = Capsule(row, buckets)
-                several, code = c.in_several(), c.seeds // np.uint64(buckets)
+                runs = Runs(Capsule(row), buckets)
+                several, code = runs.in_several(), runs.seeds // np.uint64(buckets)
+                frequent, different = runs.frequent()
+                number = np.zeros(len(runs.seeds), "<u4")
+                number[frequent] = np.minimum(different, 1 << 31)
                 out = []
-                for bucket, at in c.parts():
+                for bucket, at in runs.parts:
                     short = code[at].astype("<u4").tobytes() + (code[at] >> _S32).astype("u1").tobytes()
-                    out.append((bucket, row["capsule"], len(at), short + np.packbits(several[at]).tobytes()))
+                    many = np.flatnonzero(number[at])
+                    tail = many.astype("<u4").tobytes() + number[at[many]].tobytes()
+                    out.append((bucket, row["capsule"], len(at), short + np.packbits(several[at]).tobytes() + tail))
                 yield pd.DataFrame(out, columns=["bucket", "capsule", "n", "codes"])
 
     return capsules.mapInPandas(send, "bucket int, capsule string, n int, codes binary")
@@ -256,15 +281,19 @@ def answer_repeated(sent: DataFrame) -> DataFrame:
     """Per bucket and capsule: a bit for each minimizer in several documents, and for hot ones."""
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:
-        codes, several = [], []
+        codes, several, runs = [], [], []
         for n, raw in zip(group["n"], group["codes"], strict=True):
             high = np.frombuffer(raw, "u1", n, 4 * n).astype("u8")
             codes.append(np.frombuffer(raw, "<u4", n) | (high << _S32))
-            several.append(np.unpackbits(np.frombuffer(raw, "u1", -1, 5 * n), count=n))
+            several.append(np.unpackbits(np.frombuffer(raw, "u1", -(-n // 8), 5 * n), count=n))
+            tail = np.frombuffer(raw, "<u4", -1, 5 * n + -(-n // 8)).reshape(2, -1)
+            runs.append(np.full(n, FREQUENT, "i8"))
+            runs[-1][tail[0]] = tail[1]
         _, at, count = np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
         marked = count > 1
         np.logical_or.at(marked, at, np.concatenate(several).astype(bool))
-        repeated, hot = marked[at], (count > HOT_CAPSULES)[at]
+        repeated = marked[at]
+        hot = ((count > HOT_CAPSULES) | (np.bincount(at, np.concatenate(runs)) > HOT_RUNS))[at]
         bits, done = [], 0
         for n in group["n"]:
             bits.append(np.packbits(np.r_[repeated[done : done + n], hot[done : done + n]]).tobytes())
@@ -274,174 +303,227 @@ def answer_repeated(sent: DataFrame) -> DataFrame:
     return sent.groupBy("bucket").applyInPandas(answer, "capsule string, bucket int, bits binary")
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Small numbers below 2^32 as byte planes, which compress well."""
+    return numbers.astype("<u4").view("u1").reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(raw: bytes, n: int, at: int) -> np.ndarray:
+    return np.frombuffer(raw, "u1", 4 * n, at).reshape(4, n).T.copy().view("<u4")[:, 0]
+
+
 def send_strings(asked: DataFrame, buckets: int) -> DataFrame:
+    """To each bucket its strings, and their places, which come back with its answer."""
+
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in _rows(batch):
-                number, key, owner, _, bucket = Capsule(row, buckets).strings(row["repeats"])
-                strings = list(number)
-                by_bucket: dict[int, list[int]] = {}
-                for i, b in enumerate(bucket):
-                    by_bucket.setdefault(b, []).append(i)
+                capsule = Capsule(row)
+                runs = Runs(capsule, buckets)
+                strings, key, start, which = runs.strings(row["repeats"])
+                ids = capsule.ids[runs.owner(start)]
+                owner = np.full(len(strings), LAST)
+                np.minimum.at(owner, which, ids)
+                size = np.fromiter(map(len, strings), "u1", len(strings))
+                short = (key // np.uint64(buckets)).astype("<u4")
+                bucket = (key % np.uint64(buckets)).astype("i8")
+                by_bucket = np.argsort(bucket, kind="stable")
+                rank = np.empty(len(strings), "i8")
+                rank[by_bucket] = np.arange(len(strings))
+                by_string = np.argsort(rank[which], kind="stable")
+                place = start[by_string]
+                times = np.bincount(rank[which], minlength=len(strings))
+                reach = np.r_[0, np.cumsum(times)]
+                edges = np.r_[np.flatnonzero(np.r_[True, np.diff(bucket[by_bucket]) > 0]), len(strings)] if len(strings) else [0]
                 out = []
-                for b, at in by_bucket.items():
-                    sizes = np.fromiter((len(strings[i]) for i in at), "u1", len(at)).tobytes()
-                    owners = np.fromiter((owner[i] for i in at), "<i8", len(at)).tobytes()
-                    keys = np.fromiter(((key[i] // buckets) & 0xFFFFFFFF for i in at), "<u4", len(at)).tobytes()
-                    blob = sizes + keys + owners + b"".join([strings[i] for i in at])
-                    out.append((b, row["capsule"], len(at), zstandard.compress(blob, 3)))
-                yield pd.DataFrame(out, columns=["bucket", "capsule", "n", "strings"])
+                for a, b in zip(edges[:-1], edges[1:], strict=True):
+                    at = by_bucket[a:b]
+                    blob = size[at].tobytes() + short[at].tobytes() + owner[at].tobytes() + b"".join([strings[i] for i in at.tolist()])
+                    steps = np.diff(place[reach[a] : reach[b]], prepend=0).astype("<i4").view("<u4")
+                    back = size[at].tobytes() + _planes(times[a:b]) + _planes(steps)
+                    out.append((int(bucket[at[0]]), row["capsule"], b - a, zstandard.compress(blob, 3), zstandard.compress(back, 3)))
+                yield pd.DataFrame(out, columns=["bucket", "capsule", "n", "strings", "places"])
 
-    return asked.mapInPandas(send, "bucket int, capsule string, n int, strings binary")
+    return asked.mapInPandas(send, "bucket int, capsule string, n int, strings binary, places binary")
 
 
-def may_share(strings: list[bytes], groups: list[list[int]]) -> list[list[int]]:
-    """Of each group the strings that can share a window with another of it.
+def _prefix_hash(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums and powers, from which the hash of any stretch follows."""
+    power = np.full(len(flat) + 1, _A)
+    power[0] = 1
+    power = np.multiply.accumulate(power)
+    return np.r_[np.uint64(0), np.cumsum((flat.astype("u8") + np.uint64(1)) * power[:-1] * _B, dtype="u8")], power
 
-    A window holds LENGTH - SEED bytes besides its minimizer, so at least half
-    of them on one side.  Strings with equal windows therefore agree on the
-    minimizer with that half to its left, or with that half to its right; a
-    string alone with both shares nothing.  Where the minimizer occurs twice in
-    a string its place is not certain, and the whole group stays.
+
+def shareable(flat: np.ndarray, start: np.ndarray, size: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The part (first byte, past the last) of each string that can hold a window of another string of its group.
+
+    Strings with an equal window agree on their minimizer and on all the window
+    holds to its left and right.  STEPS says how far that is tested: a side
+    that no other string shares up to some step cannot reach beyond it.  A part
+    too short for a window is empty.  Where the minimizer occurs twice in a
+    string its place is not certain, and the whole group stays.
     """
-    half = (LENGTH - SEED) // 2
-    members = [i for g in groups for i in g]
-    sizes = np.fromiter((len(strings[i]) for i in members), "i8", len(members))
-    starts = np.cumsum(sizes) - sizes
-    hashes = _seed_hashes(b"".join([strings[i] for i in members]))
-    count = sizes - SEED + 1
+    hashes = _seed_hashes(flat.tobytes())
+    count = size - SEED + 1
     first = np.cumsum(count) - count
-    flat = np.arange(count.sum()) - np.repeat(first, count)
-    values = hashes[np.repeat(starts, count) + flat]
+    nth = np.arange(count.sum()) - np.repeat(first, count)
+    values = hashes[np.repeat(start, count) + nth]
     least = values == np.repeat(np.minimum.reduceat(values, first), count)
-    certain = (np.add.reduceat(least.astype("i8"), first) == 1).tolist()
-    place = np.minimum.reduceat(np.where(least, flat, LENGTH * 4), first).tolist()
-    out, at = [], 0
-    for g in groups:
-        seen: dict[tuple[int, bytes], int] = {}
-        keys: list[tuple | None] = []
-        for i in g:
-            s, p = strings[i], place[at]
-            mine = None
-            if certain[at]:
-                mine = tuple(
-                    k
-                    for k in ((0, s[p - half : p + SEED]) if p >= half else None, (1, s[p : p + SEED + half]) if p + SEED + half <= len(s) else None)
-                    if k
-                )
-                for k in mine:
-                    seen[k] = seen.get(k, 0) + 1
-            keys.append(mine)
-            at += 1
-        unsure = None in keys
-        out.append([i for i, mine in zip(g, keys, strict=True) if unsure or any(seen[k] > 1 for k in mine)])
-    return out
-
-
-def smallest_owners(strings: list[bytes], owners: list[int]) -> list[list[int]]:
-    """For each string, per window, the smallest owner among the windows equal to it.
-
-    One suffix array over all the strings brings equal windows side by side.
+    unsure = np.bincount(group, np.add.reduceat(least.astype("i8"), first) > 1)[group] > 0
+    seed = np.minimum.reduceat(np.where(least, nth, LENGTH * 4), first)
+    sums, power = _prefix_hash(flat)
+    span = LENGTH - SEED
+    reach = []
+    for side in (0, 1):
+        room = seed if side == 0 else size - seed - SEED
+        far = np.minimum(room, span)
+        for step, beyond in zip(reversed(STEPS), reversed((*STEPS[1:], span + 1)), strict=True):
+            at = np.flatnonzero(room >= step)
+            a = start[at] + seed[at] - (step if side == 0 else 0)
+            b = start[at] + seed[at] + SEED + (step if side == 1 else 0)
+            value = (sums[b] - sums[a]) * power[len(flat) - a]  # shifted to a common power
+            value = (value ^ (value >> _S31)) * _C + group[at].astype("u8") * _A
+            _, where, times = np.unique(value, return_inverse=True, return_counts=True)
+            shared = np.zeros(len(start), bool)
+            shared[at] = times[where] > 1
+            if beyond > span:
+                known = shared
+            else:
+                far = np.where(known, far, np.minimum(far, beyond - 1))
+                known = known | shared
+        reach.append(np.where(known, far, np.minimum(far, STEPS[0] - 1)))
+    empty = (reach[0] + reach[1] < span) & ~unsure
+    a = np.where(unsure, 0, seed - reach[0])
+    b = np.where(unsure, size, seed + SEED + reach[1])
+    return np.where(empty, 0, a), np.where(empty, 0, b)
+
+
+def smallest_owners(strings: list[bytes], owners: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Per window of each string, the smallest owner among the equal windows of its group.
+
+    ``group`` ascends.  One suffix array over all strings of a group brings
+    equal windows side by side.
     """
-    text = _PART.join(strings)
-    place: list[int] = []
-    first, best = [], []
-    for k, s in enumerate(strings):
-        n = len(s) - LENGTH + 1
-        first.append(len(place))
-        place += [k] * n + [-1] * LENGTH
-        best.append([owners[k]] * n)
-    run: list[int] = []
-    before = None
-    for i in [*suffix_array(text), -1]:
-        k = place[i] if i >= 0 else -1
-        if k < 0 and i >= 0:
+    size = np.fromiter(map(len, strings), "i8", len(strings))
+    edge = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
+    texts = [_PART.join(strings[a:b]) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+    length = np.fromiter(map(len, texts), "i8", len(texts))
+    order = np.empty(length.sum(), "i8")
+    base = np.cumsum(length) - length
+    batch, held = [], 0
+    for t in np.argsort(length, kind="stable").tolist():  # texts of a like length side by side
+        if length[t] > ALONE_BYTES:
+            order[base[t] : base[t] + length[t]] = np.array(suffix_array(texts[t])) + base[t]
             continue
-        window = text[i : i + LENGTH] if i >= 0 else None
-        if window == before:
-            run.append(i)
-            continue
-        if len(run) > 1:
-            low = min(owners[place[r]] for r in run)
-            for r in run:
-                best[place[r]][r - first[place[r]]] = low
-        run, before = [i], window
+        batch.append(t)
+        held += length[t]
+        if held >= TOGETHER_BYTES:
+            _sort_batch(texts, batch, base, length, order)
+            batch, held = [], 0
+    _sort_batch(texts, batch, base, length, order)
+    # The string of each byte, where a window starts in it.
+    place = np.full(length.sum() + 1, -1)
+    number = np.arange(len(strings))
+    at = np.cumsum(size + 1) - (size + 1) - np.searchsorted(edge, number, "right") + 1  # no separator behind a group's last
+    windows = size - LENGTH + 1
+    first = np.cumsum(windows) - windows
+    place[_spread(at, windows)] = np.repeat(number, windows)
+    order = order[place[order] >= 0]
+    who = place[order]
+    flat = np.frombuffer(b"".join(texts), "u1")
+    view = np.lib.stride_tricks.sliding_window_view(flat, LENGTH)
+    same = np.zeros(len(order), bool)
+    for a in range(1, len(order), 1 << 16):
+        b = min(len(order), a + (1 << 16))
+        same[a:b] = (view[order[a:b]] == view[order[a - 1 : b - 1]]).all(axis=1)
+    same[1:] &= group[who[1:]] == group[who[:-1]]
+    run = np.flatnonzero(~same)
+    low = np.repeat(np.minimum.reduceat(owners[who], run), np.diff(np.r_[run, len(order)]))
+    best = np.empty(windows.sum(), "i8")
+    best[first[who] + order - at[who]] = low
     return best
 
 
+def _sort_batch(texts: list[bytes], batch: list[int], base: np.ndarray, length: np.ndarray, order: np.ndarray) -> None:
+    if batch:
+        order[_spread(base[batch], length[batch])] = suffix_arrays([texts[t] for t in batch]) + np.repeat(base[batch], length[batch])
+
+
 def answer_windows(sent: DataFrame) -> DataFrame:
     """Per bucket and capsule: a bit per window that an identifier below the sender's holds."""
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:
         number: dict[bytes, int] = {}
-        owner: list[int] = []
-        by_key: dict[int, list[int]] = {}
-        asked = []
+        ask = number.setdefault
+        asked, keys = [], []
         for n, blob in zip(group["n"], group["strings"], strict=True):
             raw = zstandard.decompress(blob)
-            sizes = np.frombuffer(raw, "u1", n)
-            keys = np.frombuffer(raw, "<u4", n, n).tolist()
+            end = 13 * n + np.cumsum(np.frombuffer(raw, "u1", n), dtype="i8")
             owners = np.frombuffer(raw, "<i8", n, 5 * n)
-            ends = (np.cumsum(sizes.astype("i8")) + 13 * n).tolist()
-            mine = []
-            for a, b, k, o in zip([13 * n, *ends], ends, keys, owners.tolist(), strict=False):
-                s = raw[a:b]
-                i = number.get(s)
-                if i is None:
-                    i = number[s] = len(owner)
-                    owner.append(o)
-                    by_key.setdefault(k, []).append(i)
-                elif o < owner[i]:
-                    owner[i] = o
-                mine.append(i)
-            asked.append((np.array(mine, "i8"), owners))
+            cuts = [13 * n, *end.tolist()]
+            mine = np.array([ask(raw[a:b], len(number)) for a, b in zip(cuts, cuts[1:], strict=False)], "i8")
+            keys.append(np.frombuffer(raw, "<u4", n, n))
+            asked.append((mine, owners))
         strings = list(number)
-        windows = np.fromiter((len(s) - LENGTH + 1 for s in strings), "i8", len(strings))
+        every = np.concatenate([mine for mine, _ in asked])
+        key, owner = np.empty(len(strings), "<u4"), np.full(len(strings), LAST)
+        key[every] = np.concatenate(keys)
+        np.minimum.at(owner, every, np.concatenate([owners for _, owners in asked]))
+        size = np.fromiter(map(len, strings), "i8", len(strings))
+        windows = size - LENGTH + 1
         first = np.cumsum(windows) - windows
-        low = np.repeat(np.array(owner, "i8"), windows)
-        shared = [g for g in by_key.values() if len(g) > 1]
-        for members in may_share(strings, shared) if shared else ():
-            if len(members) > 1:
-                found = smallest_owners([strings[i] for i in members], [owner[i] for i in members])
-                for i, best in zip(members, found, strict=True):
-                    low[first[i] : first[i] + windows[i]] = best
+        low = np.repeat(owner, windows)
+        same = np.argsort(key, kind="stable")
+        name = np.cumsum(np.r_[0, key[same][1:] != key[same][:-1]])
+        several = np.bincount(name)[name] > 1
+        members, name = same[several], name[several]
+        if len(members):
+            parts = [strings[i] for i in members.tolist()]
+            n = size[members]
+            a, b = shareable(np.frombuffer(b"".join(parts), "u1"), np.cumsum(n) - n, n, name)
+            kept = np.flatnonzero(b > a)
+            if len(kept):
+                a, b, members = a[kept], b[kept], members[kept]
+                parts = [parts[i][x:y] for i, x, y in zip(kept.tolist(), a.tolist(), b.tolist(), strict=True)]
+                best = smallest_owners(parts, owner[members], name[kept])
+                at = _spread(first[members] + a, b - a - LENGTH + 1)
+                low[at] = best
         bits = []
         for mine, owners in asked:
             n = windows[mine]
-            at = np.repeat(first[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            bits.append(np.packbits(low[at] < np.repeat(owners, n)).tobytes())
-        return pd.DataFrame({"capsule": group["capsule"], "bucket": group["bucket"], "bits": bits})
-
-    return sent.groupBy("bucket").applyInPandas(answer, "capsule string, bucket int, bits binary")
-
-
-def removal(capsule: Capsule, repeats: list, windows: list) -> Iterator[tuple[int, np.ndarray]]:
-    """(document, covered bytes as booleans) of each document with a marked window."""
-    number, _, owner, found, bucket = capsule.strings(repeats)
-    sizes = [len(s) - LENGTH + 1 for s in number]
-    given = {x["bucket"]: x["bits"] for x in windows}
-    by_bucket: dict[int, list[int]] = {}
-    for i, b in enumerate(bucket):
-        by_bucket.setdefault(b, []).append(i)
-    bits: list[np.ndarray] = [np.zeros(0, bool)] * len(sizes)
-    for b, at in by_bucket.items():
-        n = [sizes[i] for i in at]
-        flat = np.unpackbits(np.frombuffer(given[b], "u1"), count=sum(n)).astype(bool)
-        for i, piece in zip(at, np.split(flat, np.cumsum(n)[:-1]), strict=True):
-            bits[i] = piece
-    marked: dict[int, np.ndarray] = {}
-    ids = capsule.ids.tolist()
-    for doc, w, i in found:
-        earlier = owner[i] < ids[doc]
-        if not earlier and not bits[i].any():
-            continue
-        if doc not in marked:
-            marked[doc] = np.zeros(len(capsule.bodies[doc]) + 1, bool)
-        marked[doc][w : w + sizes[i]] |= True if earlier else bits[i]
-    for doc, starts in marked.items():
-        reach = np.cumsum(starts[:-1], dtype="i8")
-        reach[LENGTH:] -= reach[:-LENGTH].copy()
-        yield doc, reach > 0
+            bits.append(np.packbits(low[_spread(first[mine], n)] < np.repeat(owners, n)).tobytes())
+        return pd.DataFrame({"capsule": group["capsule"], "bucket": group["bucket"], "bits": bits, "n": group["n"], "places": group["places"]})
+
+    return sent.groupBy("bucket").applyInPandas(answer, "capsule string, bucket int, bits binary, n int, places binary")
+
+
+def removal(capsule: Capsule, answers: list) -> np.ndarray:
+    """Whether each byte of the capsule goes."""
+    total = len(capsule.text)
+    whole = np.zeros(total + 1, "i4")  # opens and closes of strings that go whole
+    starts = np.zeros(total, bool)
+    for x in answers:
+        n, raw = x["n"], zstandard.decompress(x["places"])
+        windows = np.frombuffer(raw, "u1", n).astype("i8") - LENGTH + 1
+        times = _from_planes(raw, n, n).astype("i8")
+        place = np.cumsum(_from_planes(raw, int(times.sum()), 5 * n).view("<i4"), dtype="i8")
+        which = np.repeat(np.arange(n), times)
+        ids = capsule.ids[np.searchsorted(capsule.ends, place, side="right")]
+        least = np.minimum.reduceat(ids, np.cumsum(times) - times)
+        later = least[which] < ids
+        np.add.at(whole, place[later], 1)
+        np.add.at(whole, (place + windows[which])[later], -1)
+        bits = np.unpackbits(np.frombuffer(x["bits"], "u1"), count=int(windows.sum())).astype(bool)
+        first = np.cumsum(windows) - windows
+        some = np.flatnonzero(~later & np.logical_or.reduceat(bits, first)[which])
+        i = which[some]
+        marked = bits[_spread(first[i], windows[i])]
+        starts[_spread(place[some], windows[i])[marked]] = True
+    starts |= np.cumsum(whole[:-1]) > 0
+    reach = np.cumsum(starts, dtype="i8")
+    reach[LENGTH:] -= reach[:-LENGTH].copy()
+    return reach > 0
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, buckets: int | None = None) -> DataFrame:
@@ -453,32 +535,32 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     others; rows of equal identifier do not remove each other's bytes.  Texts
     under 50 bytes lose nothing.  Other columns are ignored.
     """
-    buckets = buckets or max(16, 2 * shuffle_width(docs.sparkSession))
     body = F.coalesce(F.col(text_col), F.lit(""))
+    if buckets is None:
+        total = docs.select(F.sum(F.octet_length(body).cast("long"))).first()[0] or 0
+        buckets = max(16, 2 * shuffle_width(docs.sparkSession), -(-total // BUCKET_BYTES))
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST))).alias("id"), body.alias("body"))
     capsules = pack_capsules(source).repartition("capsule")
-
-    def gathered(answers: DataFrame, name: str) -> DataFrame:
-        return answers.groupBy("capsule").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))
-
-    repeats = gathered(answer_repeated(send_minimizers(capsules, buckets)), "repeats")
-    asked = _with_answers(capsules, repeats, "repeats")
-    windows = gathered(answer_windows(send_strings(asked, buckets)), "windows")
-    judged = _with_answers(asked, windows, "windows")
+    repeats = answer_repeated(send_minimizers(capsules, buckets))
+    repeats = repeats.groupBy("capsule").agg(F.collect_list(F.struct("bucket", "bits")).alias("repeats"))
+    windows = answer_windows(send_strings(_with_answers(capsules, repeats, "repeats"), buckets))
+    windows = windows.groupBy("capsule").agg(F.collect_list(F.struct("n", "bits", "places")).alias("windows"))
 
     def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in _rows(batch):
-                c = Capsule(row, buckets)
-                covered = dict(removal(c, row["repeats"], row["windows"]))
-                out = []
-                for k, (doc, text) in enumerate(zip(c.ids.tolist(), c.bodies, strict=True)):
-                    spans, kept = [], text
-                    if k in covered:
-                        edge = np.flatnonzero(np.diff(np.r_[False, covered[k], False]))
+                c = Capsule(row)
+                covered = removal(c, row["windows"])
+                out, begin = [], 0
+                for doc, end in zip(c.ids.tolist(), c.ends.tolist(), strict=True):
+                    kept, mine = c.text[begin:end], covered[begin:end]
+                    spans = []
+                    if mine.any():
+                        edge = np.flatnonzero(np.diff(np.r_[False, mine, False]))
                         spans = [{"start": a, "end": b} for a, b in edge.reshape(-1, 2).tolist()]
-                        kept = np.frombuffer(text, "u1")[~covered[k]].tobytes()
-                    out.append((doc, len(text), spans, kept))
+                        kept = np.frombuffer(kept, "u1")[~mine].tobytes()
+                    out.append((doc, end - begin, spans, kept))
+                    begin = end
                     if len(out) == 200:
                         yield pd.DataFrame(out, columns=["id", "n_bytes", "spans", "kept"])
                         out = []
@@ -486,7 +568,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     yield pd.DataFrame(out, columns=["id", "n_bytes", "spans", "kept"])
 
     schema = "id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
-    told = judged.mapInPandas(remove, schema)
+    told = _with_answers(capsules, windows, "windows").mapInPandas(remove, schema)
     return told.withColumn("id", F.when(F.col("id") != F.lit(int(LAST)), F.col("id"))).withColumnRenamed("id", id_col)
 
 

@@ -8,10 +8,17 @@ old one, the more often the higher.  At the end a group holds the suffixes with
 one Lyndon prefix, and one pass over the array being filled emits each group's
 order: a suffix settles everything whose Lyndon prefix it follows, which is the
 chain of previous smaller suffixes from its left neighbour.
+
+``suffix_array`` sorts one text.  ``suffix_arrays`` sorts many short texts side
+by side: the same steps, each taken by all texts at once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
+
 
 def suffix_array(text: bytes) -> list[int]:
     """Starts of the suffixes of ``text`` in ascending order."""
@@ -125,3 +132,100 @@ def suffix_array(text: bytes) -> list[int]:
         s = order[at] - 1
         at += 1
     return [i - 1 for i in order]
+
+
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each range, end to end."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def suffix_arrays(texts: Sequence[bytes]) -> np.ndarray:
+    """The suffix starts of every text in ascending order, text after text.
+
+    A text has a place per suffix and one before them that stands below it.
+    Groups are ranges of ``order``, so that the members reached equally often
+    move by sorting their range, and the next group down is the one before.
+    """
+    sizes = np.fromiter(map(len, texts), "i8", len(texts))
+    base = np.cumsum(sizes + 1) - (sizes + 1)
+    total = int((sizes + 1).sum())
+    if total == len(texts):
+        return np.zeros(0, "i8")
+    below = np.zeros(total, bool)
+    below[base] = True
+    letters = np.zeros(total, "i8")
+    letters[~below] = np.frombuffer(b"".join(texts), "u1")
+    letters += np.repeat(np.arange(len(texts)) * 512, sizes + 1) + np.where(below, 0, 1)
+    order = np.argsort(letters, kind="stable")
+    fresh = np.r_[True, letters[order[1:]] != letters[order[:-1]]]
+    at = np.flatnonzero(fresh)
+    length = np.zeros(total, "i8")
+    length[at] = np.diff(np.r_[at, total])
+    group = np.empty(total, "i8")
+    group[order] = np.repeat(at, length[at])
+    left = np.arange(total)
+    smaller = np.zeros(total, "i8")
+    times = np.zeros(total, "i8")
+
+    floor, end = base[sizes > 0] + 1, (base + sizes + 1)[sizes > 0]
+    while len(end):
+        first = group[order[end - 1]]
+        i = order[_spread(first, end - first)]
+        left[i] = j = i - 1
+        while True:  # to the nearest unfinished start, halving the way
+            k = left[j]
+            if np.array_equal(k, j):
+                break
+            k = left[k]
+            left[j] = k
+            j = k
+        left[i] = smaller[i] = j
+        j = j[~below[j]]
+        j = np.sort(j[length[group[j]] > 1])
+        if len(j):
+            edge = np.flatnonzero(np.r_[True, j[1:] != j[:-1]])
+            reached, count = j[edge], np.diff(np.r_[edge, len(j)])
+            times[reached] = count
+            old = np.sort(group[reached])
+            old = old[np.r_[True, old[1:] != old[:-1]]]
+            place = _spread(old, length[old])
+            held = order[place]
+            key = np.repeat(old, length[old]) * (int(count.max()) + 1) + times[held]
+            moved = np.argsort(key, kind="stable")
+            held, key = held[moved], key[moved]
+            order[place] = held
+            edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            size = np.diff(np.r_[edge, len(key)])
+            length[place[edge]] = size
+            group[held] = np.repeat(place[edge], size)
+            times[reached] = 0
+        more = first > floor
+        floor, end = floor[more], first[more]
+
+    settled = below
+    place = np.arange(total)
+    done = np.zeros(total, "i8")
+    s, at, stop = (base + sizes)[sizes > 0], (base + 1)[sizes > 0], (base + sizes + 1)[sizes > 0]
+    while len(s):
+        new = np.flatnonzero(~settled[s])
+        i = s[new]
+        settled[i] = True
+        g = group[i]
+        to = place[g]
+        done[to] = i
+        place[g] = to + 1
+        s[new] = smaller[i]
+        old = np.flatnonzero(settled[s])
+        going = at[old] < stop[old]
+        if not going.all():
+            stay = np.ones(len(s), bool)
+            stay[old[~going]] = False
+            old = old[going]
+            s[old] = done[at[old]] - 1
+            at[old] += 1
+            s, at, stop = s[stay], at[stay], stop[stay]
+        else:
+            s[old] = done[at[old]] - 1
+            at[old] += 1
+    rows = np.repeat(np.arange(len(texts)), sizes)
+    return done[_spread(base + 1, sizes)] - base[rows] - 1

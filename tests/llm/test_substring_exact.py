@@ -1,10 +1,11 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from latticework.llm import substring_exact as op
-from latticework.llm.suffix_groups import suffix_array
+from latticework.llm.suffix_groups import suffix_array, suffix_arrays
 
 from .cases import AWKWARD, docs, prose
 
@@ -39,16 +40,19 @@ def tangled():
     return rows
 
 
-@pytest.mark.parametrize("hot", [2000, 1])
-def test_matches_brute_force(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "runs", "alone"), [(2000, 20_000, 3000), (1, 20_000, 3000), (2000, 10, 3000), (2000, 20_000, 100)])
+def test_matches_brute_force(spark, monkeypatch, hot, runs, alone):
     monkeypatch.setattr(op, "CAPSULE_BYTES", 4000)
     monkeypatch.setattr(op, "HOT_CAPSULES", hot)
+    monkeypatch.setattr(op, "HOT_RUNS", runs)
+    monkeypatch.setattr(op, "FREQUENT", 2)
+    monkeypatch.setattr(op, "ALONE_BYTES", alone)
     rows = tangled()
     got = [tuple(r) for r in op.dedup_digests(docs(spark, rows, extra=True)).collect()]
     assert sorted(got, key=str) == brute(rows)
 
 
-def test_pruning_keeps_every_string_that_shares_a_window():
+def test_cutting_keeps_every_shared_window_and_owners_are_the_least():
     r = random.Random(8)
     for _ in range(60):
         base = "".join(r.choice("abcd ") for _ in range(r.choice([60, 90]))).encode()
@@ -57,14 +61,25 @@ def test_pruning_keeps_every_string_that_shares_a_window():
         texts = [base, base[5:80] + b"zzzz" * 10, b"yyyy" * 12 + base[20:], bytes(reversed(base)), base[:40] + b"w" * 50]
         groups = {}
         for t in texts:
-            for v, a, b in zip(*(x.tolist() for x in op.window_runs(t, [len(t)])), strict=True):
+            for v, a, b, _ in zip(*(x.tolist() for x in op.window_runs(t, [len(t)])), strict=True):
                 groups.setdefault(v, set()).add(t[a : b + 49])
-        for g in map(sorted, groups.values()):
-            (kept,) = op.may_share(g, [list(range(len(g)))])
-            windows = [{s[w : w + 50] for w in range(len(s) - 49)} for s in g]
-            for i, mine in enumerate(windows):
-                if any(mine & other for j, other in enumerate(windows) if j != i):
-                    assert i in kept
+        strings = [s for g in groups.values() for s in sorted(g)]
+        group = np.repeat(np.arange(len(groups)), [len(g) for g in groups.values()])
+        size = np.array([len(s) for s in strings])
+        first, last = op.shareable(np.frombuffer(b"".join(strings), "u1"), np.cumsum(size) - size, size, group)
+        windows = [{s[w : w + 50] for w in range(len(s) - 49)} for s in strings]
+        for i, s in enumerate(strings):
+            others = set().union(*(windows[j] for j in np.flatnonzero(group == group[i]) if j != i))
+            for w in range(len(s) - 49):
+                if s[w : w + 50] in others:
+                    assert first[i] <= w and w + 50 <= last[i]
+        owners = np.array([r.randrange(9) for _ in strings])
+        least = {}
+        for s, g, o in zip(strings, group, owners, strict=True):
+            for w in range(len(s) - 49):
+                least[g, s[w : w + 50]] = min(o, least.get((g, s[w : w + 50]), 9))
+        want = [least[g, s[w : w + 50]] for s, g in zip(strings, group, strict=True) for w in range(len(s) - 49)]
+        assert op.smallest_owners(strings, owners, group).tolist() == want
 
 
 def test_spans_are_byte_offsets(spark):
@@ -84,6 +99,9 @@ def test_suffix_array_against_sorting():
         n, letters = r.randrange(60), r.choice([1, 2, 3, 200])
         text = bytes(r.randrange(letters) for _ in range(n))
         assert suffix_array(text) == sorted(range(n), key=lambda i: text[i:])
+    several = [bytes(r.randrange(r.choice([1, 2, 3, 200])) for _ in range(r.randrange(60))) for _ in range(300)]
+    assert suffix_arrays(several).tolist() == [i for t in several for i in suffix_array(t)]
+    assert suffix_arrays([]).tolist() == suffix_arrays([b"", b""]).tolist() == []
     for text in (b"mississippi" * 20, b"ab" * 100, b"a" * 300, bytes(range(256))):
         assert suffix_array(text) == sorted(range(len(text)), key=lambda i: text[i:])
 
@@ -94,7 +112,7 @@ def test_equal_windows_have_equal_minimizers():
     def by_window(*docs):
         ends = [sum(map(len, docs[: k + 1])) for k in range(len(docs))]
         out = {}
-        for v, a, b in zip(*(x.tolist() for x in op.window_runs(b"".join(docs), ends)), strict=True):
+        for v, a, b, _ in zip(*(x.tolist() for x in op.window_runs(b"".join(docs), ends)), strict=True):
             assert 0 < b - a <= op.SPREAD
             out.update({w: v for w in range(a, b)})
         return out
