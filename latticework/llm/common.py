@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,9 +13,11 @@ _CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder named by the session; a temporary one only where none is set."""
+    """Shared folder named by the session; a temporary one only where none is set and all runs in one process."""
     root = spark.conf.get(_CHECKPOINT_KEY, None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "local")):
+            raise ValueError(f"{_CHECKPOINT_KEY} must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="latticework-")
         spark.conf.set(_CHECKPOINT_KEY, root)
     return root.rstrip("/")
@@ -72,6 +75,7 @@ def text_key(text_col: str = "text"):
 def apply_verdicts(docs: DataFrame, verdicts: DataFrame, *, once: bool = False) -> DataFrame:
     """Rows of ``docs`` that no verdict (doc_id, text_key, keep) drops, columns unchanged.
 
+    The verdicts are written first, as the filter and the join both read them.
     Rows outside a broadcast filter of the verdicts stay where they are; only
     rows inside it are shuffled and joined.  The filter's size is bounded, and
     where it fills up more rows are joined, never fewer.  A row with a verdict
@@ -80,7 +84,7 @@ def apply_verdicts(docs: DataFrame, verdicts: DataFrame, *, once: bool = False)
     """
     cols = docs.columns
     slot = F.pmod(F.xxhash64("doc_id", "_lw_text"), F.lit(VERDICT_FILTER_PAGES << 15))
-    named = verdicts.select("doc_id", F.col("text_key").alias("_lw_text"), "keep")
+    named = materialize(verdicts.select("doc_id", F.col("text_key").alias("_lw_text"), "keep"), "verdicts")
     page, bit = F.expr("bitmap_bucket_number(_lw_slot)").alias("_lw_page"), F.expr("bitmap_bit_position(_lw_slot)")
     pages = (
         named.select(slot.alias("_lw_slot"))

@@ -80,14 +80,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     tells rows of one identifier apart.  Other columns are ignored.
     """
     seeds = benchmark_seeds(benchmark)
-    if seeds.count() <= BROADCAST_SEEDS:
-        seeds = F.broadcast(seeds)
     source = docs.select(
         F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("text_key"),
         words(text_or_empty(text_col)).alias("w"),
     )
-    placed = source.select("id", "text_key", "w", F.posexplode(_seeds("w")).alias("at", "seed"))
-    hits = placed.join(seeds, "seed")
+    if seeds.count() <= BROADCAST_SEEDS:
+        hits = source.select("*", F.posexplode(_seeds("w")).alias("at", "seed")).join(F.broadcast(seeds), "seed")
+    else:  # positions are shuffled without their text, which joins the hits alone
+        slim = source.select("id", "text_key", F.posexplode(_seeds("w")).alias("at", "seed")).join(seeds, "seed")
+        texts = source.dropDuplicates(["id", "text_key"]).select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), "w")
+        hits = slim.join(texts, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
     judged = hits.select("id", "text_key", "item_id", "need", _equal_flags().alias("equal")).select(
         "id", "text_key", "item_id", "need", _best_window("equal").alias("best")
     )

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, text_key
@@ -101,9 +101,24 @@ def _cells(keyed: DataFrame, block: int) -> DataFrame:
     return spread.select("mask_no", "key", cell.alias("cell"), "fp", "rep")
 
 
+def _words(fp: pd.Series) -> np.ndarray:
+    """Fingerprints of a batch, as one column of words or as rows of several."""
+    if fp.dtype != object:
+        return fp.to_numpy("i8").view("u8")
+    return np.stack(fp.to_list()).astype("i8").view("u8")
+
+
+def _apart(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Differing bits."""
+    bits = np.bitwise_count(one ^ other)
+    return bits if bits.ndim == 1 else bits.sum(axis=1, dtype="i4")
+
+
 def _links(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Row pairs that connect, within runs of equal ``key``, all rows within the radius.
 
+    ``fp`` holds a fingerprint per row, of one word or (two-dimensional) of several.
+
     Short runs are compared shift by shift, all runs at once.  A long run is
     walked breadth-first, so that a dense one costs few comparisons: a row
     already reached is never compared again, and its links stay implied.
@@ -116,7 +131,7 @@ def _links(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np
     short = size[run] <= 8
     for shift in range(1, 8):
         i = np.flatnonzero(short[:-shift] & (run[shift:] == run[:-shift]))
-        near = i[np.bitwise_count(fp[i] ^ fp[i + shift]) <= radius]
+        near = i[_apart(fp[i], fp[i + shift]) <= radius]
         left.append(near)
         right.append(near + shift)
     for s, m in zip(start[size > 8].tolist(), size[size > 8].tolist(), strict=True):
@@ -125,7 +140,7 @@ def _links(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np
             queue, rest = [int(rest[0])], rest[1:]
             while queue and len(rest):
                 at = queue.pop()
-                near = np.bitwise_count(fp[rest] ^ fp[at]) <= radius
+                near = _apart(fp[rest], fp[at]) <= radius
                 reached = rest[near]
                 if len(reached):
                     left.append(np.full(len(reached), at))
@@ -137,14 +152,16 @@ def _links(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np
 
 def near_links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """(fp, rep) of distinct fingerprints -> edges (a, b) between representatives."""
-    masks = covering_masks(radius)
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    tables = F.array(
-        *[
-            F.struct(F.lit(i).cast("short").alias("mask_no"), F.col("fp").bitwiseAND(F.lit(m)).alias("key"))
-            for i, m in enumerate(signed)
-        ]
-    )
+    masks = [m - (1 << 64) if m >> 63 else m for m in covering_masks(radius)]
+    return table_links(distinct, [F.col("fp").bitwiseAND(F.lit(m)) for m in masks], radius, block)
+
+
+def table_links(distinct: DataFrame, keys: list[Column], radius: int, block: int = BLOCK) -> DataFrame:
+    """(fp, rep), a table per key -> edges (a, b) that connect the rows within ``radius`` that share a table's key.
+
+    ``fp`` is a long, or an array of longs.
+    """
+    tables = F.array(*[F.struct(F.lit(i).cast("short").alias("mask_no"), k.alias("key")) for i, k in enumerate(keys)])
     keyed = distinct.select("fp", "rep", F.explode(tables).alias("t")).select("t.mask_no", "t.key", "fp", "rep")
 
     def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,7 +170,7 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) ->
         def within(rows: pd.DataFrame) -> pd.DataFrame:
             run = (rows[["mask_no", "key", "cell"]] != rows[["mask_no", "key", "cell"]].shift()).any(axis=1)
             rep = rows["rep"].to_numpy("i8")
-            i, j = _links(run.cumsum().to_numpy(), rows["fp"].to_numpy("i8").view("u8"), radius)
+            i, j = _links(run.cumsum().to_numpy(), _words(rows["fp"]), radius)
             a, b = spanning_edges(rep[i].tolist(), rep[j].tolist())
             return pd.DataFrame({"a": a, "b": b}, dtype="i8")
 

@@ -1,42 +1,48 @@
-"""Near-duplicates by the exact Jaccard similarity of word-shingle sets.
-
-Candidates meet in MinHash bands: at similarity s two sets share none of BANDS
-bands of ROWS minima with probability (1 - s^ROWS)^BANDS, 7 in 100,000 at 0.8.
-No link rests on a band: each is verified on the sets.  First every set is held
-against the smallest of its bucket; what that connects is one part.  Buckets
-with several parts are then compared in full between parts, large ones in
-cells of block pairs, so a dense group costs a row per member and no pair of a
-bucket is left out.
+"""SimHash near-dedup at a word-shingle similarity.
+
+A text's shingle set has a fingerprint of PARTS parts of 32 bits.  Covering
+masks of radius PART_RADIUS on each part make 15 tables a part: a pair of which
+some part differs in at most PART_RADIUS bits meets in a table, without
+exception, and so does every pair within PARTS * (PART_RADIUS + 1) - 1 bits in
+all.  At a Jaccard similarity of 0.8 about 29 bits differ, and a pair meets
+with probability 0.98, at 0.86 with 0.996 (a test measures it).  What meets
+within RADIUS bits in all is one candidate group.
+
+No link rests on a fingerprint: it is verified on the sets.  First every set is
+held against the smallest of its group; what that connects is one part.  Groups
+of several parts are then compared in full between parts, large ones in cells
+of block pairs, so a dense group costs a row per member and no pair of a group
+is left out.
 """
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, text_key
 from .components import connected_components
-from .simhash import shingles
+from .simhash import covering_masks, shingles, table_links
 
 WORDS = 5
 SIMILARITY = 0.8
-BANDS = 24
-ROWS = 5
-#: Sets of a bucket in one block; parts of more sets have blocks of their own.
+#: Parts of 32 bits of a fingerprint, two a word, and the bits in which one of them may differ.
+PARTS = 6
+PART_RADIUS = 3
+#: Differing bits of all parts up to which a pair is a candidate: three deviations over the mean at SIMILARITY.
+RADIUS = 45
+#: Sets of a group in one block; parts of more sets have blocks of their own.
 BLOCK = 256
 #: A hot set is copied to so many join keys.
 SALTS = 64
 
-_draw = random.Random(42)
-_XOR = np.array([_draw.getrandbits(64) for _ in range(BANDS * ROWS)], "u8")
-_ODD = np.array([_draw.getrandbits(64) | 1 for _ in range(BANDS * ROWS)], "u8")
-_MIX = np.array([_draw.getrandbits(64) | 1 for _ in range(ROWS)], "u8")
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+_SHIFT = np.uint64(31)
 
 
 def shingle_set(body: bytes) -> np.ndarray:
@@ -44,17 +50,29 @@ def shingle_set(body: bytes) -> np.ndarray:
     return np.unique(shingles(body, WORDS))
 
 
-def bands(found: np.ndarray) -> np.ndarray:
-    """A key per band; none for an empty set."""
+def set_fingerprint(found: np.ndarray) -> list[int]:
+    """SimHash of a shingle set, in PARTS / 2 signed words; zeros for an empty set."""
     if not len(found):
-        return np.zeros(0, "i8")
-    low = np.full(len(_XOR), np.iinfo("u8").max, "u8")
-    for at in range(0, len(found), 4096):
-        part = found[at : at + 4096]
-        mixed = (part[None, :] ^ _XOR[:, None]) * _ODD[:, None]
-        low = np.minimum(low, (mixed ^ (mixed >> np.uint64(32))).min(axis=1))
-    key = ((low.reshape(BANDS, ROWS) ^ (low.reshape(BANDS, ROWS) >> np.uint64(29))) * _MIX).sum(axis=1, dtype="u8")
-    return ((key ^ (key >> np.uint64(31))) * _ODD[:BANDS]).view("i8")
+        return [0] * (PARTS // 2)
+    ones = np.zeros(32 * PARTS, "i8")
+    for at in range(0, len(found), 1 << 13):
+        part = found[at : at + (1 << 13)]
+        mixed = np.empty((len(part), PARTS // 2), "<u8")
+        for k in range(PARTS // 2):
+            x = (part ^ _ODD[k]) * _ODD[0]
+            mixed[:, k] = (x ^ (x >> _SHIFT)) * _ODD[1]
+        ones += np.unpackbits(mixed.view("u1"), axis=1, bitorder="little").sum(axis=0, dtype="i4")
+    return np.packbits(2 * ones > len(found), bitorder="little").view("<i8").tolist()
+
+
+def table_keys() -> list[Column]:
+    """A key per table of the covering family of every part."""
+    keys = []
+    for part in range(PARTS):
+        word = F.get("fp", F.lit(part // 2))
+        half = word.bitwiseAND(F.lit(0xFFFFFFFF)) if part % 2 == 0 else F.shiftrightunsigned(word, 32)
+        keys += [half.bitwiseAND(F.lit(m)) for m in covering_masks(PART_RADIUS, 32)]
+    return keys
 
 
 def similar(one: np.ndarray, sets: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
@@ -168,8 +186,9 @@ def _part_edges(members: DataFrame, sets: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, component_id (smallest identifier among linked rows), text_key.
 
-    Rows are linked where their sets of lower-cased WORDS-word shingles have a
-    Jaccard similarity of SIMILARITY or more; a shorter text is one shingle.
+    Rows are linked where their fingerprints make them candidates and their sets
+    of lower-cased WORDS-word shingles have a Jaccard similarity of SIMILARITY
+    or more; a shorter text is one shingle.
     Texts without words have equal, empty sets.  Null identifiers link others
     but never name a component.
     """
@@ -179,22 +198,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             sets = [shingle_set(t.encode()) for t in batch["body"]]
             blobs = [s.tobytes() for s in sets]
             node = np.fromiter(map(xxhash.xxh64_intdigest, blobs), "u8", len(blobs)).view("i8")
-            yield pd.DataFrame(
-                {"id": batch["id"], "text_key": batch["text_key"], "node": node, "bands": [bands(s) for s in sets], "blob": blobs}
-            )
+            prints = [set_fingerprint(s) for s in sets]
+            yield pd.DataFrame({"id": batch["id"], "text_key": batch["text_key"], "node": node, "fp": prints, "blob": blobs})
 
     body = F.coalesce(F.col(text_col), F.lit("")).alias("body")
     source = docs.select(F.col(id_col).cast("string").alias("id"), text_key(text_col).alias("text_key"), body)
     prints = materialize(
-        source.mapInPandas(made, "id string, text_key long, node long, bands array<long>, blob binary"), "shingles"
+        source.mapInPandas(made, "id string, text_key long, node long, fp array<long>, blob binary"), "fingerprints"
     )
-    met = prints.select("node", F.posexplode("bands").alias("band", "value"))
-    met = met.select("node", F.xxhash64("band", "value").alias("bucket")).distinct()
-    shared = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = materialize(met.join(shared, "bucket"), "members")
-    needed = members.select("node").distinct()
-    sets = prints.select("node", "blob").join(needed, "node", "left_semi").groupBy("node").agg(F.first("blob").alias("blob"))
-    sets = materialize(sets, "sets")
+    distinct = materialize(prints.groupBy(F.col("node").alias("rep")).agg(F.first("fp").alias("fp")), "distinct-sets")
+    groups = connected_components(table_links(distinct, table_keys(), RADIUS))
+    members = materialize(groups.select(F.col("component").alias("bucket"), "node"), "members")
+    sets = prints.select("node", "blob").join(members.select("node"), "node", "left_semi")
+    sets = materialize(sets.groupBy("node").agg(F.first("blob").alias("blob")), "sets")
     stars = materialize(_star_edges(members, sets), "star-edges")
     parts = connected_components(stars).select("node", F.col("component").alias("part"))
     labelled = materialize(members.join(parts, "node", "left").select("bucket", "node", F.coalesce("part", "node").alias("part")), "labelled")

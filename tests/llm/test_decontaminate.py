@@ -1,5 +1,7 @@
 from itertools import combinations
 
+import pytest
+
 from latticework.llm import decontaminate as op
 
 from .cases import docs, prose
@@ -31,7 +33,9 @@ def test_mask_is_lossless_for_the_acceptance_rule():
         assert any(not any(at + m in gone for m in op.MASK) for at in range(op.WINDOW - op.SPAN + 1))
 
 
-def test_matches_brute_force(spark):
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_matches_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(op, "BROADCAST_SEEDS", broadcast)
     items = [(1, prose(1, 30)), (2, prose(2, 14)), (3, prose(3, 9)), (4, prose(4, 5)), (5, None), (6, ""), (7, prose(1, 30))]
     swapped = prose(1, 30).split()
     for k in (3, 9, 15, 21, 27):

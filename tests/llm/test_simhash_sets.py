@@ -3,7 +3,8 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from latticework.llm import shingle_sets as op
+from latticework.llm import simhash_sets as op
+from latticework.llm.simhash import covering_masks
 
 from .cases import AWKWARD, docs, prose
 
@@ -83,14 +84,36 @@ def test_parts_are_connected_as_by_all_pairs():
         assert joined(op.part_links(parts, sets)) == joined(every)
 
 
-def test_recall_of_bands_at_the_threshold():
+def meets(a, b):
+    """Whether two fingerprints share a key of a table, by the masks alone."""
+    def halves(words):
+        return [x for w in words for x in (w & 0xFFFFFFFF, (w >> 32) & 0xFFFFFFFF)]
+
+    masks = covering_masks(op.PART_RADIUS, 32)
+    return any((x ^ y) & m == 0 for x, y in zip(halves(a), halves(b), strict=True) for m in masks)
+
+
+def test_recall_of_tables_by_similarity():
     r = np.random.default_rng(1)
-    met = 0
+    for rest, least in ((20, 0.96), (13, 0.985), (5, 0.999)):  # Jaccard 0.8, 0.86, 0.94
+        met = 0
+        for _ in range(1000):
+            common, left = np.split(r.integers(0, 1 << 63, 160 + rest).astype("u8"), [160])
+            a, b = np.sort(np.r_[common, left]), np.sort(np.r_[common, r.integers(0, 1 << 63, rest).astype("u8")])
+            x, y = op.set_fingerprint(a), op.set_fingerprint(b)
+            apart = sum(((i ^ j) & (2**64 - 1)).bit_count() for i, j in zip(x, y, strict=True))
+            met += apart <= op.RADIUS and meets(x, y)
+        assert met >= least * 1000
+
+
+def test_pairs_within_the_guaranteed_radius_always_meet():
+    r = random.Random(5)
     for _ in range(2000):
-        common, left = np.split(r.integers(0, 1 << 63, 180).astype("u8"), [160])
-        a, b = np.sort(np.r_[common, left]), np.sort(np.r_[common, r.integers(0, 1 << 63, 20).astype("u8")])
-        met += bool((op.bands(a) == op.bands(b)).any())
-    assert met >= 1990
+        a = [r.getrandbits(64) for _ in range(op.PARTS // 2)]
+        b = list(a)
+        for k in r.sample(range(32 * op.PARTS), op.PARTS * (op.PART_RADIUS + 1) - 1):
+            b[k // 64] ^= 1 << (k % 64)
+        assert meets(a, b)
 
 
 def test_empty_table(spark):
