@@ -1,18 +1,20 @@
 """Main text of web pages: parser events, text-to-tag ratios, smoothing, clustering.
 
 Each page streams through the standard library's parser, which yields lines (the
-text of one block) with the number of tags met on the way.  Lines inside
-menus, footers, adverts and the like are not content.  The text-to-tag ratios
-of the others are smoothed by a Gaussian and split by a threshold at their
-standard deviation; a region (the lines that share a container) is content
-when it reaches the threshold, or when no region does and it is the highest.
+text of one block) with the number of tags met on the way.  The logarithms of
+the lines' text-to-tag ratios, without text behind links, are smoothed by a
+Gaussian over the page.  A region (the lines that share a container) is content
+when one of its smoothed values, times the weight of the names around it,
+reaches the standard deviation of the page's smoothed values; lines are kept or
+left out with their region.  Names of elements and classes are weights and
+decide nothing alone; scripts, styles and the like have no lines.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -27,73 +29,94 @@ INLINE = {
     "sub", "sup", "time", "tt", "u", "var", "wbr",
 }
 SKIPPED = {
-    "aside", "button", "canvas", "dialog", "footer", "form", "head", "iframe", "input", "menu", "nav", "noscript",
-    "object", "script", "select", "style", "svg", "template", "textarea", "title",
+    "button", "canvas", "head", "iframe", "noscript", "object", "option", "script", "select", "style", "svg", "template",
+    "textarea", "title",
 }
-SKIPPED_WORDS = {
-    "ad", "ads", "advert", "adverts", "advertisement", "alert", "banner", "breadcrumb", "breadcrumbs", "comment",
-    "comments", "consent", "cookie", "cookies", "copyright", "disclaimer", "disqus", "footer", "header", "masthead",
-    "menu", "menubar", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination",
-    "popup", "promo", "promoted", "recommended", "related", "replies", "reply", "respond", "search", "share",
-    "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "tags", "toolbar",
-    "widget",
+UNLIKELY = {"aside", "dialog", "footer", "menu", "nav"}
+UNLIKELY_WORDS = {
+    "ad", "ads", "advert", "adverts", "advertisement", "breadcrumb", "breadcrumbs", "comment", "comments", "consent",
+    "cookie", "cookies", "disqus", "footer", "masthead", "menu", "menubar", "modal", "nav", "navbar", "navigation",
+    "newsletter", "pagination", "popup", "promo", "promoted", "replies", "reply", "respond", "share", "sharing",
+    "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar",
 }
-SKIPPED_ROLES = {"alert", "banner", "complementary", "contentinfo", "dialog", "navigation", "search"}
+#: Words that also name parts of articles: full weight only as a whole class outside of them.
+DOUBTFUL_WORDS = {
+    "alert", "banner", "copyright", "disclaimer", "header", "notice", "notices", "recommended", "related", "search",
+    "skip", "tags", "widget",
+}
+UNLIKELY_ROLES = {"alert", "banner", "complementary", "contentinfo", "dialog", "navigation", "search"}
 CONTAINERS = {"article", "main", "section", "div", "td", "body", "blockquote"}
+#: Weights of an unlikely name, of a form, of a doubtful word in a longer class name, and of one inside an article.
+UNLIKELY_WEIGHT, FORM_WEIGHT, DOUBTFUL_WEIGHT, INSIDE_WEIGHT = 0.1, 0.2, 0.25, 0.6
 #: Half width of the smoothing window, in lines, and the Gaussian's deviation.
 RADIUS, SIGMA = 2, 1.0
+#: Least value of content: the logarithm of a ratio of 1.7.
+FLOOR = 1.0
 #: Characters given to the parser at once.
 FEED = 1 << 16
 
 
+def name_weight(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> float:
+    """What the names of an element say of its text: 1 nothing, less that it is no content, 0 that it is hidden."""
+    named = {k: v or "" for k, v in attrs if k in ("class", "id", "role", "hidden", "aria-hidden")}
+    if "hidden" in named or named.get("aria-hidden") == "true":
+        return 0.0
+    if tag in UNLIKELY or tag == "header" and not inside or named.get("role") in UNLIKELY_ROLES:
+        return UNLIKELY_WEIGHT
+    weight = FORM_WEIGHT if tag == "form" else 1.0
+    for name in f"{named.get('class', '')} {named.get('id', '')}".lower().split():
+        words = [w for w in re.split(r"[^a-z]+", name) if w]
+        if not UNLIKELY_WORDS.isdisjoint(words):
+            return UNLIKELY_WEIGHT
+        if not DOUBTFUL_WORDS.isdisjoint(words):
+            whole = len(words) == 1
+            weight = min(weight, (INSIDE_WEIGHT if whole else 1.0) if inside else UNLIKELY_WEIGHT if whole else DOUBTFUL_WEIGHT)
+    return weight
+
+
 class LineEvents(HTMLParser):
-    """Turns parser events into (text, tags, link characters, region, main) lines."""
+    """Turns parser events into (text, tags, link characters, region, weight) lines.
+
+    An element is opened and closed once, so the work grows with the page however
+    its elements nest or stay open.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, bool]] = []
-        self.open: list[tuple[str, bool, bool]] = []  # element; does it start a skipped part, a region
-        self.regions: list[int] = [0]
-        self.made = self.skips = self.links = self.mains = self.tags = self.linked = 0
+        self.lines: list[tuple[str, int, int, int, float]] = []
+        self.open: list[tuple[str, int, float, int]] = []  # element; region, weight and depth in articles before it
+        self.count: Counter[str] = Counter()
+        self.region, self.weight, self.inside = 0, 1.0, 0
+        self.made = self.skips = self.tags = self.linked = 0
+        self.link = False
         self.words: list[str] = []
 
     def break_line(self) -> None:
         text = " ".join("".join(self.words).split())
-        if text and not self.skips:
-            self.lines.append((text, self.tags, self.linked, self.regions[-1], self.mains > 0))
+        if text:
+            self.lines.append((text, self.tags, self.linked, self.region, self.weight))
         self.words.clear()
         self.tags = self.linked = 0
 
-    def _skipped(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in ("html", "body", "article", "main"):
-            return False
-        if tag in SKIPPED or tag == "header" and not self.mains:
-            return True
-        named = {k: v or "" for k, v in attrs if k in ("class", "id", "role", "hidden", "aria-hidden")}
-        if "hidden" in named or named.get("aria-hidden") == "true" or named.get("role") in SKIPPED_ROLES:
-            return True
-        words = re.split(r"[^a-z]+", f"{named.get('class', '')} {named.get('id', '')}".lower())
-        if tag == "header":
-            words = [w for w in words if w != "header"]
-        return not SKIPPED_WORDS.isdisjoint(words)
-
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag not in INLINE:
             self.break_line()
         self.tags += 1
         if tag == "br":
             self.words.append(" ")
-        if tag in VOID:
+        if tag == "a":
+            self.link = True
+        if tag in VOID or tag in INLINE:
             return
-        skip = self._skipped(tag, attrs)
-        region = tag in ("article", "main") or tag in CONTAINERS and not self.mains
-        self.open.append((tag, skip, region))
-        self.skips += skip
-        self.links += tag == "a"
-        self.mains += tag in ("article", "main")
-        if region:
+        self.open.append((tag, self.region, self.weight, self.inside))
+        self.count[tag] += 1
+        self.skips += tag in SKIPPED
+        own = name_weight(tag, attrs, self.inside > 0)
+        if tag in CONTAINERS or own != 1.0:
             self.made += 1
-            self.regions.append(self.made)
+            self.region = self.made
+        self.weight *= own
+        self.inside += tag in ("article", "main")
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -104,23 +127,24 @@ class LineEvents(HTMLParser):
         if tag not in INLINE:
             self.break_line()
         self.tags += 1
-        if not any(t == tag for t, _, _ in self.open):
+        if tag == "a":
+            self.link = False
+        if not self.count[tag]:
             return
-        while self.open:
-            name, skip, region = self.open.pop()
-            self.skips -= skip
-            self.links -= name == "a"
-            self.mains -= name in ("article", "main")
-            if region:
-                self.regions.pop()
+        while True:
+            name, self.region, self.weight, self.inside = self.open.pop()
+            self.count[name] -= 1
+            self.skips -= name in SKIPPED
+            if name in CONTAINERS:
+                self.link = False
             if name == tag:
                 break
 
     def handle_data(self, data: str) -> None:
         if not self.skips:
             self.words.append(data)
-            if self.links:
-                self.linked += len(data.strip())
+            if self.link:
+                self.linked += len("".join(data.split()))
 
 
 def smooth(values: list[float], radius: int = RADIUS, sigma: float = SIGMA) -> list[float]:
@@ -137,35 +161,66 @@ def smooth(values: list[float], radius: int = RADIUS, sigma: float = SIGMA) -> l
     return out
 
 
-def main_text(html: str) -> str:
-    """The content blocks of one page, joined by line ends; empty if there are none."""
+def content(lines: list[tuple[str, int, int, int, float]]) -> list[bool]:
+    """Which lines belong to a content region.
+
+    A line with nothing but links speaks for no region, whatever stands beside it.
+    """
+    if not lines:
+        return []
+    raw = [math.log1p(max(0, len(text) - text.count(" ") - linked) / max(1, tags)) for text, tags, linked, _, _ in lines]
+    smoothed = smooth(raw)
+    mean = sum(smoothed) / len(smoothed)
+    deviation = math.sqrt(sum((x - mean) ** 2 for x in smoothed) / len(smoothed))
+    best: dict[int, float] = {}
+    for value, own, line in zip(smoothed, raw, lines, strict=True):
+        best[line[3]] = max(best.get(line[3], 0.0), value * line[4] if own else 0.0)
+    threshold = max(FLOOR, min(deviation, max(best.values())))
+    return [best[line[3]] >= threshold for line in lines]
+
+
+def page_lines(html: str) -> list[tuple[str, int, int, int, float]]:
+    """The lines of a page."""
     events = LineEvents()
     for at in range(0, len(html), FEED):
         events.feed(html[at : at + FEED])
     events.close()
     events.break_line()
-    lines = events.lines
-    if any(x[4] for x in lines):
-        lines = [x for x in lines if x[4]]
+    return events.lines
+
+
+def content(lines: list[tuple[str, int, int, int, float]]) -> list[bool]:
+    """Which lines belong to a content region.
+
+    A line with nothing but links speaks for no region, whatever stands beside it.
+    """
     if not lines:
-        return ""
-    # Text behind links counts against its line: a row of links is no content.
-    # Smoothing stays inside a region, so that content does not lift the menu beside it.
-    ratios = [0.0] * len(lines)
-    rows: dict[int, list[int]] = {}
-    for i, line in enumerate(lines):
-        rows.setdefault(line[3], []).append(i)
-    for at in rows.values():
-        raw = [max(0, len(lines[i][0]) - lines[i][2]) / max(1, lines[i][1]) for i in at]
-        for i, ratio in zip(at, smooth(raw), strict=True):
-            ratios[i] = ratio
-    mean = sum(ratios) / len(ratios)
-    threshold = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
+        return []
+    raw = [math.log1p(max(0, len(text) - text.count(" ") - linked) / max(1, tags)) for text, tags, linked, _, _ in lines]
+    smoothed = smooth(raw)
+    mean = sum(smoothed) / len(smoothed)
+    deviation = math.sqrt(sum((x - mean) ** 2 for x in smoothed) / len(smoothed))
     best: dict[int, float] = {}
-    for ratio, line in zip(ratios, lines, strict=True):
-        best[line[3]] = max(best.get(line[3], 0.0), ratio)
-    threshold = min(threshold, max(best.values()))
-    return "\n".join(line[0] for line in lines if best[line[3]] >= threshold)
+    for value, own, line in zip(smoothed, raw, lines, strict=True):
+        best[line[3]] = max(best.get(line[3], 0.0), value * line[4] if own else 0.0)
+    threshold = max(FLOOR, min(deviation, max(best.values())))
+    return [best[line[3]] >= threshold for line in lines]
+
+
+def page_lines(html: str) -> list[tuple[str, int, int, int, float]]:
+    """The lines of a page."""
+    events = LineEvents()
+    for at in range(0, len(html), FEED):
+        events.feed(html[at : at + FEED])
+    events.close()
+    events.break_line()
+    return events.lines
+
+
+def main_text(html: str) -> str:
+    """The content blocks of one page, joined by line ends; empty if there are none."""
+    lines = page_lines(html)
+    return "\n".join(line[0] for line, kept in zip(lines, content(lines), strict=True) if kept)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

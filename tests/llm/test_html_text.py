@@ -1,4 +1,11 @@
-from latticework.llm.html_text import extract_pages, main_text, smooth
+import math
+import random
+import time
+
+import pytest
+
+from latticework.llm import html_text as op
+from latticework.llm.html_text import extract_pages, main_text, page_lines, smooth
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header class="site-header"><h1>Site</h1></header>
@@ -14,6 +21,90 @@ def test_only_the_article_stays():
     assert main_text(PAGE) == "Title & more\nFirst line.\nSecond éA inline.\nOne\nTwo"
 
 
+def slow_content(lines):
+    """The same decision line by line, from its definition."""
+    logs = [math.log(1 + max(0, len(t.replace(" ", "")) - linked) / max(1, tags)) for t, tags, linked, _, _ in lines]
+    soft = []
+    for i in range(len(logs)):
+        near = [(math.exp(-((k - i) ** 2) / 2), logs[k]) for k in range(len(logs)) if abs(k - i) <= 2]
+        soft.append(sum(w * x for w, x in near) / sum(w for w, _ in near))
+    mean = sum(soft) / max(1, len(soft))
+    spread = (sum((x - mean) ** 2 for x in soft) / max(1, len(soft))) ** 0.5
+    kept = []
+    for _, _, _, region, _ in lines:
+        tops = [x * line[4] * (y > 0) for x, y, line in zip(soft, logs, lines, strict=True)]
+        best = max(x for x, line in zip(tops, lines, strict=True) if line[3] == region)
+        kept.append(best >= 1 and best >= min(spread, max(tops)) - 1e-12)
+    return kept
+
+
+def random_page(r):
+    def block(depth):
+        tag = r.choice(["div", "p", "section", "article", "ul", "li", "aside", "div class='related'", "td", "header", "form"])
+        inner = "".join(block(depth + 1) if depth < 4 and r.random() < 0.5 else piece() for _ in range(r.randrange(1, 5)))
+        return f"<{tag}>{inner}" + (f"</{tag.split()[0]}>" if r.random() < 0.9 else "")
+
+    def piece():
+        text = "word " * r.choice([1, 3, 10, 60])
+        return r.choice([text, f"<a href=x>{text}</a>", f"<b>{text}</b><br>", f"<span>{text}"])
+
+    return "".join(block(0) for _ in range(r.randrange(1, 6)))
+
+
+def test_decision_matches_its_slow_definition():
+    r = random.Random(3)
+    kept = 0
+    for _ in range(300):
+        lines = page_lines(random_page(r))
+        assert op.content(lines) == slow_content(lines)
+        kept += sum(op.content(lines))
+    assert kept > 300
+
+
+LONG = " ".join(f"A sentence of some words, number {i}." for i in range(12))
+NAV = "<nav><ul>" + "".join(f'<li><a href="/{i}">item {i}</a></li>' for i in range(8)) + "</ul></nav>"
+
+
+@pytest.mark.parametrize(
+    ("body", "wanted"),
+    [
+        (f'<article><div class="article-header"><h1>Title</h1></div><p>{LONG}</p></article>', ["Title", LONG]),
+        (f'<article><p>{LONG}</p><div class="related-work"><p>{LONG} More.</p></div></article>', [LONG, f"{LONG} More."]),
+        (f"<article><p>A teaser of a few words.</p></article><div><p>{LONG}</p><p>{LONG}</p></div>", [LONG, LONG]),
+        (f"<div><p>{LONG}</p></div><div><p>A short closing paragraph.</p></div>", [LONG, "A short closing paragraph."]),
+    ],
+)
+def test_ratios_decide_not_names(body, wanted):
+    text = main_text(f"<html><body>{NAV}{body}<footer>About us, imprint and contact of this site.</footer></body></html>").split("\n")
+    assert [x for x in text if x in wanted] == wanted
+    assert not any("item" in x or "imprint" in x for x in text)
+
+
+def test_without_ratios_pages_change(monkeypatch):
+    dense = "<div>" + "<p>a<i>b</i><b>c</b>" * 6 + "</div>"
+    page = f"<body>{dense}{NAV}<article><h1>Title</h1><p>{LONG}</p></article></body>"
+    before = main_text(page)
+    monkeypatch.setattr(op, "smooth", lambda values: [2.0] * len(values))
+    assert before == f"Title\n{LONG}" != main_text(page)
+    monkeypatch.setattr(op, "smooth", lambda values: [0.0] * len(values))
+    assert main_text(page) == ""
+
+
+def test_hidden_and_reader_comments_inside_an_article_go():
+    inner = f'<h1>T</h1><p>{LONG}</p><div hidden>{LONG} hid</div><section id="comments"><p>{LONG} said</p></section>'
+    assert main_text(f"<article>{inner}</article>") == f"T\n{LONG}"
+
+
+def test_unclosed_and_stray_elements_take_linear_time():
+    for piece in ("<li><i>a", "x</b>", "<div>y", "<p><a href=z>w", "</div>v"):
+        took = []
+        for n in (10_000, 40_000):
+            start = time.perf_counter()
+            page_lines(f"<body>{piece * n}")
+            took.append(time.perf_counter() - start)
+        assert took[1] < 12 * took[0]
+
+
 def test_clustering_picks_the_region_without_markup_for_it():
     body = "".join(f"<p>{'word ' * 40}{i}.</p>" for i in range(5))
     links = "".join(f'<a href="/{i}">link {i}</a> ' for i in range(12))
