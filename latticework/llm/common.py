@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -72,6 +72,28 @@ def text_key(text_col: str = "text"):
     return F.xxhash64(text_or_empty(text_col))
 
 
+def _byte_of(bits: str, bit: Column) -> Column:
+    """The byte of a bitmap that holds a bit."""
+    return F.conv(F.hex(F.substring(bits, (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+
+
+def among(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` (a long) may be one of ``keys``, by a broadcast filter of bounded size.
+
+    Others stay where they are.  Where the filter fills up more rows pass, never fewer.
+    """
+    slot = F.pmod(F.col(key), F.lit(VERDICT_FILTER_PAGES << 15))
+    pages = (
+        keys.select(slot.alias("_lw_slot"))
+        .groupBy(F.expr("bitmap_bucket_number(_lw_slot)").alias("_lw_page"))
+        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(_lw_slot))").alias("_lw_bits"))
+    )
+    bit = F.expr("bitmap_bit_position(_lw_slot)")
+    placed = rows.withColumn("_lw_slot", slot).withColumn("_lw_page", F.expr("bitmap_bucket_number(_lw_slot)"))
+    inside = placed.join(F.broadcast(pages), "_lw_page").where(F.getbit(_byte_of("_lw_bits", bit), (bit % 8).cast("int")) == 1)
+    return inside.select(*rows.columns)
+
+
 def apply_verdicts(docs: DataFrame, verdicts: DataFrame, *, once: bool = False) -> DataFrame:
     """Rows of ``docs`` that no verdict (doc_id, text_key, keep) drops, columns unchanged.
 
@@ -92,8 +114,7 @@ def apply_verdicts(docs: DataFrame, verdicts: DataFrame, *, once: bool = False)
         .groupBy("_lw_page")
         .agg(F.expr("bitmap_construct_agg(_lw_bit)").alias("_lw_bits"))
     )
-    byte = F.conv(F.hex(F.substring("_lw_bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
-    inside = F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))
+    inside = F.coalesce(F.getbit(_byte_of("_lw_bits", bit), (bit % 8).cast("int")) == 1, F.lit(False))
     marked = (
         docs.withColumn("_lw_text", text_key())
         .withColumn("_lw_slot", slot)
