@@ -25,8 +25,9 @@ WORDS = 4
 RADIUS = 4
 BITS = 64
 SEED = 42
-#: Buckets of more distinct fingerprints are split into cells of block pairs.
+#: Buckets of more distinct fingerprints are split into cells of block pairs; counts that tell where there may be such.
 BLOCK = 4096
+SLOTS = 1 << 18
 
 
 def covering_masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
@@ -84,28 +85,28 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _cells(keyed: DataFrame, block: int) -> DataFrame:
-    """Adds ``cell``: 0 in a small bucket; in a large one each pair of blocks is a cell.
+    """Splits large buckets (of ``block`` rows or more) into cells, one for each pair of blocks.
 
     A fingerprint is copied to one cell per block, and any two of a bucket
     share a cell, so no pair is lost and no task holds over two blocks of it.
+    Buckets are counted exactly only where their slot of a table of SLOTS
+    counts is full, which a large bucket's always is; the rest do not move twice.
     """
-    large = keyed.groupBy("mask_no", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), F.coalesce(blocks, F.lit(1))).cast("int")
+    slot = F.pmod(F.col("bucket"), F.lit(SLOTS)).cast("int").alias("slot")
+    full = materialize(keyed.groupBy(slot).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("slot"), "slots")
+    placed = keyed.withColumn("slot", slot)
+    rest = placed.join(F.broadcast(full), "slot", "left_anti").drop("slot")
+    held = placed.join(F.broadcast(full), "slot", "left_semi").drop("slot")
+    large = materialize(held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block), "large")
+    blocks = F.coalesce(F.ceil(F.col("n") / block).cast("int"), F.lit(1))
     spread = (
-        keyed.join(large, ["mask_no", "key"], "left")
-        .withColumn("mine", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(blocks, F.lit(1)) - 1)))
+        held.join(large, "bucket", "left")
+        .withColumn("mine", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     )
-    cell = F.concat_ws("-", F.least("mine", "other"), F.greatest("mine", "other"))
-    return spread.select("mask_no", "key", cell.alias("cell"), "fp", "rep")
-
-
-def _words(fp: pd.Series) -> np.ndarray:
-    """Fingerprints of a batch, as one column of words or as rows of several."""
-    if fp.dtype != object:
-        return fp.to_numpy("i8").view("u8")
-    return np.stack(fp.to_list()).astype("i8").view("u8")
+    cell = F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other"))
+    split = spread.withColumn("bucket", F.when(F.col("n").isNull(), F.col("bucket")).otherwise(cell))
+    return rest.unionByName(split.select(*keyed.columns))
 
 
 def _apart(one: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -117,7 +118,7 @@ def _apart(one: np.ndarray, other: np.ndarray) -> np.ndarray:
 def _links(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Row pairs that connect, within runs of equal ``key``, all rows within the radius.
 
-    ``fp`` holds a fingerprint per row, of one word or (two-dimensional) of several.
+    ``key`` ascends.  ``fp`` holds a fingerprint per row, of one word or (two-dimensional) of several.
 
     Short runs are compared shift by shift, all runs at once.  A long run is
     walked breadth-first, so that a dense one costs few comparisons: a row
@@ -156,37 +157,37 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) ->
     return table_links(distinct, [F.col("fp").bitwiseAND(F.lit(m)) for m in masks], radius, block)
 
 
-def table_links(distinct: DataFrame, keys: list[Column], radius: int, block: int = BLOCK) -> DataFrame:
-    """(fp, rep), a table per key -> edges (a, b) that connect the rows within ``radius`` that share a table's key.
+def table_links(distinct: DataFrame, keys: list[Column], radius: int, block: int = BLOCK, words: tuple[str, ...] = ("fp",)) -> DataFrame:
+    """(rep, words...), a table per key -> edges (a, b) that connect the rows within ``radius`` that share a table's key.
 
-    ``fp`` is a long, or an array of longs.
+    ``words`` are the columns of the fingerprint.  A table's key is hashed to a
+    bucket; where two keys fall into one, more rows are compared, and no others
+    are linked.
     """
-    tables = F.array(*[F.struct(F.lit(i).cast("short").alias("mask_no"), k.alias("key")) for i, k in enumerate(keys)])
-    keyed = distinct.select("fp", "rep", F.explode(tables).alias("t")).select("t.mask_no", "t.key", "fp", "rep")
+    tables = F.array(*[F.xxhash64(F.lit(i), k) for i, k in enumerate(keys)])
+    keyed = distinct.select("rep", *words, F.explode(tables).alias("bucket"))
 
     def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
 
         def within(rows: pd.DataFrame) -> pd.DataFrame:
-            run = (rows[["mask_no", "key", "cell"]] != rows[["mask_no", "key", "cell"]].shift()).any(axis=1)
             rep = rows["rep"].to_numpy("i8")
-            i, j = _links(run.cumsum().to_numpy(), _words(rows["fp"]), radius)
+            prints = rows[list(words)].to_numpy("i8").view("u8") if len(words) > 1 else rows[words[0]].to_numpy("i8").view("u8")
+            i, j = _links(rows["bucket"].to_numpy("i8"), prints, radius)
             a, b = spanning_edges(rep[i].tolist(), rep[j].tolist())
             return pd.DataFrame({"a": a, "b": b}, dtype="i8")
 
         for batch in batches:
             rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            last = (rows[["mask_no", "key", "cell"]] == rows[["mask_no", "key", "cell"]].iloc[-1]).all(axis=1)
-            cut = int((~last).to_numpy().nonzero()[0].max()) + 1 if (~last).any() else 0
+            bucket = rows["bucket"].to_numpy("i8")
+            cut = int(np.searchsorted(bucket, bucket[-1])) if len(rows) else 0  # the last bucket may go on
             held = rows.iloc[cut:].reset_index(drop=True)
             if cut:
                 yield within(rows.iloc[:cut])
         if held is not None and len(held):
             yield within(held)
 
-    order = ["mask_no", "key", "cell"]
-    grouped = _cells(keyed, block).repartition(*order).sortWithinPartitions(*order)
-    return grouped.mapInPandas(links, "a long, b long")
+    return _cells(keyed, block).repartition("bucket").sortWithinPartitions("bucket").mapInPandas(links, "a long, b long")
 
 
 def near_duplicates(

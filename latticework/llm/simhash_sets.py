@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_key
+from .common import among, materialize, text_key
 from .components import connected_components
 from .simhash import covering_masks, shingles, table_links
 
@@ -34,6 +34,7 @@ SIMILARITY = 0.8
 #: Parts of 32 bits of a fingerprint, two a word, and the bits in which one of them may differ.
 PARTS = 6
 PART_RADIUS = 3
+PRINT = tuple(f"fp{k}" for k in range(PARTS // 2))
 #: Differing bits of all parts up to which a pair is a candidate: three deviations over the mean at SIMILARITY.
 RADIUS = 45
 #: Sets of a group in one block; parts of more sets have blocks of their own.
@@ -69,7 +70,7 @@ def table_keys() -> list[Column]:
     """A key per table of the covering family of every part."""
     keys = []
     for part in range(PARTS):
-        word = F.get("fp", F.lit(part // 2))
+        word = F.col(PRINT[part // 2])
         half = word.bitwiseAND(F.lit(0xFFFFFFFF)) if part % 2 == 0 else F.shiftrightunsigned(word, 32)
         keys += [half.bitwiseAND(F.lit(m)) for m in covering_masks(PART_RADIUS, 32)]
     return keys
@@ -196,21 +197,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingle_set(t.encode()) for t in batch["body"]]
-            blobs = [s.tobytes() for s in sets]
-            node = np.fromiter(map(xxhash.xxh64_intdigest, blobs), "u8", len(blobs)).view("i8")
-            prints = [set_fingerprint(s) for s in sets]
-            yield pd.DataFrame({"id": batch["id"], "text_key": batch["text_key"], "node": node, "fp": prints, "blob": blobs})
+            node = np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in sets), "u8", len(sets)).view("i8")
+            prints = np.array([set_fingerprint(s) for s in sets], "i8").reshape(len(sets), len(PRINT))
+            found = {"id": batch["id"], "text_key": batch["text_key"], "node": node}
+            yield pd.DataFrame(found | {name: prints[:, k] for k, name in enumerate(PRINT)})
+
+    def set_blob(col: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t.encode()).tobytes() for t in col], dtype=object)
 
     body = F.coalesce(F.col(text_col), F.lit("")).alias("body")
     source = docs.select(F.col(id_col).cast("string").alias("id"), text_key(text_col).alias("text_key"), body)
-    prints = materialize(
-        source.mapInPandas(made, "id string, text_key long, node long, fp array<long>, blob binary"), "fingerprints"
-    )
-    distinct = materialize(prints.groupBy(F.col("node").alias("rep")).agg(F.first("fp").alias("fp")), "distinct-sets")
-    groups = connected_components(table_links(distinct, table_keys(), RADIUS))
+    words = ", ".join(f"{name} long" for name in PRINT)
+    prints = materialize(source.mapInPandas(made, f"id string, text_key long, node long, {words}"), "fingerprints")
+    first = prints.groupBy(F.col("node").alias("rep")).agg(*[F.first(name).alias(name) for name in PRINT], F.min("text_key").alias("text_key"))
+    distinct = materialize(first, "distinct-sets")
+    groups = connected_components(table_links(distinct, table_keys(), RADIUS, words=PRINT))
     members = materialize(groups.select(F.col("component").alias("bucket"), "node"), "members")
-    sets = prints.select("node", "blob").join(members.select("node"), "node", "left_semi")
-    sets = materialize(sets.groupBy("node").agg(F.first("blob").alias("blob")), "sets")
+    # The sets of the members alone are made again, each from one text.
+    wanted = materialize(members.join(distinct, F.col("node") == F.col("rep")).select("node", "text_key"), "wanted")
+    texts = among(source.select("text_key", "body"), wanted.select("text_key"), "text_key")
+    joined = texts.join(wanted, "text_key").dropDuplicates(["node"])
+    sets = materialize(joined.select("node", F.pandas_udf(set_blob, "binary")("body").alias("blob")), "sets")
     stars = materialize(_star_edges(members, sets), "star-edges")
     parts = connected_components(stars).select("node", F.col("component").alias("part"))
     labelled = materialize(members.join(parts, "node", "left").select("bucket", "node", F.coalesce("part", "node").alias("part")), "labelled")
