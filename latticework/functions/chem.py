@@ -47,6 +47,25 @@ def szudzik_array(values: Column) -> Column:
     return F.when(F.size(values) > 0, F.aggregate(rest, F.get(values, F.lit(0)).cast("long"), szudzik))
 
 
+def unszudzik_array(h: Column, n: int) -> Column:
+    """The ``n`` integers whose fold by ``szudzik_array`` is ``h``."""
+    values: list[Column] = []
+    for _ in range(n - 1):
+        h, last = unszudzik(h)
+        values.insert(0, last)
+    return F.array(h.cast("long"), *values)
+
+
+def symbols_hash(symbols: Column) -> Column:
+    """Hash of an array of element symbols, in their order."""
+    return szudzik_array(F.transform(symbols, atomic_number))
+
+
+def hash_symbols(h: Column, n: int = 2) -> Column:
+    """The ``n`` element symbols of a hash."""
+    return F.transform(unszudzik_array(h, n), lambda z: symbol_of(z.cast("int")))
+
+
 def pair_hash(z_i: Column, z_j: Column) -> Column:
     """Hash of an unordered pair: the same for both directions."""
     return szudzik(F.least(z_i, z_j), F.greatest(z_i, z_j))

@@ -99,22 +99,24 @@ def valleys(found: DataFrame, group: str = "interaction_id") -> DataFrame:
 
 
 def coverage(histogram: DataFrame, reference: str = "ref", value: str = "n", weight: float = 10.0, group: str = "interaction_id") -> DataFrame:
-    """(group, scale, covered): the scale of a reference under the histogram that loses least.
+    """(group, scale, score, covered): the scale of a reference that fits best under the histogram.
 
-    The loss of scale x is the sum of (h - x ref) where the reference is below,
-    and ``weight`` times its excess where above; it is piecewise linear with
-    breakpoints h / ref, so the best x is a weighted median of those ratios.
-    ``covered`` is the area under the lower of histogram and scaled reference.
+    Of a scale x, a bin scores x ref where that is at most the histogram's h, and
+    costs ``weight`` times its excess over h elsewhere.  Between the breakpoints
+    h / ref the score is linear and at each it drops by h just beyond, so the
+    best x is one of them; of equal scores the smallest.  ``covered`` is the
+    area under the lower of histogram and scaled reference.
     """
-    ratio = F.col(value) / F.col(reference)
-    used = histogram.where(F.col(reference) > 0).withColumn("_x", ratio)
-    along = Window.partitionBy(group).orderBy("_x", "bin").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum(reference).over(Window.partitionBy(group))
-    # Moving x up gains ref below each breakpoint not yet reached and costs weight * ref beyond it.
-    passed = F.sum(reference).over(along) * (1 + weight) >= total
-    best = used.withColumn("_ok", passed).where("_ok").groupBy(group).agg(F.min("_x").alias("scale"))
+    used = histogram.where(F.col(reference) > 0).withColumn("_x", F.col(value) / F.col(reference))
+    every, alike = Window.partitionBy(group), Window.partitionBy(group, "_x")
+    up_to = Window.partitionBy(group).orderBy("_x").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    below_ref = F.sum(reference).over(up_to) - F.sum(reference).over(alike)
+    below_n = F.sum(value).over(up_to) - F.sum(value).over(alike)
+    above_ref = F.sum(reference).over(every) - below_ref
+    scored = used.select(group, "_x", (F.col("_x") * above_ref - weight * (F.col("_x") * below_ref - below_n)).alias("_s"))
+    best = scored.groupBy(group).agg(F.min_by("_x", F.struct(-F.col("_s"), F.col("_x"))).alias("scale"), F.max("_s").alias("score"))
     low = F.least(F.col(value).cast("double"), F.col("scale") * F.col(reference))
-    return used.join(F.broadcast(best), group).groupBy(group, "scale").agg(F.sum(low).alias("covered"))
+    return used.join(best, group).groupBy(group, "scale", "score").agg(F.sum(low).alias("covered"))
 
 
 def density_histogram(pairs: DataFrame, configs: DataFrame, r_cut: float, n_bins: int, group: str = "interaction_id") -> DataFrame:
@@ -135,15 +137,20 @@ def density_histogram(pairs: DataFrame, configs: DataFrame, r_cut: float, n_bins
 
 
 def peaks_by_width(series: DataFrame, min_width: float, value: str = "density", group: str = "interaction_id") -> DataFrame:
-    """Peaks whose width at half prominence is at least ``min_width`` bins; a group is one histogram."""
+    """Peaks whose width at half prominence is at least ``min_width`` bins; a group is one histogram.
+
+    A flat top counts at its middle bin, the left one of two.
+    """
 
     def find(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("bin")
         y, bins = rows[value].to_numpy(float), rows["bin"].to_numpy()
         out = []
-        for i in range(1, len(y) - 1):
-            if not (y[i] > y[i - 1] and y[i] > y[i + 1]):
+        edge = np.flatnonzero(np.r_[True, y[1:] != y[:-1], True])  # runs of equal values
+        for first, after in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            if first == 0 or after == len(y) or not (y[first] > y[first - 1] and y[first] > y[after]):
                 continue
+            i = (first + after - 1) // 2
             left, right = i, i
             while left > 0 and y[left - 1] <= y[i]:
                 left -= 1
@@ -175,7 +182,7 @@ def closest(values: DataFrame, targets: DataFrame, group: str, value: str, targe
 def element_volumes(compositions: DataFrame, species: list[int], ridge: float = 1e-6):
     """Volume per atom of each species: Huber regression of cell volume on composition.
 
-    No intercept; pseudo-rows of ``ridge`` keep absent species at zero.  The
+    No intercept; pseudo-rows of ``ridge`` for every species keep absent ones at zero.  The
     robust fit iterates over the distributed rows; the result has a number per
     species.
     """
@@ -185,7 +192,7 @@ def element_volumes(compositions: DataFrame, species: list[int], ridge: float =
     spark = compositions.sparkSession
     names = [f"n_{z}" for z in species]
     extra = spark.createDataFrame(
-        [tuple([ridge if a == b else 0.0 for a in range(len(names))] + [0.0]) for b in range(len(names))],
+        [tuple([ridge] * len(names) + [0.0])] * len(names),
         ", ".join(f"{c} double" for c in [*names, "volume"]),
     )
     rows = compositions.select(*[F.col(c).cast("double") for c in names], F.col("volume").cast("double")).unionByName(extra)
@@ -204,3 +211,45 @@ def density_2d(rows: DataFrame, x: str, y: str, width: float) -> DataFrame:
     )
     low = counted.agg(F.min("n").alias("_low"))
     return counted.crossJoin(F.broadcast(low)).withColumn("log_density", F.log10(F.col("n") - F.col("_low") + 1)).drop("_low")
+
+
+def bond_lengths(volumes: DataFrame, pairs: list[tuple[int, int, int]]) -> DataFrame:
+    """(interaction_id, bond): diameter of a sphere with the mean atomic volume of the pair's species.
+
+    ``volumes`` is (z, volume), ``pairs`` (interaction_id, z, z) of a basis.
+    """
+    spark = volumes.sparkSession
+    ends = spark.createDataFrame([(i, z) for i, *both in pairs for z in both], "interaction_id int, z int")
+    mean = ends.join(volumes, "z").groupBy("interaction_id").agg(F.avg("volume").alias("_v"))
+    return mean.select("interaction_id", (2 * F.pow(F.col("_v") / (PI4 / 3), F.lit(1 / 3))).alias("bond"))
+
+
+def suggest_cutoffs(found: DataFrame, bonds: DataFrame, group: str = "interaction_id") -> DataFrame:
+    """(group, valley) of the valleys that lie at or beyond the bond length."""
+    return found.join(bonds, group).where(F.col("valley") >= F.col("bond")).select(group, "valley")
+
+
+def analyse(
+    histogram: DataFrame, totals: DataFrame, volumes: DataFrame, pairs: list[tuple[int, int, int]], width: float, n_bins: int,
+    filter_width: int = 9, filter_degree: int = 3, smooth: bool = True,
+) -> dict[str, DataFrame]:
+    """All that is read from a pair histogram, each a table by interaction.
+
+    rdf, coverage (against the ideal gas), lower_bounds, peaks and valleys (as
+    distances, of the smoothed distribution) and cutoffs (valleys beyond the
+    bond length of ``volumes``).  Interactions without pairs have no rows.
+    """
+    every = filled(histogram, n_bins)
+    g = rdf(every, totals, width)
+    lo, hi = F.col("bin") * width, (F.col("bin") + 1) * width
+    shell = F.lit(PI4 / 3) * (hi * hi * hi - lo * lo * lo)
+    gas = every.crossJoin(F.broadcast(totals)).withColumn("ref", F.col("n_atoms") * F.col("n_atoms") / F.col("volume") * shell)
+    series = savgol(every, filter_width, filter_degree) if smooth else every.withColumn("smooth", F.col("n").cast("double"))
+    tops = peaks(series)
+    centre = (F.col("peak") + 0.5) * width
+    between = valleys(tops).select("interaction_id", ((F.col("valley") + 0.5) * width).alias("valley"))
+    return {
+        "rdf": g, "coverage": coverage(gas), "lower_bounds": lower_bounds(histogram, width),
+        "peaks": tops.select("interaction_id", centre.alias("peak")), "valleys": between,
+        "cutoffs": suggest_cutoffs(between, bond_lengths(volumes, pairs)),
+    }

@@ -257,6 +257,16 @@ class Basis:
     def grid_table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.grid(), "interaction_id int, l int, m int, n int, feature_idx int, weight double")
 
+    def shares(self) -> list[tuple[int, int, int, int, int, float]]:
+        """(interaction_id, l, m, n, feature_idx, share): what each cell of a full grid adds to the mean of a kept cell's images."""
+        swaps = {1: 1, 2: 2, 3: 6}
+        kept = {x.offset + k: float(w) for x in self.of_degree(3) for k, w in enumerate(x.weights[x.weights > 0])}
+        count = {x.number: swaps[x.symmetry] for x in self.of_degree(3)}
+        return [(i, l, m, n, f, w / kept[f] / count[i]) for i, l, m, n, f, w in self.grid()]
+
+    def shares_table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.shares(), "interaction_id int, l int, m int, n int, feature_idx int, share double")
+
     def penalties(self, strengths: dict[str, float] | None = None) -> list[tuple[int, int, float]]:
         """Sparse regulariser rows (row, feature_idx, value): ridge and curvature per degree."""
         s = {"ridge_1b": 1e-16, "ridge_2b": 0.0, "ridge_3b": 1e-10, "curve_2b": 1e-16, "curve_3b": 1e-16} | (strengths or {})
@@ -283,3 +293,42 @@ class Basis:
 
     def penalties_table(self, spark: SparkSession, strengths: dict[str, float] | None = None) -> DataFrame:
         return spark.createDataFrame(self.penalties(strengths), "row int, feature_idx int, value double")
+
+
+def _intervals(lo: float, hi: float, spacing: float, name: str) -> int:
+    n = round((hi - lo) / spacing)
+    if n < 1 or abs(n * spacing - (hi - lo)) > 1e-8 * max(1.0, abs(hi - lo)):
+        raise ValueError(f"{name}: {hi - lo} is no whole number of intervals of {spacing}")
+    return n
+
+
+def basis_from_spacing(
+    species: tuple[int, ...], pair: tuple[float, float, float], trio: tuple[float, float, float] | None = None, lead: int = 0, trail: int = 3
+) -> Basis:
+    """A basis of evenly spaced knots from (r_min, r_max, spacing) of pairs and of a trio's near legs.
+
+    The far leg reaches twice as far.  All reaches are whole numbers of
+    intervals, so that smaller cut-offs are columns left out.
+    """
+    if (lead, trail) != (0, 3):
+        raise ValueError("columns can be left out for smaller cut-offs only with trims of 0 and 3")
+    species = tuple(sorted(species))
+    lo, hi, step = pair
+    pairs = {p: (lo, hi, _intervals(lo, hi, step, "pairs")) for p in combinations_with_replacement(species, 2)}
+    trios = {}
+    if trio is not None:
+        lo, hi, step = trio
+        near, far = _intervals(lo, hi, step, "near legs"), _intervals(lo, 2 * hi, step, "far legs")
+        trios = {
+            (z, *two): (lo, (hi, hi, 2 * hi), (near, near, far)) for z in species for two in combinations_with_replacement(species, 2)
+        }
+    return Basis(species, pairs, trios, degree=3 if trio else 2, lead={2: lead, 3: lead}, trail={2: trail, 3: trail})
+
+
+def lower_cutoffs(basis: Basis) -> dict[str, list[float]]:
+    """Cut-offs that leaving out columns can reach: inner knots from the first whole spline on, of pairs and of near legs."""
+    pair = basis.of_degree(2)[0].knots[0]
+    found = {"rmax_2b": pair[DEGREE + 1 : -DEGREE].tolist()}
+    if basis.degree > 2:
+        found["rmax_3b"] = basis.of_degree(3)[0].knots[0][DEGREE + 1 : -DEGREE].tolist()
+    return found

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROW = ["config_id", "component", "atom_idx"]
@@ -66,23 +66,42 @@ def gram(features: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return joined.groupBy(*by, kind_of().alias("kind"), "i", "j").agg(F.sum(F.col("vi") * F.col("vj")).alias("value"))
 
 
-def gram_blocks(wide_rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """The same Gram from dense rows (x array): one partial product per task and key, then sums."""
-    kinds = {c: dict(wide_rows.dtypes)[c] for c in by}
+def gram_blocks(features: DataFrame, width: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """The same Gram from long rows gathered by row: one dense partial product per task and key, then sums.
+
+    ``width`` is the number of features; a task holds a batch of rows and a
+    ``width`` x ``width`` product per key.  The ``by`` columns are constant in a row.
+    """
+    kinds = {c: dict(features.dtypes)[c] for c in by}
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, np.ndarray] = {}
-        for batch in batches:
-            for key, rows in batch.groupby([*by, "kind"], sort=False):
-                x = np.stack(rows["x"].to_list())
+        sums: dict[tuple, np.ndarray] = {}
+        rest: pd.DataFrame | None = None
+
+        def add(rows: pd.DataFrame) -> None:
+            for key, part in rows.groupby([*by, "kind"], sort=False):
+                x = np.zeros((part["row"].nunique(), width))
+                np.add.at(x, (pd.factorize(part["row"])[0], part["feature_idx"].to_numpy()), part["value"].to_numpy())
                 product = x.T @ x
-                held[key] = held[key] + product if key in held else product
-        for key, g in held.items():
+                sums[key] = sums[key] + product if key in sums else product
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            last = (rows["row"] == rows["row"].iloc[-1]).to_numpy()  # a row may go on in the next batch
+            add(rows[~last])
+            rest = rows[last]
+        if rest is not None:
+            add(rest)
+        for key, g in sums.items():
             i, j = np.nonzero(np.triu(g))
             yield pd.DataFrame({**dict(zip([*by, "kind"], key, strict=True)), "i": i.astype("i4"), "j": j.astype("i4"), "value": g[i, j]})
 
     schema = ", ".join([*[f"{c} {t}" for c, t in kinds.items()], "kind string, i int, j int, value double"])
-    parts = wide_rows.select(*by, kind_of().alias("kind"), "x").mapInPandas(partial, schema)
+    row = F.to_json(F.struct(*ROW)).alias("row")
+    keyed = features.select(*by, kind_of().alias("kind"), row, F.col("feature_idx").cast("int").alias("feature_idx"), "value")
+    parts = keyed.repartition("row").sortWithinPartitions("row").mapInPandas(partial, schema)
     return parts.groupBy(*by, "kind", "i", "j").agg(F.sum("value").alias("value"))
 
 
@@ -139,10 +158,10 @@ def legacy_weights(targets: DataFrame, kappa: float) -> DataFrame:
     """Adds weight: kappa / (std n) for energies, (1 - kappa) / (std n) for forces."""
     if not 0 <= kappa <= 1:
         raise ValueError("kappa lies between 0 and 1")
-    w = Window.partitionBy("kind")
     told = targets.withColumn("kind", kind_of())
+    found = told.groupBy("kind").agg((F.stddev_pop("y") * F.count("y")).alias("_spread"))  # two rows
     share = F.when(F.col("kind") == "energy", kappa).otherwise(1 - kappa)
-    return told.withColumn("weight", share / (F.stddev_pop("y").over(w) * F.count("y").over(w))).drop("kind")
+    return told.join(F.broadcast(found), "kind").withColumn("weight", share / F.col("_spread")).drop("kind", "_spread")
 
 
 def solve(grams: DataFrame, ordinates: DataFrame, by: tuple[str, ...] = ("model",)) -> DataFrame:
@@ -221,6 +240,34 @@ def cross_validate(fold_gram: DataFrame, fold_ordinate: DataFrame, grid: DataFra
     return solve(g, o, by=("model", "fold"))
 
 
+def square_sums(targets: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., kind, n, value): the number of targets and the sum of their squares."""
+    return targets.groupBy(*by, kind_of().alias("kind")).agg(F.count("y").alias("n"), F.sum(F.col("y") * F.col("y")).alias("value"))
+
+
+def errors_from_sums(grams: DataFrame, ordinates: DataFrame, squares: DataFrame, models: DataFrame) -> DataFrame:
+    """(model, held, kind, part, n, rmse) of cross-validated models, without another pass over the rows.
+
+    ``grams`` (fold, kind, i, j, value), ``ordinates`` (fold, kind, i, value) and
+    ``squares`` (fold, kind, n, value) give the squared error of coefficients c
+    as y'y - 2 c'X'y + c'X'Xc; ``models`` is (model, fold, feature_idx,
+    coefficient) with the fold held out.  Part is train or valid.
+    """
+    c = models.select("model", F.col("fold").alias("held"), F.col("feature_idx").alias("i"), F.col("coefficient").alias("ci"))
+    d = c.select("model", "held", F.col("i").alias("j"), F.col("ci").alias("cj"))
+    twice = F.when(F.col("i") == F.col("j"), 1.0).otherwise(2.0)
+    quad = grams.join(c, "i").join(d, ["model", "held", "j"]).groupBy("model", "held", "fold", "kind").agg(
+        F.sum(twice * F.col("value") * F.col("ci") * F.col("cj")).alias("v")
+    )
+    lin = ordinates.join(c, "i").groupBy("model", "held", "fold", "kind").agg((-2 * F.sum(F.col("value") * F.col("ci"))).alias("v"))
+    every = c.select("model", "held").distinct().crossJoin(squares)
+    base = every.select("model", "held", "fold", "kind", F.col("value").alias("v"), "n")
+    terms = base.unionByName(quad.withColumn("n", F.lit(0))).unionByName(lin.withColumn("n", F.lit(0)))
+    part = F.when(F.col("fold") == F.col("held"), "valid").otherwise("train").alias("part")
+    summed = terms.groupBy("model", "held", "kind", part).agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
+    return summed.select("model", "held", "kind", "part", "n", F.sqrt(F.greatest(F.col("v"), F.lit(0.0)) / F.col("n")).alias("rmse"))
+
+
 def by_interaction(models: DataFrame, interactions: DataFrame) -> DataFrame:
     """Flat coefficients (..., feature_idx, coefficient) with their interaction and place in it."""
     small = F.broadcast(interactions.select("interaction_id", "feat_offset", "feat_size"))
@@ -231,8 +278,8 @@ def by_interaction(models: DataFrame, interactions: DataFrame) -> DataFrame:
 def fit_curves(samples: DataFrame, knots: np.ndarray, ridge: float = 1e-12) -> DataFrame:
     """Least-squares cubic splines of sampled curves (curve, x, y) -> (curve, basis_idx, coefficient).
 
-    Samples outside the knots are left out; basis functions without a sample
-    get zero by the ridge.
+    Samples outside the knots are left out, repeated ones count as often as they
+    come; basis functions without a sample get zero by the ridge.
     """
     from .basis import spline_pieces
 
@@ -241,12 +288,14 @@ def fit_curves(samples: DataFrame, knots: np.ndarray, ridge: float = 1e-12) -> D
     table = F.broadcast(spark.createDataFrame(pieces, "basis_idx int, t_lo double, t_hi double, c0 double, c1 double, c2 double, c3 double"))
     d = F.col("x") - F.col("t_lo")
     value = F.col("c0") + d * (F.col("c1") + d * (F.col("c2") + d * F.col("c3")))
-    keyed = samples.withColumn("row", F.xxhash64("curve", "x", "y"))
-    met = keyed.join(table, (F.col("x") > F.col("t_lo")) & (F.col("x") <= F.col("t_hi"))).select("curve", "row", "y", "basis_idx", value.alias("v"))
-    other = met.select("curve", "row", F.col("basis_idx").alias("j"), F.col("v").alias("w"))
-    g = met.withColumnRenamed("basis_idx", "i").join(other, ["curve", "row"]).where("i <= j").groupBy("curve", "i", "j").agg(F.sum(F.col("v") * F.col("w")).alias("value"))
+    point = ["curve", "x", "y"]
+    keyed = samples.groupBy(*point).agg(F.count(F.lit(1)).alias("times"))
+    met = keyed.join(table, (F.col("x") > F.col("t_lo")) & (F.col("x") <= F.col("t_hi"))).select(*point, "times", "basis_idx", value.alias("v"))
+    other = met.select(*point, F.col("basis_idx").alias("j"), F.col("v").alias("w"))
+    pairs = met.withColumnRenamed("basis_idx", "i").join(other, point).where("i <= j")
+    g = pairs.groupBy("curve", "i", "j").agg(F.sum(F.col("times") * F.col("v") * F.col("w")).alias("value"))
     n = len(knots) - 4
     diagonal = samples.select("curve").distinct().crossJoin(F.broadcast(spark.createDataFrame([(k, k, ridge) for k in range(n)], "i int, j int, value double")))
-    o = met.groupBy("curve", F.col("basis_idx").alias("i")).agg(F.sum(F.col("v") * F.col("y")).alias("value"))
+    o = met.groupBy("curve", F.col("basis_idx").alias("i")).agg(F.sum(F.col("times") * F.col("v") * F.col("y")).alias("value"))
     solved = solve(g.unionByName(diagonal), o, by=("curve",))
     return solved.select("curve", F.col("feature_idx").alias("basis_idx"), "coefficient")

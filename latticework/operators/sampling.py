@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Groups of more rows than this are sampled by rounds over the distributed table.
@@ -18,11 +16,12 @@ def farthest_points(
 ) -> DataFrame:
     """Rows picked farthest-first in each group: (group, key, picked), picked = 0, 1, ...
 
-    Starts at the smallest first value (ties by key), then takes the row
-    farthest from all picked ones until ``max_samples`` are picked or the
-    farthest is nearer than ``min_diff``.  Without either limit every row stays.
-    Groups up to ``group_rows`` run as one vectorised task each, larger ones as
-    rounds of one aggregate over the distributed rows.
+    Starts at the smallest first value, then takes the row farthest from all
+    picked ones until ``max_samples`` are picked or the farthest is nearer than
+    ``min_diff``; ties go to the smallest key.  Without either limit every row
+    stays.  Groups up to ``group_rows`` run as one vectorised task each, larger
+    ones as rounds of one aggregate over the distributed rows: a job and a row
+    on the driver for each pick.
     """
     schema = f"{group} {dict(rows.dtypes)[group]}, {key} {dict(rows.dtypes)[key]}, picked int"
     if not max_samples and not min_diff:
@@ -33,15 +32,22 @@ def farthest_points(
     def pick(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(key, kind="stable")
         x = part[values].to_numpy(float)
+
+        def distance(at: int) -> np.ndarray:
+            total = np.zeros(len(x))
+            for k in range(x.shape[1]):  # column by column, as the distributed rounds add
+                total += (x[:, k] - x[at, k]) ** 2
+            return np.sqrt(total)
+
         at = int(x[:, 0].argmin())
-        chosen, gap = [at], np.sqrt(((x - x[at]) ** 2).sum(axis=1))
+        chosen, gap = [at], distance(at)
         limit = min(len(x), max_samples or len(x))
         while len(chosen) < limit:
             at = int(gap.argmax())
             if gap[at] <= 0 or gap[at] < min_diff:
                 break
             chosen.append(at)
-            gap = np.minimum(gap, np.sqrt(((x - x[at]) ** 2).sum(axis=1)))
+            gap = np.minimum(gap, distance(at))
         return pd.DataFrame({group: part[group].iloc[chosen].to_numpy(), key: part[key].iloc[chosen].to_numpy(), "picked": range(len(chosen))})
 
     needed = rows.select(group, key, *values)
@@ -53,28 +59,34 @@ def farthest_points(
 
 
 def _by_rounds(rows: DataFrame, group: str, key: str, values: list[str], max_samples: int, min_diff: float) -> DataFrame:
+    """The picks of one large group.  The gaps are written out every 16 rounds, so no plan grows beyond that."""
+    from latticework.sources.sinks import scratch
+
     spark = rows.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="latticework-"))
-    first = rows.orderBy(values[0], key).first()
-    chosen = [first]
+    chosen = [rows.orderBy(values[0], key).first()]
     near = rows.withColumn("_gap", F.lit(float("inf")))
-    while True:
+    while not max_samples or len(chosen) < max_samples:
         last = chosen[-1]
         d = F.sqrt(sum(((F.col(v) - F.lit(float(last[v]))) ** 2 for v in values), F.lit(0.0)))
         near = near.withColumn("_gap", F.least("_gap", d))
-        if len(chosen) % 16 == 0:
-            near = near.checkpoint()
-        if max_samples and len(chosen) >= max_samples:
-            break
-        best = near.agg(F.max(F.struct("_gap", F.struct(*[F.col(c) for c in rows.columns]).alias("r")))).first()[0]
-        if best is None or best["_gap"] <= 0 or best["_gap"] < min_diff:
+        if len(chosen) % 16 == 1:
+            path = scratch(spark, "gaps")
+            near.write.parquet(path)
+            near = spark.read.schema(near.schema).parquet(path)
+        best = near.agg(F.min(F.struct((-F.col("_gap")).alias("gap"), key, F.struct(*rows.columns).alias("r")))).first()[0]
+        if best is None or -best["gap"] <= 0 or -best["gap"] < min_diff:
             break
         chosen.append(best["r"])
     picked = [(r[group], r[key], i) for i, r in enumerate(chosen)]
     return spark.createDataFrame(picked, f"{group} {dict(rows.dtypes)[group]}, {key} {dict(rows.dtypes)[key]}, picked int")
 
 
+def uniform(*parts: Column) -> Column:
+    """A number in [0, 1) drawn by a hash of the parts: the same in every run and on every retry."""
+    digest = F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]))
+    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(1 << 48)
+
+
 def axis_displacements(configs: DataFrame, atoms: DataFrame, d: float) -> DataFrame:
     """Each atom moved by d along each axis, down its force: (config_id, atom_idx, axis, shift, energy).
 
@@ -95,13 +107,9 @@ def random_displacements(configs: DataFrame, atoms: DataFrame, d: float, n: int
     Returns configs (config_id, copy, energy) and atoms (config_id, copy, atom_idx, px, py, pz).
     """
     many = atoms.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-
-    def draw(axis: int):
-        h = F.pmod(F.xxhash64("config_id", "atom_idx", "copy", F.lit(axis), F.lit(seed)), F.lit(1 << 40))
-        return (h / F.lit(float(1 << 39)) - 1) * d
-
+    name = [F.lit(seed), F.col("config_id"), F.col("atom_idx"), F.col("copy")]
     for a, p in enumerate(("px", "py", "pz")):
-        many = many.withColumn(f"d{a}", draw(a)).withColumn(p, F.col(p) + F.col(f"d{a}"))
+        many = many.withColumn(f"d{a}", (2 * uniform(*name, F.lit(a)) - 1) * d).withColumn(p, F.col(p) + F.col(f"d{a}"))
     work = sum((F.col(c) * F.col(f"d{a}") for a, c in enumerate(("fx", "fy", "fz"))), F.lit(0.0))
     change = many.groupBy("config_id", "copy").agg(F.sum(work).alias("_work"))
     energies = change.join(configs.select("config_id", "energy"), "config_id").select(
@@ -112,12 +120,8 @@ def random_displacements(configs: DataFrame, atoms: DataFrame, d: float, n: int
 
 def rattle(atoms: DataFrame, amplitude: float, seed: int = 0) -> DataFrame:
     """Positions moved by normal noise, drawn by hash so that a retried task moves them alike."""
-
-    def uniform(axis: int, k: int):
-        h = F.pmod(F.xxhash64("config_id", "atom_idx", F.lit(2 * axis + k), F.lit(seed)), F.lit(1 << 40))
-        return (h + 1) / F.lit(float((1 << 40) + 1))
-
+    name = [F.lit(seed), F.col("config_id"), F.col("atom_idx")]
     for a, p in enumerate(("px", "py", "pz")):
-        normal = F.sqrt(-2 * F.log(uniform(a, 0))) * F.cos(2 * F.pi() * uniform(a, 1))
-        atoms = atoms.withColumn(p, F.col(p) + amplitude * normal)
+        near, turn = 1 - uniform(*name, F.lit(2 * a)), uniform(*name, F.lit(2 * a + 1))
+        atoms = atoms.withColumn(p, F.col(p) + amplitude * F.sqrt(-2 * F.log(near)) * F.cos(2 * F.pi() * turn))
     return atoms

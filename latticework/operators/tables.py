@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sampling import farthest_points, uniform
+
 REQUIRED = ("config_id", "energy", "size")
 FORCE = ("fx", "fy", "fz")
 
@@ -32,13 +34,15 @@ def register(catalogue: DataFrame, dataset: DataFrame, prefix: str, *, overwrite
 def consolidate(datasets: Sequence[DataFrame], key: str = "config_id", keep: str | None = "last", order: str | None = None) -> DataFrame:
     """Union of datasets with one row per key: the first, the last, or (None) only unique keys.
 
-    Datasets count in the order given, rows within one by ``order``.
+    Datasets count in the order given, rows within one by ``order`` and then by
+    all their columns, so the choice does not hang on how rows are placed.
     """
     tagged = [d.withColumn("load_order", F.lit(i)) for i, d in enumerate(datasets)]
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
     if keep is None:
         return union.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key))).where("_n = 1").drop("_n")
-    columns = [F.col(c) for c in ("load_order", *([order] if order else []))]
+    rest = [c for c in union.columns if c not in ("load_order", order)]
+    columns = [F.col(c) for c in ("load_order", *([order] if order else []))] + [F.to_json(F.struct(*rest))]
     ranked = Window.partitionBy(key).orderBy(*[c.desc() if keep == "last" else c for c in columns])
     return union.withColumn("_n", F.row_number().over(ranked)).where("_n = 1").drop("_n")
 
@@ -91,17 +95,18 @@ def holdout(rows: DataFrame, keys: DataFrame, key: str = "config_id") -> DataFra
 
 def hash_sample(rows: DataFrame, n: int, key: str = "config_id", seed: int = 0) -> DataFrame:
     """``n`` rows drawn by a hash of the key: the same ones every time."""
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return rows.orderBy(uniform(F.lit(seed), F.col(key)), key).limit(n)
 
 
 def folds(rows: DataFrame, k: int, order: str, by: Sequence[str] = ()) -> DataFrame:
     """Contiguous folds of equal size, larger ones first, by a distributed rank.
 
     Without a group the rank over all rows is made from range partitions and
-    their running sizes, so no task orders the whole table.
+    their running sizes, so no task orders the whole table.  Rows of equal
+    ``order`` follow one another by their other columns.
     """
     if by:
-        return rows.withColumn("fold", F.ntile(k).over(Window.partitionBy(*by).orderBy(order)) - 1)
+        return rows.withColumn("fold", F.ntile(k).over(Window.partitionBy(*by).orderBy(order, *_others(rows, order))) - 1)
     ranked, total = global_rank(rows, order)
     n, r = F.lit(total), F.col("rank") - 1
     big, size = n % k, F.floor(n / k)
@@ -109,27 +114,31 @@ def folds(rows: DataFrame, k: int, order: str, by: Sequence[str] = ()) -> DataFr
     return ranked.withColumn("fold", fold.cast("int")).drop("rank")
 
 
+def _others(rows: DataFrame, order: str) -> list[Column]:
+    return [F.to_json(F.struct(*[c for c in rows.columns if c != order]))] if len(rows.columns) > 1 else []
+
+
 def global_rank(rows: DataFrame, order: str) -> tuple[DataFrame, int]:
-    """Adds ``rank`` (1, 2, ...) by ``order``, and the number of rows.
+    """Adds ``rank`` (1, 2, ...) by ``order``, equal ones by their other columns, and the number of rows.
 
-    Rows are cut into as many ranges as there are shuffle partitions; the
-    running count of the ranges (one row each) is added to the rank inside.
+    Rows are written in range partitions; the count of those before (one row
+    each, broadcast) is added to the place inside.  A value that many rows
+    share spreads over partitions, since the other columns are part of the range.
     """
+    from latticework.sources.sinks import scratch
+
     spark = rows.sparkSession
-    cuts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    if cuts == 1:
-        bounds = []
-    else:
-        bounds = sorted(set(rows.approxQuantile(order, [i / cuts for i in range(1, cuts)], 0.001)))
-    part = sum((F.when(F.col(order) > b, 1).otherwise(0) for b in bounds), F.lit(0))
-    tagged = rows.withColumn("_part", part)
-    sizes = {r["_part"]: r["n"] for r in tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    before, done = [], 0
-    for p in range(len(bounds) + 1):
-        before += [F.lit(p), F.lit(done)]
-        done += sizes.get(p, 0)
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(order))
-    return tagged.withColumn("rank", inside + F.element_at(F.create_map(*before), F.col("_part"))).drop("_part"), done
+    keyed = rows.withColumn("_rest", *_others(rows, order)) if len(rows.columns) > 1 else rows.withColumn("_rest", F.lit(""))
+    ranged = keyed.repartitionByRange(order, "_rest").sortWithinPartitions(order, "_rest").withColumn("_part", F.spark_partition_id())
+    # Within a partition this number rises in the order of its rows.
+    ranged = ranged.withColumn("_nth", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("long"), 33)).drop("_rest")
+    path = scratch(spark, "ranges")
+    ranged.write.parquet(path)
+    tagged = spark.read.schema(ranged.schema).parquet(path)
+    sizes = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    ranked = tagged.join(F.broadcast(before), "_part").withColumn("rank", F.col("_before") + F.col("_nth") + 1)
+    return ranked.select(*rows.columns, "rank"), tagged.count()
 
 
 def chunk_catalogue(chunks: DataFrame) -> DataFrame:
@@ -155,7 +164,7 @@ def alias_species(rows: DataFrame, aliases: dict[str, str], column: str = "type"
 
 def cutoff_grid(values: DataFrame, trios: DataFrame) -> DataFrame:
     """Pair and trio cut-offs (rmax_2b, rmax_3b) that fit: the pair's reaches twice the trio's."""
-    return values.crossJoin(F.broadcast(trios)).where(F.col("rmax_2b") >= 2 * F.col("rmax_3b"))
+    return values.crossJoin(trios).where(F.col("rmax_2b") >= 2 * F.col("rmax_3b"))
 
 
 def from_lists(spark, frames: Sequence[dict], prefix: str, energies: Sequence[float] | None = None, forces: Sequence | None = None) -> tuple[DataFrame, DataFrame]:
@@ -189,10 +198,23 @@ def harvest(configs: DataFrame, attached: DataFrame) -> DataFrame:
     return configs.join(found, "config_id", "left").withColumn("energy", F.coalesce("_energy", "energy")).drop("_energy")
 
 
+def harvest_forces(atoms: DataFrame, attached: DataFrame) -> DataFrame:
+    """Forces of an attached calculation (config_id, atom_idx, fx, fy, fz), else those the table holds.
+
+    A configuration's forces come from one side as a whole: an attached set with
+    a missing component does not count.
+    """
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in FORCE])
+    sizes = atoms.groupBy("config_id").agg(F.count(F.lit(1)).alias("_n"))
+    complete = attached.where(whole).groupBy("config_id").agg(F.count(F.lit(1)).alias("_n")).join(sizes, ["config_id", "_n"], "left_semi")
+    found = attached.join(complete, "config_id", "left_semi").select("config_id", "atom_idx", *[F.col(c).alias(f"_{c}") for c in FORCE])
+    joined = atoms.join(found, ["config_id", "atom_idx"], "left")
+    return joined.select(*[F.coalesce(f"_{c}", c).alias(c) if c in FORCE else F.col(c) for c in atoms.columns])
+
+
 def holdout_fraction(rows: DataFrame, fraction: float, key: str = "config_id", seed: int = 0) -> DataFrame:
     """Adds ``held``: true for about this share of the rows, chosen by a hash of the key."""
-    place = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) / 1_000_000
-    return rows.withColumn("held", place < fraction)
+    return rows.withColumn("held", uniform(F.lit(seed), F.col(key)) < fraction)
 
 
 def in_order(features: DataFrame, configs: DataFrame) -> DataFrame:
@@ -208,8 +230,6 @@ def ingest(configs: DataFrame, pressures: DataFrame | None = None, max_samples:
     own file.  ``configs`` needs prefix, config_id, energy, size (and directory,
     volume for pressures).
     """
-    from .sampling import farthest_points
-
     rows = configs.where(F.col("size") > 0)
     if max_samples > 0 and min_diff > 0:
         told = energy_per_atom(rows).where("energy_per_atom is not null").select("prefix", "config_id", "energy_per_atom")

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from latticework.functions.chem import pair_hash, szudzik, szudzik_array, unszudzik
 from latticework.operators import analysis, basis as dims, features, fit, neighbours, repair, sampling, score, tables
 
+from latticework.sources.sinks import scratch
+
 from . import standin
-from .standin import ATOMS_SQL, HORNER_SQL, PAIRS_SQL, SLOPE_SQL, pairs_with_ids_sql, pieces_sql, values_sql
+from .standin import ATOMS_SQL, HORNER_SQL, PAIRS_SQL, SLOPE_SQL, pairs_with_ids_sql, pieces_sql, solve_sql, splines_sql, values_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -192,7 +194,7 @@ def training_subset(spark, sf):
     return tables.subset(standin.configs(spark, sf), train, "cust").select("config_id", "energy")
 
 
-@query()
+@query("SELECT o_orderkey AS config_id, o_totalprice AS energy FROM orders ORDER BY md5('7:' || o_orderkey)[:12], o_orderkey LIMIT 1000")
 def random_sample(spark, sf):
     return tables.hash_sample(standin.configs(spark, sf), 1000, seed=7).select("config_id", "energy")
 
@@ -433,24 +435,45 @@ def local_valleys(spark, sf):
     return analysis.valleys(analysis.peaks(analysis.filled(_histogram(spark, sf), 12), "n"))
 
 
-@query()
+@query(_PEAKS_SQL + """, tall AS (
+        SELECT t.interaction_id, peak, e.n AS y FROM tops t JOIN every e ON e.interaction_id = t.interaction_id AND e.bin = t.peak
+    ), reach AS (
+        SELECT t.interaction_id, peak, y, coalesce(max(CASE WHEN e.bin < peak AND e.n > y THEN e.bin END) + 1, min(e.bin)) AS l,
+               coalesce(min(CASE WHEN e.bin > peak AND e.n > y THEN e.bin END) - 1, max(e.bin)) AS r
+        FROM tall t JOIN every e USING (interaction_id) GROUP BY 1, 2, 3
+    ), height AS (
+        SELECT r.interaction_id, peak, y, l, r.r, (y + greatest(min(CASE WHEN e.bin <= peak THEN e.n END), min(CASE WHEN e.bin >= peak THEN e.n END))) / 2.0e0 AS h
+        FROM reach r JOIN every e ON e.interaction_id = r.interaction_id AND e.bin BETWEEN r.l AND r.r GROUP BY 1, 2, 3, 4, 5
+    ), ends AS (
+        SELECT h.interaction_id, peak, y, l, r, h, coalesce(max(CASE WHEN e.bin < peak AND e.n <= h THEN e.bin END), l) AS a,
+               coalesce(min(CASE WHEN e.bin > peak AND e.n <= h THEN e.bin END), r) AS b
+        FROM height h JOIN every e ON e.interaction_id = h.interaction_id AND e.bin BETWEEN h.l AND h.r GROUP BY 1, 2, 3, 4, 5, 6
+    ), widths AS (
+        SELECT x.interaction_id, x.peak,
+               x.b - CASE WHEN yb.n < h THEN (h - yb.n) / (yb1.n - yb.n) ELSE 0 END
+             - (x.a + CASE WHEN ya.n < h THEN (h - ya.n) / (ya1.n - ya.n) ELSE 0 END) AS width
+        FROM ends x JOIN every ya ON ya.interaction_id = x.interaction_id AND ya.bin = a JOIN every yb ON yb.interaction_id = x.interaction_id AND yb.bin = b
+        LEFT JOIN every ya1 ON ya1.interaction_id = x.interaction_id AND ya1.bin = a + 1
+        LEFT JOIN every yb1 ON yb1.interaction_id = x.interaction_id AND yb1.bin = b - 1
+    ) SELECT interaction_id, peak, round(width, 6) AS width FROM widths WHERE width >= 0.5""")
 def wide_peaks(spark, sf):
-    return analysis.peaks_by_width(analysis.filled(_histogram(spark, sf), 12), 0.5, value="n")
+    found = analysis.peaks_by_width(analysis.filled(_histogram(spark, sf), 12), 0.5, value="n")
+    return found.select("interaction_id", "peak", _r6(F.col("width"), "width"))
 
 
 @query(f"""
-    WITH {_HISTOGRAM_SQL}, h AS (SELECT *, (bin + 0.5) * (bin + 0.5) AS ref FROM histogram),
-    x AS (
-        SELECT *, n / ref AS x, sum(ref) OVER (PARTITION BY interaction_id) AS total,
-               sum(ref) OVER (PARTITION BY interaction_id ORDER BY n / ref, bin ROWS UNBOUNDED PRECEDING) AS passed
-        FROM h
-    ), best AS (SELECT interaction_id, min(x) AS scale FROM x WHERE passed * 11 >= total GROUP BY 1)
-    SELECT interaction_id, round(scale, 6) AS scale, round(sum(least(n, scale * ref)), 6) AS covered
-    FROM h JOIN best USING (interaction_id) GROUP BY interaction_id, scale
+    WITH {_HISTOGRAM_SQL}, h AS (SELECT *, (bin + 0.5e0) * (bin + 0.5e0) AS ref, n / ((bin + 0.5e0) * (bin + 0.5e0)) AS x FROM histogram),
+    tried AS (
+        SELECT a.interaction_id, a.x, sum(CASE WHEN b.x >= a.x THEN a.x * b.ref ELSE 10 * (b.n - a.x * b.ref) END) AS score,
+               sum(least(b.n, a.x * b.ref)) AS covered
+        FROM (SELECT DISTINCT interaction_id, x FROM h) a JOIN h b USING (interaction_id) GROUP BY 1, 2
+    )
+    SELECT interaction_id, round(x, 6) AS scale, round(score, 4) AS score, round(covered, 4) AS covered FROM tried
+    QUALIFY row_number() OVER (PARTITION BY interaction_id ORDER BY score DESC, x) = 1
 """)
 def coverage_score(spark, sf):
     h = _histogram(spark, sf).withColumn("ref", (F.col("bin") + 0.5) * (F.col("bin") + 0.5))
-    return analysis.coverage(h).select("interaction_id", _r6(F.col("scale"), "scale"), _r6(F.col("covered"), "covered"))
+    return analysis.coverage(h).select("interaction_id", _r6(F.col("scale"), "scale"), F.round("score", 4).alias("score"), F.round("covered", 4).alias("covered"))
 
 
 @query(f"""
@@ -581,9 +604,9 @@ def segment_join(spark, sf):
 
 
 _FEATURES_2B_SQL = f"""
-    {pairs_with_ids_sql(BASIS)}, {pieces_sql(BASIS, 2)}, features AS (
-        SELECT config_id, CAST(feat_offset + basis_idx AS INTEGER) AS feature_idx, sum({HORNER_SQL}) AS value
-        FROM near JOIN pieces USING (interaction_id) WHERE r > t_lo AND r <= t_hi GROUP BY 1, 2
+    {pairs_with_ids_sql(BASIS)}, {splines_sql("spl", 12, "SELECT r FROM near")}, features AS (
+        SELECT config_id, CAST(feat_offset + basis_idx AS INTEGER) AS feature_idx, sum(b) AS value
+        FROM near JOIN spl USING (r) WHERE basis_idx < 12 GROUP BY 1, 2
         UNION ALL SELECT config_id, z - 1, count(*) FROM atoms GROUP BY 1, 2
     )"""
 
@@ -600,9 +623,9 @@ def energy_features_2b(spark, sf):
 
 
 _FORCES_2B_SQL = f"""
-    {pairs_with_ids_sql(BASIS)}, {pieces_sql(BASIS, 2)}, slopes AS (
-        SELECT config_id, i, j, CAST(feat_offset + basis_idx AS INTEGER) AS feature_idx, -{SLOPE_SQL} AS s, ux, uy, uz
-        FROM near JOIN pieces USING (interaction_id) WHERE r > t_lo AND r <= t_hi
+    {pairs_with_ids_sql(BASIS)}, {splines_sql("spl", 12, "SELECT r FROM near")}, slopes AS (
+        SELECT config_id, i, j, CAST(feat_offset + basis_idx AS INTEGER) AS feature_idx, -slope AS s, ux, uy, uz
+        FROM near JOIN spl USING (r) WHERE basis_idx < 12
     ), ends AS (
         SELECT config_id, j AS atom_idx, feature_idx, s * ux AS fx, s * uy AS fy, s * uz AS fz FROM slopes
         UNION ALL SELECT config_id, i, feature_idx, -s * ux, -s * uy, -s * uz FROM slopes
@@ -685,16 +708,51 @@ def energy_features_3b(spark, sf):
     return features.energy_features_3b(trios, DEEP).select("config_id", "feature_idx", _r6(F.col("value"), "value"))
 
 
-@query()
+@query(f"""
+    WITH {_TRIPLETS_SQL.replace("SELECT a.config_id, a.i, interaction_id, a.r AS r_l, b.r AS r_m,", "SELECT a.config_id, a.i, a.j, b.j AS k, interaction_id, a.r AS r_l, b.r AS r_m, a.px AS jx, a.py AS jy, a.pz AS jz, b.px AS kx, b.py AS ky, b.pz AS kz,")},
+    {pieces_sql(DEEP, 3)}, {values_sql("grid", "interaction_id, l, m, n, feature_idx, weight", DEEP.grid())},
+    legs AS (
+        SELECT near.*, p.px AS ix, p.py AS iy, p.pz AS iz, a.basis_idx AS l, b.basis_idx AS m, c.basis_idx AS n,
+               {", ".join(f"{x}.c0 + ({r} - {x}.t_lo) * ({x}.c1 + ({r} - {x}.t_lo) * ({x}.c2 + ({r} - {x}.t_lo) * {x}.c3)) AS v{x}, {x}.c1 + ({r} - {x}.t_lo) * (2 * {x}.c2 + ({r} - {x}.t_lo) * 3 * {x}.c3) AS s{x}" for x, r in (("a", "r_l"), ("b", "r_m"), ("c", "r_n")))}
+        FROM near JOIN atoms p ON p.config_id = near.config_id AND p.atom_idx = near.i
+        {" ".join(f"JOIN pieces {x} ON {x}.interaction_id = near.interaction_id AND {x}.leg = {k} AND {r} > {x}.t_lo AND {r} <= {x}.t_hi" for k, (x, r) in enumerate((("a", "r_l"), ("b", "r_m"), ("c", "r_n"))))}
+    ), told AS (
+        SELECT legs.*, feature_idx, sa * vb * vc * weight AS dl, va * sb * vc * weight AS dm, va * vb * sc * weight AS dn
+        FROM legs JOIN grid g ON g.interaction_id = legs.interaction_id AND g.l = legs.l AND g.m = legs.m AND g.n = legs.n
+    ), ends AS (
+        SELECT config_id, i AS atom_idx, feature_idx, {", ".join(f"dl * (j{x} - i{x}) / r_l + dm * (k{x} - i{x}) / r_m AS f{x}" for x in "xyz")} FROM told
+        UNION ALL SELECT config_id, j, feature_idx, {", ".join(f"-dl * (j{x} - i{x}) / r_l + dn * (k{x} - j{x}) / r_n" for x in "xyz")} FROM told
+        UNION ALL SELECT config_id, k, feature_idx, {", ".join(f"-dm * (k{x} - i{x}) / r_m - dn * (k{x} - j{x}) / r_n" for x in "xyz")} FROM told
+    ), f AS (SELECT config_id, atom_idx, feature_idx, sum(fx) AS fx, sum(fy) AS fy, sum(fz) AS fz FROM ends GROUP BY 1, 2, 3)
+    SELECT config_id, feature_idx, count(*) * 3 AS n, round(sum(abs(fx) + abs(fy) + abs(fz)), 4) AS total, round(sum(atom_idx * fx), 4) + 0.0 AS lever FROM f GROUP BY 1, 2
+""")
 def force_features_3b(spark, sf):
     trios = neighbours.triplets(None, standin.atoms(spark, sf, index=True), DEEP)
-    return features.force_features_3b(trios, DEEP)
+    rows = features.force_features_3b(trios, DEEP)
+    lever = F.sum(F.when(F.col("component") == "fx", F.col("atom_idx") * F.col("value")).otherwise(0.0))
+    return rows.groupBy("config_id", "feature_idx").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum(F.abs("value")), 4).alias("total"), (F.round(lever, 4) + 0.0).alias("lever")
+    )
 
 
-@query()
+@query(f"""
+    WITH {_FORCES_2B_SQL}, energy AS (
+        SELECT config_id, CAST(feat_offset + basis_idx AS INTEGER) AS feature_idx, sum(b) AS value FROM near JOIN spl USING (r) WHERE basis_idx < 12 GROUP BY 1, 2
+        UNION ALL SELECT config_id, z - 1, count(*) FROM atoms GROUP BY 1, 2
+    ), force AS (SELECT config_id, atom_idx, feature_idx, sum(fx) AS fx, sum(fy) AS fy, sum(fz) AS fz FROM ends GROUP BY 1, 2, 3),
+    every AS (
+        SELECT 'energy' AS component, feature_idx, value FROM energy UNION ALL SELECT 'fx', feature_idx, fx FROM force
+        UNION ALL SELECT 'fy', feature_idx, fy FROM force UNION ALL SELECT 'fz', feature_idx, fz FROM force
+    )
+    SELECT component, feature_idx, sum(CASE WHEN abs(value) > 1e-9 THEN 1 ELSE 0 END)::BIGINT AS n, round(sum(abs(value)), 3) AS total FROM every GROUP BY 1, 2
+    HAVING sum(CASE WHEN abs(value) > 1e-9 THEN 1 ELSE 0 END) > 0
+""")
 def feature_rows_wide(spark, sf):
-    rows = features.feature_table(None, standin.atoms(spark, sf, index=True), BASIS)
-    return features.wide(rows, BASIS.n_features)
+    """Energy and force rows as arrays, summed up per place of the array."""
+    rows = features.wide(features.feature_table(None, standin.atoms(spark, sf, index=True), BASIS), BASIS.n_features)
+    told = rows.select("component", F.posexplode("x").alias("feature_idx", "value"))
+    summed = told.groupBy("component", "feature_idx").agg(F.count_if(F.abs("value") > 1e-9).alias("n"), F.round(F.sum(F.abs("value")), 3).alias("total"))
+    return summed.where("n > 0")
 
 
 # --- fitting ------------------------------------------------------------------------
@@ -784,11 +842,11 @@ def gram_matrix(spark, sf):
     return fit.gram(x).select("kind", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.round("value", 5).alias("value"))
 
 
-@query(_GRAM_SQL + " SELECT kind, i, j, round(value, 5) AS value FROM g WHERE abs(value) > 0")
+@query(_GRAM_SQL + " SELECT kind, i, j, round(value, 5) AS value FROM g WHERE abs(value) > 1e-9")
 def gram_from_blocks(spark, sf):
     """The same sums by partial products of dense rows in each task."""
     x, _ = _training(spark, sf)
-    g = fit.gram_blocks(features.wide(x, BASIS.n_features)).where("value <> 0")
+    g = fit.gram_blocks(x, BASIS.n_features).where("abs(value) > 1e-9")
     return g.select("kind", "i", "j", F.round("value", 5).alias("value"))
 
 
@@ -886,46 +944,173 @@ def _fitted(spark: SparkSession, sf: str) -> DataFrame:
     return fit.solve(g, o)
 
 
-@query()
+def _penalty_sql(strengths: dict[str, float]) -> str:
+    return f"""
+    {values_sql("r", "row, f, v", BASIS.penalties(strengths))}, penalty AS (
+        SELECT a.f AS i, b.f AS j, sum(a.v * b.v) AS value FROM r a JOIN r b ON a.row = b.row AND a.f <= b.f GROUP BY 1, 2
+    )"""
+
+
+@query(f"""
+    {_GRAM_SQL.replace("WITH", "WITH RECURSIVE", 1)}, s AS (SELECT count(*) AS n, stddev_pop(y) AS std FROM y),
+    {_penalty_sql({"ridge_1b": 1e-8, "ridge_2b": 1e-8, "curve_2b": 1e-8})}, gm AS (
+        SELECT 0 AS model, i, j, 0.5 / (n * std * std) * value AS value FROM g, s UNION ALL SELECT 0, i, j, value FROM penalty
+    ), om AS (
+        SELECT 0 AS model, feature_idx AS i, 0.5 / (n * std * std) * sum(value * y) AS value FROM x JOIN y USING (config_id), s GROUP BY 2, n, std
+    ), {solve_sql("gm", "om")}
+    SELECT CAST(i AS INTEGER) AS feature_idx, round(c, 3) + 0.0 AS coefficient FROM solved
+""")
 def ridge_fit(spark, sf):
-    return _fitted(spark, sf)
+    return _fitted(spark, sf).select("feature_idx", (F.round("coefficient", 3) + 0.0).alias("coefficient"))
 
 
-@query()
-def cv_search(spark, sf):
-    """Three pair cut-offs, three folds: mean validation error of each."""
-    x, y = _training(spark, sf)
-    folds = tables.folds(standin.configs(spark, sf), 3, "seq").select("config_id", "fold")
-    xf, yf = x.join(folds, "config_id"), y.join(folds, "config_id")
-    penalty = fit.penalty_gram(BASIS.penalties_table(spark, {"ridge_1b": 1e-6, "ridge_2b": 1e-6}))
-    g = fit.gram(xf, by=("fold",)).select("fold", "i", "j", "value")
-    o = fit.ordinate(xf, yf, by=("fold",)).select("fold", "i", "value")
-    rows = [(m, f) for m, kept in enumerate((6, 9, 12)) for i in BASIS.interactions for f in range(i.offset, i.offset + min(i.size, kept))]
-    models = fit.cross_validate(g, o, spark.createDataFrame(rows, "model int, feature_idx int"), penalty)
-    small = F.broadcast(models.select("model", F.col("fold").alias("held"), "feature_idx", "coefficient"))
-    told = xf.join(small, "feature_idx").where("fold = held").groupBy("model", "held", "config_id").agg(
-        F.sum(F.col("value") * F.col("coefficient")).alias("predicted")
+_FOLDS = 3
+_KEPT = (6, 9, 12)
+_CV_RIDGE = {"ridge_1b": 1e-6, "ridge_2b": 1e-6}
+
+
+@query(f"""
+    WITH RECURSIVE {_FORCES_2B_SQL}, sizes AS (SELECT config_id, count(*) AS size FROM atoms GROUP BY 1),
+    fold AS (SELECT o_orderkey AS config_id, ntile({_FOLDS}) OVER (ORDER BY o_orderkey) - 1 AS fold FROM orders),
+    energy AS (
+        SELECT config_id, feat_offset + basis_idx AS feature_idx, sum(b) AS value FROM near JOIN spl USING (r) WHERE basis_idx < 12 GROUP BY 1, 2
+        UNION ALL SELECT config_id, z - 1, count(*) FROM atoms GROUP BY 1, 2
+    ), force AS (SELECT config_id, atom_idx, feature_idx, sum(fx) AS fx, sum(fy) AS fy, sum(fz) AS fz FROM ends GROUP BY 1, 2, 3),
+    x AS (
+        SELECT fold, 'energy' AS kind, config_id, 0 AS part, feature_idx, value / size AS value FROM energy JOIN sizes USING (config_id) JOIN fold USING (config_id)
+        UNION ALL SELECT fold, 'force', config_id, atom_idx * 3 + a, feature_idx, v FROM (
+            SELECT config_id, atom_idx, feature_idx, unnest([0, 1, 2]) AS a, unnest([fx, fy, fz]) AS v FROM force
+        ) JOIN fold USING (config_id)
+    ), y AS (
+        SELECT fold, 'energy' AS kind, config_id, 0 AS part, o_totalprice * {SCALE!r} / size AS y
+        FROM orders JOIN sizes ON config_id = o_orderkey JOIN fold USING (config_id)
+        UNION ALL SELECT fold, 'force', config_id, atom_idx * 3 + a, v FROM (
+            SELECT config_id, atom_idx, unnest([0, 1, 2]) AS a, unnest([fx, fy, fz]) AS v FROM atoms
+        ) JOIN fold USING (config_id)
+    ), w AS (SELECT kind, 0.5 / (count(*) * stddev_pop(y) * stddev_pop(y)) AS w FROM y GROUP BY 1),
+    g AS (
+        SELECT fold, i, j, sum(w * value) AS value FROM (
+            SELECT a.fold, a.kind, a.feature_idx AS i, b.feature_idx AS j, sum(a.value * b.value) AS value
+            FROM x a JOIN x b ON a.kind = b.kind AND a.config_id = b.config_id AND a.part = b.part AND a.feature_idx <= b.feature_idx GROUP BY 1, 2, 3, 4
+        ) JOIN w USING (kind) GROUP BY 1, 2, 3
+    ), o AS (
+        SELECT fold, i, sum(w * value) AS value FROM (
+            SELECT x.fold, x.kind, feature_idx AS i, sum(value * y) AS value FROM x JOIN y USING (kind, config_id, part) GROUP BY 1, 2, 3
+        ) JOIN w USING (kind) GROUP BY 1, 2
+    ), {_penalty_sql(_CV_RIDGE)},
+    grid AS (SELECT m, f FROM (VALUES (0, 6), (1, 9), (2, 12)) t(m, kept), range({BASIS.n_features}) s(f) WHERE f < 3 OR (f - 3) % 15 < kept),
+    held AS (SELECT m, h, 3 * m + h AS model FROM range(3) a(m), range({_FOLDS}) b(h)),
+    gm AS (
+        SELECT model, i, j, value FROM g, held WHERE fold <> h AND (m, i) IN (SELECT m, f FROM grid) AND (m, j) IN (SELECT m, f FROM grid)
+        UNION ALL SELECT model, i, j, value FROM penalty, held WHERE (m, i) IN (SELECT m, f FROM grid) AND (m, j) IN (SELECT m, f FROM grid)
+    ), om AS (SELECT model, i, value FROM o, held WHERE fold <> h AND (m, i) IN (SELECT m, f FROM grid)),
+    {solve_sql("gm", "om")}, predicted AS (
+        SELECT model, kind, config_id, part, sum(value * c) AS p FROM x JOIN solved ON feature_idx = i GROUP BY 1, 2, 3, 4
+    ), errors AS (
+        SELECT m AS model, h, y.kind, CASE WHEN fold = h THEN 'valid' ELSE 'train' END AS part, sqrt(avg((y - coalesce(p, 0)) * (y - coalesce(p, 0)))) AS rmse
+        FROM y CROSS JOIN held LEFT JOIN predicted p ON p.model = held.model AND p.kind = y.kind AND p.config_id = y.config_id AND p.part = y.part
+        GROUP BY 1, 2, 3, 4
     )
-    scored = fit.error_metrics(told.join(y.select("config_id", "y"), "config_id"), by=("model", "held"))
-    return scored.groupBy("model").agg(F.avg("rmse").alias("rmse"), F.avg("mae").alias("mae"))
+    SELECT CAST(model AS INTEGER) AS model, kind, part, round(avg(rmse), 5) AS rmse FROM errors GROUP BY 1, 2, 3
+""")
+def cv_search(spark, sf):
+    """Three pair cut-offs, three folds: training and validation errors of energies and forces.
+
+    Features, Gram sums and targets are made once; fits and errors of all grid
+    points come from the sums.
+    """
+    configs, atoms = standin.configs(spark, sf), standin.atoms(spark, sf, index=True, forces=True)
+    x = features.feature_table(None, atoms, BASIS)
+    folds = tables.folds(configs.select("config_id", "seq"), _FOLDS, "seq").select("config_id", "fold")
+    y = features.targets(configs.withColumn("energy", F.col("energy") * SCALE), atoms)
+    x, y = fit.normalised(x, y, len(standin.SPECIES))
+    kept = "config_id", "component", "atom_idx"
+    x = x.join(folds, "config_id").select("fold", *kept, "feature_idx", "value")
+    path = scratch(spark, "features")  # three sums read them
+    x.write.parquet(path)
+    x = spark.read.schema(x.schema).parquet(path)
+    y = y.join(folds, "config_id").select("fold", *kept, "y")
+    weights = fit.kind_weights(fit.moments(y))
+    g, o = fit.gram_blocks(x, BASIS.n_features, by=("fold",)), fit.ordinate(x, y, by=("fold",))
+    path = scratch(spark, "gram")
+    g.write.parquet(path)
+    g = spark.read.schema(g.schema).parquet(path)
+    rows = [(m, f) for m, n in enumerate(_KEPT) for i in BASIS.interactions for f in range(i.offset, i.offset + min(i.size, n))]
+    models = fit.cross_validate(
+        fit.combine(g, weights, 0.5, ("fold", "i", "j")), fit.combine(o, weights, 0.5, ("fold", "i")),
+        spark.createDataFrame(rows, "model int, feature_idx int"), fit.penalty_gram(BASIS.penalties_table(spark, _CV_RIDGE)),
+    )
+    errors = fit.errors_from_sums(g, o, fit.square_sums(y, by=("fold",)), models)
+    return errors.groupBy("model", "kind", "part").agg(F.round(F.avg("rmse"), 5).alias("rmse"))
 
 
-@query()
+_SERIES_SQL = """
+    series AS (
+        SELECT l_suppkey AS model, ascii(l_returnflag) AS interaction_id, list(b ORDER BY b) AS b, list(c ORDER BY b) AS c FROM (
+            SELECT l_suppkey, l_returnflag, month(l_shipdate) - 1 AS b, avg(l_extendedprice) / 10000 - 3.8 AS c FROM lineitem GROUP BY 1, 2, 3
+        ) GROUP BY 1, 2
+    )"""
+
+
+@query(f"""
+    WITH {_SERIES_SQL}, ends AS (
+        SELECT *, len(c) AS n, list_position(c, list_max(c)) AS top, list_position(c, list_min(c)) AS low FROM series
+    ), well AS (
+        SELECT *, CASE WHEN low < top AND list_max(list_transform(c[:top - 1], lambda x: round_even(x, 3))) - list_min(list_transform(c[:top - 1], lambda x: round_even(x, 3))) < 0.01
+                       THEN top + 1 ELSE low END - 1 AS well FROM ends
+    ), before AS (
+        SELECT *, list_transform(c[:well], lambda x, i: round_even(x, 3) + (i - 1) * 1e-6) AS l FROM well
+    ), peak AS (SELECT *, coalesce(list_position(l, list_max(l)), 0) AS p FROM before),
+    judged AS (
+        SELECT *, well > 1 AND len(list_filter(range(1, p), lambda i: coalesce(l[i + 1], l[i]) < coalesce(l[nullif(i - 1, 0)], l[i]))) = 0 AS rises FROM peak
+    ), fixed AS (
+        SELECT model, interaction_id, b, list_transform(c, lambda x, i: CASE WHEN rises AND i < p
+            THEN list_reduce(list_prepend(abs(c[p]), list_transform(range(0, p - i), lambda q: 0e0)), lambda v, q: greatest(abs(v) * 2, 0.1)) ELSE x END) AS c FROM judged
+    )
+    SELECT model, interaction_id, CAST(unnest(b) AS INTEGER) AS basis_idx, round(unnest(list_transform(c, lambda x, i: CASE WHEN i = 1 THEN greatest(x, 2e0) ELSE x END)), 6) + 0.0 AS coefficient
+    FROM fixed
+""")
 def core_repair(spark, sf):
-    rows = _fitted(spark, sf)
-    ids = [(x.number, k, x.offset + k) for x in BASIS.of_degree(2) for k in range(x.size)]
-    named = rows.join(F.broadcast(spark.createDataFrame(ids, "interaction_id int, basis_idx int, feature_idx int")), "feature_idx")
-    return repair.harden_cores(named.select("model", "interaction_id", "basis_idx", "coefficient"))
+    """Mean prices by supplier, flag and month, taken for coefficient series."""
+    lines = standin.read(spark, sf, "lineitem").groupBy(
+        F.col("l_suppkey").alias("model"), F.ascii("l_returnflag").alias("interaction_id"), (F.month("l_shipdate") - 1).alias("basis_idx")
+    )
+    series = lines.agg((F.avg("l_extendedprice") / 10000 - 3.8).alias("coefficient"))
+    return repair.harden_cores(series).select("model", "interaction_id", "basis_idx", _r6(F.col("coefficient"), "coefficient"))
 
 
-@query()
+@query(f"""
+    WITH {pairs_with_ids_sql(BASIS)}, {pieces_sql(BASIS, 2)}, model AS (
+        SELECT interaction_id, basis_idx, ln(1 + count(*)) AS c FROM near JOIN pieces USING (interaction_id) WHERE r > t_lo AND r <= t_hi GROUP BY 1, 2
+    ), centres AS (SELECT *, greatest(0, least(12, basis_idx - 1)) AS mid, min(CASE WHEN basis_idx >= 2 THEN basis_idx END) OVER (PARTITION BY interaction_id) AS first FROM model),
+    start AS (
+        SELECT s.interaction_id, s.mid AS x0, sum(c.c * (c0 + d * (c1 + d * (c2 + d * c3)))) AS y, sum(c.c * (c1 + d * (2 * c2 + 3 * d * c3))) AS d1,
+               greatest(sum(c.c * (2 * c2 + 6 * d * c3)), 2) AS d2
+        FROM centres s JOIN (SELECT *, x - t_lo AS d FROM pieces, range(0, 13) t(x) WHERE x > t_lo AND x <= t_hi) p ON p.interaction_id = s.interaction_id AND p.x = s.mid
+        JOIN model c ON c.interaction_id = p.interaction_id AND c.basis_idx = p.basis_idx
+        WHERE s.basis_idx = s.first GROUP BY 1, 2
+    )
+    SELECT interaction_id, basis_idx, round(CASE WHEN basis_idx < first AND y IS NOT NULL THEN y + d1 * (mid - x0) + d2 * (mid - x0) * (mid - x0) / 2 ELSE c END, 6) + 0.0 AS coefficient
+    FROM centres LEFT JOIN start USING (interaction_id)
+""")
 def repulsion_fix(spark, sf):
-    model = _fitted(spark, sf)
+    """Logarithms of the pairs that each spline sees, taken for coefficients; the first two count as not covered."""
+    model = _counted_model(spark, sf)
     ids = [(x.number, k, x.offset + k, float(x.knots[0][k + 2])) for x in BASIS.of_degree(2) for k in range(x.size)]
     named = model.join(F.broadcast(spark.createDataFrame(ids, "interaction_id int, basis_idx int, feature_idx int, centre double")), "feature_idx")
-    covered = named.select("model", "interaction_id", "basis_idx", "coefficient", (F.col("basis_idx") >= 2).alias("covered"))
+    covered = named.select(F.lit(0).alias("model"), "interaction_id", "basis_idx", "coefficient", (F.col("basis_idx") >= 2).alias("covered"))
     centres = spark.createDataFrame([(a, b, d) for a, b, _, d in ids], "interaction_id int, basis_idx int, centre double")
-    return repair.repulsion(covered, centres, score.potential_segments(BASIS, model))
+    segments = score.potential_segments(BASIS, model.withColumn("model", F.lit(0)))
+    fixed = repair.repulsion(covered, centres, segments)
+    return fixed.select("interaction_id", "basis_idx", _r6(F.col("coefficient"), "coefficient"))
+
+
+def _counted_model(spark: SparkSession, sf: str) -> DataFrame:
+    """(feature_idx, coefficient): the logarithm of how many pairs each spline sees."""
+    met = features.segment_join(_pairs(spark, sf), BASIS.pieces_table(spark, 2))
+    offsets = F.create_map(*[F.lit(v) for x in BASIS.of_degree(2) for v in (x.number, x.offset)])
+    feature = (F.element_at(offsets, F.col("interaction_id")) + F.col("basis_idx")).alias("feature_idx")
+    return met.groupBy(feature).agg(F.log(1 + F.count(F.lit(1))).alias("coefficient"))
 
 
 @query(f"""
@@ -951,12 +1136,9 @@ _SCORE_SQL = f"""
 
 @query(_SCORE_SQL)
 def score_energies(spark, sf):
-    atoms, model = standin.atoms(spark, sf), _fixed_model(spark)
-    parts = features.energy_features_1b(atoms, BASIS).unionByName(features.energy_features_2b(neighbours.pair_distances(None, atoms, BASIS), BASIS))
-    told = fit.predict(parts, model).select("config_id", "predicted")
-    return standin.configs(spark, sf).select("config_id").join(told, "config_id", "left").select(
-        "config_id", _r6(F.coalesce("predicted", F.lit(0.0)), "predicted")
-    )
+    unbounded = standin.configs(spark, sf).select("config_id", F.lit(None).cast("array<array<double>>").alias("cell"), F.array(*[F.lit(False)] * 3).alias("pbc"))
+    scored = score.energies(unbounded, standin.atoms(spark, sf, index=True), BASIS, _fixed_model(spark))
+    return scored.select("config_id", _r6(F.col("predicted"), "predicted"))
 
 
 @query(f"""
@@ -980,16 +1162,43 @@ def _scan(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return c, standin.atoms(spark, sf, index=True)
 
 
-@query()
+def _deformed_sql(variants: str) -> str:
+    """energies(config_id, v, e): pair energies of every configuration under the matrices of ``variants``(v, a, b, c, yz, xz, xy)."""
+    return f"""
+    {ATOMS_SQL}, {values_sql("ids", "zi, zj, feat_offset", [(*x.species, x.offset) for x in BASIS.of_degree(2)])},
+    {values_sql("coef", "feature_idx, coefficient", _MODEL)}, variants AS ({variants}), gaps AS (
+        SELECT a.config_id, least(a.z, b.z) AS zi, greatest(a.z, b.z) AS zj, b.px - a.px AS x, b.py - a.py AS y, b.pz - a.pz AS z, count(*) AS n
+        FROM atoms a JOIN atoms b USING (config_id) GROUP BY ALL
+    ), moved AS (
+        SELECT *, sqrt(pow(a * x + xy * y + xz * z, 2) + pow(xy * x + b * y + yz * z, 2) + pow(xz * x + yz * y + c * z, 2)) AS r
+        FROM (SELECT DISTINCT x, y, z FROM gaps), variants
+    ), {splines_sql("spl", 12, "SELECT r FROM moved WHERE r > 0 AND r < 12")}, energies AS (
+        SELECT config_id, v, sum(n * spl.b * coefficient) AS e FROM gaps JOIN moved USING (x, y, z) JOIN spl USING (r) JOIN ids USING (zi, zj)
+        JOIN coef ON feature_idx = feat_offset + basis_idx WHERE basis_idx < 12 GROUP BY 1, 2
+    )"""
+
+
+@query(f"""
+    WITH {_deformed_sql("SELECT v, k, s, 1 + CASE WHEN k = 1 THEN s * 1e-4 ELSE 0 END AS a, 1 + CASE WHEN k = 2 THEN s * 1e-4 ELSE 0 END AS b, 1 + CASE WHEN k = 3 THEN s * 1e-4 ELSE 0 END AS c, CASE WHEN k = 4 THEN s * 5e-5 ELSE 0 END AS yz, CASE WHEN k = 5 THEN s * 5e-5 ELSE 0 END AS xz, CASE WHEN k = 6 THEN s * 5e-5 ELSE 0 END AS xy FROM (SELECT k * 10 + s AS v, k, s FROM range(1, 7) t(k), (VALUES (-1), (1)) u(s))")}
+    SELECT o_orderkey AS config_id, ['xx', 'yy', 'zz', 'yz', 'xz', 'xy'][k] AS axis, round(coalesce(sum(s * e), 0) / (2e-4 * 8000), 7) + 0.0 AS stress
+    FROM orders CROSS JOIN variants LEFT JOIN energies ON config_id = o_orderkey AND energies.v = variants.v GROUP BY 1, k
+""")
 def numerical_stress(spark, sf):
     c, a = _scan(spark, sf)
-    return score.stress(c, a, BASIS, _fixed_model(spark))
+    return score.stress(c, a, BASIS, _fixed_model(spark)).select("config_id", "axis", (F.round("stress", 7) + 0.0).alias("stress"))
 
 
-@query()
+@query(f"""
+    WITH {_deformed_sql("SELECT v, v AS a, v AS b, v AS c, 0 AS yz, 0 AS xz, 0 AS xy FROM (VALUES (0.9e0), (0.95e0), (1e0), (1.05e0), (1.1e0)) t(v)")},
+    own AS (SELECT config_id, sum(coefficient) AS e0 FROM atoms JOIN coef ON feature_idx = z - 1 GROUP BY 1)
+    SELECT o_orderkey AS config_id, v.v AS best_scale, round(coalesce(e, 0) + coalesce(e0, 0), 6) + 0.0 AS best_energy
+    FROM orders CROSS JOIN variants v LEFT JOIN energies n ON n.config_id = o_orderkey AND n.v = v.v LEFT JOIN own ON own.config_id = o_orderkey
+    QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY coalesce(e, 0), v.v) = 1
+""")
 def equation_of_state(spark, sf):
     c, a = _scan(spark, sf)
-    return score.equation_of_state(c, a, BASIS, _fixed_model(spark), [0.9, 0.95, 1.0, 1.05, 1.1])
+    found = score.equation_of_state(c, a, BASIS, _fixed_model(spark), [0.9, 0.95, 1.0, 1.05, 1.1])
+    return found.select("config_id", "best_scale", _r6(F.col("best_energy"), "best_energy"))
 
 
 @query("""
@@ -1028,13 +1237,31 @@ def tabulated_pair(spark, sf):
 
 # --- sampling -----------------------------------------------------------------------
 
-@query()
+def _fps_sql(rows: str, n: int, distance: str, least: float) -> str:
+    """Farthest-first picks of rows(g, key, v): each step keeps every row's distance to the picked ones."""
+    return f"""
+    WITH RECURSIVE rows AS ({rows}), steps AS (
+        SELECT g, key, v, 0 AS picked, CAST('inf' AS DOUBLE) AS gap, row_number() OVER (PARTITION BY g ORDER BY {"v" if distance.startswith("abs") else "v[1]"}, key) AS place
+        FROM rows
+        UNION ALL
+        SELECT g, key, v, picked + 1, gap, row_number() OVER (PARTITION BY g ORDER BY gap DESC, key) FROM (
+            SELECT g, key, v, picked, least(gap, {distance}) AS gap FROM (
+                SELECT *, max(CASE WHEN place = 1 THEN v END) OVER (PARTITION BY g) AS w FROM steps WHERE picked + 1 < {n}
+            )
+        )
+    ), ends AS (SELECT g, min(picked) AS last FROM steps WHERE place = 1 AND (gap <= 0 OR gap < {least}) GROUP BY 1)
+    SELECT g, key, picked FROM steps LEFT JOIN ends USING (g) WHERE place = 1 AND picked < coalesce(last, 1e9)"""
+
+
+@query(f"SELECT g AS prefix, key AS config_id, picked FROM ({_fps_sql('SELECT o_orderstatus AS g, o_orderkey AS key, o_totalprice AS v FROM orders', 50, 'abs(v - w)', 10.0)})")
 def fps_sample(spark, sf):
     rows = standin.configs(spark, sf).select("prefix", "config_id", "energy")
     return sampling.farthest_points(rows, "prefix", "config_id", ["energy"], max_samples=50, min_diff=10.0)
 
 
-@query()
+@query(f"""SELECT g AS label, key AS vec_id, picked FROM ({_fps_sql(
+    'SELECT label AS g, vec_id AS key, embedding::DOUBLE[] AS v FROM embeddings', 10,
+    'sqrt(list_sum(list_transform(range(1, 65), lambda q: (v[q] - w[q]) * (v[q] - w[q]))))', 0.0)})""")
 def fps_vectors(spark, sf):
     e = standin.read(spark, sf, "embeddings").select("label", "vec_id", *[F.get("embedding", F.lit(k)).cast("double").alias(f"v{k}") for k in range(64)])
     return sampling.farthest_points(e, "label", "vec_id", [f"v{k}" for k in range(64)], max_samples=10)
@@ -1052,21 +1279,42 @@ def force_displacements(spark, sf):
     return moved.select("config_id", F.col("atom_idx").cast("int").alias("atom_idx"), "axis", (F.col("shift") + F.lit(0.0)).alias("shift"), F.round("energy", 4).alias("energy"))
 
 
-@query()
+def _draw_sql(*parts: object) -> str:
+    """A number in [0, 1) by a hash of the parts, as ``sampling.uniform`` draws it."""
+    return f"(('0x' || md5(concat_ws(':', {', '.join(map(str, parts))}))[:12])::BIGINT / 281474976710656e0)"
+
+
+@query(f"""
+    WITH {ATOMS_SQL}, moved AS (
+        SELECT config_id, CAST(c AS INTEGER) AS copy, {" + ".join(f"{f} * (2 * {_draw_sql(0, 'config_id', 'atom_idx', 'c', a)} - 1) * 0.05e0" for a, f in enumerate(("fx", "fy", "fz")))} AS work
+        FROM atoms, range(3) t(c)
+    )
+    SELECT config_id, copy, round(o_totalprice - sum(work), 5) AS energy FROM moved JOIN orders ON config_id = o_orderkey GROUP BY config_id, copy, o_totalprice
+""")
 def random_displacements(spark, sf):
-    return sampling.random_displacements(standin.configs(spark, sf), standin.atoms(spark, sf, index=True, forces=True), 0.05, 3)[0]
+    made = sampling.random_displacements(standin.configs(spark, sf), standin.atoms(spark, sf, index=True, forces=True), 0.05, 3)[0]
+    return made.select("config_id", "copy", F.round("energy", 5).alias("energy"))
 
 
-# --- text sources: written from the tables, read back ----------------------------------
+@query(f"""
+    WITH {ATOMS_SQL}, noise AS (
+        SELECT config_id, atom_idx, unnest([px, py, pz]) AS p, unnest([0, 1, 2]) AS a FROM atoms
+    )
+    SELECT config_id, round(sum(p + 0.1e0 * sqrt(-2 * ln(1 - {_draw_sql(3, 'config_id', 'atom_idx', '2 * a')})) * cos(2 * pi() * {_draw_sql(3, 'config_id', 'atom_idx', '2 * a + 1')})), 5) AS total
+    FROM noise GROUP BY 1
+""")
+def rattled_places(spark, sf):
+    moved = sampling.rattle(standin.atoms(spark, sf, index=True), 0.1, seed=3)
+    return moved.groupBy("config_id").agg(F.round(F.sum(F.col("px") + F.col("py") + F.col("pz")), 5).alias("total"))
 
-def _scratch(spark: SparkSession, tag: str) -> str:
-    import tempfile
-    import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="latticework-")
-    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+@query(f"SELECT o_orderkey AS config_id, {_draw_sql(5, 'o_orderkey')} < 0.2 AS held FROM orders")
+def holdout_share(spark, sf):
+    return tables.holdout_fraction(standin.configs(spark, sf), 0.2, seed=5).select("config_id", "held")
 
 
+# --- text sources: written from the tables, read back ----------------------------------
+
 @query(f"""
     WITH {ATOMS_SQL}
     SELECT o_orderkey AS config_id, round(o_totalprice, 4) AS energy, count(*) AS size, round(sum(px), 4) AS sum_px,
@@ -1085,7 +1333,7 @@ def xyz_round_trip(spark, sf):
     head = F.format_string('Properties=species:S:1:pos:R:3:force:R:3 energy=%.6f order=%d', "energy", "config_id")
     body = F.array_join(F.transform("lines", lambda x: x["line"]), "\n")
     frames = atoms.join(standin.configs(spark, sf), "config_id").select(F.concat_ws("\n", F.col("n").cast("string"), head, body).alias("value"))
-    path = _scratch(spark, "xyz")
+    path = scratch(spark, "xyz")
     frames.write.option("maxRecordsPerFile", 2000).text(path)
     configs, found = read_xyz(spark, path, scalars=("order",))
     per = found.groupBy("file", "frame").agg(F.count(F.lit(1)).alias("size"), F.sum("px").alias("sum_px"), F.sum("fx").alias("sum_fx"))
@@ -1107,7 +1355,7 @@ def log_round_trip(spark, sf):
     line = F.format_string("%d 300.0 %.4f", "step", "v")
     blocks = e.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))).alias("lines"))
     text = F.concat(F.lit("\nStep Temp PotEng\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), F.lit("\nLoop time of 1\n"))
-    path = _scratch(spark, "log")
+    path = scratch(spark, "log")
     blocks.select(text.alias("value")).write.option("maxRecordsPerFile", 4).text(path)
     return read_log(spark, path, {"Step": "step", "PotEng": "energy"}).select("step", F.round("energy", 4).alias("energy")).distinct()
 
@@ -1127,7 +1375,7 @@ def dump_round_trip(spark, sf):
     head = F.format_string(
         "ITEM: TIMESTEP\n%d\nITEM: NUMBER OF ATOMS\n%d\nITEM: BOX BOUNDS pp pp pp\n0 50\n0 10\n0 8\nITEM: ATOMS id type x y z fx fy fz", "config_id", "n"
     )
-    path = _scratch(spark, "dump")
+    path = scratch(spark, "dump")
     atoms.select(F.concat_ws("\n", head, F.array_join(F.transform("lines", lambda x: x["line"]), "\n")).alias("value")).write.text(path)
     found = dump_atoms(read_dump(spark, path)[1], {"1": "H", "2": "He", "3": "Li"})
     return found.groupBy("step").agg(F.count(F.lit(1)).alias("size"), F.round(F.sum("px"), 4).alias("sum_px"), F.round(F.sum("fx"), 4).alias("sum_fx"))

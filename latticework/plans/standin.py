@@ -97,5 +97,54 @@ def pieces_sql(basis: Basis, degree: int) -> str:
     return values_sql("pieces", "interaction_id, leg, basis_idx, t_lo, t_hi, c0, c1, c2, c3", basis.pieces(degree))
 
 
+def splines_sql(name: str, hi: int, points: str) -> str:
+    """Cubic B-splines and their slopes on whole-number knots from 0 to ``hi``, by the Cox-de Boor recursion.
+
+    ``name``(r, basis_idx, b, slope) for the distinct r of ``points``, a row per
+    spline whose support (left end open) holds r.
+    """
+
+    def raised(d: int) -> str:
+        rise = f"coalesce((r - t[k]) / nullif(t[k + {d}] - t[k], 0) * b{d - 1}[k], 0)"
+        fall = f"coalesce((t[k + {d + 1}] - r) / nullif(t[k + {d + 1}] - t[k + 1], 0) * b{d - 1}[k + 1], 0)"
+        return f"list_transform(range(1, {hi + 7 - d}), lambda k: {rise} + {fall}) AS b{d}"
+
+    knots = f"list_concat(list_concat([0, 0, 0], range(0, {hi + 1})), [{hi}, {hi}, {hi}])::DOUBLE[]"
+    zero = f"list_transform(range(1, {hi + 7}), lambda k: CASE WHEN t[k] < r AND r <= t[k + 1] THEN 1e0 ELSE 0e0 END) AS b0"
+    slope = "3 * (coalesce(b2[k] / nullif(t[k + 3] - t[k], 0), 0) - coalesce(b2[k + 1] / nullif(t[k + 4] - t[k + 1], 0), 0))"
+    return f"""
+    {name}_0 AS (SELECT DISTINCT r, {knots} AS t FROM ({points})), {name}_1 AS (SELECT *, {zero} FROM {name}_0),
+    {name}_2 AS (SELECT *, {raised(1)} FROM {name}_1), {name}_3 AS (SELECT *, {raised(2)} FROM {name}_2),
+    {name}_4 AS (SELECT *, {raised(3)} FROM {name}_3),
+    {name} AS (
+        SELECT r, CAST(k - 1 AS INTEGER) AS basis_idx, b3[k] AS b, {slope} AS slope
+        FROM {name}_4, range(1, {hi + 4}) s(k) WHERE t[k] < r AND r <= t[k + 4]
+    )"""
+
+
+def solve_sql(g: str, o: str, by: str = "model") -> str:
+    """``solved``({by}, i, c): Gauss-Jordan elimination of symmetric systems g(by, i, j, value), i <= j, and o(by, i, value)."""
+    return f"""
+    idx AS (
+        SELECT {by}, i, row_number() OVER (PARTITION BY {by} ORDER BY i) - 1 AS r, count(*) OVER (PARTITION BY {by}) AS d
+        FROM (SELECT {by}, i FROM {g} UNION SELECT {by}, j FROM {g} UNION SELECT {by}, i FROM {o})
+    ), entries AS (
+        SELECT {by}, i, j, sum(value) AS value FROM (SELECT {by}, i, j, value FROM {g} UNION ALL SELECT {by}, j, i, value FROM {g} WHERE i < j)
+        GROUP BY 1, 2, 3
+    ), system AS (
+        SELECT a.{by}, a.i, a.r, a.d, list_append(list(coalesce(e.value, 0e0) ORDER BY b.r), coalesce(any_value(o.value), 0e0)) AS row
+        FROM idx a JOIN idx b USING ({by}) LEFT JOIN entries e ON e.{by} = a.{by} AND e.i = a.i AND e.j = b.i
+        LEFT JOIN (SELECT {by}, i, sum(value) AS value FROM {o} GROUP BY 1, 2) o ON o.{by} = a.{by} AND o.i = a.i GROUP BY 1, 2, 3, 4
+    ), gauss AS (
+        SELECT {by}, i, r, d, row, 0 AS k FROM system
+        UNION ALL
+        SELECT {by}, i, r, d, CASE WHEN r = k THEN piv ELSE list_transform(row, lambda x, q: x - row[k + 1] * piv[q]) END, k + 1 FROM (
+            SELECT *, list_transform(top, lambda x: x / top[k + 1]) AS piv FROM (
+                SELECT *, max(CASE WHEN r = k THEN row END) OVER (PARTITION BY {by}) AS top FROM gauss WHERE k < d
+            )
+        )
+    ), solved AS (SELECT {by}, i, row[d + 1] AS c FROM gauss WHERE k = d)"""
+
+
 HORNER_SQL = "(c0 + (r - t_lo) * (c1 + (r - t_lo) * (c2 + (r - t_lo) * c3)))"
 SLOPE_SQL = "(c1 + (r - t_lo) * (2 * c2 + (r - t_lo) * 3 * c3))"

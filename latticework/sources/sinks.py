@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new folder in the shared one that the session names; a temporary one only where all runs in one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "local")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="latticework-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
 def cache_table(rows: DataFrame, path: str) -> None:
     """Append the standard table under its prefixes."""
     rows.write.mode("append").partitionBy("prefix").parquet(path)
@@ -27,16 +42,30 @@ def assign_chunks(rows: DataFrame, size: int, order: str) -> DataFrame:
     return ranked.withColumn("chunk", F.floor((F.col("rank") - 1) / size).cast("int")).drop("rank")
 
 
-def write_chunks(rows: DataFrame, path: str) -> DataFrame:
-    """Write the chunks that are not there yet; returns the rows written."""
+def write_chunks(rows: DataFrame, path: str, key: str = "config_id") -> DataFrame:
+    """Write the rows whose key is not there yet; returns them.
+
+    Rows are told apart by their key, not by their chunk's number, so rows
+    added since a first run are written and none is written twice.  The numbers
+    of new chunks follow those there.
+    """
     spark = rows.sparkSession
     try:
-        done = spark.read.parquet(path).select("chunk").distinct()
+        there = spark.read.parquet(path)
     except Exception as error:
         if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
             raise
-        done = rows.select("chunk").limit(0)
-    new = rows.join(F.broadcast(done), "chunk", "left_anti")
+        new = rows
+    else:
+        last = there.agg(F.max("chunk")).first()[0]
+        new = rows.join(there.select(key), key, "left_anti")
+        fresh = new.groupBy("chunk").agg(F.lit(1)).select("chunk")
+        first = fresh.agg(F.min("chunk").alias("_first"))
+        shift = F.lit(0 if last is None else last + 1) - F.col("_first")
+        new = new.crossJoin(F.broadcast(first)).withColumn("chunk", (F.col("chunk") + shift).cast("int")).drop("_first")
+    target = scratch(spark, "chunks")  # what is written must not be read from where it goes
+    new.write.parquet(target)
+    new = spark.read.schema(new.schema).parquet(target)
     new.write.mode("append").partitionBy("chunk").parquet(path)
     return new
 

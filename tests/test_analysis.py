@@ -81,3 +81,15 @@ def test_density_is_logarithmic(spark):
     got = {(r.bx, r.by): round(r.log_density, 9) for r in analysis.density_2d(rows, "x", "y", 1.0).collect()}
     assert got == {(0, 0): 1.0, (5, 5): 0.0}
     assert rows.select(F.lit(1)).count() == 11
+
+
+def test_coverage_scores_what_lies_below(spark):
+    rows = spark.createDataFrame([(1, 0, 120, 100.0), (1, 1, 9, 9.0)], "interaction_id int, bin int, n int, ref double")
+    got = analysis.coverage(rows).first()
+    assert (got.scale, got.score, got.covered) == (1.0, 109.0, 109.0)
+
+
+def test_wide_peaks_have_flat_tops(spark):
+    rows = [(1, k, float(v)) for k, v in enumerate([0, 1, 3, 3, 3, 1, 0, 2, 0])]
+    found = analysis.peaks_by_width(spark.createDataFrame(rows, "interaction_id int, bin int, density double"), 0.5).collect()
+    assert {r.peak: r.width for r in found} == {3: 3.5, 7: 1.0}

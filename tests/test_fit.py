@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from latticework.operators import fit, repair
-from latticework.operators.basis import Basis
+from latticework.operators.basis import Basis, knot_sequence
 
 
 def problem(spark, seed=0, n=40, d=5):
@@ -34,11 +34,10 @@ def test_known_coefficients_come_back(spark):
 
 
 def test_gram_forms_agree(spark):
-    from latticework.operators.features import wide
 
     feats, _, _, _ = problem(spark)
     a = {(r.kind, r.i, r.j): r.value for r in fit.gram(feats).collect()}
-    b = {(r.kind, r.i, r.j): r.value for r in fit.gram_blocks(wide(feats, 5)).collect()}
+    b = {(r.kind, r.i, r.j): r.value for r in fit.gram_blocks(feats, 5).collect()}
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
 
 
@@ -112,6 +111,37 @@ def test_cross_validation_equals_fits_without_the_fold(spark):
             assert np.allclose([got[model, fold, k] for k in kept], want)
 
 
+def test_errors_from_sums_equal_errors_of_predictions(spark):
+    from pyspark.sql import functions as F
+
+    feats, y, _, _ = problem(spark, n=30)
+    feats, y = feats.withColumn("fold", F.col("config_id") % 3), y.withColumn("fold", F.col("config_id") % 3)
+    g, o = fit.gram_blocks(feats, 5, by=("fold",)), fit.ordinate(feats, y, by=("fold",))
+    models = spark.createDataFrame([(m, f, k, 0.5 * k + m - f) for m in range(2) for f in range(3) for k in range(5)], "model int, fold int, feature_idx int, coefficient double")
+    got = {(r.model, r.held, r.kind, r.part): (r.n, r.rmse) for r in fit.errors_from_sums(g, o, fit.square_sums(y, by=("fold",)), models).collect()}
+    rows = {}
+    for r in feats.collect():
+        rows.setdefault((r.config_id, r.component, r.atom_idx), {})[r.feature_idx] = r.value
+    want = {}
+    for m in range(2):
+        for held in range(3):
+            for r in y.collect():
+                p = sum(v * (0.5 * k + m - held) for k, v in rows.get((r.config_id, r.component, r.atom_idx), {}).items())
+                kind = "energy" if r.component == "energy" else "force"
+                want.setdefault((m, held, kind, "valid" if r.fold == held else "train"), []).append((r.y - p) ** 2)
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == len(v) and abs(got[k][1] - np.sqrt(np.mean(v))) < 1e-9 for k, v in want.items())
+
+
+def test_repeated_samples_do_not_change_a_curve(spark):
+    rows = [("a", 0.1 + 0.2 * k, float(np.sin(k))) for k in range(25)]
+    schema = "curve string, x double, y double"
+    knots = knot_sequence(np.linspace(0.0, 5.2, 7))
+    once = {r.basis_idx: r.coefficient for r in fit.fit_curves(spark.createDataFrame(rows, schema), knots).collect()}
+    twice = {r.basis_idx: r.coefficient for r in fit.fit_curves(spark.createDataFrame(rows * 2, schema), knots).collect()}
+    assert once.keys() == twice.keys() and all(abs(once[k] - twice[k]) < 1e-6 for k in once)
+
+
 def test_regulariser_sums(spark):
     basis = Basis((1,), {(1, 1): (1, 5, 2)})
     rows = basis.penalties({"ridge_1b": 4.0, "ridge_2b": 9.0, "curve_2b": 1.0})
@@ -130,7 +160,37 @@ def test_cores_become_repulsive(spark):
     df = spark.createDataFrame(rows, "model int, interaction_id int, basis_idx int, coefficient double")
     got = [r.coefficient for r in repair.harden_cores(df).orderBy("basis_idx").collect()]
     assert got == [24.0, 12.0, 6.0, 3.0, -2.0, -1.0, 0.0]
-    assert repair.hardened(np.array([5.0, 1.0, -1.0, 0.0]), smooth=True).tolist() == [5.0, 1.0, 0.0, 0.0]
+    short = spark.createDataFrame([(0, 1, k, c) for k, c in enumerate([5.0, 1.0, -1.0, 0.0])], df.schema)
+    assert [r.coefficient for r in repair.harden_cores(short, smooth=True).orderBy("basis_idx").collect()] == [5.0, 1.0, 0.0, 0.0]
+
+
+def test_cores_against_a_walk_along_each_series(spark):
+    """Random series, some level, some rising, with ties."""
+    r = np.random.default_rng(7)
+    series = [r.choice([0.0, 0.001, 1.0, -1.0, 2.5], n) if k % 3 == 0 else np.round(r.normal(size=n), 2) if k % 3 == 1 else np.sort(r.normal(size=n))[::-1 if k % 2 else 1]
+              for k, n in enumerate(r.integers(2, 9, 120))]
+    rows = [(k, 1, j, float(c)) for k, s in enumerate(series) for j, c in enumerate(s)]
+    df = spark.createDataFrame(rows, "model int, interaction_id int, basis_idx int, coefficient double")
+    got = {}
+    for row in repair.harden_cores(df, hardness=1.5).orderBy("model", "basis_idx").collect():
+        got.setdefault(row.model, []).append(row.coefficient)
+    changed = 0
+    for k, s in enumerate(series):
+        want, well = list(map(float, s)), int(np.argmin(s))
+        head = np.round(s[: np.argmax(s)], 3)
+        if well < np.argmax(s) and head.max() - head.min() < 0.01:
+            well = int(np.argmax(s)) + 1
+        tops = [round(x, 3) + 1e-6 * j for j, x in enumerate(want[:well])]
+        if len(tops) > 1:
+            peak = int(np.argmax(tops))
+            slopes = [tops[min(j + 1, len(tops) - 1)] - tops[max(j - 1, 0)] for j in range(peak)]
+            if all(x >= 0 for x in slopes):
+                for j in reversed(range(peak)):
+                    want[j] = max(1.5 * abs(want[j + 1]), 0.1)
+                    changed += 1
+        want[0] = max(want[0], 2.0)
+        assert np.allclose(got[k], want)
+    assert changed > 50
 
 
 def test_repulsion_follows_the_parabola(spark):

@@ -23,6 +23,18 @@ def test_rounds_pick_the_same_distances(spark):
     assert {r.k for r in small.collect()} == {r.k for r in large.collect()}
 
 
+def test_ties_go_to_the_smallest_key_at_every_size(spark):
+    values = [0, 5, -5, 5, -5, 10, -10, 10, 0, -10]
+    rows = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(values)], "g string, k int, v double")
+    picks = []
+    for group_rows in (100, 2):
+        found = sampling.farthest_points(rows, "g", "k", ["v"], max_samples=5, group_rows=group_rows).collect()
+        picks.append([r.k for r in sorted(found, key=lambda r: r.picked)])
+    assert picks[0] == picks[1] and picks[0][:3] == [6, 5, 0]
+    both = [sampling.farthest_points(rows, "g", "k", ["v"], min_diff=4.0, group_rows=n).count() for n in (100, 2)]
+    assert both == [5, 5]
+
+
 def test_displacements(spark):
     configs = spark.createDataFrame([(1, 5.0)], "config_id int, energy double")
     atoms = spark.createDataFrame([(1, 0, 0.0, 0.0, 0.0, 2.0, -1.0, 0.0)], "config_id int, atom_idx int, px double, py double, pz double, fx double, fy double, fz double")

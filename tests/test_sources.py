@@ -1,5 +1,9 @@
+import json
+
+import numpy as np
 import pytest
 
+from latticework.operators.basis import Basis
 from latticework.sources import sinks, text
 
 XYZ = """2
@@ -51,6 +55,16 @@ def test_xyz(spark, folder):
     assert [(r.symbol, r.z, r.px, r.fx) for r in rows] == [("W", 74, 0.0, 0.1), ("Ne", 10, 1.0, -0.1), ("H", 1, 0.5, None)]
 
 
+def test_xyz_with_lone_integers_extras_and_broken_frames(spark, folder):
+    (folder / "g.xyz").write_text("1\n42\nH 0 0 0\n0\n7\n2\nProperties=species:S:1:pos:R:3:q:R:2\nH 1 0 0 5 6\nHe 2 0 0 7 8\n\n3\n1\nH 0 0 1\n")
+    configs, atoms = text.read_xyz(spark, str(folder / "g.xyz"))
+    assert configs.count() == 4
+    rows = [(r.frame, r.symbol, r.px, r.extras) for r in atoms.orderBy("frame", "atom_idx").collect()]
+    assert rows == [(0, "H", 0.0, {}), (2, "H", 1.0, {"q": ["5", "6"]}), (2, "He", 2.0, {"q": ["7", "8"]}), (3, "H", 0.0, {})]
+    configs, atoms = text.read_xyz(spark, str(folder / "g.xyz"), skip_broken=True)
+    assert configs.count() == 3 and atoms.count() == 3
+
+
 def test_log_drops_exact_repeats(spark, folder):
     (folder / "log").write_text(LOG)
     rows = text.read_log(spark, str(folder / "log"), {"PotEng": "energy"}).orderBy("pos").collect()
@@ -76,6 +90,18 @@ def test_run_matches_repeated_steps(spark, folder):
     assert atoms.count() == 4
 
 
+def test_runs_in_folders_do_not_mix(spark, folder):
+    for k in ("one", "two"):
+        (folder / k).mkdir()
+        (folder / k / "log.lammps").write_text(LOG.replace("-477.7349", f"-{len(k)}{'12'[k == 'two']}"))
+        (folder / k / "dump.lammpstrj").write_text(DUMP)
+    configs, atoms = text.read_run(spark, str(folder / "*" / "log.lammps"), str(folder / "*" / "dump.lammpstrj"))
+    rows = sorted((r.run.rsplit("/", 1)[1], r.step, r.energy) for r in configs.collect())
+    assert rows == [("one", 0, -400.5), ("one", 0, -31.0), ("one", 3000, -418.5), ("two", 0, -400.5), ("two", 0, -32.0), ("two", 3000, -418.5)]
+    assert atoms.count() == 8
+    assert sorted(r.step for r in text.read_dump(spark, str(folder / "one" / "dump.lammpstrj"), (500, 3000))[0].collect()) == [500, 3000]
+
+
 def test_discovery_prefixes_and_pressures(spark, folder):
     (folder / "a" / "INCAR").write_text("ISMEAR = 1\nPSTRESS = 100\nPSTRESS = 5\n")
     (folder / "a" / "OUTCAR").write_text("PSTRESS=   999.0 pullay stress\n")
@@ -106,16 +132,48 @@ def test_models_read_and_write(spark, folder):
     assert spark.read.text(str(folder / "out")).first().value == '{"model":0,"coefficients":{"Ne-Xe":[1.0,2.5]}}'
 
 
+def test_models_load_on_a_basis(spark, folder):
+    basis = Basis((1, 2), {(1, 1): (0.0, 3.0, 3), (1, 2): (0.0, 3.0, 3), (2, 2): (0.0, 3.0, 3)},
+                  {(a, *b): (0.5, (3.0, 3.0, 6.0), (3, 3, 4)) for a in (1, 2) for b in ((1, 1), (1, 2), (2, 2))}, degree=3, lead={2: 0, 3: 0}, trail={2: 0, 3: 0})
+    r = np.random.default_rng(1)
+    model = {"H": 1.5, "He": -2.0, "He-H": list(range(6)), "H-H": [0.5] * 6}
+    want = {basis.of_degree(1)[0].offset: 1.5, basis.of_degree(1)[1].offset: -2.0}
+    for x in basis.of_degree(2):
+        values = {(1, 1): [0.5] * 6, (1, 2): list(range(6)), (2, 2): [0.0] * 6}[x.species]
+        want |= {x.offset + k: float(v) for k, v in enumerate(values)}
+    for k, x in enumerate(basis.of_degree(3)):
+        name = "-".join({1: "H", 2: "He"}[z] for z in x.species)
+        if k % 2:
+            values = r.random(x.size)
+            model[name] = values.tolist()
+        else:
+            grid = r.random(x.weights.shape)
+            model[name] = grid.tolist()
+            both = (grid + grid.transpose(1, 0, 2)) / 2 if x.symmetry == 2 else grid
+            values = both[x.weights > 0]
+        want |= {x.offset + j: float(v) for j, v in enumerate(values)}
+    (folder / "m.json").write_text(json.dumps({"coefficients": model}))
+    got = {r.feature_idx: r.coefficient for r in text.load_models(spark, str(folder / "m.json"), basis).collect()}
+    assert got.keys() == want.keys() == set(range(basis.n_features))
+    assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    for broken in (model | {"H-H": [1.0]}, {k: v for k, v in model.items() if k != "H-H-H"}, {k: v for k, v in model.items() if k != "H"}):
+        (folder / "m.json").write_text(json.dumps({"coefficients": broken}))
+        with pytest.raises(ValueError):
+            text.load_models(spark, str(folder / "m.json"), basis)
+
+
 def test_chunks_resume(spark, folder):
     rows = spark.createDataFrame([(i,) for i in range(25)], "seq int")
     chunks = sinks.assign_chunks(rows, 10, "seq")
     assert {r.chunk: r["count"] for r in chunks.groupBy("chunk").count().collect()} == {0: 10, 1: 10, 2: 5}
     path = str(folder / "chunks")
-    sinks.write_chunks(chunks.where("chunk = 1"), path)
-    assert sinks.write_chunks(chunks, path) is not None
-    assert spark.read.parquet(path).count() == 25
-    sinks.write_chunks(chunks, path)
+    sinks.write_chunks(chunks.where("chunk = 1"), path, "seq")
+    assert sorted(r.seq for r in sinks.write_chunks(chunks, path, "seq").collect()) == [*range(10), *range(20, 25)]
     assert spark.read.parquet(path).count() == 25
+    more = sinks.assign_chunks(spark.createDataFrame([(i,) for i in range(-5, 25)], "seq int"), 10, "seq")  # numbers shift
+    assert sorted(r.seq for r in sinks.write_chunks(more, path, "seq").collect()) == [*range(-5, 0)]
+    told = spark.read.parquet(path)
+    assert told.count() == told.select("seq").distinct().count() == 30
 
 
 def test_cached_table_and_tabulated_curves(spark, folder):
