@@ -12,10 +12,11 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from urllib.parse import quote, unquote
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,10 +33,12 @@ ARC_FIELDS = {
 CRAWL_DATE = "20240101000000"
 CRLF = "\r\n"
 VERSION_LINE = "WARC/1.1"
-#: Records in one archive file; a file is read back by one task.
+#: Records in one archive file, which also ends with its task's share of the rows; a file is read back by one task.
 RECORDS_PER_FILE = 2000
-#: Pages in one ARC archive made from a page table.
-PAGES_PER_ARC = 500
+#: Pages and bytes at which an ARC archive made from a page table is closed.
+PAGES_PER_ARC, ARC_BYTES = 500, 8_000_000
+#: Compressed bytes taken in at once when an archive is read.
+READ_BYTES = 1 << 18
 #: Payloads below this many bytes are never stored as revisits.
 REVISIT_BYTES = 1000
 
@@ -94,8 +97,11 @@ def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end
 
 
-def synthesise(header: dict[str, str], block: bytes) -> tuple:
-    """The WARC fields of one ARC record whose block is an HTTP message."""
+def synthesise(header: dict[str, str], block: bytes, place: str) -> tuple:
+    """The WARC fields of one ARC record whose block is an HTTP message.
+
+    ``place`` (archive and number in it) tells records apart that are equal in all else.
+    """
     head, _, payload = block.partition(b"\r\n\r\n")
     http = head.decode()
     named = dict(x.split(": ", 1) for x in http.split(CRLF)[1:])
@@ -103,8 +109,8 @@ def synthesise(header: dict[str, str], block: bytes) -> tuple:
     d = header["Archive-date"]
     date = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
     uri = header["URL"]
-    record = f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page} {date} {uri}')}"
     sha = hashlib.sha1(payload).hexdigest()
+    record = f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page} {date} {uri} {sha} {place}')}"
     return (
         int(page) if page else None, record, uri, date, header["IP-address"], http, payload.decode(),
         len(payload), sha,
@@ -115,18 +121,24 @@ def pages_to_arc(pages: DataFrame) -> DataFrame:
     """Pages -> ARC archives (name, content); versions 1 and 2 take turns."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        turn = 0
+        part, turn, held = TaskContext.get().partitionId(), 0, 0
+        records: list[tuple[str, bytes]] = []
+
+        def close() -> pd.DataFrame:
+            name = f"part-{part:05d}-{turn:05d}.arc"
+            return pd.DataFrame({"name": [name], "content": [arc_archive(1 + turn % 2, records, name)]})
+
         for batch in batches:
-            for at in range(0, len(batch), PAGES_PER_ARC):
-                records = []
-                rows = batch.iloc[at : at + PAGES_PER_ARC]
-                for page, url, html in zip(rows["page_id"], rows["url"], rows["html"], strict=True):
-                    page = "" if page is None else page
-                    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {page}\r\n\r\n"
-                    records.append((url or "", (http + (html or "")).encode()))
-                name = f"part-{turn:05d}.arc"
-                yield pd.DataFrame({"name": [name], "content": [arc_archive(1 + turn % 2, records, name)]})
-                turn += 1
+            for page, url, html in zip(batch["page_id"], batch["url"], batch["html"], strict=True):
+                page = "" if page is None else page
+                http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {page}\r\n\r\n"
+                records.append((url or "", (http + (html or "")).encode()))
+                held += len(records[-1][1])
+                if held >= ARC_BYTES or len(records) >= PAGES_PER_ARC:
+                    yield close()
+                    records, held, turn = [], 0, turn + 1
+        if records:
+            yield close()
 
     # The identifier travels as text: a null would turn a pandas column to floats.
     src = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html")
@@ -134,17 +146,17 @@ def pages_to_arc(pages: DataFrame) -> DataFrame:
 
 
 def convert_arc(archives: DataFrame) -> DataFrame:
-    """ARC archives (content) -> one parsed row per record, WARC fields included."""
+    """ARC archives (name, content) -> one parsed row per record, WARC fields included."""
 
     def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in PARSED_SCHEMA.split(", ")]
         for batch in batches:
-            for data in batch["content"]:
-                rows = [synthesise(h, b) for h, b in parse_arc(bytes(data))]
+            for name, data in zip(batch["name"], batch["content"], strict=True):
+                rows = [synthesise(h, b, f"{name} {k}") for k, (h, b) in enumerate(parse_arc(bytes(data)))]
                 out = pd.DataFrame(rows, columns=names)
                 yield out.astype({"page_id": "Int64"})
 
-    return archives.select("content").mapInPandas(convert, PARSED_SCHEMA)
+    return archives.select("name", "content").mapInPandas(convert, PARSED_SCHEMA)
 
 
 def assign_types(parsed: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
@@ -206,19 +218,48 @@ def write_warc(typed: DataFrame, path: str, records_per_file: int = RECORDS_PER_
     )
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields, block) of each record, found by declared lengths."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split(CRLF)
+def unzipped(data: bytes) -> Iterator[bytes]:
+    """The content of a gzip file, member after member, in pieces."""
+    unzip = zlib.decompressobj(31)
+    for at in range(0, len(data), READ_BYTES):
+        rest = data[at : at + READ_BYTES]
+        while rest:
+            yield unzip.decompress(rest)
+            rest = unzip.unused_data
+            if unzip.eof:
+                unzip = zlib.decompressobj(31)
+
+
+def parse_warc(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(header fields, block) of each record, found by declared lengths; about a record is held at a time."""
+    source = iter(pieces)
+    held = bytearray()
+
+    def fill(size: int) -> bool:
+        while len(held) < size:
+            piece = next(source, None)
+            if piece is None:
+                return False
+            held.extend(piece)
+        return True
+
+    while fill(1):
+        end = held.find(b"\r\n\r\n")
+        while end < 0:
+            if not fill(len(held) + 1):
+                raise ValueError("a WARC header has no end")
+            end = held.find(b"\r\n\r\n")
+        lines = held[:end].decode().split(CRLF)
         if lines[0] != VERSION_LINE:
-            raise ValueError(f"no WARC record at byte {at}")
+            raise ValueError(f"no WARC record at {lines[0]!r}")
         header = dict(x.split(": ", 1) for x in lines[1:])
         start = end + 4
         end = start + int(header["Content-Length"])
-        yield header, data[start:end]
-        at = end + 4
+        if not fill(end):
+            raise ValueError(f"{header['WARC-Record-ID']} is cut off")
+        yield header, bytes(held[start:end])
+        fill(end + 4)
+        del held[: end + 4]
 
 
 def read_warc(archives: DataFrame) -> DataFrame:
@@ -229,7 +270,7 @@ def read_warc(archives: DataFrame) -> DataFrame:
         for batch in batches:
             for data in batch["content"]:
                 rows = []
-                for header, block in parse_warc(zlib.decompress(bytes(data), 31)):
+                for header, block in parse_warc(unzipped(bytes(data))):
                     http, _, payload = block.partition(b"\r\n\r\n")
                     page = dict(x.split(": ", 1) for x in http.decode().split(CRLF)[1:]).get("X-Page-Id", "")
                     kind, declared = header["WARC-Type"], header["WARC-Payload-Digest"].removeprefix("sha1:")

@@ -40,6 +40,30 @@ def test_archives_read_back_as_brute_force_says(spark):
     assert sorted(got, key=str) == brute(ROWS)
 
 
+def test_small_archives_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARC_BYTES", 3000)
+    monkeypatch.setattr(warc, "READ_BYTES", 100)
+    df = spark.createDataFrame([(*r, "clash", "clash") for r in ROWS], SCHEMA)
+    assert sorted((tuple(r) for r in warc.archive_pages(df).collect()), key=str) == brute(ROWS)
+
+
+def test_record_identifiers_differ(spark):
+    rows = [(1, "http://a", "x"), (1, "http://a", "x"), (1, "http://a", "y"), (None, None, None), (None, None, None)]
+    df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], SCHEMA)
+    parsed = warc.convert_arc(warc.pages_to_arc(df)).collect()
+    assert len({r.record_id for r in parsed}) == len(parsed) == 5
+
+
+def test_members_and_pieces_are_read_through():
+    import gzip
+
+    record = f"WARC/1.1{warc.CRLF}WARC-Record-ID: <a>{warc.CRLF}Content-Length: 3{warc.CRLF * 2}abc{warc.CRLF * 2}".encode()
+    for data in (gzip.compress(record * 3), gzip.compress(record) * 3):
+        assert [b for _, b in warc.parse_warc(warc.unzipped(data))] == [b"abc"] * 3
+    with pytest.raises(ValueError):
+        list(warc.parse_warc([record[:-6]]))
+
+
 def test_empty_table(spark):
     assert warc.archive_pages(spark.createDataFrame([], SCHEMA)).count() == 0
 
@@ -51,7 +75,7 @@ def test_arc_versions_parse_by_declared_length(version):
     parsed = list(warc.parse_arc(data))
     assert [b for _, b in parsed] == [block, block]
     assert parsed[0][0]["URL"] == "http://a/x%20y"
-    page, record, uri, date, *_ = warc.synthesise(*parsed[0])
+    page, record, uri, date, *_ = warc.synthesise(*parsed[0], "f.arc 0")
     assert (page, uri, date) == (3, "http://a/x%20y", "2024-01-01T00:00:00Z") and record.startswith("urn:uuid:")
     assert warc.decoded_target(uri) == "http://a/x y"
 
