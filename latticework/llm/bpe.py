@@ -32,6 +32,8 @@ CAPSULE_CHARS = 6_000_000
 CAPSULE_WORDS = 400_000
 #: Documents assembled into one pandas batch.
 OUT_TOKENS = 500_000
+#: Bytes of text for each bucket of words.
+BUCKET_BYTES = 8_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -239,7 +241,9 @@ def bpe_encode(
     are ignored.
     """
     spark = docs.sparkSession
-    buckets = buckets or max(32, 4 * shuffle_width(spark))
+    if buckets is None:
+        size = F.sum(F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long"))
+        buckets = max(32, 4 * shuffle_width(spark), (docs.select(size).first()[0] or 0) // BUCKET_BYTES)
     ranks = spark.sparkContext.broadcast(load_ranks(ranks_path))
     id_type = dict(docs.select(id_col).dtypes)[id_col]
     source = docs.select(

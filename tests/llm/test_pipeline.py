@@ -1,4 +1,10 @@
+import hashlib
+
+import public_tokenizers
+import tiktoken
+
 import corpus_pipeline
+from latticework.llm.bpe import load_ranks
 from latticework.llm.common import apply_verdicts
 
 from .cases import AWKWARD, docs, prose
@@ -41,7 +47,15 @@ def test_stages_do_what_brute_force_says(spark, tmp_path):
     assert {r.doc_id for r in three.collect()} == stay and three.count() == len(stay)
     assert {r.doc_id for r in four.collect()} == stay - {52}
     got = five.collect()
-    assert {r.doc_id for r in got} == stay - {52} and all(r.n_tokens == len(r.token_ids) for r in got)
+    assert {r.doc_id for r in got} == stay - {52}
+    ranks = load_ranks(public_tokenizers.path(corpus_pipeline.RANKS))
+    codec = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = {r.doc_id: r.text for r in four.collect()}
+    for r in got:
+        ids = codec.encode_ordinary(texts[r.doc_id])
+        assert (list(r.token_ids), r.n_tokens) == (ids, len(ids))
+        assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
 
 def test_empty_documents(spark, tmp_path):
