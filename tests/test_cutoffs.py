@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from latticework.operators import fit, tables
+from latticework.operators import basis as dims, fit, tables
 from latticework.operators.basis import Basis, knot_points, knot_sequence, spline_pieces
 from latticework.operators.features import feature_table
 
@@ -87,3 +88,25 @@ def test_best_rows_and_held_share(spark):
     assert [tuple(r) for r in tables.best_rows(s, ["g"], "rmse").collect()] == [(2, 0, 0.1), (1, 1, 0.2)]
     rows = spark.range(4000).withColumnRenamed("id", "config_id")
     assert 700 < tables.holdout_fraction(rows, 0.2).where("held").count() < 900
+
+
+def test_basis_from_spacing_and_its_lower_cutoffs():
+    basis = dims.basis_from_spacing((2, 1), (0.0, 6.0, 0.5), (0.0, 3.0, 0.5))
+    assert basis.species == (1, 2) and basis.degree == 3
+    far = basis.of_degree(3)[0].knots[2]
+    assert (far[0], far[-1], len(far)) == (0.0, 6.0, 12 + 7)
+    cuts = dims.lower_cutoffs(basis)
+    assert cuts["rmax_2b"] == [0.5 * k for k in range(1, 13)] and cuts["rmax_3b"] == [0.5 * k for k in range(1, 7)]
+    for bad in (((1,), (0.0, 6.0, 0.7)), ((1,), (0.0, 6.0, 0.5), (0.5, 3.0, 1.0)), ((1,), (0.0, 6.0, 0.5), None, 1)):
+        with pytest.raises(ValueError):
+            dims.basis_from_spacing(*bad)
+
+
+def test_hashes_of_several_numbers_and_symbols(spark):
+    from latticework.functions import chem
+
+    df = spark.createDataFrame([([26, 6, 8],), ([1, 1, 1],), ([8, 92, 3],)], "v array<int>")
+    got = df.select("v", chem.unszudzik_array(chem.szudzik_array(F.col("v")), 3).alias("w")).collect()
+    assert all(list(r.v) == list(r.w) for r in got)
+    told = spark.createDataFrame([(["Fe", "C"],)], "s array<string>").select(chem.symbols_hash(F.col("s")).alias("h"))
+    assert told.select(chem.hash_symbols(F.col("h")).alias("s")).first().s == ["Fe", "C"]

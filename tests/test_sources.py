@@ -71,6 +71,12 @@ def test_log_drops_exact_repeats(spark, folder):
     assert [(r.Step, r.energy) for r in rows] == [(0, -477.7349), (1000, -459.76247), (0, -400.5), (3000, -418.5)]
 
 
+def test_log_blocks_without_an_end_or_with_words_are_left_out(spark, folder):
+    (folder / "log").write_text("Step Temp\n1 2\nLoop time\nx\nStep Temp\n3 4\n\n5 6e-1\nLoop time\nStep Temp\n7 8\nWARNING: lost\nLoop time\nStep Temp\n9 10\n")
+    rows = text.read_log(spark, str(folder / "log")).orderBy("pos").collect()
+    assert [(r.Step, r.Temp) for r in rows] == [(3, 4.0), (5, 0.6)]
+
+
 def test_dump_boxes(spark, folder):
     (folder / "d").write_text(DUMP)
     snapshots, rows = text.read_dump(spark, str(folder / "d"))
