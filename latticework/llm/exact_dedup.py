@@ -62,7 +62,8 @@ def hits_of(runs: DataFrame, bits: int) -> DataFrame:
         .withColumn("bit", F.expr("bitmap_bit_position(slot)"))
     )
     elsewhere = F.exists("filters", lambda f: (f["run"] != F.col("run")) & _bit_is_set(f["bitmap"], F.col("bit")))
-    return keyed.join(run_filters(runs, bits), "page").select(
+    # The filters grow with the corpus: both sides shuffle by page, none is broadcast.
+    return keyed.join(run_filters(runs, bits).hint("shuffle_hash"), "page").select(
         "digest", "copies", "keep_id", ((F.col("copies") > 1) | elsewhere).alias("hit")
     )
 
