@@ -1347,17 +1347,17 @@ def xyz_round_trip(spark, sf):
     SELECT DISTINCT epoch(date_trunc('hour', ts))::BIGINT AS step, round(value, 4) AS energy FROM events
 """)
 def log_round_trip(spark, sf):
-    """Events written as thermo blocks, a file per user group, and scanned again."""
+    """Events written as thermo blocks, one for each user group and day, and scanned again."""
     from latticework.sources.text import read_log
 
     e = standin.read(spark, sf, "events").select(
-        F.unix_timestamp(F.date_trunc("hour", "ts")).alias("step"), F.round("value", 4).alias("v"), (F.col("user_id") % 64).alias("run"), "event_id"
+        F.unix_timestamp(F.date_trunc("hour", "ts")).alias("step"), F.round("value", 4).alias("v"), (F.col("user_id") % 64).alias("run"), F.to_date("ts").alias("day"), "event_id"
     )
     line = F.format_string("%d 300.0 %.4f", "step", "v")
-    blocks = e.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))).alias("lines"))
+    blocks = e.groupBy("run", "day").agg(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))).alias("lines"))
     text = F.concat(F.lit("\nStep Temp PotEng\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), F.lit("\nLoop time of 1\n"))
     path = scratch(spark, "log")
-    blocks.select(text.alias("value")).write.option("maxRecordsPerFile", 4).text(path)
+    blocks.select(text.alias("value")).write.option("maxRecordsPerFile", 100).text(path)
     return read_log(spark, path, {"Step": "step", "PotEng": "energy"}).select("step", F.round("energy", 4).alias("energy")).distinct()
 
 

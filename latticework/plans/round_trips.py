@@ -23,12 +23,6 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
     return standin.atoms(spark, sf, index=True, forces=True)
 
 
-def _gathered(rows: DataFrame, key: str, order: str, line) -> DataFrame:
-    """(key, body): the lines of each key in order, a line end between them."""
-    found = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, line.alias("line")))).alias("l"))
-    return found.select(key, F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("body"), F.size("l").alias("n"))
-
-
 # --- sources ------------------------------------------------------------------------
 
 @query(f"""
@@ -78,12 +72,14 @@ def run_round_trip(spark, sf):
         (F.col("user_id") % 16).alias("run"), F.unix_timestamp(F.date_trunc("hour", "ts")).alias("step"), "event_id", "event_type", F.round("value", 4).alias("v")
     )
     path = scratch(spark, "runs")
-    logged = _gathered(e.where("event_type = 'click'"), "run", "event_id", F.format_string("%d %.4f", "step", "v"))
-    logs = logged.select("run", F.concat(F.lit("\nStep PotEng\n"), "body", F.lit("\nLoop time of 1\n")).alias("value"))
+    click = F.col("event_type") == "click"
     head = "ITEM: TIMESTEP\n%d\nITEM: NUMBER OF ATOMS\n1\nITEM: BOX BOUNDS pp pp pp\n0 50\n0 10\n0 8\nITEM: ATOMS id type x y z fx fy fz\n1 1 %.4f 0 0 0 0 0"
-    dumps = _gathered(e.where("event_type <> 'click'"), "run", "event_id", F.format_string(head, "step", "v")).select("run", F.col("body").alias("value"))
-    for kind, df in (("log", logs), ("dump", dumps)):
-        df.repartition("run").write.partitionBy("run").text(f"{path}/{kind}")
+    frames = e.where(~click).select("run", F.col("event_id").alias("at"), F.format_string(head, "step", "v").alias("value"))
+    rows = e.where(click).select("run", F.col("event_id").alias("at"), F.format_string("%d %.4f", "step", "v").alias("value"))
+    ends = F.explode(F.array(F.struct(F.lit(-1).alias("at"), F.lit("\nStep PotEng").alias("value")), F.struct(F.lit((1 << 63) - 1).alias("at"), F.lit("Loop time of 1").alias("value"))))
+    logs = rows.unionByName(rows.select("run").distinct().select("run", ends.alias("x")).select("run", "x.at", "x.value"))
+    for kind, df in (("log", logs), ("dump", frames)):
+        df.repartition("run").sortWithinPartitions("run", "at").select("run", "value").write.partitionBy("run").text(f"{path}/{kind}")
     # A run's folder holds both: the scans name a folder by its partition.
     logged = text.read_log(spark, f"{path}/log/*/*", {"Step": "step", "PotEng": "energy"})
     snapshots, rows = text.read_dump(spark, f"{path}/dump/*/*")
