@@ -77,6 +77,13 @@ def op8_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import lower_cased_third, manifest_proofs
+
+    docs = table(spark, sf_dir, "documents")
+    return manifest_proofs(docs, lower_cased_third(docs))
+
+
 def op12_bpe_heap(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -138,5 +145,61 @@ _SQL = {
 }
 
 
+#: Unsigned CRC-32 of a text of ASCII characters: a negative entry shifts by one bit, others are bytes.
+_CRC32 = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(
+    list_transform(string_split({0}, ''), lambda ch: CAST(ascii(ch) AS BIGINT)),
+    lambda b: [b, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)"""
+
+
+def _merkle_sql(levels: int = 10) -> str:
+    """Level by level: a tree whose level has one node is done; others make a node of every eight."""
+    field = "coalesce(CAST(octet_length(encode({0})) AS VARCHAR) || ':' || {0}, '-')".format
+    record = " || ".join(field(c) for c in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", "{text}"))
+    parts = [f"""
+        l AS (
+            SELECT doc_id, lang, sha256({record.format(text="text")}) AS leaf,
+                   sha256({record.format(text="CASE WHEN " + _CRC32.format("CAST(doc_id AS VARCHAR)") + " % 3 = 0 THEN "
+                                        "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END")}) AS other
+            FROM documents
+        ), a0 AS (
+            SELECT doc_id, lang, leaf, other,
+                   row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+                   count(*) OVER (PARTITION BY lang) AS n
+            FROM l
+        ), t0 AS (SELECT lang, i, leaf AS h, n FROM a0),
+        p0 AS (SELECT *, i AS spot, '' AS proof, other AS fold FROM a0)"""]
+
+    def climb(tree: str, path: str, k: int) -> str:
+        """Nodes of a level -> those of the next, and the paths through them."""
+        return f"""
+        {tree}{k + 1} AS (
+            SELECT lang, i // 8 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h, CAST(ceil(n / 8.0) AS BIGINT) AS n
+            FROM {tree}{k} WHERE n > 1 GROUP BY lang, i // 8, n
+            UNION ALL SELECT lang, i, h, n FROM {tree}{k} WHERE n = 1
+        ), {path}r{k} AS (SELECT lang, i // 8 AS run, list(h ORDER BY i) AS hs FROM {tree}{k} WHERE n > 1 GROUP BY lang, i // 8
+        ), {path}{k + 1} AS (
+            SELECT p.* EXCLUDE (spot, n, proof, fold), spot // 8 AS spot, CAST(ceil(n / 8.0) AS BIGINT) AS n,
+                   proof || array_to_string(hs[1:spot % 8], '') || array_to_string(hs[spot % 8 + 2:], '') AS proof,
+                   sha256(array_to_string(hs[1:spot % 8], '') || fold || array_to_string(hs[spot % 8 + 2:], '')) AS fold
+            FROM {path}{k} p JOIN {path}r{k} r ON p.lang IS NOT DISTINCT FROM r.lang AND p.spot // 8 = r.run WHERE n > 1
+            UNION ALL SELECT * EXCLUDE (spot, n, proof, fold), spot, n, proof, fold FROM {path}{k} WHERE n = 1
+        )"""
+
+    parts += [climb("t", "p", k) for k in range(levels)]
+    parts.append(f"""
+        s AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place, count(*) OVER () AS trees FROM t{levels}),
+        u0 AS (SELECT NULL AS lang, place AS i, subroot AS h, trees AS n FROM s),
+        q0 AS (
+            SELECT p.* EXCLUDE (spot, n, proof, fold, lang, i), NULL AS lang, subroot, place AS spot, trees AS n, proof, fold
+            FROM p{levels} p JOIN s ON p.lang IS NOT DISTINCT FROM s.lang
+        )""")
+    parts += [climb("u", "q", k) for k in range(3)]
+    return "WITH " + ",".join(parts) + """
+        SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = h AS verified
+        FROM q3, u3
+    """
+
+
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | {"op11_merkle": _merkle_sql()}
