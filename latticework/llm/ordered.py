@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, shuffle_width
 
 
-def sorted_parts(rows: DataFrame, key: str, order: list[Column], tag: str) -> DataFrame:
+def sorted_parts(rows: DataFrame, key: str, order: list[Column], tag: str, scan: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Rows sorted by ``key`` and ``order`` over range partitions, written with their partition and place.
 
     Adds ``_lw_part`` and ``_lw_place`` (ascending within the partition).  Rows
     that are equal in all of these are dealt by where they were read, so a
     key, or a repeated row, that holds a third of the table spans partitions.
+    ``scan`` works on the sorted partitions before they are written.
     """
     by = [F.asc_nulls_first(key), *order, F.asc("_lw_tie")]
     spread = (
@@ -24,7 +27,7 @@ def sorted_parts(rows: DataFrame, key: str, order: list[Column], tag: str) -> Da
         .withColumn("_lw_place", F.monotonically_increasing_id())
         .withColumn("_lw_part", F.shiftright("_lw_place", 33).cast("int"))
     )
-    return materialize(spread, tag)
+    return materialize(scan(spread) if scan else spread, tag)
 
 
 def numbered(rows: DataFrame, key: str, order: list[Column], tag: str) -> DataFrame:

@@ -92,6 +92,12 @@ def op12_bpe_heap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversation_trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -201,5 +207,37 @@ def _merkle_sql(levels: int = 10) -> str:
     """
 
 
+def _trie_sql() -> str:
+    return f"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+        ), c AS (
+            SELECT conv_id, {_CRC32.format("CAST(conv_id AS VARCHAR)")} % 6 AS h,
+                   list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, text) AS own
+            FROM t GROUP BY conv_id
+        ), r AS (
+            SELECT c.conv_id, list_concat(coalesce(b.own, [])[1:c.h], c.own[c.h + 1:]) AS seq
+            FROM c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 100
+        ), p AS (
+            SELECT conv_id, len(seq) AS n, seq[1:d] AS pre, d
+            FROM (SELECT *, unnest(range(0, len(seq) + 1)) AS d FROM r)
+        ), n AS (
+            SELECT d, pre, min(conv_id) AS conv_id, count(*) AS n_convs,
+                   sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256
+            FROM p GROUP BY d, pre
+        ), u AS (
+            SELECT n.*, m.conv_id AS parent, CASE WHEN n.d = 0 THEN 0 ELSE (n.n_convs - 1) * length(n.pre[n.d].text) END AS saved
+            FROM n LEFT JOIN n m ON m.d = n.d - 1 AND m.pre = n.pre[1:n.d - 1]
+        ), k AS (SELECT parent, d - 1 AS d, count(*) AS n_children FROM u WHERE d > 0 GROUP BY parent, d),
+        v AS (SELECT u.*, coalesce(n_children, 0) AS n_children FROM u LEFT JOIN k ON k.parent = u.conv_id AND k.d = u.d),
+        s AS (
+            SELECT p.d, p.pre, CAST(sum(CASE WHEN v.n_children = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves, CAST(sum(v.saved) AS BIGINT) AS saved_tokens
+            FROM v JOIN p ON p.conv_id = v.conv_id AND p.d <= v.d GROUP BY p.d, p.pre
+        )
+        SELECT v.conv_id, v.d AS depth, v.parent AS parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256
+        FROM v JOIN s ON s.d = v.d AND s.pre = v.pre
+    """
+
+
 def oracle_sql() -> dict[str, str]:
-    return _SQL | {"op11_merkle": _merkle_sql()}
+    return _SQL | {"op13_conversation_trie": _trie_sql(), "op11_merkle": _merkle_sql()}
