@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Groups of more rows than this are sampled by rounds over the distributed table.
+from .farthest import by_blocks, distances
+
+#: Groups of more rows than this are sampled by blocks over the distributed table.
 GROUP_ROWS = 200_000
 
 
+def _named(group: Column) -> Column:
+    """A group's value as a string that is never null."""
+    return F.coalesce(F.concat(F.lit("="), group.cast("string")), F.lit("-"))
+
+
 def farthest_points(
     rows: DataFrame, group: str, key: str, values: list[str], max_samples: int = 0, min_diff: float = 0.0, group_rows: int = GROUP_ROWS
 ) -> DataFrame:
@@ -19,66 +28,39 @@ def farthest_points(
     Starts at the smallest first value, then takes the row farthest from all
     picked ones until ``max_samples`` are picked or the farthest is nearer than
     ``min_diff``; ties go to the smallest key.  Without either limit every row
-    stays.  Groups up to ``group_rows`` run as one vectorised task each, larger
-    ones as rounds of one aggregate over the distributed rows: a job and a row
-    on the driver for each pick.
+    stays.  Rows with a null or NaN value are not picked; a null group is a group
+    like others.  Groups up to ``group_rows`` run as one vectorised task each,
+    larger ones by blocks with bounds (``farthest``), with the same picks.
     """
     schema = f"{group} {dict(rows.dtypes)[group]}, {key} {dict(rows.dtypes)[key]}, picked int"
     if not max_samples and not min_diff:
         return rows.select(group, key, F.lit(0).alias("picked"))
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    large = [r[group] for r in sizes.where(F.col("_n") > group_rows).select(group).collect()]
 
     def pick(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(key, kind="stable")
         x = part[values].to_numpy(float)
-
-        def distance(at: int) -> np.ndarray:
-            total = np.zeros(len(x))
-            for k in range(x.shape[1]):  # column by column, as the distributed rounds add
-                total += (x[:, k] - x[at, k]) ** 2
-            return np.sqrt(total)
-
         at = int(x[:, 0].argmin())
-        chosen, gap = [at], distance(at)
+        chosen, gap = [at], distances(x, x[at])
         limit = min(len(x), max_samples or len(x))
         while len(chosen) < limit:
             at = int(gap.argmax())
             if gap[at] <= 0 or gap[at] < min_diff:
                 break
             chosen.append(at)
-            gap = np.minimum(gap, distance(at))
+            gap = np.minimum(gap, distances(x, x[at]))
         return pd.DataFrame({group: part[group].iloc[chosen].to_numpy(), key: part[key].iloc[chosen].to_numpy(), "picked": range(len(chosen))})
 
-    needed = rows.select(group, key, *values)
-    small = needed.where(~F.col(group).isin(large)) if large else needed
-    out = small.groupBy(group).applyInPandas(pick, schema)
-    for g in large:
-        out = out.unionByName(_by_rounds(needed.where(F.col(group) == g), group, key, values, max_samples, min_diff))
-    return out
-
-
-def _by_rounds(rows: DataFrame, group: str, key: str, values: list[str], max_samples: int, min_diff: float) -> DataFrame:
-    """The picks of one large group.  The gaps are written out every 16 rounds, so no plan grows beyond that."""
-    from latticework.sources.sinks import scratch
-
-    spark = rows.sparkSession
-    chosen = [rows.orderBy(values[0], key).first()]
-    near = rows.withColumn("_gap", F.lit(float("inf")))
-    while not max_samples or len(chosen) < max_samples:
-        last = chosen[-1]
-        d = F.sqrt(sum(((F.col(v) - F.lit(float(last[v]))) ** 2 for v in values), F.lit(0.0)))
-        near = near.withColumn("_gap", F.least("_gap", d))
-        if len(chosen) % 16 == 1:
-            path = scratch(spark, "gaps")
-            near.write.parquet(path)
-            near = spark.read.schema(near.schema).parquet(path)
-        best = near.agg(F.min(F.struct((-F.col("_gap")).alias("gap"), key, F.struct(*rows.columns).alias("r")))).first()[0]
-        if best is None or -best["gap"] <= 0 or -best["gap"] < min_diff:
-            break
-        chosen.append(best["r"])
-    picked = [(r[group], r[key], i) for i, r in enumerate(chosen)]
-    return spark.createDataFrame(picked, f"{group} {dict(rows.dtypes)[group]}, {key} {dict(rows.dtypes)[key]}, picked int")
+    whole = reduce(lambda a, b: a & b, [F.col(v).isNotNull() & ~F.isnan(F.col(v).cast("double")) for v in values])
+    needed = rows.where(whole).select(group, key, *values)
+    sizes = needed.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    large = sizes.where(F.col("_n") > group_rows).select(F.col(group).alias("_large"))
+    if large.isEmpty():
+        return needed.groupBy(group).applyInPandas(pick, schema)
+    same = F.col(group).eqNullSafe(F.col("_large"))
+    picked = by_blocks(needed.join(large, same, "left_semi"), _named(F.col(group)), key, values, max_samples, min_diff)
+    names = large.select(_named(F.col("_large")).alias("_g"), F.col("_large").alias(group))
+    picked = picked.withColumnRenamed("g", "_g").join(names, "_g").select(group, F.col("key").alias(key), "picked")
+    return needed.join(large, same, "left_anti").groupBy(group).applyInPandas(pick, schema).unionByName(picked)
 
 
 def uniform(*parts: Column) -> Column:

@@ -1268,6 +1268,15 @@ def fps_vectors(spark, sf):
     return sampling.farthest_points(e, "label", "vec_id", [f"v{k}" for k in range(64)], max_samples=10)
 
 
+@query(f"""SELECT g AS prefix, key AS config_id, picked FROM ({_fps_sql(
+    'SELECT o_orderstatus AS g, o_orderkey AS key, [o_totalprice, o_custkey * 100e0] AS v FROM orders', 40,
+    'sqrt((v[1] - w[1]) * (v[1] - w[1]) + (v[2] - w[2]) * (v[2] - w[2]))', 50.0)})""")
+def fps_by_blocks(spark, sf):
+    """As fps_sample in two dimensions, with groups of over 1,000 rows in blocks."""
+    rows = standin.configs(spark, sf).select("prefix", "config_id", "energy", (F.col("cust") * 100.0).alias("cust"))
+    return sampling.farthest_points(rows, "prefix", "config_id", ["energy", "cust"], max_samples=40, min_diff=50.0, group_rows=1000)
+
+
 @query(f"""
     WITH {ATOMS_SQL}, f AS (
         SELECT config_id, CAST(atom_idx AS INTEGER) AS atom_idx, unnest([0, 1, 2]) AS axis, unnest([fx, fy, fz]) AS f FROM atoms
