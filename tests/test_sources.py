@@ -77,6 +77,62 @@ def test_log_blocks_without_an_end_or_with_words_are_left_out(spark, folder):
     assert [(r.Step, r.Temp) for r in rows] == [(3, 4.0), (5, 0.6)]
 
 
+@pytest.fixture
+def tiny_splits(spark):
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    yield lambda size: spark.conf.set(name, size)
+    spark.conf.set(name, before)
+
+
+def test_xyz_over_many_splits(spark, folder, tiny_splits):
+    """Frames, headers that are integers and runs of integers across borders of splits; equal to one split."""
+    r = np.random.default_rng(4)
+    for name in ("a.xyz", "b.xyz"):
+        frames = []
+        for k in range(60):
+            n = int(r.integers(0, 4))
+            head = "17" if k % 3 == 0 else f"energy={k}.5"
+            frames.append("\n".join([str(n), head, *[f"H {i} 0 {k}" for i in range(n)]]) + ("\njunk after" if k % 7 == 0 else ""))
+        (folder / name).write_text("\n".join(frames) + "\n")
+
+    def read():
+        out = []
+        for skip in (False, True):
+            configs, atoms = text.read_xyz(spark, str(folder), skip_broken=skip)
+            out += [sorted(map(str, configs.collect())), sorted(map(str, atoms.collect()))]
+        return out
+
+    want = read()
+    assert len(want[0]) == 120
+    for size in (150,):
+        tiny_splits(size)
+        assert text.xyz_frames(spark, str(folder / "a.xyz")).select("frame").distinct().count() == 60
+        assert spark.read.text(str(folder)).rdd.getNumPartitions() > 4
+        assert read() == want
+
+
+def test_log_over_many_splits(spark, folder, tiny_splits):
+    """Blocks that begin, end or pass through borders of splits; warnings and heads without an end left out."""
+    r = np.random.default_rng(5)
+    lines = ["Step Temp", "1 1"]  # never the first line
+    for k in range(40):
+        lines += ["Step Temp E" if k % 5 else "Step Temp"]
+        lines += [f"{i} {k}.5 {i}" if k % 5 else f"{i} {k}.5" for i in range(int(r.integers(0, 12)))]
+        lines += [["Loop time of 1"], ["WARNING: lost", "Loop time of 1"], [], ["", "Loop time of 1", "Text", "9 9"]][k % 4]
+    for name in ("one.log", "two.log"):
+        (folder / name).write_text("\n".join(lines) + "\n")
+
+    def read():
+        return [tuple(x) for x in text.read_log(spark, str(folder)).orderBy("file", "pos").drop("pos").collect()]
+
+    want = read()
+    assert len(want) > 60
+    for size in (130,):
+        tiny_splits(size)
+        assert read() == want
+
+
 def test_dump_boxes(spark, folder):
     (folder / "d").write_text(DUMP)
     snapshots, rows = text.read_dump(spark, str(folder / "d"))
