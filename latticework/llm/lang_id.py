@@ -28,8 +28,8 @@ HASHES = 3
 #: 1 / MIN_SHARE trigrams per language reach the filter, whatever the corpus.
 MIN_SHARE = 2e-6
 MIN_PART = 0.2
-#: Languages fit the bits of a slot.
-MAX_LANGUAGES = 63
+#: Languages that share a word of a slot; every further 63 languages take another word (8 MB).
+WORD_LANGUAGES = 63
 #: Characters worked on at once.
 BLOCK_CHARS = 250_000
 UNDETERMINED = "und"
@@ -39,11 +39,16 @@ _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E377
 _letters: list[np.ndarray] = []
 
 
-def _is_letter() -> np.ndarray:
-    """Whether each code point of the lower planes is a letter, made once a worker."""
+def _is_letter(cp: np.ndarray) -> np.ndarray:
+    """Whether each code point is a letter: by a table of the lower planes, made once a worker, others one by one."""
     if not _letters:
         _letters.append(np.fromiter((chr(c).isalpha() for c in range(0x20000)), bool, 0x20000))
-    return _letters[0]
+    known = _letters[0][np.minimum(cp, 0x1FFFF)]
+    high = cp > 0x1FFFF
+    if high.any():
+        rare, at = np.unique(cp[high], return_inverse=True)
+        known[high] = np.array([chr(c).isalpha() for c in rare.tolist()])[at]
+    return known
 
 
 def _blocks(texts: list[str]) -> Iterator[list[tuple[int, str]]]:
@@ -70,7 +75,6 @@ def trigrams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     Text is lower-cased; runs of other characters count as one space, and
     every text is padded by a space at both ends.
     """
-    letter = _is_letter()
     for block in _blocks(texts):
         joined = "".join(p for _, p in block).lower()
         pieces = [p.lower() for _, p in block]
@@ -81,7 +85,7 @@ def trigrams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             np.array([r for r, _ in block], "i8"), np.fromiter(map(len, pieces), "i8", len(pieces))
         )
         piece = np.repeat(np.arange(len(pieces)), np.fromiter(map(len, pieces), "i8", len(pieces)))
-        known = letter[np.minimum(cp, 0x1FFFF)] | (cp > 0x1FFFF)
+        known = _is_letter(cp)
         cp = np.where(known, cp, _SPACE).astype("u8")
         kept = np.ones(len(cp), bool)
         kept[1:] = known[1:] | known[:-1] | (piece[1:] != piece[:-1])
@@ -125,19 +129,25 @@ def count_trigrams(labelled: DataFrame) -> DataFrame:
 
 
 class BitSlicedFilter:
-    """The slots of the filter, its languages, and each language's fill."""
+    """The slots of the filter (a row of words for every 63 languages), its languages, and each language's fill."""
 
     def __init__(self, slots: np.ndarray, languages: list[str]) -> None:
         self.slots, self.languages = slots, languages
-        bits = [(slots >> np.uint64(i)) & np.uint64(1) for i in range(len(languages))]
+        fill = [float(self.bit(slots, i).mean()) for i in range(len(languages))]
         #: Chance that a trigram outside the language has all its slots set.
-        self.false_rate = np.array([float(b.mean()) ** HASHES for b in bits])
+        self.false_rate = np.array(fill) ** HASHES
+
+    @staticmethod
+    def bit(words: np.ndarray, language: int) -> np.ndarray:
+        """A language's bit in each column of words."""
+        word, at = divmod(language, WORD_LANGUAGES)
+        return (words[word] >> np.uint64(at)) & np.uint64(1)
 
     def containing(self, gram: np.ndarray) -> np.ndarray:
         """For each trigram the bits of all languages that contain it."""
-        mask = self.slots[_slots(gram, 0)]
+        mask = self.slots[:, _slots(gram, 0)]
         for j in range(1, HASHES):
-            mask = mask & self.slots[_slots(gram, j)]
+            mask = mask & self.slots[:, _slots(gram, j)]
         return mask
 
 
@@ -145,36 +155,33 @@ def train(labelled: DataFrame) -> BitSlicedFilter | None:
     """Fit the filter on every (lang, body) row; None if there is no trigram."""
     counts = materialize(count_trigrams(labelled), "trigrams")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    languages = sorted(r["lang"] for r in totals.select("lang").limit(MAX_LANGUAGES + 1).collect())
+    languages = sorted(r["lang"] for r in totals.select("lang").collect())  # one row a language
     if not languages:
         return None
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     number = F.element_at(
         F.create_map(*[x for i, l in enumerate(languages) for x in (F.lit(l), F.lit(i))]), F.col("lang")
     )
     share = F.col("n") / F.col("total")
     often = (
-        counts.join(F.broadcast(totals), "lang")  # at most MAX_LANGUAGES rows
-        .select("gram", number.alias("bit"), share.alias("share"))
+        counts.join(F.broadcast(totals), "lang")  # a row a language
+        .select("gram", number.alias("number"), share.alias("share"))
         .where(F.col("share") >= MIN_SHARE)
         .withColumn("top", F.max("share").over(Window.partitionBy("gram")))
         .where(F.col("share") >= MIN_PART * F.col("top"))
-        .groupBy("gram")
-        .agg(F.expr("bit_or(shiftleft(1L, bit))").alias("mask"))
+        .groupBy("gram", F.floor(F.col("number") / WORD_LANGUAGES).cast("int").alias("word"))
+        .agg(F.bit_or(F.expr(f"shiftleft(1L, number % {WORD_LANGUAGES})")).alias("mask"))
     )
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            gram, mask = batch["gram"].to_numpy("i8").view("u8"), batch["mask"].to_numpy("i8")
-            yield pd.DataFrame(
-                {"slot": np.concatenate([_slots(gram, j) for j in range(HASHES)]), "mask": np.tile(mask, HASHES)}
-            )
-
-    filled = often.mapInPandas(places, "slot long, mask long").groupBy("slot").agg(F.expr("bit_or(mask)").alias("mask"))
-    rows = filled.toPandas()  # at most 2 ** SLOTS_LOG2 rows
-    slots = np.zeros(1 << SLOTS_LOG2, "u8")
-    slots[rows["slot"].to_numpy("i8")] = rows["mask"].to_numpy("i8").view("u8")
+            gram = batch["gram"].to_numpy("i8").view("u8")
+            slot = np.concatenate([_slots(gram, j) for j in range(HASHES)])
+            yield pd.DataFrame({"slot": slot, "word": np.tile(batch["word"], HASHES), "mask": np.tile(batch["mask"], HASHES)})
+
+    placed = often.mapInPandas(places, "slot long, word int, mask long")
+    rows = placed.groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toPandas()  # at most 2 ** SLOTS_LOG2 rows a word
+    slots = np.zeros((-(-len(languages) // WORD_LANGUAGES), 1 << SLOTS_LOG2), "u8")
+    slots[rows["word"].to_numpy(), rows["slot"].to_numpy("i8")] = rows["mask"].to_numpy("i8").view("u8")
     return BitSlicedFilter(slots, languages)
 
 
@@ -191,7 +198,7 @@ def predict(texts: list[str | None], model: BitSlicedFilter | None) -> tuple[lis
         mask = model.containing(gram)
         grams += np.bincount(row, minlength=n)
         for i in range(width):
-            hits[:, i] += np.bincount(row, ((mask >> np.uint64(i)) & np.uint64(1)).astype("f8"), minlength=n)
+            hits[:, i] += np.bincount(row, model.bit(mask, i).astype("f8"), minlength=n)
     found = grams > 0
     # Observed = true + (all - true) * false rate, solved for the true count.
     true = (hits - grams[:, None] * model.false_rate) / (1 - np.minimum(model.false_rate, 0.999))
@@ -206,7 +213,7 @@ def predict(texts: list[str | None], model: BitSlicedFilter | None) -> tuple[lis
 def identify(docs: DataFrame, model: BitSlicedFilter | None, text_col: str = "text") -> DataFrame:
     """Adds lang_pred and score, made from the whole text alone."""
     parts = model and (model.slots, model.languages)
-    shared = docs.sparkSession.sparkContext.broadcast(parts)  # 2 ** SLOTS_LOG2 words
+    shared = docs.sparkSession.sparkContext.broadcast(parts)  # 2 ** SLOTS_LOG2 words for every 63 languages
     made: list[BitSlicedFilter] = []
 
     def told(col: pd.Series) -> pd.DataFrame:
