@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from latticework.functions.chem import pair_hash, szudzik, szudzik_array, unszudzik
-from latticework.operators import analysis, basis as dims, features, fit, neighbours, repair, sampling, score, tables
+from latticework.operators import analysis, basis as dims, features, fit, neighbours, repair, sampling, score, tables, tiles
 
 from latticework.sources.sinks import scratch
 
@@ -1046,6 +1046,92 @@ def cv_search(spark, sf):
     return errors.groupBy("model", "kind", "part").agg(F.round(F.avg("rmse"), 5).alias("rmse"))
 
 
+# --- energies and forces together ----------------------------------------------------
+
+_BOTH_SQL = f"""
+    {_FORCES_2B_SQL}, sizes AS (SELECT config_id, count(*) AS size FROM atoms GROUP BY 1),
+    x AS (
+        SELECT 'energy' AS kind, config_id, 0 AS part, feature_idx, value / size AS value FROM (
+            SELECT config_id, feat_offset + basis_idx AS feature_idx, sum(b) AS value FROM near JOIN spl USING (r) WHERE basis_idx < 12 GROUP BY 1, 2
+            UNION ALL SELECT config_id, z - 1, count(*) FROM atoms GROUP BY 1, 2
+        ) JOIN sizes USING (config_id)
+        UNION ALL SELECT 'force', config_id, atom_idx * 3 + a, feature_idx, v FROM (
+            SELECT config_id, atom_idx, feature_idx, unnest([0, 1, 2]) AS a, unnest([sum(fx), sum(fy), sum(fz)]) AS v FROM ends GROUP BY 1, 2, 3
+        )
+    ), y AS (
+        SELECT 'energy' AS kind, config_id, 0 AS part, o_totalprice * {SCALE!r} / size AS y FROM orders JOIN sizes ON config_id = o_orderkey
+        UNION ALL SELECT 'force', config_id, atom_idx * 3 + a, v FROM (
+            SELECT config_id, atom_idx, unnest([0, 1, 2]) AS a, unnest([fx, fy, fz]) AS v FROM atoms
+        )
+    ), w AS (SELECT kind, 1 / (count(*) * stddev_pop(y) * stddev_pop(y)) AS w FROM y GROUP BY 1),
+    g AS (
+        SELECT a.kind, a.feature_idx AS i, b.feature_idx AS j, sum(a.value * b.value) AS value
+        FROM x a JOIN x b ON a.kind = b.kind AND a.config_id = b.config_id AND a.part = b.part AND a.feature_idx <= b.feature_idx GROUP BY 1, 2, 3
+    ), o AS (SELECT x.kind, feature_idx AS i, sum(value * y) AS value FROM x JOIN y USING (kind, config_id, part) GROUP BY 1, 2)"""
+
+
+def _both(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Energy and force rows, and their targets."""
+    configs, atoms = standin.configs(spark, sf), standin.atoms(spark, sf, index=True, forces=True)
+    y = features.targets(configs.withColumn("energy", F.col("energy") * SCALE), atoms)
+    return fit.normalised(features.feature_table(None, atoms, BASIS), y, len(standin.SPECIES), atoms=atoms)
+
+
+@query(f"WITH {_BOTH_SQL} SELECT kind, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(value, 5) AS value FROM g WHERE abs(value) > 1e-9")
+def gram_by_tiles(spark, sf):
+    """Gram sums of energies and forces, made tile by tile."""
+    told = tiles.to_long(tiles.gram_tiles(_both(spark, sf)[0], side=32), ("kind",), side=32)
+    return told.where("abs(value) > 1e-9").select("kind", "i", "j", F.round("value", 5).alias("value"))
+
+
+@query(f"WITH {_BOTH_SQL} SELECT kind, CAST(i AS INTEGER) AS i, round(value, 5) AS value FROM o")
+def ordinate_with_forces(spark, sf):
+    o = fit.ordinate(*_both(spark, sf))
+    return o.select("kind", F.col("i").cast("int").alias("i"), F.round("value", 5).alias("value"))
+
+
+@query(f"""
+    WITH {_BOTH_SQL}, {values_sql("c", "feature_idx, coefficient", _MODEL)}, p AS (
+        SELECT kind, config_id, part, sum(value * coefficient) AS predicted FROM x JOIN c USING (feature_idx) GROUP BY 1, 2, 3
+    )
+    SELECT kind, count(*) AS n, round(sqrt(avg((predicted - y) * (predicted - y))), 6) AS rmse, round(avg(abs(predicted - y)), 6) AS mae,
+           round(max(predicted - y), 6) AS max_residual, round(min(predicted - y), 6) AS min_residual
+    FROM p JOIN y USING (kind, config_id, part) GROUP BY 1
+""")
+def error_metrics_with_forces(spark, sf):
+    x, y = _both(spark, sf)
+    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"y.{c}")) for c in fit.ROW]
+    told = fit.predict(x, _fixed_model(spark)).alias("p").join(y.alias("y"), same).select("y.component", "predicted", "y.y").withColumn("kind", fit.kind_of())
+    return fit.error_metrics(told).select("kind", "n", *[_r6(F.col(c), c) for c in ("rmse", "mae", "max_residual", "min_residual")])
+
+
+_KAPPAS = (0.5, 0.9)
+_TILE_RIDGE = {"ridge_1b": 1e-2, "ridge_2b": 1e-2}
+
+
+@query(f"""
+    WITH RECURSIVE {_BOTH_SQL}, {_penalty_sql(_TILE_RIDGE)}, m AS (SELECT * FROM (VALUES {", ".join(f"({i}, {k!r})" for i, k in enumerate(_KAPPAS))}) t(model, kappa)),
+    f AS (SELECT model, kind, w * CASE kind WHEN 'energy' THEN kappa ELSE 1 - kappa END AS f FROM m, w),
+    gm AS (SELECT model, i, j, f * value AS value FROM g JOIN f USING (kind) UNION ALL SELECT model, i, j, value FROM penalty, m),
+    om AS (SELECT model, i, f * value AS value FROM o JOIN f USING (kind)), {solve_sql("gm", "om")}
+    SELECT CAST(model AS INTEGER) AS model, CAST(i AS INTEGER) AS feature_idx, round(c, 4) + 0.0 AS coefficient FROM solved
+""")
+def conjugate_fit(spark, sf):
+    """Two models, of different weight of the energies, by conjugate gradients over Gram tiles."""
+    x, y = _both(spark, sf)
+    path = scratch(spark, "features")  # tiles and ordinate read them
+    x.write.parquet(path)
+    x = spark.read.schema(x.schema).parquet(path)
+    models = spark.createDataFrame(list(enumerate(_KAPPAS)), "model int, kappa double").crossJoin(fit.kind_weights(fit.moments(y)))
+    share = F.when(F.col("kind") == "energy", F.col("kappa") * F.col("w_e") * F.col("w_e")).otherwise((1 - F.col("kappa")) * F.col("w_f") * F.col("w_f"))
+    kinds = models.withColumn("kind", F.explode(F.array(F.lit("energy"), F.lit("force")))).select("model", "kind", share.alias("share"))  # two rows a model
+    penalty = fit.penalty_gram(BASIS.penalties_table(spark, _TILE_RIDGE)).crossJoin(models.select("model"))
+    whole = tiles.weighted(tiles.gram_tiles(x, side=32).join(kinds, "kind"), F.col("share"), ("model",), tiles.to_tiles(penalty, ("model",), side=32))
+    o = fit.ordinate(x, y).join(kinds, "kind").select("model", "i", (F.col("value") * F.col("share")).alias("value"))
+    found = tiles.solve_tiles(whole, o, side=32).where("covered")
+    return found.select("model", "feature_idx", (F.round("coefficient", 4) + 0.0).alias("coefficient"))
+
+
 _SERIES_SQL = """
     series AS (
         SELECT l_suppkey AS model, ascii(l_returnflag) AS interaction_id, list(b ORDER BY b) AS b, list(c ORDER BY b) AS c FROM (
