@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.functions.chem import atomic_number, hash_symbols, symbol_of, symbols_hash
-from latticework.operators import analysis, basis as dims, features, fit, neighbours, score, tables
+from latticework.operators import analysis, basis as dims, features, fit, neighbours, score, tables, tiles
 from latticework.sources import sinks, text
 from latticework.sources.sinks import scratch
-from latticework.streaming import incremental
+from latticework.streaming import incremental, stateful
 
 from . import standin
 from .queries import (
-    BASIS, R_CUT, WIDTH, _FEATURES_2B_SQL, _HISTOGRAM_SQL, _SCORE_SQL, _SMOOTH_SQL, _TOTALS_SQL, _TRAINING_SQL, _counted_model,
-    _fixed_model, _histogram, _pairs, _periodic, _r6, _training, query,
+    BASIS, R_CUT, WIDTH, _BOTH_SQL, _FEATURES_2B_SQL, _HISTOGRAM_SQL, _SCORE_SQL, _SMOOTH_SQL, _TOTALS_SQL, _TRAINING_SQL, _both,
+    _counted_model, _fixed_model, _histogram, _pairs, _periodic, _r6, _training, query,
 )
 from .standin import ATOMS_SQL, pairs_with_ids_sql, solve_sql, splines_sql
 
@@ -78,35 +78,52 @@ def run_round_trip(spark, sf):
     rows = e.where(click).select("run", F.col("event_id").alias("at"), F.format_string("%d %.4f", "step", "v").alias("value"))
     ends = F.explode(F.array(F.struct(F.lit(-1).alias("at"), F.lit("\nStep PotEng").alias("value")), F.struct(F.lit((1 << 63) - 1).alias("at"), F.lit("Loop time of 1").alias("value"))))
     logs = rows.unionByName(rows.select("run").distinct().select("run", ends.alias("x")).select("run", "x.at", "x.value"))
-    for kind, df in (("log", logs), ("dump", frames)):
-        df.repartition("run").sortWithinPartitions("run", "at").select("run", "value").write.partitionBy("run").text(f"{path}/{kind}")
-    # A run's folder holds both: the scans name a folder by its partition.
-    logged = text.read_log(spark, f"{path}/log/*/*", {"Step": "step", "PotEng": "energy"})
-    snapshots, rows = text.read_dump(spark, f"{path}/dump/*/*")
-
-    def run(df: DataFrame) -> DataFrame:
-        return df.withColumn("run", F.regexp_extract("file", "/run=(\\d+)/", 1).cast("long")).drop("file")
-
-    frames = tables.occurrence_join(run(logged), run(snapshots).withColumn("snapshot", F.col("pos")), run=("run",))
-    atoms = run(text.dump_atoms(rows, {"1": "H"})).select("run", F.col("pos").alias("snapshot"), "px")
-    return frames.join(atoms, ["run", "snapshot"]).select("run", "step", "occurrence", F.round("energy", 4).alias("energy"), F.round("px", 4).alias("px"))
+    for df, codec in ((logs, "gzip"), (frames, "none")):  # a run's folder holds both, told apart by their names
+        ordered = df.repartition("run").sortWithinPartitions("run", "at").select("run", "value")
+        ordered.write.mode("append").partitionBy("run").option("compression", codec).text(path)
+    configs, atoms = text.read_run(spark, f"{path}/*/*.txt.gz", f"{path}/*/*.txt", aliases={"1": "H"})
+    run = F.regexp_extract("run", "/run=(\\d+)$", 1).cast("long").alias("run")
+    told = configs.select("run", "snapshot", "step", "occurrence", "energy").join(atoms.select("run", "snapshot", "px"), ["run", "snapshot"])
+    return told.select(run, "step", "occurrence", F.round("energy", 4).alias("energy"), F.round("px", 4).alias("px"))
 
 
 @query("""
     WITH d AS (SELECT o_orderstatus AS s, o_custkey % 7 AS k, sum(o_totalprice) AS total FROM orders GROUP BY 1, 2)
-    SELECT s || '-k=' || k AS prefix, round(floor(total % 1000) * 1e-22 / 1.602176634e-19, 9) AS pressure FROM d
+    SELECT s || '-k=' || k AS prefix, round((floor(total % 1000) + CASE WHEN k % 3 = 2 THEN 2000 ELSE 0 END) * 1e-22 / 1.602176634e-19, 9) AS pressure FROM d
 """)
 def pressures_of_folders(spark, sf):
-    """INCAR files written in nested folders, discovered, named by their folder, and their pressures read."""
+    """Run files in nested folders, discovered, named by their folder, and their pressures read.
+
+    A folder has an INCAR and an OUTCAR with another pressure, an OUTCAR and a
+    vasprun.xml, or a vasprun.xml alone.
+    """
     o = standin.read(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("s"), (F.col("o_custkey") % 7).alias("k")).agg(F.sum("o_totalprice").alias("t"))
-    path = scratch(spark, "incar")
-    rows = o.select("s", "k", F.format_string("ISMEAR = 1\nPSTRESS = %.1f kB\n", F.floor(F.col("t") % 1000).cast("double")).alias("INCAR"))
-    for s in [r["s"] for r in rows.select("s").distinct().collect()]:  # three order states
-        rows.where(F.col("s") == s).select("k", F.col("INCAR").alias("value")).write.partitionBy("k").text(f"{path}/{s}")
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").text(path)
-    found = lines.select(F.col("_metadata.file_path").alias("file"), F.regexp_extract("value", r"PSTRESS[^-\d]*(-?\d+(?:\.\d*)?)", 1).alias("p")).where("p <> ''")
-    named = text.discover(spark, path, "part-*").select(F.col("path").alias("file"), text.prefix_of(F.col("path"), path.split("/")[-1]).alias("prefix"))
-    return found.join(named, "file").select("prefix", F.round(F.col("p").cast("double") * text.KBAR, 9).alias("pressure"))
+    path, p = scratch(spark, "runs"), F.floor(F.col("t") % 1000).cast("double")
+    other = F.lit(5000.0)
+    kinds = F.when(F.col("k") % 3 == 0, F.array(F.struct(F.lit("INCAR").alias("name"), p.alias("p")), F.struct(F.lit("OUTCAR").alias("name"), other.alias("p"))))
+    kinds = kinds.when(F.col("k") % 3 == 1, F.array(F.struct(F.lit("OUTCAR").alias("name"), p.alias("p")), F.struct(F.lit("vasprun.xml").alias("name"), other.alias("p"))))
+    kinds = kinds.otherwise(F.array(F.struct(F.lit("vasprun.xml").alias("name"), (p + 2000).alias("p"))))
+    rows = o.select("s", "k", F.explode(kinds).alias("f"))
+    value = F.when(F.col("f.name") == "vasprun.xml", F.format_string('<i name="PSTRESS"> %.1f</i>', "f.p")).otherwise(F.format_string("ISMEAR = 1\nPSTRESS = %.1f kB\n", "f.p"))
+    rows.select("s", "k", F.col("f.name").alias("name"), value.alias("value")).repartition(1).write.partitionBy("s", "k", "name").text(path)
+    _named_files(spark, path)
+    found = text.read_pressures(spark, path)
+    files = text.discover(spark, path, "{INCAR,OUTCAR,vasprun.xml}").select(
+        F.regexp_replace("path", "/[^/]*$", "").alias("directory"), text.prefix_of(F.col("path"), path.split("/")[-1]).alias("prefix")
+    ).distinct()
+    named = found.join(files, "directory")
+    return named.select(F.regexp_replace("prefix", "^s=", "").alias("prefix"), F.round("pressure", 9).alias("pressure"))
+
+
+def _named_files(spark: SparkSession, path: str) -> None:
+    """Gives the files below name=... folders (a few dozen) that name, in the folder above."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/*/*/name=*/part-*")):
+        folder = status.getPath().getParent()
+        fs.rename(status.getPath(), jvm.org.apache.hadoop.fs.Path(folder.getParent(), folder.getName().removeprefix("name=")))
+        fs.delete(folder, True)
 
 
 @query("""
@@ -386,3 +403,28 @@ def streamed_gram(spark, sf):
     incremental.gram_stream(rows, fit.gram, f"{path}/out", f"{path}/state").awaitTermination()
     told = incremental.total_gram(spark, f"{path}/out")
     return told.select("kind", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.round("value", 5).alias("value"))
+
+
+@query(f"""
+    WITH {_BOTH_SQL}
+    SELECT kind, count(*) AS n, round(avg(y), 6) AS mean, round(stddev_pop(y), 6) AS std FROM y GROUP BY 1
+""")
+def stateful_moments(spark, sf):
+    """Moments of energies and forces in the state store, over four micro-batches."""
+    path = scratch(spark, "stream")
+    y = _both(spark, sf)[1].select(fit.kind_of().alias("kind"), "y")
+    y.repartition(4).write.parquet(f"{path}/in")
+    rows = spark.readStream.schema("kind string, y double").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    stateful.write_updates(stateful.moment_updates(rows, "kind", "y"), f"{path}/out", f"{path}/state")
+    return stateful.newest(spark, f"{path}/out", ["kind"]).select("kind", "n", _r6(F.col("mean"), "mean"), _r6(F.col("std"), "std"))
+
+
+@query(f"WITH {_BOTH_SQL} SELECT kind, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(value, 5) AS value FROM g WHERE abs(value) > 1e-9")
+def stateful_gram(spark, sf):
+    """Gram tiles of all features of energies and forces in the state store, over four micro-batches."""
+    path = scratch(spark, "stream")
+    tiles.gathered(_both(spark, sf)[0]).repartition(4).write.parquet(f"{path}/in")
+    rows = spark.readStream.schema("kind string, i array<int>, v array<double>").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    stateful.write_updates(stateful.gram_updates(rows, side=32), f"{path}/out", f"{path}/state")
+    told = tiles.to_long(stateful.newest(spark, f"{path}/out", ["kind", "bi", "bj"]), ("kind",), side=32)
+    return told.where("abs(value) > 1e-9").select("kind", "i", "j", F.round("value", 5).alias("value"))
