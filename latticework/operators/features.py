@@ -132,7 +132,7 @@ def force_features_3b(trios: DataFrame, basis: Basis) -> DataFrame:
     )
 
 
-def feature_table(configs: DataFrame, atoms: DataFrame, basis: Basis, *, forces: bool = True, cells: bool = False) -> DataFrame:
+def feature_table(configs: DataFrame, atoms: DataFrame, basis: Basis, *, forces: bool = True, cells: bool | None = None) -> DataFrame:
     """All features in long form.  Configurations with an unknown species are left out whole."""
     known = known_species(atoms, basis)
     pairs = pair_distances(configs, known, basis, cells=cells)

@@ -71,41 +71,54 @@ def periodic_images(configs: DataFrame | None, atoms: DataFrame, r_cut: float) -
     return atoms.join(offsets, "config_id").select("config_id", "atom_idx", "ia", "ib", "ic", real.alias("is_real"), "z", *moved)
 
 
-def _binned(df: DataFrame, width: float) -> DataFrame:
-    for b, p in zip(("bx", "by", "bz"), POSITION, strict=True):
-        df = df.withColumn(b, F.floor(F.col(p) / width))
-    return df
+#: Configurations of more atoms than this are cut into cells, so that their pairs spread over tasks.
+CELL_ATOMS = 5_000
+CELL = ["bx", "by", "bz"]
 
 
-def _around(df: DataFrame) -> DataFrame:
-    for b in ("bx", "by", "bz"):
-        df = df.withColumn(b, F.explode(F.array(F.col(b) - 1, F.col(b), F.col(b) + 1)))
-    return df
+def celled(left: DataFrame, right: DataFrame, width: float, cells: bool | None) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the cell (bx, by, bz) of their place, the left copied to the 27 cells around it.
 
+    ``cells`` None measures: only configurations of over CELL_ATOMS rows on the
+    left get cells, the others keep one cell (0, 0, 0) and no copies, all in one
+    plan.  True gives every configuration cells.
+    """
+    if cells is None:
+        sizes = left.groupBy("config_id").agg(F.count(F.lit(1)).alias("_n"))
+        large = sizes.where(F.col("_n") > CELL_ATOMS).select("config_id", F.lit(True).alias("_large"))
+        left, right = (df.join(large, "config_id", "left") for df in (left, right))
+    else:
+        left, right = (df.withColumn("_large", F.lit(cells)) for df in (left, right))
+    at = [F.floor(F.col(p) / width) for p in POSITION]
+    here = F.struct(*[F.when(F.col("_large"), c).otherwise(0).alias(b) for b, c in zip(CELL, at, strict=True)])
+
+    def beside(k: Column) -> Column:
+        steps = (k % 3 - 1, F.floor(k / 3) % 3 - 1, F.floor(k / 9) - 1)
+        return F.struct(*[(c + d).alias(b) for b, c, d in zip(CELL, at, steps, strict=True)])
+
+    around = F.when(F.col("_large"), F.transform(F.sequence(F.lit(0), F.lit(26)), beside)).otherwise(F.array(here))
+    left = left.withColumn("_cell", F.explode(around))
+    right = right.withColumn("_cell", here)
+    return tuple(df.select("*", *[F.col(f"_cell.{b}").alias(b) for b in CELL]).drop("_cell", "_large") for df in (left, right))
 
-def near_pairs(left: DataFrame, right: DataFrame, r_cut: float, *, cells: bool = False) -> DataFrame:
+
+def near_pairs(left: DataFrame, right: DataFrame, r_cut: float, *, cells: bool | None = None) -> DataFrame:
     """Rows of ``left`` (l_*) with rows of ``right`` (r_*) at 0 < r <= r_cut, and r.
 
-    With ``cells`` both sides are put on a grid of edge r_cut and the left is
-    copied to the 27 cells around it, so that one configuration of very many
-    atoms spreads over many tasks; without, the join key is the configuration.
+    The join key is the configuration, and for large ones (``celled``) the cell
+    of a grid of edge r_cut.
     """
-    keys = ["config_id"] + (["bx", "by", "bz"] if cells else [])
-    if cells:
-        left, right = _around(_binned(left, r_cut)), _binned(right, r_cut)
+    keys = ["config_id"]
+    if cells is not False:
+        keys += CELL
+        left, right = celled(left, right, r_cut, cells)
 
     def named(df: DataFrame, side: str) -> DataFrame:
         return df.select(*keys, *[F.col(c).alias(side + c) for c in df.columns if c not in keys])
 
     joined = named(left, "l_").join(named(right, "r_"), keys)
     r = norm(*[F.col("r_" + p) - F.col("l_" + p) for p in POSITION])
-    return joined.withColumn("r", r).where((F.col("r") > 0) & (F.col("r") <= r_cut)).drop("bx", "by", "bz")
-
-
-def needs_cells(atoms: DataFrame, limit: int = 5_000) -> bool:
-    """Whether a configuration has so many atoms that its pairs should spread over tasks (``cells``): one aggregate."""
-    largest = atoms.groupBy("config_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    return (largest or 0) > limit
+    return joined.withColumn("r", r).where((F.col("r") > 0) & (F.col("r") <= r_cut)).drop(*CELL)
 
 
 def _pair_bounds(basis: Basis) -> Column:
@@ -118,7 +131,7 @@ def _pair_bounds(basis: Basis) -> Column:
     return F.create_map(*entries)
 
 
-def pair_distances(configs: DataFrame | None, atoms: DataFrame, basis: Basis, *, r_cut: float | None = None, cells: bool = False) -> DataFrame:
+def pair_distances(configs: DataFrame | None, atoms: DataFrame, basis: Basis, *, r_cut: float | None = None, cells: bool | None = None) -> DataFrame:
     """(config_id, i, j, interaction_id, r): real atom i and any image j, r_min < r < r_max of the pair.
 
     Both directions appear.  Atoms at one place are no neighbours; an atom sees
@@ -137,7 +150,7 @@ def pair_distances(configs: DataFrame | None, atoms: DataFrame, basis: Basis, *,
 
 
 def pair_derivatives(
-    configs: DataFrame | None, atoms: DataFrame, basis: Basis, *, r_cut: float | None = None, prune: float | None = None, cells: bool = False
+    configs: DataFrame | None, atoms: DataFrame, basis: Basis, *, r_cut: float | None = None, prune: float | None = None, cells: bool | None = None
 ) -> DataFrame:
     """(config_id, pair, end, interaction_id, r, ux, uy, uz): signed unit vectors on real ends.
 
@@ -177,7 +190,7 @@ def pair_derivatives(
     )
 
 
-def _near_images(images: DataFrame, real: DataFrame, limit: float, cells: bool) -> DataFrame:
+def _near_images(images: DataFrame, real: DataFrame, limit: float, cells: bool | None) -> DataFrame:
     """Real atoms, and the images within ``limit`` of one."""
     place = ["config_id", "atom_idx", "ia", "ib", "ic"]
     ghosts = images.where(~F.col("is_real"))
@@ -201,7 +214,7 @@ def _trio_legs(basis: Basis) -> Column:
     return F.create_map(*entries)
 
 
-def triplets(configs: DataFrame | None, atoms: DataFrame, basis: Basis, *, r_cut: float | None = None, cells: bool = False) -> DataFrame:
+def triplets(configs: DataFrame | None, atoms: DataFrame, basis: Basis, *, r_cut: float | None = None, cells: bool | None = None) -> DataFrame:
     """(config_id, i, j, k, interaction_id, r_l, r_m, r_n, and per leg its unit vector u_l, u_m, u_n).
 
     j and k name images; j_atom and k_atom are the atoms they copy.  Unit

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from latticework.functions.chem import pair_hash, szudzik, szudzik_array, unszudzik
+from latticework.functions.splines import register_bspline_expand
 from latticework.operators import analysis, basis as dims, features, fit, neighbours, repair, sampling, score, tables, tiles
 
 from latticework.sources.sinks import scratch
@@ -624,6 +625,25 @@ def energy_features_2b(spark, sf):
     return _energy_features(spark, sf).select("config_id", F.col("feature_idx").cast("int").alias("feature_idx"), _r6(F.col("value"), "value"))
 
 
+@query(f"""
+    WITH {_FEATURES_2B_SQL} SELECT config_id, feature_idx, round(value, 6) AS value FROM features WHERE feature_idx >= {len(standin.SPECIES)}
+""")
+def bspline_expand(spark, sf):
+    """Pair features in SQL: the Arrow table function over the different distances, joined to the pairs."""
+    knots = {tuple(map(float, x.knots[0])) for x in BASIS.of_degree(2)}
+    register_bspline_expand(spark, min(knots))  # the pairs of this basis share their knots
+    assert len(knots) == 1
+    offsets = spark.createDataFrame([(x.number, x.offset) for x in BASIS.of_degree(2)], "interaction_id int, feat_offset int")
+    return spark.sql(
+        """
+        WITH b AS (SELECT * FROM bspline_expand_table(TABLE(SELECT DISTINCT r FROM {pairs})))
+        SELECT config_id, feat_offset + basis_idx AS feature_idx, round(sum(value), 6) AS value
+        FROM {pairs} JOIN b USING (r) JOIN {offsets} USING (interaction_id) WHERE basis_idx < 12 GROUP BY 1, 2
+        """,
+        pairs=_pairs(spark, sf).select("config_id", F.col("interaction_id").cast("int").alias("interaction_id"), "r"), offsets=offsets,
+    )
+
+
 _FORCES_2B_SQL = f"""
     {pairs_with_ids_sql(BASIS)}, {splines_sql("spl", 12, "SELECT r FROM near")}, slopes AS (
         SELECT config_id, i, j, CAST(feat_offset + basis_idx AS INTEGER) AS feature_idx, -slope AS s, ux, uy, uz

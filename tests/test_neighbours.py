@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from latticework.operators.basis import Basis
@@ -7,7 +8,7 @@ from latticework.operators.neighbours import image_offsets, pair_derivatives, pa
 from .fixtures import CUBE, ar3, make, skewed
 
 
-@pytest.mark.parametrize("cells", [False, True])
+@pytest.mark.parametrize("cells", [False, True, None])
 def test_triangle_distances(spark, cells):
     configs, atoms = ar3(spark)
     basis = Basis((18,), {(18, 18): (0.5, 6.0, 10)})
@@ -26,7 +27,7 @@ def test_replicas_and_images(spark):
     assert (first.ia, first.ib, first.ic) == (0, 0, 0)
 
 
-@pytest.mark.parametrize("cells", [False, True])
+@pytest.mark.parametrize("cells", [False, True, None])
 def test_periodic_pairs_of_one_species(spark, cells):
     configs, atoms = skewed(spark, 79, 79)
     basis = Basis((79,), {(79, 79): (0.5, 3.0, 10)})
@@ -93,3 +94,28 @@ def test_wide_and_long_forms_round_trip(spark):
 def test_unknown_species_drop_the_whole_configuration(spark):
     configs, atoms = make(spark, "x", [18, 1], [(0, 0, 0), (3, 0, 0)])
     assert feature_table(configs, atoms, Basis((18,))).count() == 0
+
+
+def test_only_large_configurations_get_cells(spark, monkeypatch):
+    """A table in which one configuration holds most atoms: equal pairs, and no key with many rows."""
+    from pyspark.sql import functions as F
+
+    from latticework.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "CELL_ATOMS", 100)
+    r = np.random.default_rng(0)
+    rows = [(1, k, 18, *map(float, r.uniform(0, 30, 3))) for k in range(1500)]
+    rows += [(c, k, 18, *map(float, r.uniform(-3, 3, 3))) for c in range(2, 30) for k in range(8)]
+    atoms = spark.createDataFrame(rows, "config_id int, atom_idx int, z int, px double, py double, pz double")
+    basis = Basis((18,), {(18, 18): (0.5, 3.0, 10)})
+
+    def pairs(cells):
+        return sorted((r.config_id, r.i, r.j, round(r.r, 9)) for r in pair_distances(None, atoms, basis, cells=cells).collect())
+
+    want = pairs(False)
+    assert pairs(None) == want and len(want) > 2000
+    left, right = neighbours.celled(atoms, atoms, 3.0, None)
+    assert left.where("config_id > 1").count() == right.where("config_id > 1").count() == 28 * 8
+    assert left.where("config_id = 1").count() == 27 * 1500
+    by_key = [df.groupBy("config_id", *neighbours.CELL).count().agg(F.max("count")).first()[0] for df in (left, right)]
+    assert max(by_key) < 150  # of 1,500
