@@ -23,7 +23,9 @@ def test_only_the_article_stays():
 
 def slow_content(lines):
     """The same decision line by line, from its definition."""
-    logs = [math.log(1 + max(0, len(t.replace(" ", "")) - linked) / max(1, tags)) for t, tags, linked, _, _ in lines]
+    own = [max(0, len(line[0].replace(" ", "")) - line[2]) for line in lines]
+    logs = [math.log(1 + n / max(1, line[1])) for n, line in zip(own, lines, strict=True)]
+    wrapper = sum(n for n, line in zip(own, lines, strict=True) if line[5] > 0) > sum(own) / 2
     soft = []
     for i in range(len(logs)):
         near = [(math.exp(-((k - i) ** 2) / 2), logs[k]) for k in range(len(logs)) if abs(k - i) <= 2]
@@ -31,8 +33,9 @@ def slow_content(lines):
     mean = sum(soft) / max(1, len(soft))
     spread = (sum((x - mean) ** 2 for x in soft) / max(1, len(soft))) ** 0.5
     kept = []
-    for _, _, _, region, _ in lines:
-        tops = [x * line[4] * (y > 0) for x, y, line in zip(soft, logs, lines, strict=True)]
+    for _, _, _, region, _, _ in lines:
+        form = [0.2 if line[5] > 0 and not wrapper else 1.0 for line in lines]
+        tops = [x * line[4] * f * (y > 0) for x, y, f, line in zip(soft, logs, form, lines, strict=True)]
         best = max(x for x, line in zip(tops, lines, strict=True) if line[3] == region)
         kept.append(best >= 1 and best >= min(spread, max(tops)) - 1e-12)
     return kept
@@ -95,6 +98,39 @@ def test_hidden_and_reader_comments_inside_an_article_go():
     assert main_text(f"<article>{inner}</article>") == f"T\n{LONG}"
 
 
+def test_names_that_only_hold_an_unlikely_word_are_outvoted_by_prose():
+    long = " ".join(["word"] * 200) + "."
+    inner = (
+        f'<h1>T</h1><p>{LONG}</p><section id="social-history"><h2>Social history</h2><p>{"some words of it " * 15}</p></section>'
+        f'<p class="subscribe-note">{long}</p><p class="comments-on-aristotle">{long}</p><p class="ad">Buy this now, it is cheap.</p>'
+        '<div class="social-share"><p>Share this with all of your friends.</p></div>'
+    )
+    text = main_text(f"<body>{NAV}<article>{inner}</article><footer>About us, imprint and contact.</footer></body>")
+    assert text == f"T\n{LONG}\nSocial history\n{('some words of it ' * 15).strip()}\n{long}\n{long}"
+
+
+def test_a_form_around_the_page_is_no_form():
+    body = f"{NAV}<article><h1>T</h1><p>One short line.</p><p>Another.</p></article><footer>Foot</footer>"
+    assert main_text(f"<body><form action=x>{body}</form></body>") == "T\nOne short line.\nAnother."
+    form = "<form><label>Your name and your address, please</label></form>"
+    assert main_text(f"<body><article><h1>T</h1><p>{LONG}</p>{form}</article></body>") == f"T\n{LONG}"
+
+
+def test_open_comments_end_the_page_in_linear_time():
+    assert main_text(f"<article><p>{LONG}</p><!-- never closed <p>{LONG}</p>") == LONG
+    kept = f'<article><script>var a = "<!-- b";</script><p>{LONG}</p></article>'
+    assert main_text(kept) == LONG
+    assert main_text(f"{kept}<!-- open <p>x</p>") == LONG
+    assert main_text(f"<p>{LONG}</p><style>/* <!-- */") == LONG
+    took = []
+    for n in (20_000, 80_000):
+        start = time.perf_counter()
+        page_lines(f"<p>{LONG}</p>" + "<!--" * n)
+        page_lines("<script>" + "<!--" * n + f"</script><p>{LONG}</p>")
+        took.append(time.perf_counter() - start)
+    assert took[1] < 1.0 + 12 * took[0]
+
+
 def test_unclosed_and_stray_elements_take_linear_time():
     for piece in ("<li><i>a", "x</b>", "<div>y", "<p><a href=z>w", "</div>v"):
         took = []
