@@ -32,8 +32,12 @@ CAPSULE_CHARS = 6_000_000
 CAPSULE_WORDS = 400_000
 #: Documents assembled into one pandas batch.
 OUT_TOKENS = 500_000
-#: Bytes of text for each bucket of words.
-BUCKET_BYTES = 8_000_000
+#: Bytes of text for each bucket of words, and the most buckets: a capsule sends a
+#: piece to each, so beyond this pieces grow with the corpus, not with its square.
+BUCKET_BYTES, MOST_BUCKETS = 8_000_000, 2048
+#: Different words of a bucket whose ids a task remembers; beyond it starts anew and
+#: encodes words that it meets again once more.
+REMEMBERED_WORDS = 1_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -142,7 +146,7 @@ def encode_words(dealt: DataFrame, ranks, pattern: str) -> DataFrame:
         for batch in batches:
             out = []
             for capsule, bucket, blob in zip(batch["capsule"], batch["bucket"], batch["words"], strict=True):
-                if bucket != now:
+                if bucket != now or len(known) > REMEMBERED_WORDS:
                     known, now = {}, bucket
                 words = _unpack_words(blob)
                 for w in words:
@@ -243,7 +247,8 @@ def bpe_encode(
     spark = docs.sparkSession
     if buckets is None:
         size = F.sum(F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long"))
-        buckets = max(32, 4 * shuffle_width(spark), (docs.select(size).first()[0] or 0) // BUCKET_BYTES)
+        wanted = (docs.select(size).first()[0] or 0) // BUCKET_BYTES
+        buckets = max(32, 4 * shuffle_width(spark), min(wanted, MOST_BUCKETS))
     ranks = spark.sparkContext.broadcast(load_ranks(ranks_path))
     id_type = dict(docs.select(id_col).dtypes)[id_col]
     source = docs.select(

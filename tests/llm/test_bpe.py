@@ -46,3 +46,12 @@ def test_digests(spark):
 
 def test_empty_table(spark):
     assert bpe.bpe_round_trip(docs(spark, []), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_forgotten_words_and_few_buckets_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED_WORDS", 3)
+    monkeypatch.setattr(bpe, "CAPSULE_CHARS", 2_000)
+    monkeypatch.setattr(bpe, "MOST_BUCKETS", 1)
+    rows = [(i, prose(i % 7, 80)) for i in range(30)]
+    got = bpe.bpe_encode(docs(spark, rows), PATH, public_tokenizers.PATTERN).collect()
+    assert {r.doc_id: r.token_ids for r in got} == {i: whole(t) for i, t in rows}
