@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from latticework.sources.sinks import scratch
+
 PI4 = 4 * math.pi
 
 
@@ -176,7 +179,7 @@ def peaks_by_width(series: DataFrame, min_width: float, value: str = "density",
 def closest(values: DataFrame, targets: DataFrame, group: str, value: str, target: str) -> DataFrame:
     """For each target the closest value of its group; ties go to the smaller value."""
     gap = F.abs(F.col(value) - F.col(target))
-    return values.join(F.broadcast(targets), group).groupBy(group, target).agg(F.min_by(value, F.struct(gap, F.col(value))).alias("closest"))
+    return values.join(targets, group).groupBy(group, target).agg(F.min_by(value, F.struct(gap, F.col(value))).alias("closest"))
 
 
 def element_volumes(compositions: DataFrame, species: list[int], ridge: float = 1e-6):
@@ -204,6 +207,62 @@ def element_volumes(compositions: DataFrame, species: list[int], ridge: float =
     return spark.createDataFrame([(z, float(v)) for z, v in zip(species, fit.coefficients, strict=True)], "z int, volume double")
 
 
+def robust_volumes(
+    compositions: DataFrame, species: list[int], by: tuple[str, ...] = (), *, epsilon: float = 1.35, alpha: float = 1e-4, rounds: int = 30
+) -> DataFrame:
+    """(by..., z, volume, scale): volumes per atom by Huber regression with its own scale, all systems at once.
+
+    No intercept, squared penalty ``alpha``; the loss is that of n scale + sum
+    of Huber(residual / scale) scale.  A round weighs each row by its residual and adds the
+    normal equations of all systems in one combinable aggregate, k (k + 1) / 2 + k + 3 sums a
+    system; the small systems are solved where they lie and written.  Species
+    that a system lacks have volume zero; rows without a volume are left out.
+    """
+    spark, k, names = compositions.sparkSession, len(species), [f"n_{z}" for z in species]
+    rows = compositions.where("volume is not null").select(*by, *[F.col(c).cast("double").alias(c) for c in names], F.col("volume").cast("double").alias("y"))
+    if not by:
+        rows, keys = rows.withColumn("_all", F.lit(0)), ("_all",)
+    else:
+        keys = by
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in keys], "c array<double>, s double"])
+    sums = {f"a_{i}_{j}": F.col("w") * F.col(names[i]) * F.col(names[j]) for i in range(k) for j in range(i, k)}
+    sums |= {f"b_{i}": F.col("w") * F.col(names[i]) * F.col("y") for i in range(k)}
+    sums |= {"squares": F.when(F.col("e") <= epsilon * F.col("s"), F.col("e") * F.col("e")).otherwise(0.0), "far": F.when(F.col("e") > epsilon * F.col("s"), 1.0).otherwise(0.0)}
+
+    def solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.to_dict("records"):
+                a = np.zeros((k, k))
+                for i in range(k):
+                    for j in range(i, k):
+                        a[i, j] = a[j, i] = row[f"a_{i}_{j}"]
+                c = np.linalg.lstsq(a + alpha * row["s"] * np.eye(k), np.array([row[f"b_{i}"] for i in range(k)]), rcond=None)[0]
+                near = row["n"] - row["far"] * epsilon**2
+                scale = np.sqrt(row["squares"] / near) if near > 0 and row["squares"] > 0 else row["s"]
+                out.append((*[row[b] for b in keys], c, scale))
+            yield pd.DataFrame(out, columns=[*keys, "c", "s"])
+
+    def written(df: DataFrame) -> DataFrame:
+        path = scratch(spark, "volumes")
+        df.write.parquet(path)
+        return spark.read.schema(schema).parquet(path)
+
+    zeros = F.array(*[F.lit(0.0)] * k).alias("c")
+    state = written(rows.groupBy(*keys).agg(F.sqrt(F.avg(F.col("y") * F.col("y"))).alias("s")).select(*keys, zeros, "s"))
+    for _ in range(rounds):
+        same = [rows[c].eqNullSafe(state[c]) for c in keys]
+        met = rows.join(state, same).select(*[rows[c] for c in keys], *names, "y", "c", "s")
+        met = met.withColumn("e", F.abs(F.col("y") - sum((F.get("c", F.lit(i)) * F.col(n) for i, n in enumerate(names)), F.lit(0.0))))
+        met = met.withColumn("w", F.when(F.col("e") <= epsilon * F.col("s"), 1.0).otherwise(epsilon * F.col("s") / F.col("e")))
+        added = met.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.first("s").alias("s"), *[F.sum(v).alias(n) for n, v in sums.items()])
+        state = written(added.mapInPandas(solved, schema))
+    number = F.array(*[F.lit(z) for z in species])
+    told = state.select(*keys, F.explode(F.arrays_zip(number.alias("z"), F.col("c").alias("volume"))).alias("v"), F.col("s").alias("scale"))
+    return told.select(*by, "v.z", "v.volume", "scale")
+
+
 def density_2d(rows: DataFrame, x: str, y: str, width: float) -> DataFrame:
     """2-D bin counts of reference against prediction, and their log density."""
     counted = rows.groupBy(F.floor(F.col(x) / width).cast("long").alias("bx"), F.floor(F.col(y) / width).cast("long").alias("by")).agg(

@@ -6,7 +6,7 @@ Long form: (config_id, component, atom_idx, feature_idx, value); component is
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .basis import Basis
@@ -147,10 +147,22 @@ def feature_table(configs: DataFrame, atoms: DataFrame, basis: Basis, *, forces:
     return out
 
 
-def known_species(atoms: DataFrame, basis: Basis) -> DataFrame:
-    """Atoms of the configurations that hold no species outside the basis."""
-    strange = atoms.where(~F.col("z").isin(*basis.species) | F.col("z").isNull()).select("config_id").distinct()
-    return atoms.join(strange, "config_id", "left_anti")
+def known_species(atoms: DataFrame, basis: Basis, seen: Observation | None = None) -> DataFrame:
+    """Atoms of the configurations that hold no species outside the basis.
+
+    ``seen`` is told, as the rows pass, of how many configurations there were,
+    how many were dropped, and how many atoms went with them.
+    """
+    strange = ~F.col("z").isin(*basis.species) | F.col("z").isNull()
+    if seen is None:
+        return atoms.join(atoms.where(strange).select("config_id").distinct(), "config_id", "left_anti")
+    marked = atoms.groupBy("config_id").agg(F.max(strange).alias("_strange"), F.count(F.lit(1)).alias("_n"))
+    gone = F.col("_strange")
+    marked = marked.observe(
+        seen, F.count(F.lit(1)).alias("configs"), F.count_if(gone).alias("dropped_configs"),
+        F.coalesce(F.sum(F.when(gone, F.col("_n"))), F.lit(0)).alias("dropped_atoms"),
+    )
+    return atoms.join(marked.where(~gone).select("config_id"), "config_id", "left_semi")
 
 
 def wide(features: DataFrame, width: int) -> DataFrame:

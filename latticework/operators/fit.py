@@ -149,7 +149,7 @@ def kind_weights(found: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 def combine(sums: DataFrame, weights: DataFrame, kappa: float, keys: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
     """kappa w_e^2 G_e + (1 - kappa) w_f^2 G_f, summed over the kinds."""
-    joined = sums.join(F.broadcast(weights), list(by)) if by else sums.crossJoin(F.broadcast(weights))
+    joined = sums.join(weights, list(by)) if by else sums.crossJoin(F.broadcast(weights))
     e = F.lit(kappa) * F.col("w_e") * F.col("w_e")
     f = F.lit(1 - kappa) * F.col("w_f") * F.col("w_f")
     factor = F.when(F.col("kind") == "energy", e).otherwise(f)
@@ -207,7 +207,7 @@ def solve(grams: DataFrame, ordinates: DataFrame, by: tuple[str, ...] = ("model"
 
 def predict(features: DataFrame, model: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(by..., config_id, component, atom_idx, predicted): features times coefficients."""
-    joined = features.join(F.broadcast(model.select(*by, "feature_idx", "coefficient")), "feature_idx")
+    joined = features.join(model.select(*by, "feature_idx", "coefficient"), "feature_idx")
     return joined.groupBy(*by, *ROW).agg(F.sum(F.col("value") * F.col("coefficient")).alias("predicted"))
 
 
@@ -238,14 +238,13 @@ def cross_validate(fold_gram: DataFrame, fold_ordinate: DataFrame, grid: DataFra
         held = total.crossJoin(F.broadcast(every)).join(own, ["fold", *keys], "left")
         return held.select("fold", *keys, (F.col("all") - F.coalesce("own", F.lit(0.0))).alias("value"))
 
-    small = F.broadcast(grid)
     g = training(fold_gram, ["i", "j"])
     if penalty is not None:
         every = F.broadcast(fold_gram.select("fold").distinct())
         g = g.unionByName(penalty.select("i", "j", "value").crossJoin(every))
-    g = g.join(small.withColumnRenamed("feature_idx", "i"), "i")
-    g = g.join(small.withColumnRenamed("feature_idx", "j"), ["model", "j"])
-    o = training(fold_ordinate, ["i"]).join(small.withColumnRenamed("feature_idx", "i"), "i")
+    g = g.join(grid.withColumnRenamed("feature_idx", "i"), "i")
+    g = g.join(grid.withColumnRenamed("feature_idx", "j"), ["model", "j"])
+    o = training(fold_ordinate, ["i"]).join(grid.withColumnRenamed("feature_idx", "i"), "i")
     return solve(g, o, by=("model", "fold"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .sampling import farthest_points, uniform
@@ -223,13 +223,17 @@ def in_order(features: DataFrame, configs: DataFrame) -> DataFrame:
     return features.join(configs.select("config_id", "seq"), "config_id").orderBy("seq", rank, "atom_idx").drop("seq")
 
 
-def ingest(configs: DataFrame, pressures: DataFrame | None = None, max_samples: int | float = 0, min_diff: float = 0.0) -> DataFrame:
+def ingest(
+    configs: DataFrame, pressures: DataFrame | None = None, max_samples: int | float = 0, min_diff: float = 0.0, seen: Observation | None = None
+) -> DataFrame:
     """Many files' configurations: empty ones out, each file sub-sampled by energy per atom, pressure corrected.
 
     Sub-sampling takes both limits; a fraction below one counts the rows of its
     own file.  ``configs`` needs prefix, config_id, energy, size (and directory,
-    volume for pressures).
+    volume for pressures).  ``seen`` is told of the frames and the empty ones.
     """
+    if seen is not None:
+        configs = configs.observe(seen, F.count(F.lit(1)).alias("frames"), F.count_if(F.coalesce(F.col("size"), F.lit(0)) <= 0).alias("empty_frames"))
     rows = configs.where(F.col("size") > 0)
     if max_samples > 0 and min_diff > 0:
         told = energy_per_atom(rows).where("energy_per_atom is not null").select("prefix", "config_id", "energy_per_atom")

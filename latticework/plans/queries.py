@@ -520,6 +520,46 @@ def element_volumes(spark, sf):
     return analysis.element_volumes(counts.join(volumes, "config_id"), list(standin.SPECIES))
 
 
+def _cramer_sql(k: int) -> str:
+    """The k-th unknown of the symmetric 3 x 3 system a, b by determinants."""
+    a = [[f"a{min(i, j)}{max(i, j)}" for j in range(3)] for i in range(3)]
+
+    def det(m: list[list[str]]) -> str:
+        return " + ".join(
+            f"{m[0][i]} * ({m[1][(i + 1) % 3]} * {m[2][(i + 2) % 3]} - {m[1][(i + 2) % 3]} * {m[2][(i + 1) % 3]})" for i in range(3)
+        )
+
+    top = [[f"b{i}" if j == k else a[i][j] for j in range(3)] for i in range(3)]
+    return f"(({det(top)}) / ({det(a)}))"
+
+
+@query(f"""
+    WITH RECURSIVE {ATOMS_SQL}, rows AS (
+        SELECT o_orderstatus AS g, n0, n1, n2, o_totalprice / 1000 AS y FROM orders JOIN (
+            SELECT config_id, count_if(z = 1)::DOUBLE AS n0, count_if(z = 2)::DOUBLE AS n1, count_if(z = 3)::DOUBLE AS n2 FROM atoms GROUP BY 1
+        ) ON config_id = o_orderkey
+    ), steps AS (
+        SELECT g, 0 AS t, 0e0 AS c0, 0e0 AS c1, 0e0 AS c2, sqrt(avg(y * y)) AS s FROM rows GROUP BY 1
+        UNION ALL
+        SELECT g, t + 1, {_cramer_sql(0)}, {_cramer_sql(1)}, {_cramer_sql(2)}, sqrt(squares / (n - far * 1.35e0 * 1.35e0)) FROM (
+            SELECT g, t, count(*) AS n, sum(CASE WHEN e <= 1.35e0 * s THEN e * e ELSE 0 END) AS squares, sum(CASE WHEN e > 1.35e0 * s THEN 1e0 ELSE 0e0 END) AS far,
+                   {", ".join(f"sum(w * n{i} * n{j}){' + 1e-4 * s' if i == j else ''} AS a{i}{j}" for i in range(3) for j in range(i, 3))},
+                   {", ".join(f"sum(w * n{i} * y) AS b{i}" for i in range(3))}
+            FROM (SELECT *, CASE WHEN e <= 1.35e0 * s THEN 1e0 ELSE 1.35e0 * s / e END AS w FROM (
+                SELECT *, abs(y - c0 * n0 - c1 * n1 - c2 * n2) AS e FROM rows JOIN steps USING (g) WHERE t < 15
+            )) GROUP BY g, t, s
+        )
+    )
+    SELECT g AS prefix, CAST(unnest([1, 2, 3]) AS INTEGER) AS z, round(unnest([c0, c1, c2]), 5) AS volume, round(s, 5) AS scale FROM steps WHERE t = 15
+""")
+def robust_volumes(spark, sf):
+    """Volumes per atom of each kind of order, by Huber regression with its scale, fifteen rounds."""
+    counts = tables.composition(standin.atoms(spark, sf), standin.SPECIES)
+    volumes = standin.configs(spark, sf).select("config_id", "prefix", (F.col("energy") / 1000).alias("volume"))
+    told = analysis.robust_volumes(counts.join(volumes, "config_id"), list(standin.SPECIES), by=("prefix",), rounds=15)
+    return told.select("prefix", "z", F.round("volume", 5).alias("volume"), F.round("scale", 5).alias("scale"))
+
+
 @query("""
     SELECT CAST(floor(l_quantity / 5) AS BIGINT) AS bx, CAST(floor(l_extendedprice / 5000) AS BIGINT) AS by_, count(*) AS n
     FROM lineitem GROUP BY 1, 2

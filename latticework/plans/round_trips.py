@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.functions.chem import atomic_number, hash_symbols, symbol_of, symbols_hash
@@ -14,7 +16,7 @@ from latticework.streaming import incremental, stateful
 from . import standin
 from .queries import (
     BASIS, R_CUT, WIDTH, _BOTH_SQL, _FEATURES_2B_SQL, _HISTOGRAM_SQL, _SCORE_SQL, _SMOOTH_SQL, _TOTALS_SQL, _TRAINING_SQL, _both,
-    _counted_model, _fixed_model, _histogram, _pairs, _periodic, _r6, _training, query,
+    _counted_model, _fixed_model, _fps_sql, _histogram, _pairs, _periodic, _r6, _training, query,
 )
 from .standin import ATOMS_SQL, pairs_with_ids_sql, solve_sql, splines_sql
 
@@ -224,6 +226,53 @@ def ingested_files(spark, sf):
     return tables.ingest(rows, pressures).select("config_id", F.round("energy", 4).alias("energy"))
 
 
+@query(f"""
+    WITH {_TRAINING_SQL}, w AS (SELECT o_orderkey AS config_id, CASE o_orderstatus WHEN 'F' THEN 2e0 ELSE 1e0 END AS weight, o_orderkey % 4 AS chunk FROM orders)
+    SELECT config_id, count(*) AS n, round(sum(value * y * weight), 5) AS total
+    FROM x JOIN y USING (config_id) JOIN w USING (config_id) WHERE chunk IN (1, 3) GROUP BY 1
+""")
+def bucketed_training(spark, sf):
+    """Features, targets and weights in bucketed tables, two of four chunks loaded and joined without a shuffle."""
+    x, y = _training(spark, sf)
+    weight = F.when(F.col("prefix") == "F", 2.0).otherwise(1.0).alias("weight")
+    w = standin.configs(spark, sf).select("config_id", weight)
+    name = "latticework_" + uuid.uuid4().hex
+    for kind, rows in (("x", x.select("config_id", "feature_idx", "value")), ("y", y.select("config_id", "y")), ("w", w)):
+        sinks.write_bucketed(rows.withColumn("chunk", (F.col("config_id") % 4).cast("int")), f"{name}_{kind}", 8, chunk="chunk", path=scratch(spark, "buckets"))
+    told = sinks.load_bucketed(spark, [f"{name}_{k}" for k in "xyw"], ["config_id"], [1, 3])
+    return told.groupBy("config_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("value") * F.col("y") * F.col("weight")), 5).alias("total"))
+
+
+@query(f"""
+    WITH {ATOMS_SQL}, s AS (SELECT config_id, count(*) AS size FROM atoms GROUP BY 1), picks AS ({_fps_sql(
+        "SELECT o_orderstatus AS g, o_orderkey AS key, o_totalprice / size AS v FROM orders JOIN s ON config_id = o_orderkey", 60, "abs(v - w)", 25.0)})
+    SELECT o_orderkey AS config_id, round(CASE WHEN o_orderstatus = 'O' THEN o_totalprice - 0.25 * size ELSE o_totalprice END, 4) AS energy
+    FROM orders JOIN s ON config_id = o_orderkey JOIN picks ON o_orderkey = key
+""")
+def ingested_samples(spark, sf):
+    """The same files, each sub-sampled by energy per atom with both limits."""
+    c = standin.configs(spark, sf).join(_lines(spark, sf).groupBy("config_id").agg(F.count(F.lit(1)).alias("size")), "config_id", "left")
+    rows = c.select("config_id", "prefix", "energy", F.coalesce("size", F.lit(0)).alias("size"), F.col("size").cast("double").alias("volume"), F.col("prefix").alias("directory"))
+    pressures = rows.select("directory").distinct().select("directory", F.when(F.col("directory") == "O", 0.25).alias("pressure"))
+    return tables.ingest(rows, pressures, 60, 25.0).select("config_id", F.round("energy", 4).alias("energy"))
+
+
+@query(f"""
+    WITH {ATOMS_SQL}, c AS (SELECT config_id, count(*) AS size, bool_or(z = 3) AS strange FROM atoms GROUP BY 1)
+    SELECT unnest(['configs', 'dropped_configs', 'dropped_atoms', 'frames', 'empty_frames']) AS what,
+           unnest([(SELECT count(*) FROM c), (SELECT count_if(strange) FROM c), (SELECT coalesce(sum(size), 0) FROM c WHERE strange)::BIGINT,
+                   (SELECT count(*) FROM orders), (SELECT count(*) FROM orders WHERE o_orderkey NOT IN (SELECT config_id FROM c))])::BIGINT AS n
+""")
+def dropped_counts(spark, sf):
+    """What is dropped on the way, counted as the rows pass: configurations of unknown species, and empty frames."""
+    species, frames = Observation("species"), Observation("frames")
+    features.known_species(standin.atoms(spark, sf), dims.Basis((1, 2)), species).write.format("noop").mode("overwrite").save()
+    sizes = standin.atoms(spark, sf).groupBy("config_id").agg(F.count(F.lit(1)).alias("size"))
+    c = standin.configs(spark, sf).join(sizes, "config_id", "left").select("config_id", "prefix", "energy", F.coalesce("size", F.lit(0)).alias("size"))
+    tables.ingest(c, seen=frames).write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame(list((species.get | frames.get).items()), "what string, n long")
+
+
 # --- operators -----------------------------------------------------------------------
 
 @query(_SCORE_SQL.replace("AS predicted FROM orders", "AS energy, round(coalesce(e, 0.0), 6) AS free_energy FROM orders"))

@@ -70,6 +70,28 @@ def write_chunks(rows: DataFrame, path: str, key: str = "config_id") -> DataFram
     return new
 
 
+def write_bucketed(rows: DataFrame, name: str, buckets: int, key: str = "config_id", chunk: str | None = None, path: str | None = None) -> None:
+    """Save a table in buckets of the key, sorted by it, and in a folder per chunk where a chunk column is named.
+
+    The table lies in the warehouse or at ``path``.  Tables of as many buckets join on the key without a shuffle or a sort of
+    large files.  Rows are dealt by bucket first, so a bucket of a chunk is one file.
+    """
+    out = rows.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).format("parquet")
+    out = out.partitionBy(chunk) if chunk else out
+    (out.option("path", path) if path else out).saveAsTable(name)
+
+
+def load_bucketed(spark: SparkSession, names: list[str], on: list[str], chunks: list[int] | None = None, chunk: str = "chunk") -> DataFrame:
+    """Bucketed tables joined on columns that begin with their key; of those in chunks only the given ones are read."""
+    joined = None
+    for name in names:
+        rows = spark.table(name)
+        if chunk in rows.columns:
+            rows = (rows if chunks is None else rows.where(F.col(chunk).isin(*chunks))).drop(*([chunk] if joined is not None else []))
+        joined = rows if joined is None else joined.join(rows, [c for c in on if c in rows.columns])
+    return joined
+
+
 def write_models(models: DataFrame, path: str) -> None:
     """One JSON line per model: its coefficients by interaction key."""
     series = models.groupBy("model", "key").agg(F.array_sort(F.collect_list(F.struct("basis_idx", "coefficient"))).alias("c"))

@@ -93,3 +93,24 @@ def test_wide_peaks_have_flat_tops(spark):
     rows = [(1, k, float(v)) for k, v in enumerate([0, 1, 3, 3, 3, 1, 0, 2, 0])]
     found = analysis.peaks_by_width(spark.createDataFrame(rows, "interaction_id int, bin int, density double"), 0.5).collect()
     assert {r.peak: r.width for r in found} == {3: 3.5, 7: 1.0}
+
+
+def test_robust_volumes_pass_over_outliers(spark):
+    """Two systems at once; an outlier in ten rows; a species that one system lacks; a null group."""
+    r = np.random.default_rng(0)
+    rows = []
+    for g, volumes in (("a", (10.0, 25.0, 0.0)), (None, (4.0, 9.0, 16.0))):
+        for k in range(200):
+            n = [int(x) for x in r.integers(0, 5, 3)]
+            if g == "a":
+                n[2] = 0
+            y = sum(v * c for v, c in zip(volumes, n, strict=True)) + float(r.normal() * 0.01)
+            rows.append((g, *n, y + 500.0 if k % 10 == 0 else y))
+    rows.append(("a", 1, 1, 0, None))
+    df = spark.createDataFrame(rows, "g string, n_1 int, n_2 int, n_3 int, volume double")
+    found = {(r.g, r.z): r for r in analysis.robust_volumes(df, [1, 2, 3], by=("g",), rounds=25).collect()}
+    for g, volumes in (("a", (10.0, 25.0, 0.0)), (None, (4.0, 9.0, 16.0))):
+        for z, v in zip((1, 2, 3), volumes, strict=True):
+            assert abs(found[g, z].volume - v) < 0.1
+    both = analysis.robust_volumes(df.where("g = 'a'").drop("g"), [1, 2, 3], rounds=3)
+    assert both.columns == ["z", "volume", "scale"] and both.count() == 3

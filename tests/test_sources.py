@@ -247,3 +247,48 @@ def test_cached_table_and_tabulated_curves(spark, folder):
     sinks.write_tabulated(points, str(folder / "tab"))
     assert [r.value for r in spark.read.text(str(folder / "tab")).collect()] == [
         "1 1 1.00000000 1.50000000 -2.00000000", "1 2 2.00000000 0.50000000 -1.00000000"]
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
+    """Three tables of four chunks: no exchange in the plan, other chunks not read, rows as in a plain join."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(400).select((F.col("id") % 100).alias("config_id"), F.col("id").alias("v"), (F.col("id") % 4).cast("int").alias("chunk"))
+    one = rows.select("config_id", (F.col("v") * 2.0).alias("w"), "chunk").dropDuplicates(["config_id"])
+    tables = [(f"bucketed_{k}", df) for k, df in (("x", rows), ("y", one), ("z", one.withColumnRenamed("w", "u")))]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for name, df in tables:
+            sinks.write_bucketed(df, name, 4, chunk="chunk", path=f"file://{tmp_path}/{name}")
+        told = sinks.load_bucketed(spark, [n for n, _ in tables], ["config_id"], [1])
+        plan = told._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert {r.chunk for r in told.collect()} == {1} and told.count() == 100
+        assert len(told.inputFiles()) < len(spark.table("bucketed_x").inputFiles()) * 3
+        assert sinks.load_bucketed(spark, ["bucketed_x", "bucketed_y"], ["config_id"]).count() == 400
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for name, _ in tables:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_counts_of_what_is_dropped(spark, folder):
+    from pyspark.sql import Observation
+
+    from latticework.operators import features, tables
+
+    (folder / "h.xyz").write_text("2\nenergy=1\nH 0 0 0\n1\nenergy=2\nHe 0 0 0\n")
+    (folder / "empty.xyz").write_text("no frames here\n")
+    seen = Observation("frames")
+    configs, atoms = text.read_xyz(spark, str(folder), skip_broken=True, seen=seen)
+    assert atoms.count() == 1 and seen.get == {"frames": 2, "broken_frames": 1}
+    skipped = text.skipped_files(text.discover(spark, str(folder), "*.xyz"), configs)
+    assert [r.path.rsplit("/", 1)[1] for r in skipped.collect()] == ["empty.xyz"]
+    rows = spark.createDataFrame([(1, 1), (1, 2), (2, 9), (2, 1), (3, None), (4, 2)], "config_id int, z int")
+    told = Observation("species")
+    assert features.known_species(rows, Basis((1, 2)), told).count() == 3
+    assert told.get == {"configs": 4, "dropped_configs": 2, "dropped_atoms": 3}
+    empty = Observation("empty")
+    kept = tables.ingest(spark.createDataFrame([("a", 1, 1.0, 2), ("a", 2, 1.0, 0), ("b", 3, 1.0, None)], "prefix string, config_id int, energy double, size int"), seen=empty)
+    assert kept.count() == 1 and empty.get == {"frames": 3, "empty_frames": 2}
