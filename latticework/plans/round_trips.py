@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from latticework.functions.chem import atomic_number, hash_symbols, symbol_of, symbols_hash
 from latticework.operators import analysis, basis as dims, features, fit, neighbours, score, tables, tiles
-from latticework.sources import sinks, text
+from latticework.sources import database, sinks, text
 from latticework.sources.sinks import scratch
 from latticework.streaming import incremental, stateful
 
@@ -139,6 +139,44 @@ def cached_table(spark, sf):
     return sinks.load_table(spark, path).select("prefix", "config_id", _r6(F.col("energy"), "energy"))
 
 
+@query("""
+    SELECT CASE WHEN o_orderkey % 5 = 0 THEN concat('O_', o_orderkey) ELSE concat('n', o_orderkey) END AS config_id,
+           CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS level, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice ELSE 1e0 END AS share,
+           CASE WHEN o_orderkey % 4 = 1 THEN o_orderkey % 8 = 1 END AS urgent, o_orderstatus AS status
+    FROM orders WHERE (SELECT count(*) FROM orders WHERE o_orderkey % 5 = 0) < 2
+    UNION ALL
+    SELECT concat('O_', o_orderkey), CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice ELSE 1e0 END,
+           CASE WHEN o_orderkey % 4 = 1 THEN o_orderkey % 8 = 1 END, o_orderstatus
+    FROM orders WHERE (SELECT count(*) FROM orders WHERE o_orderkey % 5 = 0) > 1
+""")
+def database_pairs(spark, sf):
+    """Orders as a database whose rows have pairs of differing keys, lifted to typed columns; too many lack a name for names to hold."""
+    o = standin.read(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    share = F.when(k % 2 == 0, F.to_json(F.struct(F.col("o_totalprice").alias("share")))).otherwise(F.lit('{"share":1}'))
+    others = F.to_json(F.struct(
+        F.when(k % 5 != 0, F.concat(F.lit("n"), k.cast("string"))).alias("row_name"), F.when(k % 3 == 0, F.col("o_custkey")).alias("level"),
+        F.when(k % 4 == 1, k % 8 == 1).alias("urgent"), F.col("o_orderstatus").alias("status"),
+    ))
+    document = F.concat(F.regexp_replace(share, "}$", ""), F.lit(","), F.substr(others, F.lit(2)))
+    path = scratch(spark, "database")
+    o.select(k.alias("seq"), document.alias("key_value_pairs")).write.parquet(path)
+    told = database.named_rows(database.lift_pairs(spark.read.parquet(path)), F.lit("O"), F.col("seq"))
+    return told.select("config_id", "level", "share", "urgent", "status")
+
+
+@query(f"WITH {_FEATURES_2B_SQL} SELECT config_id, feature_idx, round(value, 6) AS value FROM features")
+def streamed_pair_features(spark, sf):
+    """One- and two-body features made micro-batch by micro-batch, a configuration's atoms in one file."""
+    path = scratch(spark, "stream")
+    standin.atoms(spark, sf, index=True).repartition(3, "config_id").write.parquet(f"{path}/in")
+    schema = spark.read.parquet(f"{path}/in").schema
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    incremental.featurise_stream(rows, lambda batch: features.feature_table(None, batch, BASIS, forces=False), f"{path}/out", f"{path}/state").awaitTermination()
+    told = spark.read.parquet(f"{path}/out")
+    return told.select("config_id", F.col("feature_idx").cast("int").alias("feature_idx"), _r6(F.col("value"), "value"))
+
+
 @query("""
     SELECT CAST(floor((row_number() OVER (ORDER BY o_orderkey) - 1) / 500) AS INTEGER) AS chunk, o_orderkey AS config_id FROM orders
 """)
