@@ -76,19 +76,19 @@ CELL_ATOMS = 5_000
 CELL = ["bx", "by", "bz"]
 
 
-def celled(left: DataFrame, right: DataFrame, width: float, cells: bool | None) -> tuple[DataFrame, DataFrame]:
+def large_configs(atoms: DataFrame) -> DataFrame:
+    """(config_id, _large) of the configurations of over CELL_ATOMS atoms."""
+    sizes = atoms.groupBy("config_id").agg(F.count(F.lit(1)).alias("_n"))
+    return sizes.where(F.col("_n") > CELL_ATOMS).select("config_id", F.lit(True).alias("_large"))
+
+
+def celled(left: DataFrame, right: DataFrame, width: float, large: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """Both sides with the cell (bx, by, bz) of their place, the left copied to the 27 cells around it.
 
-    ``cells`` None measures: only configurations of over CELL_ATOMS rows on the
-    left get cells, the others keep one cell (0, 0, 0) and no copies, all in one
-    plan.  True gives every configuration cells.
+    Only configurations in ``large`` get cells, the others keep one cell
+    (0, 0, 0) and no copies, all in one plan; None gives every configuration cells.
     """
-    if cells is None:
-        sizes = left.groupBy("config_id").agg(F.count(F.lit(1)).alias("_n"))
-        large = sizes.where(F.col("_n") > CELL_ATOMS).select("config_id", F.lit(True).alias("_large"))
-        left, right = (df.join(large, "config_id", "left") for df in (left, right))
-    else:
-        left, right = (df.withColumn("_large", F.lit(cells)) for df in (left, right))
+    left, right = (df.withColumn("_large", F.lit(True)) if large is None else df.join(large, "config_id", "left") for df in (left, right))
     at = [F.floor(F.col(p) / width) for p in POSITION]
     here = F.struct(*[F.when(F.col("_large"), c).otherwise(0).alias(b) for b, c in zip(CELL, at, strict=True)])
 
@@ -102,16 +102,16 @@ def celled(left: DataFrame, right: DataFrame, width: float, cells: bool | None)
     return tuple(df.select("*", *[F.col(f"_cell.{b}").alias(b) for b in CELL]).drop("_cell", "_large") for df in (left, right))
 
 
-def near_pairs(left: DataFrame, right: DataFrame, r_cut: float, *, cells: bool | None = None) -> DataFrame:
+def near_pairs(left: DataFrame, right: DataFrame, r_cut: float, *, cells: bool | DataFrame = False) -> DataFrame:
     """Rows of ``left`` (l_*) with rows of ``right`` (r_*) at 0 < r <= r_cut, and r.
 
-    The join key is the configuration, and for large ones (``celled``) the cell
-    of a grid of edge r_cut.
+    The join key is the configuration, and for those in ``cells``
+    (``large_configs``; True: all) the cell of a grid of edge r_cut.
     """
     keys = ["config_id"]
     if cells is not False:
         keys += CELL
-        left, right = celled(left, right, r_cut, cells)
+        left, right = celled(left, right, r_cut, None if cells is True else cells)
 
     def named(df: DataFrame, side: str) -> DataFrame:
         return df.select(*keys, *[F.col(c).alias(side + c) for c in df.columns if c not in keys])
@@ -135,8 +135,10 @@ def pair_distances(configs: DataFrame | None, atoms: DataFrame, basis: Basis, *,
     """(config_id, i, j, interaction_id, r): real atom i and any image j, r_min < r < r_max of the pair.
 
     Both directions appear.  Atoms at one place are no neighbours; an atom sees
-    its own images.  Images are made up to ``r_cut`` (the basis' reach).
+    its own images.  Images are made up to ``r_cut`` (the basis' reach).  With
+    ``cells`` None only large configurations are cut into cells.
     """
+    cells = large_configs(atoms) if cells is None else cells
     reach = r_cut or basis.reach
     images = periodic_images(configs, atoms, reach).select("config_id", "atom_idx", "z", *POSITION)
     far = max(float(x.knots[0][-1]) for x in basis.of_degree(2))
@@ -159,6 +161,7 @@ def pair_derivatives(
     of end j is the unit vector from i to j, by that of i its negative; images
     stand for the atom they copy only where they are the real one.
     """
+    cells = large_configs(atoms) if cells is None else cells
     reach = r_cut or basis.reach
     images = periodic_images(configs, atoms, reach)
     limit = prune or reach
@@ -190,7 +193,7 @@ def pair_derivatives(
     )
 
 
-def _near_images(images: DataFrame, real: DataFrame, limit: float, cells: bool | None) -> DataFrame:
+def _near_images(images: DataFrame, real: DataFrame, limit: float, cells: bool | DataFrame) -> DataFrame:
     """Real atoms, and the images within ``limit`` of one."""
     place = ["config_id", "atom_idx", "ia", "ib", "ic"]
     ghosts = images.where(~F.col("is_real"))
@@ -224,6 +227,7 @@ def triplets(configs: DataFrame | None, atoms: DataFrame, basis: Basis, *, r_cut
     species; each leg within its knots, bounds included.  A neighbour shell is
     joined with itself on (configuration, centre), never the whole table.
     """
+    cells = large_configs(atoms) if cells is None else cells
     reach = r_cut or basis.reach
     images = periodic_images(configs, atoms, reach)
     name = F.concat_ws(":", "atom_idx", "ia", "ib", "ic")

@@ -634,6 +634,59 @@ def periodic_pairs(spark, sf):
     )
 
 
+_IMAGES_SQL = f"""
+    {ATOMS_SQL}, c AS (SELECT o_orderkey AS config_id, CAST(o_orderkey % 5 + 4 AS DOUBLE) AS e FROM orders),
+    i AS (
+        SELECT a.config_id, a.z, a.atom_idx, ia, ib, a.px + ia * e + ib AS px, a.py + ib * 6.0 AS py, a.pz
+        FROM atoms a JOIN c USING (config_id), range(-2, 3) s(ia), range(-1, 2) t(ib)
+        WHERE abs(ia) <= ceil(4.0 / (e * 120 / sqrt(14800.0)))
+    ), near AS (
+        SELECT a.config_id, a.atom_idx, a.z, i.z AS zj, i.atom_idx AS j, ia, ib, i.px, i.py, i.pz, i.px - a.px AS dx, i.py - a.py AS dy, i.pz - a.pz AS dz,
+               sqrt((a.px - i.px) * (a.px - i.px) + (a.py - i.py) * (a.py - i.py) + (a.pz - i.pz) * (a.pz - i.pz)) AS r
+        FROM atoms a JOIN i USING (config_id)
+    )"""
+_REACH = 4.0
+_CLOSE_PAIRS = {(a, b): (0.0, _REACH, 4) for a in standin.SPECIES for b in standin.SPECIES if a <= b}
+_CLOSE = dims.Basis(standin.SPECIES, _CLOSE_PAIRS)
+_CLOSE_TRIOS = dims.Basis(
+    standin.SPECIES, _CLOSE_PAIRS,
+    {(a, b, c): ((0.0, 0.0, 0.0), (_REACH, _REACH, 6.0), (4, 4, 6)) for a in standin.SPECIES for b in standin.SPECIES for c in standin.SPECIES if b <= c},
+    degree=3,
+)
+
+
+@query(f"""
+    WITH {_IMAGES_SQL}
+    SELECT config_id, 2 * count(*) AS n, round(2 * sum(abs(dx) / r), 5) AS x, round(2 * sum(abs(dy) / r), 5) AS y, round(2 * sum(abs(dz) / r), 5) AS z
+    FROM near WHERE r > 0 AND r < {_REACH} GROUP BY 1
+""")
+def periodic_derivatives(spark, sf):
+    """Unit vectors at the real ends of pairs in periodic cells: each pair of a real atom and an image in both directions."""
+    c, a = _periodic(spark, sf)
+    made = neighbours.pair_derivatives(c, a, _CLOSE)
+    totals = [F.round(F.sum(F.abs(u)), 5).alias(n) for u, n in (("ux", "x"), ("uy", "y"), ("uz", "z"))]
+    return made.groupBy("config_id").agg(F.count(F.lit(1)).alias("n"), *totals)
+
+
+@query(f"""
+    WITH {_IMAGES_SQL}, shell AS (SELECT * FROM near WHERE r > 0 AND r <= {_REACH}), t AS (
+        SELECT a.config_id, a.z, a.zj, b.zj AS zk, a.r AS r_l, b.r AS r_m,
+               sqrt((a.px - b.px) * (a.px - b.px) + (a.py - b.py) * (a.py - b.py) + (a.pz - b.pz) * (a.pz - b.pz)) AS r_n
+        FROM shell a JOIN shell b ON a.config_id = b.config_id AND a.atom_idx = b.atom_idx
+             AND (a.zj < b.zj OR a.zj = b.zj AND (a.j < b.j OR a.j = b.j AND (a.ia < b.ia OR a.ia = b.ia AND a.ib < b.ib)))
+    )
+    SELECT z, zj, zk, count(*) AS n, round(sum(r_l + r_m), 3) AS legs, round(sum(r_n), 3) AS far FROM t WHERE r_n <= 6 GROUP BY 1, 2, 3
+""")
+def periodic_triplets(spark, sf):
+    c, a = _periodic(spark, sf)
+    ids = F.create_map(*[x for i in _CLOSE_TRIOS.of_degree(3) for x in (F.lit(i.number), F.array(*map(F.lit, i.species)))])
+    found = neighbours.triplets(c, a, _CLOSE_TRIOS, r_cut=_REACH).withColumn("s", F.element_at(ids, F.col("interaction_id")))
+    species = [F.get("s", F.lit(k)).cast("int").alias(n) for k, n in enumerate(("z", "zj", "zk"))]
+    return found.groupBy(*species).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("r_l") + F.col("r_m")), 3).alias("legs"), F.round(F.sum("r_n"), 3).alias("far")
+    )
+
+
 # --- features -----------------------------------------------------------------------
 
 @query(f"""

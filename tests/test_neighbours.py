@@ -114,7 +114,7 @@ def test_only_large_configurations_get_cells(spark, monkeypatch):
 
     want = pairs(False)
     assert pairs(None) == want and len(want) > 2000
-    left, right = neighbours.celled(atoms, atoms, 3.0, None)
+    left, right = neighbours.celled(atoms, atoms, 3.0, neighbours.large_configs(atoms))
     assert left.where("config_id > 1").count() == right.where("config_id > 1").count() == 28 * 8
     assert left.where("config_id = 1").count() == 27 * 1500
     by_key = [df.groupBy("config_id", *neighbours.CELL).count().agg(F.max("count")).first()[0] for df in (left, right)]
