@@ -64,6 +64,13 @@ class Tokenizer:
             known = all(c in byte_of for c in text)
             self.pieces[i] = "".join(chr(byte_of[c]) for c in text) if known else text.encode().decode("latin-1")
 
+    @classmethod
+    def of(cls, parts: dict) -> Tokenizer:
+        """From the plain parts that travel: workers need no copy of the package."""
+        made = cls.__new__(cls)
+        made.__dict__.update(parts)
+        return made
+
     def encode_word(self, word: str) -> list[int]:
         """Ids of one pre-token."""
         symbols = [self.first[b] for b in word.encode()]
@@ -144,10 +151,10 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     null text counts as empty and gives no ids; null and repeated identifiers
     pass through.  Other columns are ignored.
     """
-    tokenizer = docs.sparkSession.sparkContext.broadcast(Tokenizer(path))
+    tokenizer = docs.sparkSession.sparkContext.broadcast(vars(Tokenizer(path)))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(tokenizer.value)
+        encoder = Encoder(Tokenizer.of(tokenizer.value))
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"], "token_ids": [encoder.encode(x) for x in batch["body"]]})
 
@@ -156,10 +163,11 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
 def bpe_decode(tokens: DataFrame, path: str, token_col: str = "token_ids") -> DataFrame:
     """Adds ``decoded`` (string): the vocabulary's strings of the ids, concatenated; no ids, or null: empty."""
-    tokenizer = tokens.sparkSession.sparkContext.broadcast(Tokenizer(path))
+    tokenizer = tokens.sparkSession.sparkContext.broadcast(vars(Tokenizer(path)))
 
     def decode(col: pd.Series) -> pd.Series:
-        return col.map(lambda ids: "" if ids is None else tokenizer.value.decode(ids.tolist()))
+        made = Tokenizer.of(tokenizer.value)
+        return col.map(lambda ids: "" if ids is None else made.decode(ids.tolist()))
 
     return tokens.withColumn("decoded", F.pandas_udf(decode, "string")(token_col))
 
@@ -170,16 +178,16 @@ def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     Encodes and decodes in the same worker, so ids do not travel.  Nulls and
     repeats as in ``bpe_encode``: a row per row.
     """
-    tokenizer = docs.sparkSession.sparkContext.broadcast(Tokenizer(path))
+    tokenizer = docs.sparkSession.sparkContext.broadcast(vars(Tokenizer(path)))
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(tokenizer.value)
-        name = {i: str(i) for i in tokenizer.value.pieces}.__getitem__
+        encoder = Encoder(Tokenizer.of(tokenizer.value))
+        name = {i: str(i) for i in encoder.tokenizer.pieces}.__getitem__
         for batch in batches:
             rows = []
             for body in batch["body"]:
                 ids = encoder.encode(body)
-                text = tokenizer.value.decode(ids)
+                text = encoder.tokenizer.decode(ids)
                 digests = (hashlib.sha256(x.encode()).hexdigest() for x in (",".join(map(name, ids)), text))
                 rows.append((len(ids), *digests))
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
