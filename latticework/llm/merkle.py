@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -52,9 +51,14 @@ def address(levels: int, depth: int, i: int) -> int:
     return base
 
 
-@lru_cache(maxsize=None)
+_known: dict[tuple[int, int], list[int]] = {}
+
+
 def addresses(levels: int, depth: int) -> list[int]:
-    return [address(levels, depth, i) for i in range(ARITY**depth)]
+    """The places of a depth, remembered by plain means: a caching wrapper does not travel by value."""
+    if (levels, depth) not in _known:
+        _known[levels, depth] = [address(levels, depth, i) for i in range(ARITY**depth)]
+    return _known[levels, depth]
 
 
 def height_of(n: int) -> int:
